@@ -26,7 +26,8 @@ def escaped(text: Column) -> Column:
 
 
 def three_places(value: Column) -> Column:
-    return F.coalesce(F.format_string("%.3f", value), F.lit("")) if value is not None else F.lit("")
+    """With three decimal places; nothing for null."""
+    return F.when(value.isNull(), "").otherwise(F.format_string("%.3f", value))
 
 
 def threshold_label(value: Column) -> Column:
@@ -44,3 +45,17 @@ def json_slice(text: Column) -> Column:
     """From the first { to the last }; null without both."""
     start, end = F.instr(text, "{"), F.char_length(text) - F.instr(F.reverse(text), "}") + 1
     return F.when((start > 0) & (F.instr(text, "}") > 0) & (end >= start), text.substr(start, end - start + 1))
+
+
+def thresholds(text: Column) -> Column:
+    """Distinct numbers of a list with commas, in order."""
+    return F.array_distinct(F.transform(F.filter(F.split(text, ","), lambda t: F.trim(t) != ""), lambda t: F.trim(t).cast("double")))
+
+
+def data_url(content: Column, kind: Column) -> Column:
+    return F.concat(F.lit("data:image/"), kind, F.lit(";base64,"), F.regexp_replace(F.base64(content.cast("binary")), r"[\r\n]", ""))
+
+
+def counted(n: Column, name: str) -> Column:
+    """1 image, 2 images."""
+    return F.concat(n.cast("string"), F.when(n == 1, f" {name}").otherwise(f" {name}s"))
