@@ -59,3 +59,18 @@ def data_url(content: Column, kind: Column) -> Column:
 def counted(n: Column, name: str) -> Column:
     """1 image, 2 images."""
     return F.concat(n.cast("string"), F.when(n == 1, f" {name}").otherwise(f" {name}s"))
+
+
+def one_of(value: Column, known: list[str], default: str) -> Column:
+    return F.when(value.isin(known), value).otherwise(default)
+
+
+def merged_maps(own: Column, other: Column) -> Column:
+    """Entries of both, the other's where both have a key; a null map has none."""
+    other = F.coalesce(other, F.map_filter(own, lambda k, v: F.lit(False)))
+    return F.map_concat(F.map_filter(own, lambda k, v: ~F.map_contains_key(other, k)), other)
+
+
+def first_set(*values: Column, default: str) -> Column:
+    """The first value that is neither null nor empty."""
+    return F.coalesce(*[F.nullif(v, F.lit("")) for v in values], F.lit(default))

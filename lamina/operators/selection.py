@@ -88,3 +88,9 @@ def zipped(left: DataFrame, right: DataFrame, key: str, order: str) -> DataFrame
 def union_of_keys(*tables: DataFrame) -> DataFrame:
     """All rows, with every column that any table has."""
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tables)
+
+
+def compact(names: list[str]) -> Column:
+    """The named columns that have a value, as a map of texts."""
+    every = F.create_map(*[x for n in names for x in (F.lit(n), F.col(n).cast("string"))])
+    return F.map_filter(every, lambda k, v: v.isNotNull())

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lamina.model import preset
-from lamina.operators import background, components, ink, layers, metrics, pixels, text
+from lamina.operators import background, components, ink, layers, metrics, pixels, text, textlayers
 from lamina.sources import derived, files
 from lamina.streaming import jobs
 
@@ -164,3 +164,28 @@ def test_jobs_are_followed_as_a_stream(spark, tmp_path):
     q.awaitTermination(60)
     key = lambda t: sorted(map(tuple, t.collect()))
     assert key(spark.table("followed")) == key(jobs.current(events))
+
+
+def test_a_word_of_two_colours_is_split_in_proportion(spark):
+    px = image(spark, ["." * 2 + "#" * 12 + "o" * 12 + "." * 2] * 4)
+    words = spark.createDataFrame([(1, 0, 0, "HelloWorld", 2, 0, 24, 4), (1, 1, 0, "Tiny", 2, 0, 24, 4)], "image_id long, line_no int, word_no int, text string, x int, y int, width int, height int")
+    rows = textlayers.split_words(words, px, paper(spark, 1), 35, 28, 4).orderBy("run").collect()
+    assert [r["text"] for r in rows] == ["Hello", "World"]
+
+
+def test_a_word_of_one_colour_is_left_alone(spark):
+    px = image(spark, ["#" * 20] * 4)
+    words = spark.createDataFrame([(1, 0, 0, "HelloWorld", 0, 0, 20, 4)], "image_id long, line_no int, word_no int, text string, x int, y int, width int, height int")
+    assert textlayers.split_words(words, px, paper(spark, 1), 35, 20, 4).count() == 0
+
+
+def test_text_is_painted_over_and_the_rest_stays(spark):
+    rows = ["." * 20 for _ in range(16)]
+    rows[7] = "......####.........."
+    rows[0] = "#..................."
+    words = spark.createDataFrame([(1, 0, 0, "word", 6, 7, 4, 1)], "image_id long, line_no int, word_no int, text string, x int, y int, width int, height int")
+    px = image(spark, rows)
+    out = textlayers.without_text(px, words, 20, 16)
+    ink_left = [(r["y"], r["x"]) for r in out.where("r < 100").collect()]
+    assert ink_left == [(0, 0)] and out.count() == 320
+    assert textlayers.without_text(px, words.where("false"), 20, 16).where("r < 100").count() == 5
