@@ -6,7 +6,10 @@ import os
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
+from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -99,3 +102,69 @@ def store_file(uri: str, data: Iterable[bytes]) -> None:
         for x in data:
             target.write(x)
     store.move(part, inner)
+
+
+@lru_cache(maxsize=4096)
+def mapped(uri: str, kinds: tuple[str, ...]) -> list[np.ndarray]:
+    """The arrays of a file, mapped into memory: its first 8 bytes are their length."""
+    try:
+        path = local_file(uri)
+        n = int(np.fromfile(path, "<u8", 1)[0])
+    except FileNotFoundError:
+        return [np.empty(0, k) for k in kinds]
+    out, at = [], 8
+    for k in kinds:
+        out.append(np.memmap(path, k, "r", at, (n,)) if n else np.empty(0, k))
+        at += n * np.dtype(k).itemsize
+    return out
+
+
+@dataclass
+class KeySet:
+    """Keys (64-bit hashes) in the shared folder, as sorted arrays by their first bits, which workers map into memory.
+
+    It stands in for a semi-join whose other side is too large to be shuffled again; no worker or driver holds it whole.
+    """
+
+    folder: str
+    bits: int
+
+    @classmethod
+    def store(cls, keys: DataFrame, count: int, part: int = 1 << 20) -> KeySet:
+        """keys: one column of longs, distinct; count: their number."""
+        folder, bits = shared_dir(keys.sparkSession), min(20, max(6, (count // part).bit_length()))
+
+        def stored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held: dict[int, list[np.ndarray]] = {}
+            for batch in batches:
+                key = np.sort(np.asarray(batch.column("key")).view(np.uint64))
+                own = (key >> np.uint64(64 - bits)).astype(np.int64)
+                edge = np.flatnonzero(np.diff(own, prepend=-1))
+                for a, b in zip(edge, [*edge[1:], len(key)], strict=True):
+                    held.setdefault(int(own[a]), []).append(key[a:b])
+            n = 0
+            for p, arrays in held.items():
+                key = np.sort(np.concatenate(arrays))
+                store_file(f"{folder}/keys-{p}", [len(key).to_bytes(8, "little"), key.tobytes()])
+                n += len(key)
+            yield pa.RecordBatch.from_pydict({"n": pa.array([n], pa.int64())})
+
+        (name,) = keys.columns
+        key = F.col(name)
+        parts = keys.select(key.alias("key"), F.shiftrightunsigned(key, 64 - bits).alias("part")).repartition(1 << bits, "part")
+        parts.select("key").mapInArrow(stored, "n long").agg(F.sum("n")).collect()
+        return cls(folder, bits)
+
+    def contains(self, keys: np.ndarray) -> np.ndarray:
+        """Whether each key (unsigned) is in the set."""
+        order = np.argsort(keys)
+        sorted_ = keys[order]
+        out = np.zeros(len(keys), bool)
+        edges = np.searchsorted(sorted_ >> np.uint64(64 - self.bits), np.arange((1 << self.bits) + 1, dtype=np.uint64))
+        for part in np.flatnonzero(np.diff(edges)):
+            own = slice(edges[part], edges[part + 1])
+            (known,) = mapped(f"{self.folder}/keys-{part}", ("<u8",))
+            if len(known):
+                at = np.minimum(np.searchsorted(known, sorted_[own]), len(known) - 1)
+                out[order[own]] = known[at] == sorted_[own]
+        return out

@@ -15,14 +15,13 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lamina.llm.common import local_file, shared_dir, slices, store_file
+from lamina.llm.common import mapped, shared_dir, slices, store_file
 from lamina.llm.neardup import MULTIPLIER, U, mixed, powers
 
 BITS = U(48)
@@ -137,21 +136,6 @@ def discounts(levels: list[int]) -> list[float]:
     return [min(k, max(0.0, k - (k + 1) * share * ratio(a, b))) for k, a, b in ((1, two, one), (2, three, two), (3, four, three))]
 
 
-@lru_cache(maxsize=4096)
-def mapped(uri: str, kinds: tuple[str, ...]) -> list[np.ndarray]:
-    """The arrays of a file, mapped into memory: its first 8 bytes are their length."""
-    try:
-        path = local_file(uri)
-        n = int(np.fromfile(path, "<u8", 1)[0])
-    except FileNotFoundError:
-        return [np.empty(0, k) for k in kinds]
-    out, at = [], 8
-    for k in kinds:
-        out.append(np.memmap(path, k, "r", at, (n,)) if n else np.empty(0, k))
-        at += n * np.dtype(k).itemsize
-    return out
-
-
 #: A word's statistics, in this order: count, total, before, one, two, more.
 PAIR_FILE, WORD_FILE = ("<u8", "u1"), ("<u8", "<u8", "<u8", *["<u4"] * 4)
 #: A pair's count is stored as a byte; from this one on it stands in a second file.

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lamina.llm.common import slices, written
+from lamina.llm.common import KeySet, slices, written
 from lamina.llm.components import connected_components
 
 WORDS = 5
@@ -128,8 +128,12 @@ def prob_min_hash(doc: np.ndarray, key: np.ndarray, weight: np.ndarray, n_docs:
     return kept.reshape(n_docs, registers)
 
 
+def texts_by_id(docs: DataFrame, text: str, key: str) -> DataFrame:
+    return docs.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+
+
 def sketched(docs: DataFrame, text: str, key: str, bands: int, rows: int, n: int) -> DataFrame:
-    """id, node (null: no words), bands and shingles (binary: sorted 32-bit) of each document."""
+    """id, node (null: no words) and bands of each document."""
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, texts in slices(batches, 256, 2 << 20):
@@ -139,17 +143,40 @@ def sketched(docs: DataFrame, text: str, key: str, bands: int, rows: int, n: int
             for r in range(rows):
                 band = mixed(band + kept[:, r::rows])
             band = mixed(band + np.arange(bands, dtype=U))
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1, dtype=np.int32) * bands), pa.array(band.view(np.int64).ravel()))
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(whole.view(np.int64), mask=whole == 0), lists], names=["id", "node", "bands"])
+
+    return texts_by_id(docs, text, key).mapInArrow(sketch, "id long, node long, bands array<bigint>")
+
+
+def placed(nodes: DataFrame, buckets: KeySet) -> DataFrame:
+    """node and bucket, for those buckets of the set that hold the node."""
+
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column("bands")
+            each = np.diff(np.asarray(lists.offsets))
+            band = np.asarray(lists.flatten()).view(U)
+            on = buckets.contains(band)
+            node = np.repeat(np.asarray(batch.column("node")), each)
+            yield pa.RecordBatch.from_pydict({"node": pa.array(node[on]), "bucket": pa.array(band[on].view(np.int64))})
+
+    return nodes.select("node", "bands").mapInArrow(found, "node long, bucket long").distinct()
+
+
+def shingle_sets(docs: DataFrame, text: str, key: str, n: int, nodes: KeySet) -> DataFrame:
+    """node and shingles (binary: sorted 32-bit) of the nodes in the set. Words are hashed again, which takes less than keeping all shingles."""
+
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, texts in slices(batches, 256, 2 << 20):
+            doc, run, _, whole = shingles(texts, n)
+            on = np.flatnonzero((whole != 0) & nodes.contains(whole))
             short = (run >> U(32)).astype("<u4")
             edge = np.searchsorted(doc, np.arange(len(texts) + 1))
-            sets = [np.unique(short[edge[i] : edge[i + 1]]).tobytes() for i in range(len(texts))]
-            none = whole == 0
-            node = pa.array(whole.view(np.int64), mask=none)
-            flat = pa.array(band.view(np.int64).ravel())
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1, dtype=np.int32) * bands), flat)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), node, lists, pa.array(sets, pa.binary())], names=["id", "node", "bands", "shingles"])
+            sets = [np.unique(short[edge[i] : edge[i + 1]]).tobytes() for i in on]
+            yield pa.RecordBatch.from_pydict({"node": pa.array(whole[on].view(np.int64)), "shingles": pa.array(sets, pa.binary())})
 
-    source = docs.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    return source.mapInArrow(sketch, "id long, node long, bands array<bigint>, shingles binary")
+    return texts_by_id(docs, text, key).mapInArrow(found, "node long, shingles binary").groupBy("node").agg(F.first("shingles").alias("shingles"))
 
 
 def jaccard(a: bytes, b: bytes) -> float:
@@ -228,17 +255,18 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", th
     """key and class_id (the smallest key of the class) of each row."""
     table = written(sketched(docs, text, key, bands, rows, words))
     nodes = table.where("node is not null")
-    placed = nodes.select("node", F.explode("bands").alias("bucket")).distinct()
-    sizes = placed.groupBy("bucket").agg(F.count("*").alias("size"), F.min("node").alias("low"), F.max("node").alias("high")).where("size > 1")
+    distinct = nodes.groupBy("node").agg(F.first("bands").alias("bands")).select("node", F.explode("bands").alias("bucket"))
+    sizes = written(distinct.groupBy("bucket").agg(F.count("*").alias("size"), F.min("node").alias("low"), F.max("node").alias("high")).where("size > 1"))
     # Most shared buckets hold two nodes, which the aggregate names; the nodes of larger ones are looked up.
     two = sizes.where("size = 2").select(F.col("low").alias("a"), F.col("high").alias("b"))
-    larger = written(placed.join(sizes.where("size > 2").select("bucket", "size"), "bucket"))
+    large = sizes.where("size > 2").select("bucket", "size")
+    larger = written(placed(nodes, KeySet.store(large.select("bucket"), large.count())).join(large, "bucket"))
     few = larger.where(F.col("size") <= crowd).groupBy("bucket").agg(F.sort_array(F.collect_list("node")).alias("nodes"))
     few = few.select(F.explode(F.expr("flatten(transform(nodes, (x, i) -> transform(slice(nodes, i + 2, size(nodes)), y -> struct(x as a, y as b))))")).alias("p")).select("p.a", "p.b")
     pairs = written(two.unionByName(few).distinct())
     crowded = larger.where(F.col("size") > crowd)
-    wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).unionByName(crowded.select("node")).distinct()
-    sets = written(nodes.select("node", "shingles").join(wanted, "node", "left_semi").groupBy("node").agg(F.first("shingles").alias("shingles")))
+    wanted = written(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).unionByName(crowded.select("node")).distinct())
+    sets = written(shingle_sets(docs, text, key, words, KeySet.store(wanted, wanted.count())))
     first = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), "a")
     both = first.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb")), "b")
     links = linked_pairs(both, threshold).unionByName(crowd_links(crowded.join(sets, "node"), threshold, block))
