@@ -18,12 +18,13 @@ bl AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY image_id ORDER B
 
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = candidates(spark, sf_dir)
-    return c.withColumn("local_score", F.round(selection.local_score(*map(F.col, ("mae", "edge_f1", "raster_layers", "largest_layer_ratio", "internal_detail_layers"))), 9))
+    score = selection.local_score(*map(F.col, ("mae", "edge_f1", "raster_layers", "largest_layer_ratio", "internal_detail_layers")))
+    return c.withColumn("exact", score).withColumn("local_score", F.round("exact", 9))  # rounded, so that both engines see the same ties
 
 
 @query(f"WITH {SCORED} SELECT image_id, ord, round(local_score, 6) AS local_score FROM sc")
 def prj_16_local_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scored(spark, sf_dir).select("image_id", "ord", F.round("local_score", 6).alias("local_score"))
+    return scored(spark, sf_dir).select("image_id", "ord", F.round("exact", 6).alias("local_score"))
 
 
 @query(f"WITH {CANDIDATES}, s0 AS (SELECT image_id, ord, greatest(0.0::DOUBLE, least(100.0::DOUBLE, 100 - 1.8::DOUBLE * mae + 25 * (edge_f1 - 0.8::DOUBLE))) AS s FROM c WHERE mae IS NOT NULL) SELECT image_id, ord, round(s, 6) AS score, CASE WHEN round(s, 9) >= 92 THEN 'A' WHEN round(s, 9) >= 86 THEN 'B+' WHEN round(s, 9) >= 78 THEN 'B' WHEN round(s, 9) >= 68 THEN 'C' ELSE 'D' END AS grade FROM s0")

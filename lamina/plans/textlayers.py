@@ -129,7 +129,7 @@ def evl_4_race(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = scored(spark, sf_dir)
     names = F.array(*[F.lit(n) for n, *_ in selection.SPECS])
     best = selection.best_local(c).join(c, ["image_id", "ord"])
-    return best.select("image_id", "ord", names[(F.col("ord") % 5).cast("int")].alias("name"), F.round("local_score", 6).alias("local_score"))
+    return best.select("image_id", "ord", names[(F.col("ord") % 5).cast("int")].alias("name"), F.round("exact", 6).alias("local_score"))
 
 
 @query("SELECT c_custkey, coalesce(nullif(CASE WHEN c_custkey % 3 = 0 THEN '' ELSE trim(c_name) END, ''), nullif(CASE WHEN c_custkey % 2 = 0 THEN c_mktsegment END, ''), 'default') AS chain FROM customer")
