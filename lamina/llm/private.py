@@ -1,7 +1,7 @@
 """Information-theoretic sanitisation of personal data.
 
-Values found by pattern (e-mail addresses, IP addresses, card and phone numbers) are protected entities. A term near
-one, within so many words, reveals it by their pointwise mutual information: PMI(t; e) = IC(e) - log2(df(t) / co(t, e)),
+Values found by pattern (e-mail addresses, IP addresses, card and phone numbers) are protected entities, and so are
+card and phone numbers within longer runs of digits, which fail the patterns. A term near one, within so many words, reveals it by their pointwise mutual information: PMI(t; e) = IC(e) - log2(df(t) / co(t, e)),
 where df counts the documents of the whole corpus that hold the term and co those where it stands near the entity.
 Terms whose PMI / IC(e) exceeds the disclosure threshold are generalised in the documents that name the entity, and
 removed if it exceeds the second one. A term must stand near the entity in at least two documents, since a single
@@ -35,6 +35,7 @@ IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 CARD = re.compile(r"(?<![0-9])[0-9](?:[\x20-]?[0-9])++")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 DIGIT = re.compile("[0-9]")
+GROUP = re.compile("[0-9]+")
 WORD = re.compile(r"[^\W_]+")
 NEAR, DISCLOSURE, REMOVAL = 5, 0.9, 0.98
 
@@ -47,9 +48,10 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
-def base_spans(text: str) -> list[tuple[int, int, int]]:
-    """(start, kind's number, end), in order."""
+def base_spans(text: str, failed: list[re.Match] | None = None) -> list[tuple[int, int, int]]:
+    """(start, kind's number, end), in order. failed: takes up matches for cards and phones that are neither."""
     out = []
+    failed = [] if failed is None else failed
     at = text.find("@")
     last = 0
     while at >= 0:
@@ -70,13 +72,43 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
             digits = m[0].replace(" ", "").replace("-", "")
             if 12 <= len(digits) <= 19 and luhn(digits):
                 out.append((m.start(), 2, m.end()))
+            elif len(digits) > 12:
+                failed.append(m)
     if "+" in text:
         for m in PHONE.finditer(text):
-            if 9 <= sum(c in "0123456789" for c in m[0]) <= 15:
+            n = sum(c in "0123456789" for c in m[0])
+            if 9 <= n <= 15:
                 out.append((m.start(), 3, m.end()))
+            elif n > 15:
+                failed.append(m)
     return sorted(out)
 
 
+def inner_spans(failed: list[re.Match]) -> list[tuple[int, int, int]]:
+    """Cards and phones within matches that are too long or fail the check: unbroken groups of digits that are cards, and the longest start of a match, ended by a group, that is a phone."""
+    out = []
+    for m in failed:
+        groups = [(m.start() + g.start(), m.start() + g.end()) for g in GROUP.finditer(m[0])]
+        if m[0][0] == "+":
+            n, end = 0, None
+            for a, b in groups:
+                n += b - a
+                if n > 15:
+                    break
+                end = b if n >= 9 else end
+            if end is not None:
+                out.append((m.start(), 3, end))
+            continue
+        out += [(a, 2, b) for a, b in groups if 12 <= b - a <= 19 and luhn(m[0][a - m.start() : b - m.start()])]
+    return out
+
+
+def all_spans(text: str) -> list[tuple[int, int, int]]:
+    failed: list[re.Match] = []
+    base = base_spans(text, failed)
+    return sorted(base + inner_spans(failed)) if failed else base
+
+
 def neighbours(text: str, spans: list[tuple[int, int, int]], near: int = NEAR) -> dict[tuple[int, int], list[tuple[int, int]]]:
     """Places of the words near each entity, by hashes of the entity and the word; each entity also has one pair with 0, without places."""
     words = [m.span() for m in WORD.finditer(text)]
@@ -138,7 +170,7 @@ def candidates(docs: DataFrame, text: str, near: int) -> DataFrame:
         for digests, texts in slices(batches):
             rows = []
             for d, t in zip(digests, texts, strict=True):
-                if spans := base_spans(t):
+                if spans := all_spans(t):
                     rows += [(d, e, w, [{"start": a, "end": b} for a, b in places]) for (e, w), places in neighbours(t, spans, near).items()]
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=["digest", "entity", "term", "places"])
@@ -171,10 +203,11 @@ def find_private(docs: DataFrame, text: str = "text", key: str = "doc_id", near:
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("start", pa.int64()), ("kind", pa.int64()), ("end", pa.int64())]))
         for keys, digests, texts in slices(batches):
-            every = [base_spans(t) for t in texts]
+            failed: list[list[re.Match]] = [[] for _ in texts]
+            every = [base_spans(t, f) for t, f in zip(texts, failed, strict=True)]
             count = [np.bincount([k for _, k, _ in s], minlength=4)[:4] if s else (0, 0, 0, 0) for s in every]
             sha = [hashlib.sha256(",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in s).encode()).hexdigest() for s in every]
-            spans = pa.array([[{"start": a, "kind": k, "end": b} for a, k, b in s] for s in every], kind)
+            spans = pa.array([[{"start": a, "kind": k, "end": b} for a, k, b in s + inner_spans(f)] for s, f in zip(every, failed, strict=True)], kind)
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(digests, pa.int64()), *[pa.array([int(c[i]) for c in count], pa.int64()) for i in range(4)], pa.array(sha), spans], names=["key", "digest", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "base"])
 
     source = docs.select(F.col(key).cast("long").alias("key"), F.xxhash64(text).alias("digest"), F.coalesce(F.col(text), F.lit("")).alias("text"))
@@ -208,7 +241,7 @@ def sanitise(docs: DataFrame, text: str = "text", near: int = NEAR, disclosure:
         for batch in batches:
             texts = []
             for own, more in slices([batch.select([text, free + "terms"])]):
-                texts += [t if t is None else sanitised(t, s) if (s := base_spans(t) + [(x["start"], x["kind"], x["end"]) for x in m or ()]) else t for t, m in zip(own, more, strict=True)]
+                texts += [t if t is None else sanitised(t, s) if (s := all_spans(t) + [(x["start"], x["kind"], x["end"]) for x in m or ()]) else t for t, m in zip(own, more, strict=True)]
             columns = batch.columns[: len(names)]
             columns[at] = pa.array(texts, pa.string())
             yield pa.RecordBatch.from_arrays(columns, names=names)

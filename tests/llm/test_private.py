@@ -65,3 +65,12 @@ def test_spans_and_sanitised_texts(spark, docs, texts):
     assert "zorblax" not in clean[200]["text"] and "[email] common words" in clean[200]["text"] and clean[200]["key"] == "k"
     assert all(clean[i]["text"] == t for i, t, *_ in filler) and clean[0]["text"] is None
     assert private.find_private(docs.where("false")).count() == 0 and private.sanitise(docs.where("false")).count() == 0
+
+
+def test_values_within_longer_runs_of_digits_are_found_too():
+    card, phone = "4845168114407329", "+1 (017) 555-7713"
+    assert private.luhn(card)
+    text = f"see {card} 123456789012345 or {phone} {card} or 2001 2002 2003 2004 2005 2006"
+    assert private.base_spans(text) == by_hand(text) == []
+    assert {text[a:b] for a, _, b in private.all_spans(text)} == {card, phone}
+    assert private.sanitised(text, private.all_spans(text)).count("[") == 3
