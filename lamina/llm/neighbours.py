@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 #: Standard errors that an estimate may be off.
 BOUND = 2.5
-LANE, CHUNK = (4096, 524_288), (256, 65_536)
+LANE, CHUNK = (4096, 131_072), (256, 65_536)
 
 
 @lru_cache(maxsize=2)
@@ -50,8 +50,8 @@ def coded(vectors: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray, np.nd
     return np.packbits(turned > 0, axis=1), norm, np.abs(turned).sum(axis=1) / np.sqrt(dims)
 
 
-def encode(vectors: DataFrame, seed: int) -> DataFrame:
-    """Rows id, vector (float64 bytes), code, norm, fit."""
+def encode(vectors: DataFrame, seed: int, kind: str) -> DataFrame:
+    """Rows id, vector (bytes, components as they were), code, norm, fit."""
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -59,7 +59,7 @@ def encode(vectors: DataFrame, seed: int) -> DataFrame:
                 flat = batch.column("vector").flatten().to_numpy(zero_copy_only=False).astype(np.float64)
                 v = flat.reshape(batch.num_rows, -1)
                 code, norm, fit = coded(v, seed)
-                yield pa.RecordBatch.from_pydict({"id": batch.column("id"), "vector": pa.array([x.tobytes() for x in v], pa.binary()), "code": pa.array([x.tobytes() for x in code], pa.binary()), "norm": pa.array(norm), "fit": pa.array(fit)})
+                yield pa.RecordBatch.from_pydict({"id": batch.column("id"), "vector": pa.array([x.tobytes() for x in v.astype(kind)], pa.binary()), "code": pa.array([x.tobytes() for x in code], pa.binary()), "norm": pa.array(norm), "fit": pa.array(fit)})
 
     return vectors.mapInArrow(encoded, "id long, vector binary, code binary, norm double, fit double")
 
@@ -90,7 +90,7 @@ def best(queries: np.ndarray, own: np.ndarray, ids: np.ndarray, vectors: np.ndar
             for i in range(len(o)):
                 on = np.flatnonzero(keep[i])
                 if len(on):
-                    score = np.concatenate([found_s[i], vectors[part][on] @ queries[at + i]])
+                    score = np.concatenate([found_s[i], vectors[part][on].astype(np.float64) @ queries[at + i]])
                     who = np.concatenate([found_i[i], ids[part][on]])
                     order = np.lexsort((who, -score))[:k]
                     found_i[i], found_s[i] = who[order], score[order]
@@ -105,14 +105,15 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, key: str = "vec_i
 
     is_query: of the columns of vectors. lane, chunk: the least and largest number of vectors and queries in a task.
     """
-    rows = vectors.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("vector"), F.coalesce(is_query, F.lit(False)).alias("asks")).where(F.col("id").isNotNull() & usable(F.col("vector")))
+    kind = "<f4" if dict(vectors.dtypes)[vector] == "array<float>" else "<f8"
+    rows = vectors.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<float>" if kind == "<f4" else "array<double>").alias("vector"), F.coalesce(is_query, F.lit(False)).alias("asks")).where(F.col("id").isNotNull() & usable(F.col("vector")))
     known = rows.agg(F.count("*").alias("n"), F.count_if("asks").alias("q"), F.min(F.struct("id", F.size("vector").alias("dims"))).alias("first")).first()
     n, asked, dims = known["n"], known["q"], known["first"]["dims"] if known["n"] else 0
     rows = rows.where(F.size("vector") == dims)
     lanes = -(-n // min(lane[1], max(lane[0], -(-n // 8)))) or 1
     chunks = -(-asked // min(chunk[1], max(chunk[0], -(-asked // 4)))) or 1
     spread = lambda column, parts, salt: F.pmod(F.xxhash64(column, F.lit(salt)), F.lit(parts)).cast("int")
-    index = encode(rows.select("id", "vector"), seed).withColumn("lane", spread("id", lanes, 1)).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
+    index = encode(rows.select("id", "vector"), seed, kind).withColumn("lane", spread("id", lanes, 1)).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
     asks = rows.where("asks").select("id", "vector").withColumn("chunk", spread("id", chunks, 2)).withColumn("lane", F.explode(F.sequence(F.lit(0), F.lit(lanes - 1))))
 
     def found(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -122,8 +123,8 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, key: str = "vec_i
         column = lambda t, c: t.column(c).to_numpy()
         data = lambda c, kind: np.frombuffer(b"".join(left.column(c).to_pylist()), kind).reshape(left.num_rows, -1)
         own = column(right, "id")
-        queries = np.array(right.column("vector").combine_chunks().flatten()).reshape(len(own), -1)
-        out = best(queries, own, column(left, "id"), data("vector", np.float64), data("code", np.uint8), column(left, "norm"), column(left, "fit"), k, seed, bound)
+        queries = np.array(right.column("vector").combine_chunks().flatten(), np.float64).reshape(len(own), -1)
+        out = best(queries, own, column(left, "id"), data("vector", kind), data("code", np.uint8), column(left, "norm"), column(left, "fit"), k, seed, bound)
         return pa.table([np.repeat([own[i] for i, *_ in out], [len(x) for _, x, _ in out]).astype(np.int64), np.concatenate([x for _, x, _ in out]), np.concatenate([x for *_, x in out])], names=names)
 
     met = index.groupBy("lane", "chunk").cogroup(asks.groupBy("lane", "chunk")).applyInArrow(found, "query_id long, id long, score double")
