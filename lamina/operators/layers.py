@@ -87,6 +87,27 @@ def partition(runs: DataFrame, area: int = 800, density: float = 0.1, gap: int =
     return runs.groupBy("image_id", "component_id").applyInPandas(split, "image_id long, component_id long, region long, y long, x_start long, x_end long")
 
 
+def labelled_regions(runs: DataFrame) -> DataFrame:
+    """Runs (image_id, component_id, region, y, x_start, x_end, run_id) with component_id anew, the smallest run_id that they touch within one old component and region."""
+
+    def label(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["y", "x_start"])
+        y, s, e, ids = (rows[c].tolist() for c in ("y", "x_start", "x_end", "run_id"))
+        group = list(range(len(rows)))
+        above: dict[int, list[int]] = {}
+        for i in range(len(rows)):
+            for j in above.get(y[i] - 1, ()):
+                if s[j] <= e[i] + 1 and e[j] >= s[i] - 1 and group[i] != group[j]:
+                    group = [group[j] if g == group[i] else g for g in group]
+            above.setdefault(y[i], []).append(i)
+        least: dict[int, int] = {}
+        for g, n in zip(group, ids, strict=True):
+            least[g] = min(n, least.get(g, n))
+        return rows[["image_id", "y", "x_start", "x_end", "run_id"]].assign(component_id=[least[g] for g in group])
+
+    return runs.groupBy("image_id", "component_id", "region").applyInPandas(label, "image_id long, y int, x_start int, x_end int, run_id int, component_id int")
+
+
 def composite(background: DataFrame, layers: DataFrame) -> DataFrame:
     """Pixels of the layers (image_id, z, y, x, r, g, b, alpha) laid over the background, lowest z first."""
     stack = F.sort_array(F.collect_list(F.struct("z", "r", "g", "b", "alpha")))

@@ -32,7 +32,7 @@ def query(sql: str | None = None):
 
 
 def load() -> None:
-    from lamina.plans import images, inks, races, textlayers, texts  # noqa: F401
+    from lamina.plans import engine, images, inks, races, textlayers, texts  # noqa: F401
 
 
 load()

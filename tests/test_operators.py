@@ -189,3 +189,41 @@ def test_text_is_painted_over_and_the_rest_stays(spark):
     ink_left = [(r["y"], r["x"]) for r in out.where("r < 100").collect()]
     assert ink_left == [(0, 0)] and out.count() == 320
     assert textlayers.without_text(px, words.where("false"), 20, 16).where("r < 100").count() == 5
+
+
+def test_decks_are_written_as_files_and_images_are_watched(spark, tmp_path):
+    from lamina.sources import decks
+
+    decks.register(spark)
+    rows = spark.createDataFrame([("a", bytearray(b"one")), ("b", bytearray(b"two"))], "name string, pptx binary")
+    rows.write.format("pptx").mode("append").save(str(tmp_path / "out"))
+    assert {p.name: p.read_bytes() for p in (tmp_path / "out").iterdir()} == {"a.pptx": b"one", "b.pptx": b"two"}
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "x.png").write_bytes(files.png(1, 1, bytes(4)))
+    (tmp_path / "in" / "x.txt").write_text("no")
+    q = decks.watched_images(spark, str(tmp_path / "in")).select("path").writeStream.format("memory").queryName("seen").trigger(availableNow=True).start()
+    q.awaitTermination(60)
+    assert [r["path"].rpartition("/")[2] for r in spark.table("seen").collect()] == ["x.png"]
+
+
+def test_a_cut_component_becomes_several_layers(spark):
+    from lamina.model import SegmentOptions
+    from lamina.plans.engine import extract_layers
+
+    rows = ["." * 16, ".###........###.", ".##############.", ".###........###.", *["." * 16] * 5]
+    options = SegmentOptions(24, None, 2, 1, 20, 0, 0, 4, 55, True)
+    out = extract_layers(image(spark, rows), 16, 9, options, partition={"area": 4, "density": 0.4, "gap": 2, "depth": 9, "span": 6}).collect()
+    assert len(out) > 1 and sum(r["area"] for r in out) == 26
+    whole = extract_layers(image(spark, rows), 16, 9, SegmentOptions(24, None, 2, 1, 20, 0, 0, 4, 55)).collect()
+    assert [(r["layer_id"], r["area"], r["z"]) for r in whole] == [("raster_001", 26, 1)]
+
+
+def test_details_and_surfaces_are_layers_of_their_own(spark):
+    from lamina.model import SegmentOptions
+    from lamina.plans.engine import extract_layers
+
+    rows = ["." * 12, ".######.....", ".#oo###.....", ".######.ppp.", ".######.ppp.", *["." * 12] * 6]
+    px = image(spark, rows, colours={"p": (240, 240, 240)})
+    options = SegmentOptions(24, 12, 2, 1, 20, 0, 0, 4, 55, False, True)
+    out = {r["layer_id"]: r["area"] for r in extract_layers(px, 12, 11, options, 2, details={"min_area": 4, "min_ratio": 0.4, "min_detail": 2}).collect()}
+    assert out == {"raster_001_base": 24, "raster_001_detail_001": 2, "surface_001": 6}
