@@ -29,10 +29,3 @@ def query(sql: str | None = None):
         return f
 
     return register
-
-
-def load() -> None:
-    from lamina.plans import engine, images, inks, races, textlayers, texts  # noqa: F401
-
-
-load()

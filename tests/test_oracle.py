@@ -6,7 +6,7 @@ import duckdb
 import pandas as pd
 import pytest
 
-from lamina.plans import registry
+from lamina.plans import catalog
 
 SF = os.environ.get("ORACLE_SF_DIR", "/root/testdata/sf0.001")
 
@@ -28,10 +28,10 @@ def plain(df: pd.DataFrame) -> list[tuple]:
     return sorted(tuple(map(one, r)) for r in df[sorted(df.columns)].itertuples(index=False, name=None))
 
 
-@pytest.mark.parametrize("name", sorted(registry.SQL))
+@pytest.mark.parametrize("name", sorted(catalog.SQL))
 def test_query(spark, duck, name):
-    mine = registry.QUERIES[name](spark, SF).toPandas()
-    theirs = duck.execute(registry.SQL[name]).df()
+    mine = catalog.QUERIES[name](spark, SF).toPandas()
+    theirs = duck.execute(catalog.SQL[name]).df()
     assert sorted(mine.columns) == sorted(theirs.columns)
     assert len(mine) and len(mine) == len(theirs)
     kinds = lambda d: {c: "i" if d[c].dtype.kind in "iu" else d[c].dtype.kind for c in d}
