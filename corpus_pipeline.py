@@ -14,17 +14,19 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lamina.llm import language, neardup, packing, private
-from lamina.llm.common import crc_fold, shared_dir, written
+from lamina.llm.common import bound_batches, crc_fold, shared_dir, written
 
 
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without letters, and those whose cosine with no language is positive, go. Short texts have small cosines, so no other bound is set."""
+    bound_batches(spark)
     profiles = language.Profiles.fit(docs.where(crc_fold(F.col("doc_id")) != 0))
     return profiles.applied(docs, docs.columns, "text").where((F.col("lang_pred") != language.UNDETERMINED) & (F.col("score") > 0)).select(*docs.columns)
 
 
 def keep_one_of_each_class(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each near-duplicate class stays."""
+    bound_batches(spark)
     classes = neardup.near_duplicates(docs)
     gone = classes.where("doc_id <> class_id").select("doc_id").distinct()
     same = Window.partitionBy("doc_id", "copy").orderBy("copy")
@@ -34,10 +36,12 @@ def keep_one_of_each_class(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def sanitise_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data and the terms that reveal it are replaced; every document stays."""
+    bound_batches(spark)
     return private.sanitise(docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    bound_batches(spark)
     return packing.pack(docs)
 
 

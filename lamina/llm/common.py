@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -31,6 +31,12 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{root.rstrip('/')}/lamina-{uuid.uuid4().hex}"
 
 
+def bound_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Arrow batches of so many rows at most: of long texts, 10,000 (the default) take tens of MB in the executor and again in its worker."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+
+
 def written(df: DataFrame, folder: str | None = None) -> DataFrame:
     """df as a table in the shared folder: its lineage is cut and no executor's loss takes it away."""
     spark = df.sparkSession
@@ -54,6 +60,23 @@ def slices(batches: Iterable[pa.RecordBatch], rows: int = 1000, text_bytes: int
             yield [c.to_pylist() for c in part.columns]
 
 
+class Recent(dict):
+    """Values by key, made when first asked for. When size keys are held, they become the older half and new ones are taken up; the half before is dropped, but for what was asked for meanwhile."""
+
+    def __init__(self, make: Callable, size: int):
+        super().__init__()
+        self.make, self.size, self.older = make, size, {}
+
+    def __missing__(self, key):
+        if (value := self.older.get(key)) is None:
+            value = self.make(key)
+        if len(self) >= self.size:
+            self.older = self.copy()
+            self.clear()
+        self[key] = value
+        return value
+
+
 def tokenizer_path(name: str) -> str:
     import public_tokenizers
 

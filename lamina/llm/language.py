@@ -92,7 +92,7 @@ class Space:
         out = np.zeros((len(texts), self.dims), np.float32)
         grams = [self.ngrams(t or "") for t in texts]
         at = 0
-        while at < len(texts):  # by some 300,000 letters at once
+        while at < len(texts):  # by some 100,000 letters at once
             end, size = at, 0
             while end < len(texts) and (end == at or size + len(grams[end]) <= 100_000 and end - at < 48):
                 size += len(grams[end])
@@ -101,8 +101,8 @@ class Space:
                 keys, place = np.unique(np.concatenate(grams[at:end]), return_inverse=True)
                 rows = np.repeat(np.arange(end - at), [len(g) for g in grams[at:end]])
                 counts = np.bincount(rows * len(keys) + place, minlength=(end - at) * len(keys)).reshape(end - at, len(keys))
-                for k in range(0, len(keys), 8192):
-                    out[at:end] += counts[:, k : k + 8192].astype(np.float32) @ self.of_ngrams(keys[k : k + 8192])
+                for k in range(0, len(keys), 4096):
+                    out[at:end] += counts[:, k : k + 4096].astype(np.float32) @ self.of_ngrams(keys[k : k + 4096])
             at = end
         return out
 

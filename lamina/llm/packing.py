@@ -26,7 +26,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lamina.llm.common import slices, tokenizer_path
+from lamina.llm.common import Recent, slices, tokenizer_path
 from lamina.llm.tokens import byte_symbols
 
 WINDOW = 4096
@@ -34,8 +34,8 @@ TIERS = (512, 1024, 2048, 4096)
 STEP_TOKENS = 16 * WINDOW
 #: Bytes of text that go to a bucket, on average.
 BUCKET_BYTES = 1_500_000
-#: Words that a worker keeps the ids of, at most.
-CACHE = 1_000_000
+#: Words and parts of words that a worker keeps the ids of: twice so many at most.
+WORDS, BITS = 400_000, 200_000
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, sequence_tokens long, step_id long"
 ODD_SPACE = re.compile("[\x1c-\x1f]")
 PLAIN_SPACE = re.compile(r"[ \t\n\r]+")
@@ -57,42 +57,29 @@ class WordIds:
         self.model = self.whole.model
         self.wide = "<u2" if self.whole.get_vocab_size() <= 0x10000 else "<u4"
         self.symbol = str.maketrans({chr(b): c for b, c in enumerate(byte_symbols())})
-        self.words: dict[str, bytes] = {}
-        self.bits: dict[str, bytes] = {}
+        self.words = Recent(self.word, WORDS)
+        self.bits = Recent(self.bit, BITS)
 
     def packed(self, ids: list[int]) -> bytes:
         return np.array(ids, self.wide).tobytes()
 
     def bit(self, text: str) -> bytes:
-        if (out := self.bits.get(text)) is None:
-            if len(self.bits) >= CACHE // 2:
-                self.bits.clear()
-            shown = text if text.isascii() else text.encode().decode("latin-1").translate(self.symbol)
-            out = self.bits[text] = self.packed([t.id for t in self.model.tokenize(shown)])
-        return out
+        shown = text if text.isascii() else text.encode().decode("latin-1").translate(self.symbol)
+        return self.packed([t.id for t in self.model.tokenize(shown)])
 
     def word(self, text: str) -> bytes:
         if text.isascii():
             if text.isalpha():
-                return self.bit(text.lower())
+                return self.bits[text.lower()]
             if not text.isprintable() or "<|" in text:
                 return self.packed(self.whole.encode(text, add_special_tokens=False).ids)
         elif not unicodedata.is_normalized("NFC", text) or not regex.fullmatch(r"[!-~¡-ÿĀ-ſ]+", text) or "İ" in text or "<|" in text:
             return self.packed(self.whole.encode(text, add_special_tokens=False).ids)
-        return b"".join(map(self.bit, self.SPLIT.findall(text.lower())))
+        return b"".join(map(self.bits.__getitem__, self.SPLIT.findall(text.lower())))
 
     def ids(self, text: str) -> bytes:
         words = text.split() if not ODD_SPACE.search(text) else [w for w in PLAIN_SPACE.split(text) if w]
-        known = self.words
-        try:
-            return b"".join(map(known.__getitem__, words))
-        except KeyError:
-            if len(known) >= CACHE:
-                known.clear()
-            for w in words:
-                if w not in known:
-                    known[w] = self.word(w)
-            return b"".join(map(known.__getitem__, words))
+        return b"".join(map(self.words.__getitem__, words))
 
 
 @lru_cache(maxsize=2)

@@ -154,7 +154,7 @@ def document_frequencies(docs: DataFrame, text: str) -> DataFrame:
             new[1:] = (word[1:] != word[:-1]) | (owner[1:] != owner[:-1])
             held.append(word[new])
             size += len(held[-1])
-            if size > 4_000_000:
+            if size > 2_000_000:
                 yield sent()
                 size = 0
         if held:
