@@ -147,47 +147,62 @@ class KeySet:
     """Keys (64-bit hashes) in the shared folder, as sorted arrays by their first bits, which workers map into memory.
 
     It stands in for a semi-join whose other side is too large to be shuffled again; no worker or driver holds it whole.
+    Each key may have a value, which stands in for a join.
     """
 
     folder: str
     bits: int
+    kinds: tuple[str, ...] = ("<u8",)
 
     @classmethod
     def store(cls, keys: DataFrame, count: int, part: int = 1 << 20) -> KeySet:
-        """keys: one column of longs, distinct; count: their number."""
+        """keys: one column of longs, distinct, and perhaps a second one of their values; count: their number."""
         folder, bits = shared_dir(keys.sparkSession), min(20, max(6, (count // part).bit_length()))
 
         def stored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            held: dict[int, list[np.ndarray]] = {}
+            held: dict[int, list[list[np.ndarray]]] = {}
             for batch in batches:
-                key = np.sort(np.asarray(batch.column("key")).view(np.uint64))
-                own = (key >> np.uint64(64 - bits)).astype(np.int64)
+                columns = [np.asarray(c).view(np.uint64) for c in batch.columns]
+                order = np.argsort(columns[0])
+                columns = [c[order] for c in columns]
+                own = (columns[0] >> np.uint64(64 - bits)).astype(np.int64)
                 edge = np.flatnonzero(np.diff(own, prepend=-1))
-                for a, b in zip(edge, [*edge[1:], len(key)], strict=True):
-                    held.setdefault(int(own[a]), []).append(key[a:b])
+                for a, b in zip(edge, [*edge[1:], len(own)], strict=True):
+                    held.setdefault(int(own[a]), []).append([c[a:b] for c in columns])
             n = 0
             for p, arrays in held.items():
-                key = np.sort(np.concatenate(arrays))
-                store_file(f"{folder}/keys-{p}", [len(key).to_bytes(8, "little"), key.tobytes()])
+                key, *values = (np.concatenate(x) for x in zip(*arrays, strict=True))
+                order = np.argsort(key)
+                store_file(f"{folder}/keys-{p}", [len(key).to_bytes(8, "little"), *[x[order].tobytes() for x in (key, *values)]])
                 n += len(key)
             yield pa.RecordBatch.from_pydict({"n": pa.array([n], pa.int64())})
 
-        (name,) = keys.columns
+        name, *value = keys.columns
         key = F.col(name)
-        parts = keys.select(key.alias("key"), F.shiftrightunsigned(key, 64 - bits).alias("part")).repartition(1 << bits, "part")
-        parts.select("key").mapInArrow(stored, "n long").agg(F.sum("n")).collect()
-        return cls(folder, bits)
+        parts = keys.select(key.alias("key"), *value, F.shiftrightunsigned(key, 64 - bits).alias("part")).repartition(1 << bits, "part")
+        parts.select("key", *value).mapInArrow(stored, "n long").agg(F.sum("n")).collect()
+        return cls(folder, bits, ("<u8", *["<i8"] * len(value)))
 
     def contains(self, keys: np.ndarray) -> np.ndarray:
         """Whether each key (unsigned) is in the set."""
+        return self.found(keys)[0]
+
+    def values(self, keys: np.ndarray, other: int) -> np.ndarray:
+        """The value of each key (unsigned), or the other one where it is not in the set."""
+        on, value = self.found(keys)
+        return np.where(on, value, other)
+
+    def found(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         order = np.argsort(keys)
         sorted_ = keys[order]
-        out = np.zeros(len(keys), bool)
+        out, values = np.zeros(len(keys), bool), np.zeros(len(keys), np.int64)
         edges = np.searchsorted(sorted_ >> np.uint64(64 - self.bits), np.arange((1 << self.bits) + 1, dtype=np.uint64))
         for part in np.flatnonzero(np.diff(edges)):
             own = slice(edges[part], edges[part + 1])
-            (known,) = mapped(f"{self.folder}/keys-{part}", ("<u8",))
+            known, *value = mapped(f"{self.folder}/keys-{part}", self.kinds)
             if len(known):
                 at = np.minimum(np.searchsorted(known, sorted_[own]), len(known) - 1)
                 out[order[own]] = known[at] == sorted_[own]
-        return out
+                if value:
+                    values[order[own]] = value[0][at]
+        return out, values

@@ -2,10 +2,10 @@
 
 Values found by pattern (e-mail addresses, IP addresses, card and phone numbers) are protected entities, and so are
 card and phone numbers within longer runs of digits, which fail the patterns. A term near one, within so many words, reveals it by their pointwise mutual information: PMI(t; e) = IC(e) - log2(df(t) / co(t, e)),
-where df counts the documents of the whole corpus that hold the term and co those where it stands near the entity.
-Terms whose PMI / IC(e) exceeds the disclosure threshold are generalised in the documents that name the entity, and
-removed if it exceeds the second one. A term must stand near the entity in at least two documents, since a single
-occurrence says nothing about the corpus.
+where df counts the distinct texts of the whole corpus that hold the term and co those where it stands near the entity.
+Terms whose PMI / IC(e) reaches the disclosure threshold are generalised in the documents that name the entity, and
+removed if it reaches the second one. An entity that is named in one text has the largest IC; what tells about its terms
+is then how rare they are in the corpus: PMI / IC(e) = 1 - log2(df(t)) / log2(number of texts). Copies of a text count once.
 
 A null text counts as empty and stays null when sanitised. Equal texts get equal spans, whatever their ids. Rows are
 told apart by their text alone, so null or repeated ids and other columns play no part; an empty table gives an empty
@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lamina.llm.common import slices, written
+from lamina.llm.common import KeySet, slices, written
 from lamina.llm.neardup import word_hashes
 
 KINDS = ("email", "ip", "card", "phone", "term", "removed")
@@ -135,36 +135,39 @@ def neighbours(text: str, spans: list[tuple[int, int, int]], near: int = NEAR) -
     return {k: sorted(v) for k, v in out.items()}
 
 
-def document_frequencies(docs: DataFrame, text: str) -> DataFrame:
-    """term (hash) and df. A task adds up some megabytes of text before it sends a row for each of their words."""
+def document_frequencies(docs: DataFrame, text: str, copies: KeySet) -> DataFrame:
+    """term (hash) and df, in distinct texts: a text that stands n times (copies, by digest) counts 1 / n each time. A task adds up some megabytes of text before it sends a row for each of their words."""
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
 
         def sent() -> pa.RecordBatch:
-            term, n = np.unique(np.concatenate(held), return_counts=True)
+            word, weight = (np.concatenate(x) for x in zip(*held, strict=True))
             held.clear()
-            return pa.RecordBatch.from_pydict({"term": pa.array(term.view(np.int64)), "n": pa.array(n, pa.int64())})
+            term, place = np.unique(word, return_inverse=True)
+            return pa.RecordBatch.from_pydict({"term": pa.array(term.view(np.int64)), "n": pa.array(np.bincount(place, weight, len(term)), pa.float64())})
 
-        for (texts,) in slices(batches, 512, 4 << 20):
+        for digests, texts in slices(batches, 512, 4 << 20):
+            weight = 1 / copies.values(np.array(digests, np.int64).view(np.uint64), 1)
             word, owner = word_hashes(texts)
             order = np.lexsort((word, owner))
             word, owner = word[order], owner[order]
             new = np.ones(len(word), bool)
             new[1:] = (word[1:] != word[:-1]) | (owner[1:] != owner[:-1])
-            held.append(word[new])
-            size += len(held[-1])
+            held.append((word[new], weight[owner[new]]))
+            size += len(held[-1][0])
             if size > 2_000_000:
                 yield sent()
                 size = 0
         if held:
             yield sent()
 
-    return docs.select(F.col(text).alias("text")).where("text is not null").mapInArrow(counted, "term long, n long").groupBy("term").agg(F.sum("n").alias("df"))
+    rows = docs.select(F.xxhash64(text).alias("digest"), F.col(text).alias("text")).where("text is not null")
+    return rows.mapInArrow(counted, "term long, n double").groupBy("term").agg(F.round(F.sum("n")).cast("long").alias("df"))
 
 
 def candidates(docs: DataFrame, text: str, near: int) -> DataFrame:
-    """digest (of the text), entity, term and places, a row for each document and pair."""
+    """digest (of the text), entity, term and places, a row for each distinct text and pair."""
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for digests, texts in slices(batches):
@@ -175,20 +178,38 @@ def candidates(docs: DataFrame, text: str, near: int) -> DataFrame:
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=["digest", "entity", "term", "places"])
 
-    return docs.select(F.xxhash64(text).alias("digest"), F.col(text).alias("text")).where("text is not null").mapInArrow(found, "digest long, entity long, term long, places array<struct<start: long, end: long>>")
+    rows = docs.select(F.xxhash64(text).alias("digest"), F.col(text).alias("text")).where("text is not null")
+    return rows.mapInArrow(found, "digest long, entity long, term long, places array<struct<start: long, end: long>>").groupBy("digest", "entity", "term").agg(F.first("places").alias("places"))
 
 
 def revealing_terms(docs: DataFrame, text: str = "text", near: int = NEAR, disclosure: float = DISCLOSURE, removal: float = REMOVAL) -> DataFrame:
-    """digest (xxhash64 of the text) and terms: places whose words reveal an entity of the document, with kind 4 (generalise) or 5 (remove)."""
+    """digest (xxhash64 of the text) and terms: places whose words reveal an entity of the document, with kind 4 (generalise) or 5 (remove).
+
+    The counts are looked up, not joined: common words and values would be the hot keys of a join.
+    """
     pairs = written(candidates(docs, text, near))
-    total = max(1, docs.count())
-    met = pairs.groupBy("entity", "term").agg(F.count("*").alias("co")).where("co > 1")
-    entities = met.where("term = 0").select("entity", F.col("co").alias("de"))
-    terms = met.where("term <> 0").join(document_frequencies(docs, text), "term").join(entities, "entity")
-    content = F.log2(F.lit(float(total)) / F.col("de"))
-    mutual = content - F.log2(F.greatest(F.col("df"), F.col("co")) / F.col("co"))
-    rated = terms.select("entity", "term", F.when(content > 0, mutual / content).alias("share")).where(F.col("share") >= disclosure)
-    places = pairs.join(rated, ["entity", "term"]).select("digest", F.explode("places").alias("p"), "share")
+    texts = written(docs.where(F.col(text).isNotNull()).groupBy(F.xxhash64(text).alias("digest")).agg(F.count("*").alias("n")))
+    total, repeated = texts.agg(F.count("*"), F.count_if(F.col("n") > 1)).first()
+    pair, entity = F.xxhash64("entity", "term"), F.xxhash64("entity", F.lit(0).cast("long"))
+    met = written(pairs.groupBy(pair.alias("pair"), "term").agg(F.count("*").alias("co")).select("pair", "co", "term"))
+    co = KeySet.store(met.select("pair", "co"), met.count())
+    terms = met.where("term <> 0").select("term").distinct()
+    frequent = document_frequencies(docs, text, KeySet.store(texts.where("n > 1"), repeated))
+    near_df = written(frequent.join(terms, "term").select("term", "df"))
+    df = KeySet.store(near_df, near_df.count())
+
+    def rated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            key = lambda name: np.asarray(batch.column(name)).view(np.uint64)  # noqa: E731, B023
+            both, named = co.values(key("pair"), 1), co.values(key("named"), 1)
+            content = np.log2(total / named)
+            mutual = content - np.log2(np.maximum(df.values(key("term"), 1), both) / both)
+            share = np.divide(mutual, content, out=np.zeros(len(content)), where=content > 0)
+            on = pa.array((content > 0) & (share >= disclosure))
+            yield pa.RecordBatch.from_arrays([batch.column("digest"), batch.column("places"), pa.array(share)], names=["digest", "places", "share"]).filter(on)
+
+    rows = pairs.where("term <> 0").select("digest", "places", "term", pair.alias("pair"), entity.alias("named"))
+    places = rows.mapInArrow(rated, "digest long, places array<struct<start: long, end: long>>, share double").select("digest", F.explode("places").alias("p"), "share")
     one = places.groupBy("digest", F.col("p.start").alias("start"), F.col("p.end").alias("end")).agg(F.max("share").alias("share"))
     kind = F.when(F.col("share") >= removal, F.lit(5)).otherwise(F.lit(4)).cast("long")
     return one.select("digest", F.struct("start", kind.alias("kind"), "end").alias("span")).groupBy("digest").agg(F.sort_array(F.collect_list("span")).alias("terms"))

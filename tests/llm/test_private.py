@@ -74,3 +74,16 @@ def test_values_within_longer_runs_of_digits_are_found_too():
     assert private.base_spans(text) == by_hand(text) == []
     assert {text[a:b] for a, _, b in private.all_spans(text)} == {card, phone}
     assert private.sanitised(text, private.all_spans(text)).count("[") == 3
+
+
+def test_terms_near_a_value_that_one_text_names(spark):
+    filler = [(i, f"we met the doctor and then wrote to all of them about case{i}") for i in range(2000)]
+    told = "we met the quibblefrotz doctor anna.b@c.example.com and then wrote to all"
+    rows = [*filler, *[(5000 + i, told) for i in range(6)], (6000, "the quibblefrotz story"), (7000, "met vexillator at one.two@c.example.com then")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r["doc_id"]: r["spans"].split(",") for r in private.find_private(docs).collect()}
+    place = lambda text, term: f"{text.index(term)}:{text.index(term) + len(term)}"
+    for i in range(6):  # six copies are one text: the term stands in two, the value in one
+        assert [x for x in found[5000 + i] if x[:5] != "email"] == ["term:" + place(told, "quibblefrotz")]
+    assert "removed:" + place(rows[-1][1], "vexillator") in found[7000]
+    assert found[0] == found[6000] == [""]
