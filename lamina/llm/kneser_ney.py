@@ -1,12 +1,14 @@
-"""Interpolated modified Kneser-Ney model of word pairs, for perplexity.
+"""Interpolated modified Kneser-Ney model of word n-grams of any order, for perplexity.
 
-Tasks hash words and count pairs of some megabytes of text at once; the counts are shuffled as blocks of bytes, by the
-pair's hash, so that a frequent word's pairs are spread over all parts. Each part is summed and stored as sorted hashes
-with counts in the shared folder, and passes on what it adds to the statistics of its words, which are summed and
-stored likewise. Workers map these files into memory to score texts; only totals come to the driver.
+Tasks hash words and count n-grams of some megabytes of text at once; the counts are shuffled as blocks of bytes, by the
+n-gram's hash, so that a frequent word's n-grams are spread over all parts. Each part is summed and stored as sorted
+hashes with counts in the shared folder, and passes on what it adds to the statistics of the n-grams that are a word
+shorter, which are summed and stored likewise, down to words. Workers map these files into memory to score texts; only
+totals come to the driver. Below the highest order, an n-gram counts the distinct words before it; one that begins a
+text counts as often as it occurs.
 
 Words are the runs of bytes other than white space (0x20, 0x09 to 0x0D), A to Z in lower case, and an end. A null text
-counts as empty: it has its end. Words are hashed to 48 bits, pairs to 64. Unknown words share one place in the
+counts as empty: it has its end. Words are hashed to 48 bits, longer n-grams to 64. Unknown words share one place in the
 vocabulary. Repeated rows count as often as they occur; other columns are not looked at; an empty table gives an empty
 one; without training texts each token has probability 1.
 """
@@ -24,9 +26,10 @@ from pyspark.sql import functions as F
 from lamina.llm.common import mapped, shared_dir, slices, store_file
 from lamina.llm.neardup import MULTIPLIER, U, mixed, powers
 
-BITS = U(48)
 BEGIN, END = U(1), U(2)
-#: Tokens whose pairs a task counts at once, and bytes of text for each part of the tables.
+#: Order of the registered query.
+ORDER = 3
+#: Tokens whose n-grams a task counts at once, and bytes of text for each part of the tables; both as of order 2, fewer of higher ones.
 TOKENS, PART_BYTES = 3_000_000, 16 << 20
 
 
@@ -49,15 +52,28 @@ def word_keys(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return keys, number + 1
 
 
-def pair_keys(before: np.ndarray, word: np.ndarray) -> np.ndarray:
-    return mixed(mixed(before) + word * MULTIPLIER)
+def gram_keys(words: list[np.ndarray]) -> np.ndarray:
+    """Hash of each n-gram, its words given by place; a single word is its own."""
+    key = words[0]
+    for w in words[1:]:
+        key = mixed(mixed(key) + w * MULTIPLIER)
+    return key
 
 
-def preceding(keys: np.ndarray, number: np.ndarray) -> np.ndarray:
-    before = np.empty_like(keys)
-    before[1:] = keys[:-1]
-    before[np.cumsum(number) - number] = BEGIN
-    return before
+def width(n: int) -> int:
+    return 48 if n == 1 else 64
+
+
+def grams(keys: np.ndarray, number: np.ndarray, order: int) -> list[np.ndarray]:
+    """The words of the n-gram that ends at each token, by place; BEGIN stands before each text."""
+    place = np.arange(len(keys)) - np.repeat(np.cumsum(number) - number, number)
+    out = [keys]
+    for back in range(1, order):
+        before = np.full_like(keys, BEGIN)
+        on = np.flatnonzero(place >= back)
+        before[on] = keys[on - back]
+        out.insert(0, before)
+    return out
 
 
 def planes(x: np.ndarray, size: int) -> bytes:
@@ -71,26 +87,34 @@ def unplanes(data: bytes, size: int, n: int) -> np.ndarray:
     return out.view("<u8").ravel()
 
 
-def blocked(columns: list[np.ndarray], sizes: list[int]) -> bytes:
-    return b"".join(planes(x, s) for x, s in zip(columns, sizes, strict=True))
+def blocked(columns: list[np.ndarray]) -> bytes:
+    """A byte for the width of each column, then its planes."""
+    sizes = [(int(x.max()).bit_length() + 7) // 8 for x in columns]
+    return bytes(sizes) + b"".join(planes(x, s) for x, s in zip(columns, sizes, strict=True))
 
 
-def unblocked(data: bytes, sizes: list[int]) -> list[np.ndarray]:
-    n, out, at = len(data) // sum(sizes), [], 0
+def unblocked(data: bytes, columns: int) -> list[np.ndarray]:
+    sizes, at, out = data[:columns], columns, []
+    n = (len(data) - columns) // sum(sizes)
     for s in sizes:
         out.append(unplanes(data[at : at + s * n], s, n))
         at += s * n
     return out
 
 
-PAIR_SIZES, WORD_SIZES = [6, 6, 4], [6, 5, 5, 5, 5, 5, 5]
+#: Of a level below the highest: tokens, distinct words before; as a context: tokens, words that follow once, twice, more often.
+STATISTICS = 6
 
 
-def by_part(part: np.ndarray, columns: list[np.ndarray], sizes: list[int]) -> Iterator[tuple[int, bytes]]:
-    """Columns, in ascending order of part, cut into a block for each part."""
+def by_part(key: np.ndarray, words: list[np.ndarray], columns: list[np.ndarray], bits: int) -> Iterator[tuple[int, bytes]]:
+    """n-grams cut into a block for each part, by the first bits of their hash; like words stand together, which compresses well."""
+    part = key >> U(width(len(words)) - bits)
+    first, second = words[0] >> U(26), words[min(1, len(words) - 1)] >> U(26)
+    order = np.argsort((part << U(44)) | (first << U(22)) | second)
+    part = part[order].astype(np.int64)
     edge = np.flatnonzero(np.diff(part, prepend=-1))
     for a, b in zip(edge, [*edge[1:], len(part)], strict=True):
-        yield int(part[a]), blocked([x[a:b] for x in columns], sizes)
+        yield int(part[a]), blocked([x[order[a:b]] for x in (*words, *columns)])
 
 
 def summed(key: np.ndarray, columns: list[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
@@ -101,18 +125,17 @@ def summed(key: np.ndarray, columns: list[np.ndarray]) -> tuple[np.ndarray, list
     return key[at], [np.add.reduceat(x[order], at) if len(key) else x for x in columns], order[at]
 
 
-def joined_blocks(batches: Iterator[pa.RecordBatch], sizes: list[int]) -> tuple[dict[int, list[np.ndarray]], np.ndarray]:
+def joined_blocks(batches: Iterator[pa.RecordBatch], columns: int, order: int) -> tuple[dict[int, list[np.ndarray]], np.ndarray]:
     """The columns of each part, and the sum of the rows' counts of counts."""
     held: dict[int, list[bytes]] = {}
-    levels = np.zeros(4, np.int64)
+    levels = np.zeros(4 * order, np.int64)
     for batch in batches:
         for part, data, level in zip(batch.column("part").to_pylist(), batch.column("data").to_pylist(), batch.column("levels").to_pylist(), strict=True):
-            if data:
-                held.setdefault(part, []).append(data)
-            levels += np.array(level or [0] * 4, np.int64)
+            held.setdefault(part, []).append(data)
+            levels += np.array(level or [0] * 4 * order, np.int64)
     out = {}
     for part in list(held):
-        blocks = [unblocked(x, sizes) for x in held.pop(part)]
+        blocks = [unblocked(x, columns) for x in held.pop(part)]
         out[part] = [np.concatenate(x) for x in zip(*blocks, strict=True)]
     return out, levels
 
@@ -136,21 +159,31 @@ def discounts(levels: list[int]) -> list[float]:
     return [min(k, max(0.0, k - (k + 1) * share * ratio(a, b))) for k, a, b in ((1, two, one), (2, three, two), (3, four, three))]
 
 
-#: A word's statistics, in this order: count, total, before, one, two, more.
-PAIR_FILE, WORD_FILE = ("<u8", "u1"), ("<u8", "<u8", "<u8", *["<u4"] * 4)
-#: A pair's count is stored as a byte; from this one on it stands in a second file.
+#: A word's statistics, in this order: count, before, total, one, two, more.
+WORD_FILE = ("<u8", "<u8", "<u8", "<u8", *["<u4"] * 3)
+#: Numbers of longer n-grams are stored as bytes; n-grams with one from this on stand in a second file.
 LARGE = 255
 
 
+def gram_file(columns: int, kind: str = "u1") -> tuple[str, ...]:
+    return ("<u8", *[kind] * columns)
+
+
+def store_grams(folder: str, n: int, part: int, key: np.ndarray, columns: list[np.ndarray]) -> None:
+    large = np.max(columns, axis=0) >= LARGE if len(key) else np.zeros(0, bool)
+    store_file(f"{folder}/grams{n}-{part}", [len(key).to_bytes(8, "little"), key.tobytes(), *[np.minimum(x, LARGE).astype(np.uint8).tobytes() for x in columns]])
+    store_file(f"{folder}/large{n}-{part}", [int(large.sum()).to_bytes(8, "little"), key[large].tobytes(), *[x[large].astype("<u8").tobytes() for x in columns]])
+
+
 @dataclass
 class Model:
     folder: str
     bits: int  # parts: 2 ** bits
-    pair_discounts: list[float] = field(default_factory=list)
-    word_discounts: list[float] = field(default_factory=list)
+    order: int
+    discounts: list[list[float]] = field(default_factory=list)  # of n-grams by n - 1
     tokens: int = 0  # N
     vocabulary: int = 0  # V
-    pairs: int = 0
+    pairs: int = 0  # distinct pairs of words
     rest: float = 1.0  # share of the words' level that goes to the uniform one
 
     def look_up(self, table: str, keys: np.ndarray, width: int, kinds: tuple[str, ...]) -> list[np.ndarray]:
@@ -167,103 +200,118 @@ class Model:
                     x[own] = np.where(hit, c[at], 0)
         return out
 
-    def pair_counts(self, keys: np.ndarray) -> np.ndarray:
-        (count,) = self.look_up("pairs", keys, 64, PAIR_FILE)
-        large = np.flatnonzero(count == LARGE)
+    def statistics(self, n: int, keys: np.ndarray) -> list[np.ndarray]:
+        """Of sorted n-grams: count; below the highest order also total, one, two and more of those that follow."""
+        if n == 1:
+            return self.look_up("words", keys, 48, WORD_FILE)[1:]
+        size = 1 if n == self.order else STATISTICS - 1
+        out = self.look_up(f"grams{n}", keys, 64, gram_file(size))
+        large = np.flatnonzero(np.max(out, axis=0) == LARGE) if len(keys) else []
         if len(large):
-            (count[large],) = self.look_up("large", keys[large], 64, ("<u8", "<u8"))
-        return count
+            for x, y in zip(out, self.look_up(f"large{n}", keys[large], 64, gram_file(size, "<u8")), strict=True):
+                x[large] = y
+        return out
 
     def scores(self, texts: list[str]) -> tuple[np.ndarray, ...]:
         """n_tokens, n_known, base_score and score of each text."""
         keys, number = word_keys(texts)
-        before = preceding(keys, number)
+        every = grams(keys, number, self.order)
         words, place = np.unique(keys, return_inverse=True)
-        contexts, context = np.unique(before, return_inverse=True)
-        # As a word: its tokens, and distinct words before it. As a context: tokens, and words that follow once, twice, more often.
-        count, _, spread, *_ = self.look_up("words", words, 48, WORD_FILE)
-        _, total, _, one, two, more = self.look_up("words", contexts, 48, WORD_FILE)
+        count, spread, *_ = self.look_up("words", words, 48, WORD_FILE)
         base = np.log10((count + 0.5) / (self.tokens + 0.5 * (self.vocabulary + 1)))
-        uniform = 1 / (self.vocabulary + 1)
         cut = lambda n, d: np.maximum(0, n - np.array([0.0, *d])[np.minimum(n, 3)])
-        word = cut(spread, self.word_discounts) / max(1, self.pairs) + self.rest * uniform
-        d = self.pair_discounts
-        left = np.where(total > 0, (d[0] * one + d[1] * two + d[2] * more) / np.maximum(1, total), 1)
-        pairs, pair = np.unique(pair_keys(before, keys), return_inverse=True)
-        seen = self.pair_counts(pairs)[pair]
-        p = cut(seen, d) / np.maximum(1, total)[context] + left[context] * word[place]
+        p = (cut(spread, self.discounts[0]) / max(1, self.pairs) + self.rest / (self.vocabulary + 1))[place]
+        for n in range(2, self.order + 1):  # a longer context takes from the shorter one what it leaves
+            d, own = self.discounts[n - 1], every[self.order - n :]
+            contexts, context = np.unique(gram_keys(own[:-1]), return_inverse=True)
+            _, total, one, two, more = self.statistics(n - 1, contexts)
+            left = np.where(total > 0, (d[0] * one + d[1] * two + d[2] * more) / np.maximum(1, total), 1)
+            found, gram = np.unique(gram_keys(own), return_inverse=True)
+            seen = self.statistics(n, found)[0][gram]
+            p = cut(seen, d) / np.maximum(1, total)[context] + left[context] * p
         owner = np.repeat(np.arange(len(texts)), number)
         add = lambda x: np.bincount(owner, x, len(texts))
         return number, add((count > 0)[place].astype(float)).astype(np.int64), add(base[place]), add(np.log10(p))
 
 
-def fit(docs: DataFrame, text: str = "text", part_bytes: int = PART_BYTES, tokens: int = TOKENS) -> Model:
-    """Counts all rows and stores the tables."""
+def fit(docs: DataFrame, text: str = "text", part_bytes: int = PART_BYTES, tokens: int = TOKENS, order: int = 2) -> Model:
+    """Counts all rows and stores the tables, from the highest order (2 or more) down."""
+    if order < 2:
+        raise ValueError("order must be 2 or more")
     texts = docs.select(F.coalesce(F.col(text), F.lit("")).alias("text"))
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    bits = min(20, max(6, (size // part_bytes).bit_length()))
+    bits = min(20, max(6, (size * order // (2 * part_bytes)).bit_length()))
     folder = shared_dir(docs.sparkSession)
-    parts = 1 << bits
+    parts, most = 1 << bits, max(1, tokens * 2 // order)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
 
         def sent() -> pa.RecordBatch:
-            before, word = (np.concatenate(x) for x in zip(*held, strict=True))
+            words = grams(*(np.concatenate(x) for x in zip(*held, strict=True)), order)
             held.clear()
-            key = pair_keys(before, word)
-            key, at, n = np.unique(key, return_index=True, return_counts=True)
-            columns = [before[at], word[at], n.astype(U)]
-            return row([(p, data, None) for p, data in by_part((key >> U(64 - bits)).astype(np.int64), columns, PAIR_SIZES)])
+            key, at, n = np.unique(gram_keys(words), return_index=True, return_counts=True)
+            return row([(p, data, None) for p, data in by_part(key, [w[at] for w in words], [n.astype(U)], bits)])
 
         size = 0
         for (some,) in slices(batches, 1000, 4 << 20):
             keys, number = word_keys(some)
-            held.append((preceding(keys, number), keys))
+            held.append((keys, number))
             size += len(keys)
-            if size >= tokens:
+            if size >= most:
                 yield sent()
                 size = 0
         if held:
             yield sent()
 
-    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found, _ = joined_blocks(batches, PAIR_SIZES)
-        for part in list(found):
-            before, word, n = found.pop(part)
-            key, (n,), at = summed(pair_keys(before, word), [n])
-            before, word = before[at], word[at]
-            store_file(f"{folder}/pairs-{part}", [len(key).to_bytes(8, "little"), key.tobytes(), np.minimum(n, LARGE).astype(np.uint8).tobytes()])
-            large = n >= LARGE
-            store_file(f"{folder}/large-{part}", [int(large.sum()).to_bytes(8, "little"), key[large].tobytes(), n[large].astype("<u8").tobytes()])
-            none, unit = np.zeros(len(n), U), np.ones(len(n), U)
-            rows = [np.concatenate(x) for x in zip([word, n, none, unit, none, none, none], [before, none, n, none, (n == 1).astype(U), (n == 2).astype(U), (n > 2).astype(U)], strict=True)]
-            key, columns, _ = summed(rows[0], rows[1:])
-            blocks = list(by_part((key >> (BITS - U(bits))).astype(np.int64), [key, *columns], WORD_SIZES))
-            yield row([(p, data, levels_of(n) if i == 0 else None) for i, (p, data) in enumerate(blocks)])
+    def level(k: int):  # noqa: ANN202
+        """Sums k-grams and stores them; passes on what they add to those without their first and without their last word."""
+        inner = k < order
+
+        def stored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            found, levels = joined_blocks(batches, k + (STATISTICS if inner else 1), order)
+            for part in list(found):
+                columns = found.pop(part)
+                key, sums, at = summed(gram_keys(columns[:k]), columns[k:])
+                words = [w[at] for w in columns[:k]]
+                del columns
+                raw = sums[0]
+                # Nothing stands before a text, so what begins one counts as often as it occurs.
+                n = np.where(words[0] == BEGIN, raw, sums[1]) if inner else raw
+                real = words[1] != BEGIN  # with several BEGINs: only passed on
+                store_grams(folder, k, part, key[real], [n[real], *sums[2:]] if real.all() else [x[real] for x in (n, *sums[2:])])
+                levels[4 * k - 4 : 4 * k] += levels_of(n[real])
+                blocks: list[tuple[int, bytes]] = []
+                none = lambda x: np.zeros(len(x), U)
+                for own, data in ((words[1:], [raw, np.ones(len(raw), U)]), ([w[real] for w in words[:-1]], [x.astype(U) for x in (n[real], n[real] == 1, n[real] == 2, n[real] > 2)])):
+                    key, (*data,), at = summed(gram_keys(own), data)
+                    own = [w[at] for w in own]
+                    blocks += by_part(key, own, [*data, *[none(key)] * 4] if len(data) == 2 else [none(key), none(key), *data], bits)
+                yield row([(p, data, levels.tolist() if i == 0 else None) for i, (p, data) in enumerate(blocks)])
+                levels[:] = 0
+
+        return stored
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found, levels = joined_blocks(batches, WORD_SIZES)
-        sums = [levels.tolist(), [0] * 4, 0, 0, 0, [0] * 3]
+        found, levels = joined_blocks(batches, 1 + STATISTICS, order)
+        sums = np.zeros(6, np.int64)
         for part in list(found):
             key, *columns = found.pop(part)
             key, columns, _ = summed(key, columns)
             store_file(f"{folder}/words-{part}", [len(key).to_bytes(8, "little"), key.tobytes(), *[x.astype(k).tobytes() for x, k in zip(columns, WORD_FILE[1:], strict=True)]])
-            n, spread = columns[0].astype(np.int64), columns[2].astype(np.int64)
-            sums[1] = [a + b for a, b in zip(sums[1], levels_of(spread), strict=True)]
-            sums[2] += int(n.sum())
-            sums[3] += int((n > 0).sum())
-            sums[4] += int(spread.sum())
-            sums[5] = [sums[5][0] + int((spread == 1).sum()), sums[5][1] + int((spread == 2).sum()), sums[5][2] + int((spread > 2).sum())]
-        yield pa.RecordBatch.from_arrays([pa.array([[*sums[0], *sums[1], *sums[2:5], *sums[5]]], pa.list_(pa.int64()))], names=["sums"])
+            n, spread = columns[0].astype(np.int64), columns[1].astype(np.int64)
+            levels[:4] += levels_of(spread)
+            sums += [n.sum(), (n > 0).sum(), spread.sum(), (spread == 1).sum(), (spread == 2).sum(), (spread > 2).sum()]
+        yield pa.RecordBatch.from_arrays([pa.array([[*sums.tolist(), *levels.tolist()]], pa.list_(pa.int64()))], names=["sums"])
 
     counted = texts.mapInArrow(count, ROW).repartition(parts, "part")
-    sums = counted.mapInArrow(pairs, ROW).repartition(parts, "part").mapInArrow(words, "sums array<long>")
-    total = sums.select([F.sum(F.col("sums")[i]).alias(f"s{i}") for i in range(14)]).first()
+    for k in range(order, 1, -1):
+        counted = counted.mapInArrow(level(k), ROW).repartition(parts, "part")
+    sums = counted.mapInArrow(words, "sums array<long>")
+    total = sums.select([F.sum(F.col("sums")[i]).alias(f"s{i}") for i in range(6 + 4 * order)]).first()
     t = [x or 0 for x in total]
-    model = Model(folder, bits, discounts(t[:4]), discounts(t[4:8]), t[8], t[9], t[10])
-    d = model.word_discounts
-    model.rest = sum(a * b for a, b in zip(d, t[11:14], strict=True)) / model.pairs if model.pairs else 1.0
+    model = Model(folder, bits, order, [discounts(t[at : at + 4]) for at in range(6, len(t), 4)], *t[:3])
+    model.rest = sum(a * b for a, b in zip(model.discounts[0], t[3:6], strict=True)) / model.pairs if model.pairs else 1.0
     return model
 
 

@@ -42,7 +42,7 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    model = kneser_ney.fit(docs.where(crc_fold(F.col("doc_id")) != 1))
+    model = kneser_ney.fit(docs.where(crc_fold(F.col("doc_id")) != 1), order=kneser_ney.ORDER)
     scored = kneser_ney.score(docs, model)
     return scored.select("doc_id", (crc_fold(F.col("doc_id")) == 1).alias("held_out"), "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")
 

@@ -58,6 +58,43 @@ def test_scores_equal_dictionaries(spark, docs, texts):
     assert sum(hand.p("w1", w) for w in [*hand.count, "unknown"]) == pytest.approx(1)
 
 
+@pytest.mark.parametrize("order", [3, 4])
+def test_scores_of_higher_orders_equal_dictionaries(spark, order):
+    rng = np.random.default_rng(1)
+    rows = [(i, " ".join(f"w{x}" for x in rng.zipf(1.4, 50) if x < 12)) for i in range(60)] + [(60, "often " * 700), (61, None), (62, "")]
+    levels = [collections.Counter() for _ in range(order + 1)]
+    for _, t in rows:  # occurrences of all n-grams with one begin at most
+        w = ["<s>", *words(t)]
+        for n in range(1, order + 1):
+            levels[n].update(g for g in zip(*[w[k:] for k in range(n)], strict=False) if g != ("<s>",))
+    count = [None, *[collections.Counter() for _ in range(order)]]
+    count[order] = levels[order]
+    for n in range(1, order):
+        count[n] = collections.Counter(g[1:] for g in levels[n + 1])
+        count[n].update({g: c for g, c in levels[n].items() if g[0] == "<s>"})
+    d = [None, *[kneser_ney.discounts([sum(x == k for x in c.values()) for k in (1, 2, 3, 4)]) for c in count[1:]]]
+    after = collections.defaultdict(list)
+    for n in range(1, order + 1):
+        for g, c in count[n].items():
+            after[g[:-1]].append(c)
+
+    def p(context, w):
+        n = len(context) + 1
+        lower = p(context[1:], w) if context else 1 / (len(levels[1]) + 1)
+        if not (total := sum(after.get(context, ()))):
+            return lower
+        c = count[n].get((*context, w), 0)
+        return (c - d[n][min(c, 3) - 1] if c else 0) / total + sum(d[n][min(x, 3) - 1] for x in after[context]) / total * lower
+
+    docs = spark.createDataFrame([*rows, (99, "w1 never seen w2 w1 w1 w3")], "doc_id long, text string")
+    model = kneser_ney.fit(docs.where("doc_id <> 99"), tokens=200, order=order)
+    found = {r["doc_id"]: r["score"] for r in kneser_ney.score(docs, model).collect()}
+    for i, t in [*rows, (99, "w1 never seen w2 w1 w1 w3")]:
+        w = ["<s>", *words(t)]
+        assert found[i] == pytest.approx(sum(math.log10(p(tuple(w[max(0, k - order + 1) : k]), w[k])) for k in range(1, len(w))), rel=1e-9)
+    assert sum(p(("w1", "w2"), w[0]) for w in [*levels[1], ("unknown",)]) == pytest.approx(1)
+
+
 def test_no_training_texts(spark, docs):
     model = kneser_ney.fit(docs.where("false"))
     assert {(r["score"], r["base_score"]) for r in kneser_ney.score(docs, model).collect()} == {(0.0, 0.0)}
