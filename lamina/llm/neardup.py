@@ -5,7 +5,9 @@ Poisson process at the rate of its weight; its arrivals go to random registers,
 arrives first. Two documents agree in a register with the probability Jaccard similarity of their weights. A shingle's
 process ends when it is later than all registers of the document. Bands of registers give candidates, which are
 verified: documents are linked if their sets of shingles have a Jaccard similarity of at least the threshold, and
-classes are the components of the links.
+classes are the components of the links. Since counts play no part in that, a document with repeated shingles also has
+the bands of its set (weights of 1), which are all the bands of one without; two documents are candidates if they share
+any band.
 
 Documents of the same words are one node. A bucket of few nodes gives pairs, each verified once. A crowded one is
 dealt to pairs of blocks: each compares its nodes exactly and returns links that connect the same nodes as all links
@@ -132,18 +134,29 @@ def texts_by_id(docs: DataFrame, text: str, key: str) -> DataFrame:
     return docs.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
 
 
+def banded(kept: np.ndarray, bands: int, rows: int) -> np.ndarray:
+    """The hash of each band of registers, by document."""
+    band = np.zeros((len(kept), bands), U)
+    for r in range(rows):
+        band = mixed(band + kept[:, r::rows])
+    return mixed(band + np.arange(bands, dtype=U))
+
+
 def sketched(docs: DataFrame, text: str, key: str, bands: int, rows: int, n: int) -> DataFrame:
     """id, node (null: no words) and bands of each document."""
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, texts in slices(batches, 256, 2 << 20):
             doc, run, count, whole = shingles(texts, n)
-            kept = prob_min_hash(doc, run, 1 + np.log(count), len(texts), bands * rows)
-            band = np.zeros((len(texts), bands), U)
-            for r in range(rows):
-                band = mixed(band + kept[:, r::rows])
-            band = mixed(band + np.arange(bands, dtype=U))
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1, dtype=np.int32) * bands), pa.array(band.view(np.int64).ravel()))
+            band = banded(prob_min_hash(doc, run, 1 + np.log(count), len(texts), bands * rows), bands, rows)
+            repeats = np.zeros(len(texts), bool)
+            repeats[doc[count > 1]] = True
+            on = repeats[doc]
+            number = np.cumsum(repeats) - 1
+            as_set = banded(prob_min_hash(number[doc[on]], run[on], np.ones(int(on.sum())), int(repeats.sum()), bands * rows), bands, rows)
+            every = [np.unique([x, as_set[number[i]]]) if repeats[i] else x for i, x in enumerate(band)]
+            edges = np.cumsum([0, *map(len, every)], dtype=np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(edges), pa.array(np.concatenate(every).view(np.int64)))
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(whole.view(np.int64), mask=whole == 0), lists], names=["id", "node", "bands"])
 
     return texts_by_id(docs, text, key).mapInArrow(sketch, "id long, node long, bands array<bigint>")
@@ -279,5 +292,5 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", th
 
 
 def expected_miss(similarity: float, bands: int = BANDS, rows: int = ROWS) -> float:
-    """Probability that two documents of this similarity share no band."""
+    """Probability that two documents whose sets have this Jaccard similarity share no band."""
     return math.pow(1 - similarity**rows, bands)

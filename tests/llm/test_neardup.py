@@ -77,3 +77,16 @@ def test_components_of_a_long_chain(spark):
     rows = connected_components(links).collect()
     assert {r["component"] for r in rows} == {min(r["node"] for r in rows)}
     assert neardup.expected_miss(0.8) < 1e-3
+
+
+def test_repeats_that_differ_in_number(spark):
+    rng = np.random.default_rng(5)
+    rows = []
+    for i in range(40):
+        words = [f"d{i}w{k}" for k in rng.permutation(1000)[:50]]
+        line = " ".join(f"d{i}r{k}" for k in range(10))
+        rows += [(2 * i, " ".join([*words, line])), (2 * i + 1, " ".join([*words, *[line] * 200]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    hand = classes_by_hand([(i, t) for i, t in rows])
+    assert {r["doc_id"]: r["class_id"] for r in neardup.near_duplicates(docs).collect()} == hand
+    assert all(hand[2 * i + 1] == 2 * i for i in range(40))
