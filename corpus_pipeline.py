@@ -14,14 +14,14 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lamina.llm import language, neardup, packing, private
-from lamina.llm.common import bound_batches, crc_fold, shared_dir, written
+from lamina.llm.common import bound_batches, shared_dir, written
 
 
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without letters, and those whose cosine with no language is positive, go. Short texts have small cosines, so no other bound is set."""
+    """Documents without letters, and those that are too unlike the language they are most like, go. All labelled rows are learnt; without any, all documents with letters stay."""
     bound_batches(spark)
-    profiles = language.Profiles.fit(docs.where(crc_fold(F.col("doc_id")) != 0))
-    return profiles.applied(docs, docs.columns, "text").where((F.col("lang_pred") != language.UNDETERMINED) & (F.col("score") > 0)).select(*docs.columns)
+    profiles = language.Profiles.fit(docs)
+    return profiles.applied(docs, docs.columns, "text").where("likely").select(*docs.columns)
 
 
 def keep_one_of_each_class(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -5,6 +5,11 @@ each rolled by its place; a document's vector bundles (adds) the vectors of its
 blank; a language's prototype bundles those of its labelled documents. A document gets the language whose prototype
 has the largest cosine with it, ties to the smaller name; the score is that cosine, not below 0.
 
+A text is unlike a language if its cosine is below SHARE of what as many n-grams of that language would have. With
+shares q of n-grams in a language, counts c in a text of n, that is n |q| / |c|, 1 at most. A vector that has nothing to
+do with a prototype has a cosine around 0 with a spread of 1 / sqrt(dims). Where the bound is within SPREADS of that, or
+the text has less than FEWEST effective n-grams (n^2 / |c|^2), it is too short to tell, and like any language.
+
 Texts that are null or hold no letter get `und` and 0, as does every text if no row has a label. Repeated rows count
 as often as they occur. Other columns are not looked at; an empty table gives an empty one. Whole texts are used.
 """
@@ -24,6 +29,7 @@ from lamina.llm.common import slices
 UNDETERMINED = "und"
 #: n-gram vectors that a worker keeps, at most.
 KEPT = 40_000
+SHARE, SPREADS, FEWEST = 1 / 3, 3, 20
 
 
 @lru_cache(maxsize=1)
@@ -89,6 +95,11 @@ class Space:
 
     def documents(self, texts: list[str | None]) -> np.ndarray:
         """A float32 row for each text, 0 for one without letters."""
+        return self.counted(texts)[0]
+
+    def counted(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """A float32 row for each text, the number of its n-grams, and the sum of their squared counts."""
+        squares = np.zeros(len(texts))
         out = np.zeros((len(texts), self.dims), np.float32)
         grams = [self.ngrams(t or "") for t in texts]
         at = 0
@@ -101,10 +112,11 @@ class Space:
                 keys, place = np.unique(np.concatenate(grams[at:end]), return_inverse=True)
                 rows = np.repeat(np.arange(end - at), [len(g) for g in grams[at:end]])
                 counts = np.bincount(rows * len(keys) + place, minlength=(end - at) * len(keys)).reshape(end - at, len(keys))
+                squares[at:end] = (counts.astype(np.float64) ** 2).sum(axis=1)
                 for k in range(0, len(keys), 4096):
                     out[at:end] += counts[:, k : k + 4096].astype(np.float32) @ self.of_ngrams(keys[k : k + 4096])
             at = end
-        return out
+        return out, np.array([len(g) for g in grams], np.float64), squares
 
 
 @lru_cache(maxsize=2)
@@ -115,8 +127,9 @@ def space(dims: int, n: int, seed: int) -> Space:
 class Profiles:
     """Prototypes of languages, learnt by fit() and applied by predict()."""
 
-    def __init__(self, names: list[str], vectors: np.ndarray, dims: int, n: int, seed: int):
+    def __init__(self, names: list[str], vectors: np.ndarray, dims: int, n: int, seed: int, grams: np.ndarray | None = None):
         self.names, self.dims, self.n, self.seed = names, dims, n, seed
+        self.length = np.linalg.norm(vectors, axis=1) / np.sqrt(dims) / np.maximum(1, grams) if grams is not None and len(names) else np.zeros(len(names))  # |q|
         norm = np.linalg.norm(vectors, axis=1, keepdims=True) if len(names) else np.empty((0, 1))
         self.unit = (vectors / np.where(norm > 0, norm, 1)).astype(np.float32) if len(names) else vectors
 
@@ -127,10 +140,11 @@ class Profiles:
         def bundled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             total: dict[str, np.ndarray] = {}
             for names, texts in slices(batches, 256):
-                vectors = space(dims, n, seed).documents(texts)
+                vectors, number, _ = space(dims, n, seed).counted(texts)
+                vectors = np.column_stack([vectors.astype(np.float64), number])
                 names = np.array(names, object)
                 for name in set(names):
-                    total[name] = total.get(name, 0) + vectors[names == name].astype(np.float64).sum(axis=0)
+                    total[name] = total.get(name, 0) + vectors[names == name].sum(axis=0)
             if total:
                 yield pa.RecordBatch.from_pydict({"name": pa.array(list(total), pa.string()), "v": pa.array([np.rint(v).astype(np.int64) for v in total.values()], pa.list_(pa.int64()))})
 
@@ -138,33 +152,37 @@ class Profiles:
         rows = docs.select(label.alias("name"), F.col(text).alias("text")).where("name is not null and text is not null")
         sums = rows.mapInArrow(bundled, "name string, v array<bigint>").select("name", F.posexplode("v").alias("at", "v")).groupBy("name", "at").agg(F.sum("v").alias("v"))
         found: dict[str, np.ndarray] = {}
-        for r in sums.collect():  # languages x dims numbers, whatever the input's size
-            found.setdefault(r["name"], np.zeros(dims))[r["at"]] = r["v"]
+        for r in sums.collect():  # languages x (dims + 1) numbers, whatever the input's size
+            found.setdefault(r["name"], np.zeros(dims + 1))[r["at"]] = r["v"]
         names = sorted(found)
-        return cls(names, np.array([found[x] for x in names]).reshape(len(names), dims), dims, n, seed)
+        sums_ = np.array([found[x] for x in names]).reshape(len(names), dims + 1)
+        return cls(names, sums_[:, :dims], dims, n, seed, sums_[:, dims])
 
     def predict(self, docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
         """key, lang_pred and score of each row."""
         rows = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
-        return self.applied(rows, ["key"], "text").withColumnRenamed("key", key)
+        return self.applied(rows, ["key"], "text").select(F.col("key").alias(key), "lang_pred", "score")
 
     def applied(self, rows: DataFrame, keep: list[str], text: str) -> DataFrame:
-        """The columns named in keep, lang_pred and score."""
-        names, unit, dims, n, seed = self.names, self.unit, self.dims, self.n, self.seed
+        """The columns named in keep, lang_pred, score and likely: whether the text has letters and isn't unlike that language; true of any text with letters if there are no languages."""
+        names, unit, dims, n, seed, length = self.names, self.unit, self.dims, self.n, self.seed, self.length
 
         def predicted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                lang, score = [], []
+                lang, score, likely = [], [], []
                 for (texts,) in slices([batch.select([text])], 256):
-                    vectors = space(dims, n, seed).documents(texts)
+                    vectors, number, squares = space(dims, n, seed).counted(texts)
                     norm = np.linalg.norm(vectors.astype(np.float64), axis=1)
                     if names:
                         cosine = (vectors.astype(np.float64) @ unit.T) / np.where(norm > 0, norm, 1)[:, None]
                         best = cosine.argmax(axis=1)
                         top = np.clip(cosine[np.arange(len(best)), best], 0, 1)
+                        bound = SHARE * np.minimum(1, number * length[best] / np.sqrt(np.maximum(1, squares)))
+                        tells = (bound >= SPREADS / np.sqrt(dims)) & (number**2 >= FEWEST * squares)
+                    likely += ((number > 0) & (~tells | (top >= bound)) if names else number > 0).tolist()
                     lang += [names[best[i]] if names and norm[i] > 0 else UNDETERMINED for i in range(len(texts))]
                     score += [float(top[i]) if names and norm[i] > 0 else 0.0 for i in range(len(texts))]
-                yield pa.RecordBatch.from_arrays([*batch.select(keep).columns, pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=[*keep, "lang_pred", "score"])
+                yield pa.RecordBatch.from_arrays([*batch.select(keep).columns, pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(likely, pa.bool_())], names=[*keep, "lang_pred", "score", "likely"])
 
         kinds = ", ".join(f"`{c}` {t}" for c, t in rows.select(keep).dtypes)
-        return rows.select(*keep, text).mapInArrow(predicted, f"{kinds}, lang_pred string, score double") if text not in keep else rows.select(*keep).mapInArrow(predicted, f"{kinds}, lang_pred string, score double")
+        return rows.select(*keep, text).mapInArrow(predicted, f"{kinds}, lang_pred string, score double, likely boolean") if text not in keep else rows.select(*keep).mapInArrow(predicted, f"{kinds}, lang_pred string, score double, likely boolean")

@@ -2,6 +2,8 @@ import re
 import sys
 
 import corpus_pipeline
+import numpy as np
+from pyspark.sql import functions as F
 from test_neardup import classes_by_hand, corpus
 from test_private import by_hand
 
@@ -48,3 +50,17 @@ def test_empty(spark, tmp_path):
     docs.write.parquet(f"{tmp_path}/documents.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
     assert private.KINDS and "lamina" in sys.modules
+
+
+def test_language_stage_takes_decisions(spark):
+    rng = np.random.default_rng(4)
+    common = "the of and that with from this have not were their which when there would about other people water through between small house learn write".split()
+    rows = [(i, " ".join(rng.choice(common, 60)), "en") for i in range(40)]
+    short = [(100 + i, t, None) for i, t in enumerate(["a", "zq", "OK", "x 1 y", "жук"])]
+    sets = ["abcdefghijklmnopqrstuvwxyz    ", "0123456789abcdef", "".join(map(chr, range(0x430, 0x450))) + "     ", "".join(map(chr, range(0x4E00, 0x5200)))]
+    strange = [(200 + 10 * k + i, "".join(rng.choice(list(letters), 400)), None) for k, letters in enumerate(sets) for i in range(5)]
+    docs = spark.createDataFrame([*rows, *short, *strange, (300, "12 34", None)], "doc_id long, text string, lang string")
+    kept = lambda d: {r["doc_id"] for r in corpus_pipeline.keep_known_languages(spark, d, "").collect()}
+    assert kept(docs) == {r[0] for r in rows + short}
+    unlabelled = docs.withColumn("lang", F.lit(None).cast("string"))
+    assert kept(unlabelled) == {r[0] for r in rows + short + strange}
