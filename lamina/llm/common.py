@@ -11,6 +11,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,10 +23,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """A new folder below the one the cluster names in spark.checkpoint.dir.
 
-    A local folder is made only where the session names none, which is the case in tests.
+    A local folder is made only where the session names none and runs in one process, as in tests; a cluster that names none is an error.
     """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         root = tempfile.mkdtemp(prefix="spark-lamina-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/lamina-{uuid.uuid4().hex}"
@@ -45,6 +48,37 @@ def written(df: DataFrame, folder: str | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def free_name(names: list[str], wish: str) -> str:
+    """The wish, with so many underscores that no column has this name, in any case."""
+    taken = {n.lower() for n in names}
+    while wish.lower() in taken:
+        wish += "_"
+    return wish
+
+
+#: A key that more than one in so many rows have is a hot one; there are no more hot keys than this.
+HOT = 1000
+
+
+def looked_up(rows: DataFrame, values: DataFrame, key: str, total: int | None = None) -> DataFrame:
+    """rows with the columns of values, null where a key has none: a left join that no hot key holds up.
+
+    values has one row for each key, with a column n: the number of the key's rows. As these add up to all rows, at most
+    HOT keys have more than a HOT-th of them; the values of these are broadcast, and only rows of other keys meet theirs
+    in a shuffle. total: the number of rows.
+    """
+    total = rows.count() if total is None else total
+    names = rows.columns
+    new = [c for c in values.columns if c not in (key, "n")]
+    hot = F.col("n") > total / HOT
+    at, often, seldom = (free_name([*names, *new], x) for x in ("spread", "often", "seldom"))
+    value = F.struct(*new)
+    met = rows.join(F.broadcast(values.where(hot).select(key, value.alias(often))), key, "left")
+    met = met.withColumn(at, F.when(F.col(often).isNotNull(), F.xxhash64(*names)).otherwise(F.col(key)))
+    met = met.join(values.where(~hot).select(F.col(key).alias(at), value.alias(seldom)), at, "left")
+    return met.select(*names, *[F.coalesce(F.col(often)[c], F.col(seldom)[c]).alias(c) for c in new])
+
+
 def crc_fold(doc_id: Column, modulus: int = 5) -> Column:
     """crc32 of the id's decimal text, modulo; a null id counts as an empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % modulus
@@ -60,14 +94,20 @@ def slices(batches: Iterable[pa.RecordBatch], rows: int = 1000, text_bytes: int
             yield [c.to_pylist() for c in part.columns]
 
 
+#: Longer keys aren't kept in caches, so that the number of keys bounds their bytes.
+LONGEST = 64
+
+
 class Recent(dict):
-    """Values by key, made when first asked for. When size keys are held, they become the older half and new ones are taken up; the half before is dropped, but for what was asked for meanwhile."""
+    """Values by key (a string), made when first asked for. When size keys are held, they become the older half and new ones are taken up; the half before is dropped, but for what was asked for meanwhile. Values of keys longer than LONGEST are made each time."""
 
     def __init__(self, make: Callable, size: int):
         super().__init__()
         self.make, self.size, self.older = make, size, {}
 
     def __missing__(self, key):
+        if len(key) > LONGEST:
+            return self.make(key)
         if (value := self.older.get(key)) is None:
             value = self.make(key)
         if len(self) >= self.size:
@@ -83,32 +123,31 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-def local_file(uri: str) -> str:
-    """A path that this worker can map into memory.
-
-    A file of a shared mount is used in place; one of another store is copied to the worker's own folder once.
-    """
+def local_path(uri: str) -> str | None:
+    """The path of a file of a mounted file system, or None for one of another store."""
     if uri.startswith("file:"):
         return "/" + uri[5:].lstrip("/")
-    if "://" not in uri:
-        return uri
+    return None if "://" in uri else uri
+
+
+def opened(uri: str):  # noqa: ANN201
+    """A file that can be mapped into memory: of a shared mount in place, of another store a nameless copy, gone with its last map."""
+    if path := local_path(uri):
+        return open(path, "rb")
     from pyarrow import fs
 
     store, inner = fs.FileSystem.from_uri(uri)
-    name = os.path.join(tempfile.gettempdir(), uuid.uuid5(uuid.NAMESPACE_URL, uri).hex)
-    if not os.path.exists(name):
-        part = f"{name}.{os.getpid()}"
-        with store.open_input_stream(inner) as source, open(part, "wb") as target:
-            while chunk := source.read(8 << 20):
-                target.write(chunk)
-        os.replace(part, name)
-    return name
+    target = tempfile.TemporaryFile()
+    with store.open_input_stream(inner) as source:
+        while chunk := source.read(8 << 20):
+            target.write(chunk)
+    target.seek(0)
+    return target
 
 
 def store_file(uri: str, data: Iterable[bytes]) -> None:
     """Writes a file of the shared folder under a name of its own, then renames it: a task that runs twice leaves one whole file."""
-    if uri.startswith("file:") or "://" not in uri:
-        path = local_file(uri)
+    if path := local_path(uri):
         os.makedirs(os.path.dirname(path), exist_ok=True)
         part = f"{path}.{uuid.uuid4().hex}"
         with open(part, "wb") as target:
@@ -129,16 +168,13 @@ def store_file(uri: str, data: Iterable[bytes]) -> None:
 
 @lru_cache(maxsize=4096)
 def mapped(uri: str, kinds: tuple[str, ...]) -> list[np.ndarray]:
-    """The arrays of a file, mapped into memory: its first 8 bytes are their length."""
-    try:
-        path = local_file(uri)
-        n = int(np.fromfile(path, "<u8", 1)[0])
-    except FileNotFoundError:
-        return [np.empty(0, k) for k in kinds]
-    out, at = [], 8
-    for k in kinds:
-        out.append(np.memmap(path, k, "r", at, (n,)) if n else np.empty(0, k))
-        at += n * np.dtype(k).itemsize
+    """The arrays of a file, mapped into memory: its first 8 bytes are their length. A file that isn't there is an error."""
+    with opened(uri) as f:
+        n = int(np.frombuffer(f.read(8), "<u8")[0])
+        out, at = [], 8
+        for k in kinds:
+            out.append(np.memmap(f, k, "r", at, (n,)) if n else np.empty(0, k))
+            at += n * np.dtype(k).itemsize
     return out
 
 
@@ -160,28 +196,22 @@ class KeySet:
         folder, bits = shared_dir(keys.sparkSession), min(20, max(6, (count // part).bit_length()))
 
         def stored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            held: dict[int, list[list[np.ndarray]]] = {}
-            for batch in batches:
-                columns = [np.asarray(c).view(np.uint64) for c in batch.columns]
-                order = np.argsort(columns[0])
-                columns = [c[order] for c in columns]
-                own = (columns[0] >> np.uint64(64 - bits)).astype(np.int64)
-                edge = np.flatnonzero(np.diff(own, prepend=-1))
-                for a, b in zip(edge, [*edge[1:], len(own)], strict=True):
-                    held.setdefault(int(own[a]), []).append([c[a:b] for c in columns])
-            n = 0
-            for p, arrays in held.items():
-                key, *values = (np.concatenate(x) for x in zip(*arrays, strict=True))
-                order = np.argsort(key)
-                store_file(f"{folder}/keys-{p}", [len(key).to_bytes(8, "little"), *[x[order].tobytes() for x in (key, *values)]])
-                n += len(key)
-            yield pa.RecordBatch.from_pydict({"n": pa.array([n], pa.int64())})
+            own = TaskContext.get().partitionId()
+            held = [[np.asarray(c).view(np.uint64) for c in batch.columns] for batch in batches if batch.num_rows]
+            columns = [np.concatenate(x) for x in zip(*held, strict=True)] if held else [np.empty(0, np.uint64)] * len(kinds)
+            if own >> bits or (columns[0] >> np.uint64(64 - bits) != own).any():
+                raise ValueError("a key was dealt to another part")
+            order = np.argsort(columns[0])
+            # Parts without keys are written too, so that a file that isn't there is known to be lost.
+            store_file(f"{folder}/keys-{own}", [len(order).to_bytes(8, "little"), *[x[order].tobytes() for x in columns]])
+            yield pa.RecordBatch.from_pydict({"n": pa.array([len(order)], pa.int64())})
 
         name, *value = keys.columns
+        kinds = ("<u8", *["<i8"] * len(value))
         key = F.col(name)
-        parts = keys.select(key.alias("key"), *value, F.shiftrightunsigned(key, 64 - bits).alias("part")).repartition(1 << bits, "part")
-        parts.select("key", *value).mapInArrow(stored, "n long").agg(F.sum("n")).collect()
-        return cls(folder, bits, ("<u8", *["<i8"] * len(value)))
+        parts = keys.select(key.alias("key"), *value).repartitionById(1 << bits, F.shiftrightunsigned("key", 64 - bits).cast("int"))
+        parts.mapInArrow(stored, "n long").agg(F.sum("n")).collect()
+        return cls(folder, bits, kinds)
 
     def contains(self, keys: np.ndarray) -> np.ndarray:
         """Whether each key (unsigned) is in the set."""

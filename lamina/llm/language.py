@@ -158,31 +158,38 @@ class Profiles:
         sums_ = np.array([found[x] for x in names]).reshape(len(names), dims + 1)
         return cls(names, sums_[:, :dims], dims, n, seed, sums_[:, dims])
 
+    def judged(self, texts: list[str | None]) -> tuple[list[str], list[float], list[bool]]:
+        """lang_pred, score and whether the text has letters and isn't unlike that language, which is true of any text with letters if there are no languages."""
+        vectors, number, squares = space(self.dims, self.n, self.seed).counted(texts)
+        if not self.names:
+            return [UNDETERMINED] * len(texts), [0.0] * len(texts), (number > 0).tolist()
+        vectors = vectors.astype(np.float64)
+        norm = np.linalg.norm(vectors, axis=1)
+        cosine = (vectors @ self.unit.T) / np.where(norm > 0, norm, 1)[:, None]
+        best = cosine.argmax(axis=1)
+        top = np.clip(cosine[np.arange(len(best)), best], 0, 1)
+        bound = SHARE * np.minimum(1, number * self.length[best] / np.sqrt(np.maximum(1, squares)))
+        tells = (bound >= SPREADS / np.sqrt(self.dims)) & (number**2 >= FEWEST * squares)
+        likely = (number > 0) & (~tells | (top >= bound))
+        return [self.names[b] if n > 0 else UNDETERMINED for b, n in zip(best, norm, strict=True)], np.where(norm > 0, top, 0.0).tolist(), likely.tolist()
+
     def predict(self, docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
         """key, lang_pred and score of each row."""
+
+        def predicted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for keys, texts in slices(batches, 256):
+                lang, score, _ = self.judged(texts)
+                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=["key", "lang_pred", "score"])
+
         rows = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
-        return self.applied(rows, ["key"], "text").select(F.col("key").alias(key), "lang_pred", "score")
+        return rows.mapInArrow(predicted, "key long, lang_pred string, score double").withColumnRenamed("key", key)
 
-    def applied(self, rows: DataFrame, keep: list[str], text: str) -> DataFrame:
-        """The columns named in keep, lang_pred, score and likely: whether the text has letters and isn't unlike that language; true of any text with letters if there are no languages."""
-        names, unit, dims, n, seed, length = self.names, self.unit, self.dims, self.n, self.seed, self.length
+    def likely_rows(self, docs: DataFrame, text: str = "text") -> DataFrame:
+        """The rows, with all their columns, whose text isn't unlike the language it is most like."""
 
-        def predicted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def filtered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                lang, score, likely = [], [], []
-                for (texts,) in slices([batch.select([text])], 256):
-                    vectors, number, squares = space(dims, n, seed).counted(texts)
-                    norm = np.linalg.norm(vectors.astype(np.float64), axis=1)
-                    if names:
-                        cosine = (vectors.astype(np.float64) @ unit.T) / np.where(norm > 0, norm, 1)[:, None]
-                        best = cosine.argmax(axis=1)
-                        top = np.clip(cosine[np.arange(len(best)), best], 0, 1)
-                        bound = SHARE * np.minimum(1, number * length[best] / np.sqrt(np.maximum(1, squares)))
-                        tells = (bound >= SPREADS / np.sqrt(dims)) & (number**2 >= FEWEST * squares)
-                    likely += ((number > 0) & (~tells | (top >= bound)) if names else number > 0).tolist()
-                    lang += [names[best[i]] if names and norm[i] > 0 else UNDETERMINED for i in range(len(texts))]
-                    score += [float(top[i]) if names and norm[i] > 0 else 0.0 for i in range(len(texts))]
-                yield pa.RecordBatch.from_arrays([*batch.select(keep).columns, pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(likely, pa.bool_())], names=[*keep, "lang_pred", "score", "likely"])
-
-        kinds = ", ".join(f"`{c}` {t}" for c, t in rows.select(keep).dtypes)
-        return rows.select(*keep, text).mapInArrow(predicted, f"{kinds}, lang_pred string, score double, likely boolean") if text not in keep else rows.select(*keep).mapInArrow(predicted, f"{kinds}, lang_pred string, score double, likely boolean")
+                likely = [x for (texts,) in slices([batch.select([text])], 256) for x in self.judged(texts)[2]]
+                yield batch.filter(pa.array(likely, pa.bool_()))
+
+        return docs.mapInArrow(filtered, docs.schema)

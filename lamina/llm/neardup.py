@@ -10,12 +10,15 @@ the bands of its set (weights of 1), which are all the bands of one without; two
 any band.
 
 Documents of the same words are one node. A bucket of few nodes gives pairs, each verified once. A crowded one is
-dealt to pairs of blocks: each compares its nodes exactly and returns links that connect the same nodes as all links
-would, so that no group of copies is expanded to pairs and no task gets a whole group.
+dealt to blocks, each of which returns links that connect the same nodes as all links within it would. Components are
+then formed, and only buckets that still hold several of them are looked at again: the nodes outside a bucket's main
+component meet all others, block by block, and return at most one link for each pair of components. So links grow with
+the nodes, no group of copies is expanded to pairs, no link between different texts is lost, and no task gets a whole
+group.
 
 A document is a row with a non-null id. Rows with a null id have a null class. A null text counts as empty; a text
 without words is a class of its own. Repeated rows are copies. Other columns are not looked at; an empty table gives
-an empty one. Node ids are 64-bit hashes of the words.
+an empty one. Node ids are 64-bit hashes of the words, compared shingles 32-bit ones.
 """
 
 from __future__ import annotations
@@ -26,10 +29,10 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lamina.llm.common import KeySet, slices, written
+from lamina.llm.common import KeySet, free_name, looked_up, slices, written
 from lamina.llm.components import connected_components
 
 WORDS = 5
@@ -130,8 +133,9 @@ def prob_min_hash(doc: np.ndarray, key: np.ndarray, weight: np.ndarray, n_docs:
     return kept.reshape(n_docs, registers)
 
 
-def texts_by_id(docs: DataFrame, text: str, key: str) -> DataFrame:
-    return docs.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+def texts_of(docs: DataFrame, text: str, key: str) -> DataFrame:
+    """id, digest (of the text as it is) and text (null: empty) of each row."""
+    return docs.select(F.col(key).cast("long").alias("id"), F.xxhash64(text).alias("digest"), F.coalesce(F.col(text), F.lit("")).alias("text"))
 
 
 def banded(kept: np.ndarray, bands: int, rows: int) -> np.ndarray:
@@ -143,10 +147,10 @@ def banded(kept: np.ndarray, bands: int, rows: int) -> np.ndarray:
 
 
 def sketched(docs: DataFrame, text: str, key: str, bands: int, rows: int, n: int) -> DataFrame:
-    """id, node (null: no words) and bands of each document."""
+    """id, digest, node (null: no words) and bands of each row."""
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, texts in slices(batches, 256, 2 << 20):
+        for ids, digests, texts in slices(batches, 256, 2 << 20):
             doc, run, count, whole = shingles(texts, n)
             band = banded(prob_min_hash(doc, run, 1 + np.log(count), len(texts), bands * rows), bands, rows)
             repeats = np.zeros(len(texts), bool)
@@ -157,31 +161,31 @@ def sketched(docs: DataFrame, text: str, key: str, bands: int, rows: int, n: int
             every = [np.unique([x, as_set[number[i]]]) if repeats[i] else x for i, x in enumerate(band)]
             edges = np.cumsum([0, *map(len, every)], dtype=np.int32)
             lists = pa.ListArray.from_arrays(pa.array(edges), pa.array(np.concatenate(every).view(np.int64)))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(whole.view(np.int64), mask=whole == 0), lists], names=["id", "node", "bands"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(digests, pa.int64()), pa.array(whole.view(np.int64), mask=whole == 0), lists], names=["id", "digest", "node", "bands"])
 
-    return texts_by_id(docs, text, key).mapInArrow(sketch, "id long, node long, bands array<bigint>")
+    return texts_of(docs, text, key).mapInArrow(sketch, "id long, digest long, node long, bands array<bigint>")
 
 
 def placed(nodes: DataFrame, buckets: KeySet) -> DataFrame:
-    """node and bucket, for those buckets of the set that hold the node."""
+    """node, bucket and the bucket's value, for those buckets of the set that hold the node."""
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lists = batch.column("bands")
             each = np.diff(np.asarray(lists.offsets))
             band = np.asarray(lists.flatten()).view(U)
-            on = buckets.contains(band)
+            on, value = buckets.found(band)
             node = np.repeat(np.asarray(batch.column("node")), each)
-            yield pa.RecordBatch.from_pydict({"node": pa.array(node[on]), "bucket": pa.array(band[on].view(np.int64))})
+            yield pa.RecordBatch.from_pydict({"node": pa.array(node[on]), "bucket": pa.array(band[on].view(np.int64)), "size": pa.array(value[on])})
 
-    return nodes.select("node", "bands").mapInArrow(found, "node long, bucket long").distinct()
+    return nodes.select("node", "bands").mapInArrow(found, "node long, bucket long, size long").distinct()
 
 
 def shingle_sets(docs: DataFrame, text: str, key: str, n: int, nodes: KeySet) -> DataFrame:
     """node and shingles (binary: sorted 32-bit) of the nodes in the set. Words are hashed again, which takes less than keeping all shingles."""
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, texts in slices(batches, 256, 2 << 20):
+        for (texts,) in slices(batches, 256, 2 << 20):
             doc, run, _, whole = shingles(texts, n)
             on = np.flatnonzero((whole != 0) & nodes.contains(whole))
             short = (run >> U(32)).astype("<u4")
@@ -189,13 +193,15 @@ def shingle_sets(docs: DataFrame, text: str, key: str, n: int, nodes: KeySet) ->
             sets = [np.unique(short[edge[i] : edge[i + 1]]).tobytes() for i in on]
             yield pa.RecordBatch.from_pydict({"node": pa.array(whole[on].view(np.int64)), "shingles": pa.array(sets, pa.binary())})
 
-    return texts_by_id(docs, text, key).mapInArrow(found, "node long, shingles binary").groupBy("node").agg(F.first("shingles").alias("shingles"))
+    return texts_of(docs, text, key).select("text").mapInArrow(found, "node long, shingles binary").groupBy("node").agg(F.first("shingles").alias("shingles"))
 
 
-def jaccard(a: bytes, b: bytes) -> float:
+def jaccard(a: bytes, b: bytes, least: float = 0.0) -> float:
+    """Similarity of two sets; where their sizes keep it below the least one of interest, a bound that is below it too."""
     x, y = np.frombuffer(a, "<u4"), np.frombuffer(b, "<u4")
-    if not len(x) or not len(y) or min(len(x), len(y)) < 0.5 * max(len(x), len(y)):
-        return min(len(x), len(y)) / max(1, len(x), len(y))  # no more than this
+    bound = min(len(x), len(y)) / max(1, len(x), len(y))
+    if bound < least or not bound:
+        return bound
     both = np.concatenate([x, y])
     both.sort()
     common = int((both[1:] == both[:-1]).sum())
@@ -207,14 +213,14 @@ def linked_pairs(pairs: DataFrame, threshold: float) -> DataFrame:
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            on = [jaccard(x, y) >= threshold for x, y in zip(batch.column("sa").to_pylist(), batch.column("sb").to_pylist(), strict=True)]
+            on = [jaccard(x, y, threshold) >= threshold for x, y in zip(batch.column("sa").to_pylist(), batch.column("sb").to_pylist(), strict=True)]
             yield batch.select(["a", "b"]).filter(pa.array(on, pa.bool_()))
 
     return pairs.select("a", "b", "sa", "sb").mapInArrow(check, "a long, b long")
 
 
-def spanning_links(sets: list[np.ndarray], threshold: float) -> list[tuple[int, int]]:
-    """Links between similar sets that connect what all such links would. Overlaps of all sets at once, as products of membership matrices."""
+def similar_sets(sets: list[np.ndarray], threshold: float) -> np.ndarray:
+    """Which sets are similar to which. Overlaps of all sets at once, as products of membership matrices."""
     m = len(sets)
     size = np.array([len(s) for s in sets])
     owner = np.repeat(np.arange(m), size)
@@ -233,47 +239,82 @@ def spanning_links(sets: list[np.ndarray], threshold: float) -> list[tuple[int,
         common += member @ member.T
     similar = common >= threshold * (size[:, None] + size[None, :] - common) - 1e-6
     np.fill_diagonal(similar, False)
-    out, seen = [], np.zeros(m, bool)
-    for root in range(m):
+    return similar
+
+
+def spanning_links(sets: list[np.ndarray], threshold: float, known: np.ndarray) -> list[tuple[int, int]]:
+    """Places of similar sets, as few pairs as connect what all pairs of similar sets would; known: the component of each set, within which no pair is needed."""
+    similar = similar_sets(sets, threshold)
+    same = known[:, None] == known[None, :]
+    out, seen = [], np.zeros(len(sets), bool)
+    for root in range(len(sets)):
         if seen[root]:
             continue
         seen[root] = True
         stack = [root]
         while stack:
             i = stack.pop()
-            found = np.flatnonzero(similar[i] & ~seen)
-            seen[found] = True
-            out += [(i, int(j)) for j in found]
-            stack += found.tolist()
+            one = np.flatnonzero(same[i] & ~seen)
+            seen[one] = True
+            stack += one.tolist()
+            for j in np.flatnonzero(similar[i] & ~seen):
+                if not seen[j]:
+                    out.append((i, int(j)))
+                    one = np.flatnonzero(same[j] & ~seen)
+                    seen[one] = True
+                    stack += one.tolist()
     return out
 
 
-def crowd_links(crowd: DataFrame, threshold: float, block: int) -> DataFrame:
-    """Links within buckets. crowd: bucket, size, node, shingles; a bucket's blocks are compared two by two."""
-    blocks = F.ceil(F.col("size") / block).cast("int")
-    own = F.pmod(F.xxhash64("node", F.lit(1)), blocks).cast("int")
-    other = F.explode(F.sequence(F.lit(0), blocks - 1))
-    rows = crowd.withColumn("own", own).withColumn("other", other).select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", "shingles")
+def block_links(rows: DataFrame, threshold: float, *group: str) -> DataFrame:
+    """a, b: links between components within each group of rows (component, shingles)."""
 
     def links(rows: pa.Table) -> pa.Table:
-        node = rows.column("node").to_numpy()
-        found = spanning_links([np.frombuffer(x, "<u4") for x in rows.column("shingles").to_pylist()], threshold)
-        a, b = ([x[k] for x in found] for k in (0, 1))
-        return pa.table({"a": pa.array(node[a], pa.int64()) if a else pa.array([], pa.int64()), "b": pa.array(node[b], pa.int64()) if b else pa.array([], pa.int64())})
-
-    return rows.groupBy("bucket", "i", "j").applyInArrow(links, "a long, b long")
-
-
-def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", threshold: float = THRESHOLD, words: int = WORDS, bands: int = BANDS, rows: int = ROWS, crowd: int = CROWD, block: int = BLOCK) -> DataFrame:
-    """key and class_id (the smallest key of the class) of each row."""
-    table = written(sketched(docs, text, key, bands, rows, words))
+        component = rows.column("component").to_numpy()
+        _, known = np.unique(component, return_inverse=True)
+        found = [] if not known.any() else spanning_links([np.frombuffer(x, "<u4") for x in rows.column("shingles").to_pylist()], threshold, known)
+        return pa.table([pa.array([component[x[k]] for x in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+    return rows.select(*group, "component", "shingles").groupBy(*group).applyInArrow(links, "a long, b long")
+
+
+def dealt(size: Column, block: int) -> Column:
+    """A block for each node of so many, by the node's hash."""
+    return F.pmod(F.xxhash64("node", F.lit(1)), F.greatest(F.lit(1), F.ceil(size / block))).cast("int")
+
+
+def links_across(crowded: DataFrame, sets: DataFrame, components: DataFrame, threshold: float, block: int) -> DataFrame | None:
+    """Links between the components that a crowded bucket (bucket, size, node) still holds, or None if none holds several.
+
+    The nodes of a bucket's main component are dealt to blocks, and so are all others, which meet each other and these.
+    """
+    member = written(crowded.join(components, "node", "left").withColumn("component", F.coalesce("component", "node")))
+    held = member.groupBy("bucket", "component").agg(F.count("*").alias("n"))
+    open_ = held.groupBy("bucket").agg(F.sum("n").alias("n"), F.max(F.struct("n", "component")).alias("main")).where("n > main.n")
+    open_ = written(open_.select("bucket", "n", F.col("main.component").alias("main"), F.col("main.n").alias("inner"), (F.col("n") - F.col("main.n")).alias("outer")))
+    if not open_.limit(1).count():
+        return None
+    rows = looked_up(member, open_, "bucket").where("main is not null")
+    inside = F.col("component") == F.col("main")
+    own, outer_blocks, inner_blocks = F.when(inside, dealt(F.col("inner"), block)).otherwise(dealt(F.col("outer"), block)), F.ceil(F.col("outer") / block).cast("int"), F.ceil(F.col("inner") / block).cast("int")
+    rows = rows.withColumn("own", own)
+    # i is a block of outer nodes; j one of inner nodes (from 0 on) or of outer nodes (below 0).
+    number = lambda n: F.sequence(F.lit(0), n - 1)
+    with_inner = F.when(inside, F.transform(number(outer_blocks), lambda i: F.struct(i.alias("i"), F.col("own").alias("j")))).otherwise(F.transform(number(inner_blocks), lambda j: F.struct(F.col("own").alias("i"), j.alias("j"))))
+    with_outer = F.when(inside, F.expr("cast(array() as array<struct<i: int, j: int>>)")).otherwise(F.transform(number(outer_blocks), lambda k: F.struct(F.least(k, "own").alias("i"), (-1 - F.greatest(k, F.col("own"))).alias("j"))))
+    rows = rows.select("bucket", "node", "component", F.explode(F.concat(with_inner, with_outer)).alias("at")).select("bucket", "node", "component", "at.i", "at.j")
+    return block_links(rows.join(sets, "node"), threshold, "bucket", "i", "j").distinct()
+
+
+def similar_components(docs: DataFrame, table: DataFrame, text: str, key: str, threshold: float, words: int, crowd: int, block: int) -> DataFrame:
+    """node and component (the smallest node) of every node with a link. table: of sketched()."""
     nodes = table.where("node is not null")
     distinct = nodes.groupBy("node").agg(F.first("bands").alias("bands")).select("node", F.explode("bands").alias("bucket"))
     sizes = written(distinct.groupBy("bucket").agg(F.count("*").alias("size"), F.min("node").alias("low"), F.max("node").alias("high")).where("size > 1"))
     # Most shared buckets hold two nodes, which the aggregate names; the nodes of larger ones are looked up.
     two = sizes.where("size = 2").select(F.col("low").alias("a"), F.col("high").alias("b"))
     large = sizes.where("size > 2").select("bucket", "size")
-    larger = written(placed(nodes, KeySet.store(large.select("bucket"), large.count())).join(large, "bucket"))
+    larger = written(placed(nodes, KeySet.store(large, large.count())))
     few = larger.where(F.col("size") <= crowd).groupBy("bucket").agg(F.sort_array(F.collect_list("node")).alias("nodes"))
     few = few.select(F.explode(F.expr("flatten(transform(nodes, (x, i) -> transform(slice(nodes, i + 2, size(nodes)), y -> struct(x as a, y as b))))")).alias("p")).select("p.a", "p.b")
     pairs = written(two.unionByName(few).distinct())
@@ -282,15 +323,49 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", th
     sets = written(shingle_sets(docs, text, key, words, KeySet.store(wanted, wanted.count())))
     first = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), "a")
     both = first.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb")), "b")
-    links = linked_pairs(both, threshold).unionByName(crowd_links(crowded.join(sets, "node"), threshold, block))
-    components = connected_components(links)
-    labelled = table.select("id", "node").join(components, "node", "left").select("id", F.coalesce("component", "node").alias("label"))
-    least = labelled.where("label is not null").groupBy("label").agg(F.min("id").alias("class_id"))
-    found = labelled.join(least, "label", "left").select(F.col("id").alias(key), F.coalesce("class_id", "id").alias("class_id"))
+    within = crowded.join(sets, "node").withColumn("component", F.col("node")).withColumn("own", dealt(F.col("size"), block))
+    components = connected_components(linked_pairs(both, threshold).unionByName(block_links(within, threshold, "bucket", "own")))
+    across = links_across(crowded, sets, components, threshold, block)
+    if across is None:
+        return components
+    return connected_components(components.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(across))
+
+
+def classes(docs: DataFrame, text: str = "text", key: str = "doc_id", threshold: float = THRESHOLD, words: int = WORDS, bands: int = BANDS, rows: int = ROWS, crowd: int = CROWD, block: int = BLOCK) -> DataFrame:
+    """id, digest (xxhash64 of the text) and first, the least (nameless, id, digest) of its class, of each row; nameless: 1 for a null id, which so comes last."""
+    table = written(sketched(docs, text, key, bands, rows, words))
+    components = similar_components(docs, table, text, key, threshold, words, crowd, block)
+    own = F.struct(F.col("id").isNull().cast("int").alias("nameless"), "id", "digest")
+    nodes = written(table.where("node is not null").groupBy("node").agg(F.min(own).alias("least"), F.count("*").alias("n")))
+    linked = written(nodes.join(components, "node"))
+    of_component = linked.groupBy("component").agg(F.min("least").alias("first"), F.count("*").alias("n"))
+    named = looked_up(linked, of_component, "component").select("node", "first", "n")
+    alone = nodes.where("n > 1").join(components, "node", "left_anti").select("node", F.col("least").alias("first"), "n")
+    found = looked_up(table.select("id", "digest", "node"), written(named.unionByName(alone)), "node")
+    return found.select("id", "digest", F.coalesce("first", own).alias("first"))
+
+
+def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", **how) -> DataFrame:
+    """key and class_id (the smallest key of the class) of each row. how: threshold and the others of classes()."""
+    found = classes(docs.where(F.col(key).isNotNull()), text, key, **how).select(F.col("id").alias(key), F.col("first.id").alias("class_id"))
     nameless = docs.where(F.col(key).isNull()).select(F.lit(None).cast("long").alias(key), F.lit(None).cast("long").alias("class_id"))
     return found.unionByName(nameless)
 
 
+def one_of_each_class(docs: DataFrame, text: str = "text", key: str = "doc_id", **how) -> DataFrame:
+    """The rows of docs, one for each class: the one with the smallest id (null ids last), ties by the text's hash; of rows with one id and text any one.
+
+    Rows are told apart by id and text, so that an id that stands on several texts, or on none, decides for no other text.
+    """
+    names = docs.columns
+    id_, digest, nth = (free_name(names, x) for x in ("row_id", "row_digest", "row_nth"))
+    same = Window.partitionBy(id_, digest).orderBy(id_)
+    rows = docs.withColumn(id_, F.col(key).cast("long")).withColumn(digest, F.xxhash64(text)).withColumn(nth, F.row_number().over(same)).where(F.col(nth) == 1)
+    first = classes(docs, text, key, **how).select(F.col("first.id").alias("first_id"), F.col("first.digest").alias("first_digest")).distinct()
+    on = rows[id_].eqNullSafe(first["first_id"]) & (rows[digest] == first["first_digest"])
+    return rows.join(first, on, "left_semi").select(*names)
+
+
 def expected_miss(similarity: float, bands: int = BANDS, rows: int = ROWS) -> float:
     """Probability that two documents whose sets have this Jaccard similarity share no band."""
     return math.pow(1 - similarity**rows, bands)

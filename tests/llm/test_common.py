@@ -1,10 +1,12 @@
+import os
 import zlib
 
 import numpy as np
 import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
-from lamina.llm.common import KeySet, crc_fold, mapped, shared_dir, slices, store_file
+from lamina.llm.common import KeySet, Recent, crc_fold, local_path, looked_up, mapped, shared_dir, slices, store_file
 
 
 def test_key_sets_hold_their_keys_and_no_others(spark):
@@ -23,7 +25,31 @@ def test_files_are_written_whole_and_mapped(spark):
     store_file(name, [(3).to_bytes(8, "little"), np.arange(3, dtype="<u8").tobytes(), bytes([7, 8, 9])])
     a, b = mapped(name, ("<u8", "u1"))
     assert a.tolist() == [0, 1, 2] and b.tolist() == [7, 8, 9]
-    assert [len(x) for x in mapped(name + "-missing", ("<u8", "u1"))] == [0, 0]
+    with pytest.raises(FileNotFoundError):
+        mapped(name + "-missing", ("<u8", "u1"))
+
+
+def test_a_lost_part_is_an_error(spark):
+    held = KeySet.store(spark.range(1000).select((F.xxhash64("id")).alias("k")), 1000)
+    path = local_path(held.folder)
+    for name in os.listdir(path):
+        os.remove(f"{path}/{name}")
+    with pytest.raises(FileNotFoundError):
+        held.contains(np.arange(0, 2**64, 2**58, dtype=np.uint64))
+
+
+def test_look_ups_of_hot_and_cold_keys(spark):
+    rows = spark.range(5000).select("id", F.when(F.col("id") < 2500, F.lit(7)).when(F.col("id") % 2 == 0, F.col("id")).alias("k"))
+    values = rows.groupBy("k").agg(F.count("*").alias("n")).where("k is not null and k <> 3000").select("k", (F.col("k") * 2).alias("v"), "n")
+    found = {r["id"]: (r["k"], r["v"]) for r in looked_up(rows, values, "k").collect()}
+    assert found == {i: (k, None if k is None or k == 3000 else 2 * k) for i in range(5000) for k in [7 if i < 2500 else i if i % 2 == 0 else None]}
+
+
+def test_long_keys_are_not_kept():
+    kept = Recent(len, 10)
+    assert kept["a" * 1000] == 1000 and kept["abc"] == 3 and list(kept) == ["abc"]
+    for i in range(100):
+        assert kept[str(i)] == len(str(i)) and len(kept) + len(kept.older) <= 20
 
 
 def test_slices_keep_all_rows_in_order():

@@ -90,3 +90,56 @@ def test_repeats_that_differ_in_number(spark):
     hand = classes_by_hand([(i, t) for i, t in rows])
     assert {r["doc_id"]: r["class_id"] for r in neardup.near_duplicates(docs).collect()} == hand
     assert all(hand[2 * i + 1] == 2 * i for i in range(40))
+
+
+def crowd(n, edits, words=120, seed=8):
+    """n texts that each differ from one text in up to so many words."""
+    rng = np.random.default_rng(seed)
+    base = [f"w{i}" for i in range(words)]
+    out = []
+    for i in range(n):
+        own = list(base)
+        for p in rng.choice(words, rng.integers(0, edits + 1), replace=False):
+            own[p] = f"edit{rng.integers(1e6)}"
+        out.append((i, " ".join(own)))
+    return out
+
+
+def test_links_of_a_crowd_grow_with_its_nodes(spark, monkeypatch):
+    taken = []
+    whole = neardup.connected_components
+    monkeypatch.setattr(neardup, "connected_components", lambda links: taken.append(links.distinct().count()) or whole(links))
+    for edits in (3, 6):
+        rows = crowd(300, edits)
+        taken.clear()
+        found = {r["doc_id"]: r["class_id"] for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), crowd=4, block=32, bands=64, rows=3).collect()}
+        assert found == classes_by_hand(rows)
+        nodes = len({t for _, t in rows})
+        assert sum(taken) <= 8 * nodes
+
+
+def test_spanning_links_respect_what_is_known():
+    rng = np.random.default_rng(2)
+    sets = [np.unique(rng.choice(400, 12)).astype("<u4") for _ in range(60)]
+    known = rng.integers(0, 25, 60)
+
+    def top(pairs):
+        up = list(range(60))
+        root = lambda i: i if up[i] == i else root(up[i])
+        for i, j in pairs:
+            a, b = sorted((root(i), root(j)))
+            up[b] = a
+        return [root(i) for i in range(60)]
+
+    same = [(i, j) for i in range(60) for j in range(i) if known[i] == known[j]]
+    for threshold in (0.02, 0.05, 0.1):
+        all_ = [(i, j) for i in range(60) for j in range(i) if len(set(sets[i]) & set(sets[j])) >= threshold * len(set(sets[i]) | set(sets[j]))]
+        few = neardup.spanning_links(sets, threshold, known)
+        assert top(few + same) == top(all_ + same) and len(few) < len(set(known))
+
+
+def test_similarities_below_half_are_verified(spark):
+    a, b = " ".join(f"x{i}" for i in range(40)), " ".join(f"x{i}" for i in range(18))
+    rows = [(1, a), (2, b), (3, " ".join(f"x{i}" for i in range(40, 60)) + " " + a)]
+    found = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), threshold=0.45, bands=64, rows=1)
+    assert {r["doc_id"]: r["class_id"] for r in found.collect()} == classes_by_hand(rows, 0.45) == {1: 1, 2: 2, 3: 1}

@@ -37,7 +37,7 @@ def test_stages(spark, tmp_path):
     by_id = {r[0]: r[1] for r in letters if r[0] is not None}
     classes = classes_by_hand(sorted(by_id.items()))
     assert sorted(r["doc_id"] for r in kept["near_duplicates"] if r["doc_id"] is not None) == sorted({c for c in classes.values()})
-    assert sum(r["doc_id"] is None for r in kept["near_duplicates"]) == 1
+    assert all(r["doc_id"] is not None for r in kept["near_duplicates"])  # a copy without an id goes
     texts = {r["doc_id"]: r["text"] for r in kept["sanitise"]}
     assert "@" not in texts[2000] and all(texts[r[0]] == r[1] for r in clean if r[0] in texts)
     assert all(not by_hand(t) for t in texts.values())
@@ -64,3 +64,22 @@ def test_language_stage_takes_decisions(spark):
     assert kept(docs) == {r[0] for r in rows + short}
     unlabelled = docs.withColumn("lang", F.lit(None).cast("string"))
     assert kept(unlabelled) == {r[0] for r in rows + short + strange}
+
+
+def test_rows_with_shared_ids_and_clashing_columns(spark):
+    """No unique text is lost to an id that stands on others, and no column is overwritten."""
+    own = ["the house and the garden of the old man with water and wood in the morning", "people would write about their small house when there is light on the water", "which of them were not there when the learning began with reading and other things"]
+    names = ["copy", "nth", "score", "lang_pred", "row_id", "row_digest", "likely", "node", "digest", "label", "n", "key"]
+    texts = [(1, own[0]), (5, own[0]), (5, own[1]), (7, own[1] + "!"), (None, own[2]), (None, own[2].upper()), (7, own[0]), (5, own[1])]
+    rows = [(i, t, "en", *[f"{c}{k}" for c in names]) for k, (i, t) in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, " + ", ".join(f"{c} string" for c in names))
+    known = corpus_pipeline.keep_known_languages(spark, docs, "")
+    assert sorted(map(str, known.collect())) == sorted(map(str, docs.collect()))
+    kept = corpus_pipeline.keep_one_of_each_class(spark, docs, "")
+    assert kept.columns == docs.columns
+    got = kept.collect()
+    assert sorted((r["doc_id"] or 0, r["text"].lower()) for r in got) == sorted([(1, own[0]), (5, own[1]), (0, own[2])])
+    assert all(tuple(r) in rows for r in got)
+    clean = corpus_pipeline.sanitise_texts(spark, docs, "").collect()
+    assert sorted(str(r[3:]) for r in clean) == sorted(str(tuple(r[3:])) for r in rows)
+    assert corpus_pipeline.pack_sequences(spark, docs, "").select("doc_id").distinct().count() == 4
