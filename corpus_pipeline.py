@@ -1,17 +1,17 @@
 """Corpus pipeline: language identification, near-duplicate removal, sanitisation, packing.
 
 Each stage takes (spark, docs, sf_dir); what it returns is written as Parquet and read again as the next one's docs.
-Nulls: a null text has no language and goes in the first stage; rows with a null id are never duplicates. Repeated
-rows (same id and text) are copies, of which one stays. Extra columns are kept as they are; an empty table gives
-empty stages.
+Nulls: a null text has no language and goes in the first stage. Rows are told apart by id and text: an id that stands
+on several texts, or none, decides for no other text. Repeated rows (same id and text) are copies, of which one stays.
+Extra columns, whatever their names, are kept as they are until texts become sequences; an empty table gives empty
+stages. Stages lower the session's rows of an Arrow batch to 1,000, since they return before Spark reads that setting.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 from lamina.llm import language, neardup, packing, private
 from lamina.llm.common import bound_batches, shared_dir, written
@@ -20,18 +20,13 @@ from lamina.llm.common import bound_batches, shared_dir, written
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without letters, and those that are too unlike the language they are most like, go. All labelled rows are learnt; without any, all documents with letters stay."""
     bound_batches(spark)
-    profiles = language.Profiles.fit(docs)
-    return profiles.applied(docs, docs.columns, "text").where("likely").select(*docs.columns)
+    return language.Profiles.fit(docs).likely_rows(docs)
 
 
 def keep_one_of_each_class(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each near-duplicate class stays."""
+    """The document with the smallest id of each near-duplicate class stays; one without an id only where all are."""
     bound_batches(spark)
-    classes = neardup.near_duplicates(docs)
-    gone = classes.where("doc_id <> class_id").select("doc_id").distinct()
-    same = Window.partitionBy("doc_id", "copy").orderBy("copy")
-    left = docs.join(gone, "doc_id", "left_anti").withColumn("copy", F.xxhash64("text"))
-    return left.withColumn("nth", F.row_number().over(same)).where("nth = 1").select(*docs.columns)
+    return neardup.one_of_each_class(docs)
 
 
 def sanitise_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
