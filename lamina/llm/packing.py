@@ -4,8 +4,9 @@ Documents become token ids, ended by a separator. Blocks of the largest window a
 document is dealt to buckets of bounded size and, there, routed to the smallest tier (power of two) that holds it. Each
 tier is packed from the longest: a window opens with its own document, then takes the longest shorter documents that
 fit, and a last one is cut to fill it. When no shorter document is left, the next of the same tier is cut. The one
-window of a bucket that stays open is cut into powers of two, so nothing is padded. Windows then form step groups of
-equal token counts.
+window of a bucket that stays open is cut into powers of two, so nothing is padded. A bucket's windows then form as
+many step groups as fit best, each window, longest first, going to the group with the fewest tokens: groups of a bucket
+differ by a window at most, and no bucket leaves a short one over.
 
 A null text counts as empty: its one token is the separator. Repeated rows and ids are separate documents. Other
 columns are not looked at; an empty table gives an empty one. Texts may be of any length.
@@ -14,15 +15,16 @@ columns are not looked at; an empty table gives an empty one. Texts may be of an
 from __future__ import annotations
 
 import re
-import unicodedata
+import sys
 import zlib
+from array import array
 from bisect import bisect_right, insort
 from collections.abc import Iterator
 from functools import lru_cache
+from heapq import heappop, heappush
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,52 +36,50 @@ TIERS = (512, 1024, 2048, 4096)
 STEP_TOKENS = 16 * WINDOW
 #: Bytes of text that go to a bucket, on average.
 BUCKET_BYTES = 1_500_000
-#: Words and parts of words that a worker keeps the ids of: twice so many at most.
-WORDS, BITS = 400_000, 200_000
+#: Parts of texts that a worker keeps the ids of: twice so many at most.
+BITS = 500_000
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, sequence_tokens long, step_id long"
-ODD_SPACE = re.compile("[\x1c-\x1f]")
 PLAIN_SPACE = re.compile(r"[ \t\n\r]+")
+#: Characters that the library's normalizer only lower-cases: ASCII and Latin letters without a dotted capital I.
+ODD = re.compile("[^\t\n\r -~\xc0-\u012f\u0131-\u017f]")
+#: The library's split of such a text in lower case: endings, letters, single digits, runs of others; white space goes.
+PARTS = re.compile("'(?:s|t|re|ve|m|ll|d)|[a-z\xdf-\xf6\xf8-\u017f]+|[0-9]|[^\\sa-z0-9\xdf-\xf6\xf8-\u017f]+")
 
 
 class WordIds:
-    """Ids of words, as bytes. White space always separates words for this tokenizer, so each is looked up by itself.
+    """Ids of texts, as bytes. The library's own model merges the symbols of a part, once for each part that is kept.
 
-    The library's own model merges; its normalizer and splitter are applied here to words of letters, and by the
-    library to all others.
+    Its normalizer and splitter are applied here to words of common letters, and by the library to all others: white
+    space always separates words for this tokenizer.
     """
 
-    SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
-
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
         self.model = self.whole.model
-        self.wide = "<u2" if self.whole.get_vocab_size() <= 0x10000 else "<u4"
+        self.wide, self.code = ("<u2", "H") if self.whole.get_vocab_size() <= 0x10000 else ("<u4", "I")
         self.symbol = str.maketrans({chr(b): c for b, c in enumerate(byte_symbols())})
-        self.words = Recent(self.word, WORDS)
         self.bits = Recent(self.bit, BITS)
 
     def packed(self, ids: list[int]) -> bytes:
-        return np.array(ids, self.wide).tobytes()
+        out = array(self.code, ids)
+        if sys.byteorder == "big":
+            out.byteswap()
+        return out.tobytes()
 
     def bit(self, text: str) -> bytes:
         shown = text if text.isascii() else text.encode().decode("latin-1").translate(self.symbol)
         return self.packed([t.id for t in self.model.tokenize(shown)])
 
-    def word(self, text: str) -> bytes:
-        if text.isascii():
-            if text.isalpha():
-                return self.bits[text.lower()]
-            if not text.isprintable() or "<|" in text:
-                return self.packed(self.whole.encode(text, add_special_tokens=False).ids)
-        elif not unicodedata.is_normalized("NFC", text) or not regex.fullmatch(r"[!-~¡-ÿĀ-ſ]+", text) or "İ" in text or "<|" in text:
-            return self.packed(self.whole.encode(text, add_special_tokens=False).ids)
-        return b"".join(map(self.bits.__getitem__, self.SPLIT.findall(text.lower())))
+    def plain(self, text: str) -> bytes:
+        return b"".join(map(self.bits.__getitem__, PARTS.findall(text.lower())))
 
     def ids(self, text: str) -> bytes:
-        words = text.split() if not ODD_SPACE.search(text) else [w for w in PLAIN_SPACE.split(text) if w]
-        return b"".join(map(self.words.__getitem__, words))
+        if "<|" not in text and not ODD.search(text):
+            return self.plain(text)
+        odd = lambda w: "<|" in w or ODD.search(w)
+        return b"".join([self.packed(self.whole.encode(w, add_special_tokens=False).ids) if odd(w) else self.plain(w) for w in PLAIN_SPACE.split(text) if w])
 
 
 @lru_cache(maxsize=2)
@@ -147,6 +147,16 @@ def packed_windows(lengths: list[int], tiers: tuple[int, ...] = TIERS) -> list[l
     return out
 
 
+def balanced(sizes: list[int], step: int) -> list[int]:
+    """The step group of each window: as many groups as bring their tokens closest to a step, equally filled."""
+    groups = [(0, g) for g in range(max(1, round(sum(sizes) / step)))]
+    out = [0] * len(sizes)
+    for i in sorted(range(len(sizes)), key=lambda i: -sizes[i]):
+        filled, out[i] = heappop(groups)
+        heappush(groups, (filled + sizes[i], out[i]))
+    return out
+
+
 def pack(docs: DataFrame, path: str | None = None, text: str = "text", key: str = "doc_id", separator: int = 2, tiers: tuple[int, ...] = TIERS, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """Pieces: a row for each run of a document's ids in a sequence, with the sequence's length and step group.
 
@@ -177,15 +187,15 @@ def pack(docs: DataFrame, path: str | None = None, text: str = "text", key: str
         wide = encoder_width(path)
         made = [[(i, 0, window)] for i, x in enumerate(ids) if x is None]
         made += [[(rest[i], at, n) for i, at, n in w] for w in packed_windows([length[i] for i in rest], tiers)]
-        made.sort(key=lambda w: -sum(n for *_, n in w))
-        rows, filled = [], 0
-        for s, w in enumerate(made):
-            size, offset = sum(n for *_, n in w), 0
+        sizes = [sum(n for *_, n in w) for w in made]
+        group = balanced(sizes, step)
+        rows = []
+        for s, (w, size) in enumerate(zip(made, sizes, strict=True)):
+            offset = 0
             for i, at, n in w:
                 digest = sums[i] if ids[i] is None else crc(np.frombuffer(ids[i], wide)[at : at + n])
-                rows.append((doc[i], start[i] + at, n, digest, tokens[i], number + s, offset, size, number + filled // step))
+                rows.append((doc[i], start[i] + at, n, digest, tokens[i], number + s, offset, size, number + group[s]))
                 offset += n
-            filled += size
         return pa.table([pa.array([r[i] for r in rows], pa.int64()) for i in range(9)], names=[x.split()[0] for x in PIECE.split(", ")])
 
     docs = docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))

@@ -74,3 +74,14 @@ def test_pack(spark, docs, texts):
         assert at <= 4096 and at & (at - 1) == 0
     assert sum(r["length"] for r in rows) == sum(map(len, ids.values())) + len(ids[99])
     assert packing.pack(docs.where("false")).count() == 0
+
+
+def test_step_groups_are_balanced():
+    rng = np.random.default_rng(6)
+    for total in (1, 20, 90, 400):
+        sizes = [4096] * total + [2**b for b in range(11)]
+        rng.shuffle(sizes)
+        group = packing.balanced(sizes, 65536)
+        filled = np.bincount(group, sizes)
+        assert filled.max() - filled.min() <= 4096 and len(filled) == max(1, round(sum(sizes) / 65536))
+        assert total < 90 or abs(filled / 65536 - 1).max() < 0.25
