@@ -5,27 +5,36 @@ direction and code are kept as correction scalars. A query's inner product with
 the estimate's error has a bound that follows from the scalars. Within each block of vectors, those whose upper bound
 reaches the k-th largest lower bound met so far are reranked by exact inner products in double precision.
 
-Every vector is indexed and meets every query, in blocks: vectors are dealt to lanes and queries to chunks, both of
-bounded size, and a task holds one lane and one chunk. A lane returns k rows for a query at most.
+Every vector is indexed and meets every query, in blocks: the index is written once to the shared folder, in lanes of
+bounded size, and so are the queries, in chunks. A task maps one chunk and, one after another, some lanes; it reads all
+codes, and original vectors only of those to be reranked. Neither is shuffled for each other; what is shuffled are k
+rows of each query and task.
 
 Vectors that are null, zero or of another length than the first, or that hold null or non-finite components, and rows
 with a null id take no part. A query's own id is no candidate for it. Ties go to the smaller id; repeated rows are
-separate candidates. An empty table or query set gives no rows. Other columns are not looked at.
+separate candidates; of several rows of a query's id, the least vector asks. An empty table or query set gives no rows.
+Other columns are not looked at.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lamina.llm.common import mapped, shared_dir, store_file
+
 #: Standard errors that an estimate may be off.
 BOUND = 2.5
-LANE, CHUNK = (4096, 131_072), (256, 65_536)
+#: The least and largest number of vectors in a lane and of queries in a chunk, and of lanes that a task goes through.
+LANE, CHUNK, LANES = (4096, 524_288), (256, 65_536), (1, 16)
+#: Bytes of vectors in a lane or chunk, at most (but for the least numbers above).
+PART_BYTES = 128 << 20
 
 
 @lru_cache(maxsize=2)
@@ -50,83 +59,113 @@ def coded(vectors: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray, np.nd
     return np.packbits(turned > 0, axis=1), norm, np.abs(turned).sum(axis=1) / np.sqrt(dims)
 
 
-def encode(vectors: DataFrame, seed: int, kind: str) -> DataFrame:
-    """Rows id, vector (bytes, components as they were), code, norm, fit."""
+def lane_kinds(dims: int, kind: str) -> tuple[str, ...]:
+    """id, norm, fit, code and vector of a lane's file."""
+    return ("<i8", "<f8", "<f8", f"({-(-dims // 8)},)u1", f"({dims},){kind}")
+
+
+def stored_parts(rows: DataFrame, parts: int, store: Callable[[int, np.ndarray, np.ndarray], None]) -> None:
+    """Deals rows (id, vector) to so many parts, equal ones too, and has each stored by its number, ids and vectors; empty ones too."""
 
-    def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def salted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at = 0
         for batch in batches:
-            if batch.num_rows:
-                flat = batch.column("vector").flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-                v = flat.reshape(batch.num_rows, -1)
-                code, norm, fit = coded(v, seed)
-                yield pa.RecordBatch.from_pydict({"id": batch.column("id"), "vector": pa.array([x.tobytes() for x in v.astype(kind)], pa.binary()), "code": pa.array([x.tobytes() for x in code], pa.binary()), "norm": pa.array(norm), "fit": pa.array(fit)})
+            yield batch.append_column("salt", pa.array(range(at, at + batch.num_rows), pa.int64()))
+            at += batch.num_rows
 
-    return vectors.mapInArrow(encoded, "id long, vector binary, code binary, norm double, fit double")
+    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [b for b in batches if b.num_rows]
+        ids = np.concatenate([np.asarray(b.column("id")) for b in held]) if held else np.empty(0, np.int64)
+        vectors = np.concatenate([b.column("vector").flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1) for b in held]) if held else np.empty((0, 0))
+        store(TaskContext.get().partitionId(), ids, vectors)
+        yield pa.RecordBatch.from_pydict({"n": pa.array([len(ids)], pa.int64())})
 
+    kinds = ", ".join(f"{c} {t}" for c, t in rows.dtypes)
+    dealt = rows.mapInArrow(salted, f"{kinds}, salt long").repartitionById(parts, F.pmod(F.xxhash64("id", "salt"), F.lit(parts)).cast("int"))
+    dealt.select("id", "vector").mapInArrow(kept, "n long").agg(F.sum("n")).collect()
 
-def best(queries: np.ndarray, own: np.ndarray, ids: np.ndarray, vectors: np.ndarray, code: np.ndarray, norm: np.ndarray, fit: np.ndarray, k: int, seed: int, bound: float, block: int = 4096, group: int = 128) -> list[tuple[int, np.ndarray, np.ndarray]]:
-    """(query's place, ids, scores) of each query's k best vectors here."""
-    dims = vectors.shape[1]
-    turned = queries @ rotation(dims, seed)
+
+def best(queries: np.ndarray, own: np.ndarray, lanes: Iterable[list[np.ndarray]], k: int, seed: int, bound: float, block: int = 4096, group: int = 128) -> list[tuple[np.ndarray, np.ndarray]]:
+    """ids and scores of each query's k best vectors in the lanes (id, norm, fit, code, vector), which are gone through in turn."""
+    dims = queries.shape[1]
+    turned = (queries @ rotation(dims, seed)).astype(np.float32)
     size = np.linalg.norm(queries, axis=1)
-    error = bound * norm * np.sqrt(np.maximum(0, 1 - fit**2)) / (fit * np.sqrt(max(1, dims - 1)))
-    scale = norm / (fit * np.sqrt(dims))
-    out = []
-    for at in range(0, len(queries), group):
-        q, o = slice(at, at + group), own[at : at + group]
-        found_i = [np.empty(0, np.int64)] * len(o)
-        found_s = [np.empty(0)] * len(o)
-        least = np.full(len(o), -np.inf)  # k-th best exact score so far
+    found_i = [np.empty(0, np.int64)] * len(own)
+    found_s = [np.empty(0)] * len(own)
+    least = np.full(len(own), -np.inf)  # k-th best exact score so far
+    for ids, norm, fit, code, vectors in lanes:
         for b in range(0, len(ids), block):
             part = slice(b, b + block)
+            who_, norm_, fit_ = (np.asarray(x[part]) for x in (ids, norm, fit))
             signs = np.unpackbits(code[part], axis=1, count=dims).astype(np.float32) * 2 - 1
-            guess = (turned[q].astype(np.float32) @ signs.T) * scale[part]
-            slack = error[part][None, :] * size[q][:, None] + 1e-5 * norm[part][None, :] * size[q][:, None]
-            same = ids[part][None, :] == o[:, None]
-            low = np.where(same, -np.inf, guess - slack)
-            n = min(k, low.shape[1])
-            floor = np.partition(low, low.shape[1] - n, axis=1)[:, low.shape[1] - n] if n == k else np.full(len(o), -np.inf)
-            keep = (guess + slack >= np.maximum(floor, least)[:, None]) & ~same
-            for i in range(len(o)):
-                on = np.flatnonzero(keep[i])
-                if len(on):
-                    score = np.concatenate([found_s[i], vectors[part][on].astype(np.float64) @ queries[at + i]])
-                    who = np.concatenate([found_i[i], ids[part][on]])
-                    order = np.lexsort((who, -score))[:k]
-                    found_i[i], found_s[i] = who[order], score[order]
-                    if len(order) == k:
-                        least[i] = found_s[i][-1]
-        out += [(at + i, found_i[i], found_s[i]) for i in range(len(o))]
-    return out
+            error = bound * norm_ * np.sqrt(np.maximum(0, 1 - fit_**2)) / (fit_ * np.sqrt(max(1, dims - 1))) + 1e-5 * norm_
+            scale = norm_ / (fit_ * np.sqrt(dims))
+            for at in range(0, len(own), group):
+                q = slice(at, at + group)
+                guess = (turned[q] @ signs.T) * scale
+                slack = error[None, :] * size[q][:, None]
+                same = who_[None, :] == own[q][:, None]
+                low = np.where(same, -np.inf, guess - slack)
+                n = min(k, low.shape[1])
+                floor = np.partition(low, low.shape[1] - n, axis=1)[:, low.shape[1] - n] if n == k else np.full(len(low), -np.inf)
+                keep = (guess + slack >= np.maximum(floor, least[q])[:, None]) & ~same
+                for i in range(len(low)):
+                    on = np.flatnonzero(keep[i])
+                    if len(on):
+                        score = np.concatenate([found_s[at + i], vectors[part][on].astype(np.float64) @ queries[at + i]])
+                        who = np.concatenate([found_i[at + i], who_[on]])
+                        order = np.lexsort((who, -score))[:k]
+                        found_i[at + i], found_s[at + i] = who[order], score[order]
+                        if len(order) == k:
+                            least[at + i] = found_s[at + i][-1]
+    return list(zip(found_i, found_s, strict=True))
+
+
+def parts_of(n: int, size: tuple[int, int], least: int) -> int:
+    """Parts of a size within bounds, so many at least where that size allows it."""
+    return -(-n // min(size[1], max(size[0], -(-n // least)))) or 1
 
 
 def nearest(vectors: DataFrame, is_query: Column, k: int = 20, key: str = "vec_id", vector: str = "embedding", seed: int = 5, bound: float = BOUND, lane: tuple[int, int] = LANE, chunk: tuple[int, int] = CHUNK) -> DataFrame:
     """query_id, rank (from 1), key and score of the k vectors found nearest to each query.
 
-    is_query: of the columns of vectors. lane, chunk: the least and largest number of vectors and queries in a task.
+    is_query: of the columns of vectors. lane, chunk: the least and largest number of vectors and queries in one.
     """
+    spark = vectors.sparkSession
     kind = "<f4" if dict(vectors.dtypes)[vector] == "array<float>" else "<f8"
     rows = vectors.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<float>" if kind == "<f4" else "array<double>").alias("vector"), F.coalesce(is_query, F.lit(False)).alias("asks")).where(F.col("id").isNotNull() & usable(F.col("vector")))
     known = rows.agg(F.count("*").alias("n"), F.count_if("asks").alias("q"), F.min(F.struct("id", F.size("vector").alias("dims"))).alias("first")).first()
-    n, asked, dims = known["n"], known["q"], known["first"]["dims"] if known["n"] else 0
+    dims = known["first"]["dims"] if known["n"] else 0
     rows = rows.where(F.size("vector") == dims)
-    lanes = -(-n // min(lane[1], max(lane[0], -(-n // 8)))) or 1
-    chunks = -(-asked // min(chunk[1], max(chunk[0], -(-asked // 4)))) or 1
-    spread = lambda column, parts, salt: F.pmod(F.xxhash64(column, F.lit(salt)), F.lit(parts)).cast("int")
-    index = encode(rows.select("id", "vector"), seed, kind).withColumn("lane", spread("id", lanes, 1)).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
-    asks = rows.where("asks").select("id", "vector").withColumn("chunk", spread("id", chunks, 2)).withColumn("lane", F.explode(F.sequence(F.lit(0), F.lit(lanes - 1))))
-
-    def found(left: pa.Table, right: pa.Table) -> pa.Table:
-        names = ["query_id", "id", "score"]
-        if not left.num_rows or not right.num_rows:
-            return pa.table({"query_id": pa.array([], pa.int64()), "id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
-        column = lambda t, c: t.column(c).to_numpy()
-        data = lambda c, kind: np.frombuffer(b"".join(left.column(c).to_pylist()), kind).reshape(left.num_rows, -1)
-        own = column(right, "id")
-        queries = np.array(right.column("vector").combine_chunks().flatten(), np.float64).reshape(len(own), -1)
-        out = best(queries, own, column(left, "id"), data("vector", kind), data("code", np.uint8), column(left, "norm"), column(left, "fit"), k, seed, bound)
-        return pa.table([np.repeat([own[i] for i, *_ in out], [len(x) for _, x, _ in out]).astype(np.int64), np.concatenate([x for _, x, _ in out]), np.concatenate([x for *_, x in out])], names=names)
-
-    met = index.groupBy("lane", "chunk").cogroup(asks.groupBy("lane", "chunk")).applyInArrow(found, "query_id long, id long, score double")
+    most = PART_BYTES // max(1, dims * int(kind[-1]))
+    lanes, chunks = (parts_of(n, (size[0], max(size[0], min(size[1], most))), least) for n, size, least in ((known["n"], lane, 8), (known["q"], chunk, 4)))
+    folder = shared_dir(spark)
+
+    def store_lane(number: int, ids: np.ndarray, vectors: np.ndarray) -> None:
+        blocks = [coded(vectors[at : at + 4096].astype(np.float64), seed) for at in range(0, len(ids), 4096)]
+        code, norm, fit = (np.concatenate(x) for x in zip(*blocks, strict=True)) if blocks else (np.empty(0),) * 3
+        store_file(f"{folder}/lane-{number}", [len(ids).to_bytes(8, "little"), ids.tobytes(), norm.tobytes(), fit.tobytes(), code.tobytes(), vectors.astype(kind).tobytes()])
+
+    def store_chunk(number: int, ids: np.ndarray, vectors: np.ndarray) -> None:
+        store_file(f"{folder}/chunk-{number}", [len(ids).to_bytes(8, "little"), ids.tobytes(), vectors.astype(kind).tobytes()])
+
+    stored_parts(rows.select("id", "vector"), lanes, store_lane)
+    stored_parts(rows.where("asks").groupBy("id").agg(F.min("vector").alias("vector")), chunks, store_chunk)
+    several = min(LANES[1], max(LANES[0], lanes * chunks // 256))
+    groups = -(-lanes // several)
+
+    def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for task in batch.column("id").to_pylist():
+                own, queries = mapped(f"{folder}/chunk-{task % chunks}", ("<i8", f"({dims},){kind}"))
+                first = task // chunks * several
+                index = (mapped(f"{folder}/lane-{i}", lane_kinds(dims, kind)) for i in range(first, min(lanes, first + several)))
+                found = best(np.asarray(queries, np.float64), np.asarray(own), index, k, seed, bound) if len(own) else []
+                for at in range(0, len(found), 4096):
+                    some = found[at : at + 4096]
+                    ids = np.repeat(own[at : at + 4096], [len(x) for x, _ in some])
+                    yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(np.concatenate([x for x, _ in some])), pa.array(np.concatenate([x for _, x in some]))], names=["query_id", "id", "score"])
+
+    tasks = spark.range(0, groups * chunks, 1, groups * chunks)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
-    return met.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", F.col("id").alias(key), "score")
+    return tasks.mapInArrow(met, "query_id long, id long, score double").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", F.col("id").alias(key), "score")

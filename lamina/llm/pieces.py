@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lamina.llm.common import slices, tokenizer_path
+from lamina.llm.common import LONGEST, slices, tokenizer_path
 
 MARK = "▁"
 RUNS = re.compile(f"{MARK}+[^{MARK}\n]*|\n|[^{MARK}\n]+")
@@ -116,12 +116,16 @@ class PieceCodec:
             if len(self.known) + len(new) > CACHE:
                 new = {p for parts in every for p in parts}
             self.learn(new)
+        long = [p for p in new if len(p) > LONGEST]
         begin, end = self.begin.to_bytes(4, "little"), self.end.to_bytes(4, "little")
         get, odd = self.known.__getitem__, self.odd
         out = []
         for parts in every:
             back = "".join([odd.get(p, p) for p in parts] if odd else parts).replace(MARK, " ")
             out.append((begin + b"".join(map(get, parts)) + end, back[1:] if back[:1] == " " else back))
+        for p in long:  # so that the number of parts bounds their bytes
+            del self.known[p]
+            odd.pop(p, None)
         return out
 
 

@@ -20,13 +20,13 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lamina.llm.common import slices, tokenizer_path
+from lamina.llm.common import Recent, slices, tokenizer_path
 
 PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 #: A single newline or space between two other characters always starts a token; a newline there is one by itself.
 LINE, SPACE = re.compile(r"(?<=\S)\n(?=\S)"), re.compile(r"(?<=\S) (?=\S)")
-#: Words that a worker keeps the counts of, at most.
-CACHE = 1_000_000
+#: Words that a worker keeps the counts of: twice so many at most, and as many at the start of lines.
+CACHE = 500_000
 
 
 def byte_symbols() -> list[str]:
@@ -50,8 +50,8 @@ class PairMerger:
             self.made.append(vocab[a + b])
         names = [re.escape(t["content"]) for t in model.get("added_tokens", ())]
         self.special = re.compile("|".join(names)) if names else None
-        self.first: dict[str, int] = {}
-        self.later: dict[str, int] = {}
+        self.first = Recent(self.word, CACHE)
+        self.later = Recent(lambda w: self.word(" " + w), CACHE)
 
     def merged(self, data: bytes) -> int:
         """Symbols left of data. The heap holds rank and place of adjacent pairs; entries that a merge made stale are skipped."""
@@ -93,25 +93,10 @@ class PairMerger:
             return 0
         lines = LINE.split(text)
         total = len(lines) - 1
-        first, later = self.first, self.later
+        first, later = self.first, self.later.__getitem__
         for line in lines:
-            words = SPACE.split(line) if " " in line else [line]
-            head = words[0]
-            if (n := first.get(head)) is None:
-                if len(first) >= CACHE:
-                    first.clear()
-                n = first[head] = self.word(head)
-            total += n
-            del words[0]
-            try:
-                total += sum(map(later.__getitem__, words))
-            except KeyError:
-                if len(later) >= CACHE:
-                    later.clear()
-                for w in words:
-                    if w not in later:
-                        later[w] = self.word(" " + w)
-                    total += later[w]
+            head, *words = SPACE.split(line) if " " in line else (line,)
+            total += first[head] + sum(map(later, words))
         return total
 
     def count(self, text: str) -> int:
