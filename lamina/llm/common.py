@@ -74,9 +74,9 @@ def looked_up(rows: DataFrame, values: DataFrame, key: str, total: int | None =
     at, often, seldom = (free_name([*names, *new], x) for x in ("spread", "often", "seldom"))
     value = F.struct(*new)
     met = rows.join(F.broadcast(values.where(hot).select(key, value.alias(often))), key, "left")
-    met = met.withColumn(at, F.when(F.col(often).isNotNull(), F.xxhash64(*names)).otherwise(F.col(key)))
+    met = met.withColumn(at, F.when(F.col(often).isNotNull() | F.col(key).isNull(), F.xxhash64(*names).cast(rows.schema[key].dataType)).otherwise(F.col(key)))
     met = met.join(values.where(~hot).select(F.col(key).alias(at), value.alias(seldom)), at, "left")
-    return met.select(*names, *[F.coalesce(F.col(often)[c], F.col(seldom)[c]).alias(c) for c in new])
+    return met.select(*names, *[F.when(F.col(key).isNotNull(), F.coalesce(F.col(often)[c], F.col(seldom)[c])).alias(c) for c in new])
 
 
 def crc_fold(doc_id: Column, modulus: int = 5) -> Column:

@@ -5,8 +5,10 @@ payload's SHA-256. Pages are HTML: parsing gives an ordered array of parts, each
 digest (`<img src="sha256:...">`), with the caption of the figure around it. References are resolved by a join on the
 digest; positions and captions stay with them.
 
-A null text or page counts as empty: no parts, or the payload of 64 zero bytes. Equal payloads share one digest and
-one media row. A reference without a media row keeps its place, with nulls. A part's position counts from 0.
+A null text or page counts as empty: no parts, or the payload of 64 zero bytes. Equal payloads have one digest, and
+equal features. A reference without a media row keeps its place, with nulls. A part's position counts from 0. Rows are
+independent, whatever their keys: repeated or null ones are pages of their own. Columns not asked for are not looked
+at, those asked for are kept. Empty tables give empty ones. Pages and payloads may be of any length.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lamina.llm.common import slices
+from lamina.llm.common import free_name, looked_up, slices
 
 WIDTH = 64
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
@@ -69,17 +71,18 @@ def decoded(media: bytes) -> bytes:
 
 def feature(payload: bytes) -> str:
     """Size, mean and spread of the samples, and a coarse histogram of 8 bins in thousandths."""
-    v = np.frombuffer(payload, np.uint8)
-    share = np.bincount(v >> 5, minlength=8) * 1000 // len(v)
-    total, square = int(v.sum(dtype=np.int64)), int((v.astype(np.int64) ** 2).sum())
+    v, value = np.frombuffer(payload, np.uint8), np.arange(256)
+    count = sum(np.bincount(v[at : at + (1 << 20)], minlength=256) for at in range(0, len(v), 1 << 20))
+    share = count.reshape(8, 32).sum(axis=1) * 1000 // len(v)
+    total, square = int(count @ value), int(count @ value**2)
     mean = total / len(v)
     return f"{WIDTH}x{len(v) // WIDTH};mean={mean:.3f};sd={max(0.0, square / len(v) - mean * mean) ** 0.5:.3f};hist={'-'.join(map(str, share))}"
 
 
 class Parts(HTMLParser):
-    """Text and media references in the order of the page."""
+    """Text and media references in the order of the page. A caption belongs to all images of its figure, before or after it."""
 
-    SKIPPED = {"script", "style", "template", "noscript"}
+    SKIPPED = {"script", "style"}
     BLOCKS = {"p", "div", "h1", "h2", "h3", "h4", "h5", "h6", "li", "tr", "td", "th", "article", "section", "blockquote", "pre", "figure", "ul", "ol", "table", "br", "title", "nav"}
 
     def __init__(self):
@@ -87,7 +90,9 @@ class Parts(HTMLParser):
         self.out: list[list] = []  # kind, text, digest, caption
         self.text: list[str] = []
         self.skip = 0
+        self.inert: list[int] = []  # where open templates begin
         self.figure: list[int] | None = None
+        self.said: str | None = None  # the caption of the open figure
         self.caption: list[str] | None = None
 
     def flush(self) -> None:
@@ -95,9 +100,31 @@ class Parts(HTMLParser):
             self.out.append(["text", said, None, None])
         self.text = []
 
+    def end_caption(self) -> None:
+        """Takes up what was said since the caption began; outside a figure that is text."""
+        if self.caption is not None:
+            words, self.caption = " ".join("".join(self.caption).split()), None
+            if self.figure is None:
+                self.text = [words]
+                self.flush()
+            else:
+                self.said = " ".join(filter(None, (self.said, words)))
+
+    def end_figure(self) -> None:
+        self.end_caption()
+        if self.figure:
+            for i in self.figure if self.said is not None else ():
+                self.out[i][3] = self.said
+        elif self.said:  # a caption of nothing
+            self.out.append(["text", self.said, None, None])
+        self.figure = self.said = None
+
     def handle_starttag(self, tag, attrs):
         if tag in self.SKIPPED:
             self.skip += 1
+        elif tag == "template":
+            self.flush()
+            self.inert.append(len(self.out))
         elif tag == "img":
             self.flush()
             given = dict(attrs)
@@ -106,56 +133,78 @@ class Parts(HTMLParser):
             if self.figure is not None:
                 self.figure.append(len(self.out) - 1)
         elif tag == "figcaption":
+            self.end_caption()
             self.flush()
             self.caption = []
         elif tag in self.BLOCKS:
-            self.flush()
+            if self.caption is None:
+                self.flush()
+            else:
+                self.caption.append(" ")
             if tag == "figure":
+                self.end_figure()
                 self.figure = []
 
     def handle_endtag(self, tag):
         if tag in self.SKIPPED:
             self.skip = max(0, self.skip - 1)
-        elif tag == "figcaption" and self.caption is not None:
-            said = " ".join("".join(self.caption).split())
-            for i in self.figure or ():
-                self.out[i][3] = said
-            self.caption = None
+        elif tag == "template" and self.inert:
+            self.text = []
+            del self.out[self.inert.pop() :]
+            if self.figure is not None:
+                self.figure = [i for i in self.figure if i < len(self.out)]
+        elif tag == "figcaption":
+            self.end_caption()
         elif tag in self.BLOCKS:
-            self.flush()
+            if self.caption is None or tag == "figure":
+                self.flush()
+            else:
+                self.caption.append(" ")
             if tag == "figure":
-                self.figure = None
+                self.end_figure()
 
     def handle_data(self, data):
         if not self.skip:
             (self.text if self.caption is None else self.caption).append(data)
 
+    def ended(self) -> list[list]:
+        """All parts. Of a figure that never ends, the words since its caption began are text."""
+        if self.caption is not None and self.figure is not None:
+            words, self.caption = self.caption, None
+            self.end_figure()
+            self.text = words
+        self.end_caption()
+        self.end_figure()
+        self.flush()
+        return self.out
+
 
 def parsed(html: str) -> list[list]:
     p = Parts()
     p.feed(html)
     p.close()
-    p.flush()
-    return p.out
+    return p.ended()
+
+
+PART = [("position", pa.int32()), ("kind", pa.string()), ("text", pa.string()), ("digest", pa.string()), ("caption", pa.string())]
 
 
 def parse_pages(pages: DataFrame, html: str, *keep: str) -> DataFrame:
-    """The columns named in keep, position, kind (text or media), text, digest, caption: a row for each part, in order."""
+    """The columns named in keep, and parts: an array of structs of position, kind (text or media), text, digest and caption, in order. A row for each page."""
+    shown = free_name(list(keep), "html")
 
     def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows, at = [], []
-            for i, page in enumerate(batch.column("html").to_pylist()):
-                found = parsed(page or "")
-                rows += [(k, *part) for k, part in enumerate(found)]
-                at += [i] * len(found)
-            own = pa.Table.from_batches([batch.select(list(keep))]).take(pa.array(at, pa.int64())).combine_chunks()
-            found = [pa.array([r[i] for r in rows], t) for i, t in enumerate([pa.int32(), *[pa.string()] * 4])]
-            yield from pa.table([*own.columns, *found], names=[*keep, "position", "kind", "text", "digest", "caption"]).combine_chunks().to_batches()
+            done = 0
+            for (some,) in slices([batch.select([shown])], 200, 8 << 20):
+                found = [[dict(zip([n for n, _ in PART], (k, *part), strict=True)) for k, part in enumerate(parsed(page or ""))] for page in some]
+                own = batch.slice(done, len(some)).select(list(keep))
+                done += len(some)
+                yield pa.RecordBatch.from_arrays([*own.columns, pa.array(found, pa.list_(pa.struct(PART)))], names=[*keep, "parts"])
 
-    rows = pages.select(*keep, F.col(html).alias("html"))
-    kinds = ", ".join(f"`{c}` {t}" for c, t in rows.select(*keep).dtypes)
-    return rows.mapInArrow(parts, f"{kinds}, position int, kind string, text string, digest string, caption string")
+    rows = pages.select(*keep, F.col(html).alias(shown))
+    kinds = "".join(f"`{c}` {t}, " for c, t in rows.select(*keep).dtypes)
+    return rows.mapInArrow(parts, f"{kinds}parts array<struct<position: int, kind: string, text: string, digest: string, caption: string>>")
 
 
 def media_table(payloads: DataFrame, key: str, column: str) -> DataFrame:
@@ -187,21 +236,32 @@ def read_media(media: DataFrame, *keep: str) -> DataFrame:
     return media.select(*keep, "media").mapInArrow(back, ", ".join([*kinds, FEATURE]))
 
 
-def resolve(parts: DataFrame, media: DataFrame) -> DataFrame:
-    """Parts with a struct media: what the payload of their digest holds, or null.
+def resolve(references: DataFrame, media: DataFrame) -> DataFrame:
+    """References (with a column digest) with a struct media: what the payload of their digest holds, or null.
 
-    media: rows of read_media(). The bytes stay where they are, the join moves small rows. Digests are made distinct
-    before it; a digest that very many parts refer to is one that Spark's skew join splits.
+    media: rows of read_media(). The bytes stay where they are, the join moves small rows; a digest that very many refer to is looked up apart.
     """
     features = [x.split()[0] for x in FEATURE.split(", ") if not x.startswith("kind")]
     m = media.select(F.col("payload_sha256").alias("digest"), F.struct(*features).alias("media")).groupBy("digest").agg(F.first("media").alias("media"))
-    return parts.join(m, "digest", "left")
+    asked = references.where("digest is not null").groupBy("digest").agg(F.count("*").alias("n"))
+    return looked_up(references, m.join(asked, "digest"), "digest")
 
 
-def interleave(parts: DataFrame, media: DataFrame, key: str) -> DataFrame:
-    """Sequences: key and parts, an array of structs in order of position; a media part has the features of its payload."""
-    part = F.struct("position", "kind", "text", "digest", "caption", "media")
-    return resolve(parts, media).groupBy(key).agg(F.sort_array(F.collect_list(part)).alias("parts"))
+def interleave(pages: DataFrame, media: DataFrame) -> DataFrame:
+    """Rows of parse_pages(), each media part with the features of its payload (null: none is stored).
+
+    Pages that refer to the same digests in the same order get the same features, so that only lists of digests are looked up.
+    """
+    names = pages.columns
+    refs, found = free_name(names, "refs"), free_name(names, "found")
+    digests = F.transform(F.filter("parts", lambda p: p["digest"].isNotNull()), lambda p: p["digest"])
+    rows = pages.withColumn(refs, F.sha2(F.array_join(digests, ","), 256))
+    lists = rows.groupBy(F.col(refs).alias("list")).agg(F.count("*").alias("n"), F.first(F.array_distinct(digests)).alias("digests"))
+    each = resolve(lists.select("list", F.explode("digests").alias("digest")), media).where("media is not null")
+    maps = each.groupBy("list").agg(F.map_from_entries(F.collect_list(F.struct("digest", "media"))).alias(found))
+    met = looked_up(rows, maps.join(lists.select("list", "n"), "list").withColumnRenamed("list", refs), refs)
+    whole = F.transform("parts", lambda p: F.struct(*[p[n].alias(n) for n, _ in PART], F.when(p["digest"].isNotNull(), F.col(found)[p["digest"]]).alias("media")))
+    return met.withColumn("parts", whole).select(*names)
 
 
 def payload_digest(column: str):

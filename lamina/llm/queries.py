@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lamina.llm import kneser_ney, language, licences, media, neardup, neighbours, packing, pieces, private, tokens
-from lamina.llm.common import crc_fold, table
+from lamina.llm.common import crc_fold, table, written
 
 
 def op1_hierarchical_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,12 +52,18 @@ def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document is a page: its first line, a figure that refers to its payload, and the rest. Its one media part is resolved against the stored payloads."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    stored = media.read_media(written(media.media_table(docs, "doc_id", "text").select("media")))
+    said = F.coalesce("text", F.lit(""))
+    escaped = F.replace(F.replace(said, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
+    line = F.coalesce(F.nullif(F.instr(escaped, F.lit("\n")), F.lit(0)), F.length(escaped) + 1)
     figure = F.concat(F.lit('<figure><img src="sha256:'), media.payload_digest("text"), F.lit('"><figcaption>document '), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("</figcaption></figure>"))
-    pages = docs.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), figure.alias("html"))
-    parts = media.parse_pages(pages, "html", "doc_id", "n_bytes")
-    stored = media.read_media(media.media_table(docs, "doc_id", "text"))
-    return media.resolve(parts, stored).select("doc_id", "n_bytes", "media.*", "position", "caption")
+    html = F.concat(F.lit("<article><p>"), F.substring(escaped, F.lit(1), line - 1), F.lit("</p>"), figure, F.lit("<p>"), F.substring(escaped, line + 1, F.length(escaped)), F.lit("</p></article>"))
+    pages = docs.select("doc_id", F.octet_length(said).cast("long").alias("n_bytes"), html.alias("html"))
+    parts = media.parse_pages(pages, "html", "doc_id", "n_bytes").select("doc_id", "n_bytes", F.size("parts").alias("n_parts"), F.filter("parts", lambda p: p["kind"] == "media")[0].alias("part"))
+    references = written(parts.select("doc_id", "n_bytes", "n_parts", "part.position", "part.caption", "part.digest"))
+    return media.resolve(references, stored).select("doc_id", "n_bytes", "media.*", "position", "caption", "n_parts")
 
 
 def queries() -> dict:

@@ -79,8 +79,45 @@ def test_interleaving_keeps_order_and_captions(spark):
     digest = hashlib.sha256(media.padded(b"pixels")).hexdigest()
     pages = spark.createDataFrame([(1, page.replace("D", digest)), (2, None), (3, "")], "page_id long, html string")
     stored = media.read_media(media.media_table(spark.createDataFrame([(7, "pixels"), (8, "pixels")], "k long, p string"), "k", "p"))
-    rows = media.interleave(media.parse_pages(pages, "html", "page_id"), stored, "page_id").collect()
-    assert [r["page_id"] for r in rows] == [1]
-    parts = rows[0]["parts"]
+    rows = {r["page_id"]: r["parts"] for r in media.interleave(media.parse_pages(pages, "html", "page_id"), stored).collect()}
+    assert rows[2] == rows[3] == []
+    parts = rows[1]
     assert [(p["kind"], p["text"], p["caption"]) for p in parts] == [("text", "One bold & two", None), ("media", None, "Cap tion"), ("text", "Three", None), ("text", "four", None), ("media", None, "other")]
     assert [p["position"] for p in parts] == [0, 1, 2, 3, 4] and parts[1]["media"]["payload_sha256"] == digest and parts[4]["media"] is None
+
+
+def test_pages_of_one_key_and_no_pages(spark):
+    a, b = (hashlib.sha256(media.padded(x)).hexdigest() for x in (b"a", b"b"))
+    html = [f'<p>x</p><img src="sha256:{a}"><img src="sha256:{b}"><img src="sha256:{a}">', f'<img src="sha256:{b}">', '<img src="sha256:none">', None]
+    pages = spark.createDataFrame([(k, h, "own") for h in html for k in (None, 1, 1)], "id long, page string, parts_ string").withColumnRenamed("parts_", "media")
+    stored = media.read_media(media.media_table(spark.createDataFrame([(1, "a"), (2, "b"), (2, "b")], "k long, p string"), "k", "p"))
+    rows = media.interleave(media.parse_pages(pages, "page", "id", "media"), stored).collect()
+    assert len(rows) == 12 and all(r["media"] == "own" for r in rows)
+    shown = sorted(str([(p["kind"], p["media"] and p["media"]["payload_sha256"]) for p in r["parts"]]) for r in rows)
+    hand = [[("text", None), ("media", a), ("media", b), ("media", a)], [("media", b)], [("media", None)], []]
+    assert shown == sorted(str(h) for h in hand for _ in range(3))
+    assert media.interleave(media.parse_pages(pages.where("false"), "page", "id"), stored).count() == 0
+    assert media.read_media(media.media_table(pages.where("false"), "id", "page")).count() == 0
+
+
+def test_pages_that_are_not_well_formed():
+    short = lambda html: [(p[0], p[1], p[3]) for p in media.parsed(html)]
+    assert short("<figure><figcaption>Before</figcaption><img src=x></figure>after") == [("media", None, "Before"), ("text", "after", None)]
+    assert short("<figure><img src=x><img src=y><figcaption>Two <p>lines</p></figure>after") == [("media", None, "Two lines"), ("media", None, "Two lines"), ("text", "after", None)]
+    assert short("<figure><img src=x alt=a><figcaption>Never <p>ends") == [("media", None, "a"), ("text", "Never ends", None)]
+    assert short("<figcaption>No figure</figcaption> more") == [("text", "No figure", None), ("text", "more", None)]
+    assert short("a<noscript>b<img src=x> c") == [("text", "ab", None), ("media", None, None), ("text", "c", None)]
+    assert short("a<template>hidden<img src=x></template>b") == [("text", "a", None), ("text", "b", None)]
+    assert short("a<template>open<p>b") == [("text", "a", None), ("text", "open", None), ("text", "b", None)]
+    assert short("<figure><figcaption>Of nothing</figcaption></figure>") == [("text", "Of nothing", None)]
+    assert short("") == [] and len(short("x <b>y</b> " * 100_000)) == 1
+
+
+def test_feature_by_hand():
+    for data in (b"", b"abc", bytes(range(256)) * 5000, b"\xff" * 64):
+        payload = media.padded(data)
+        n, mean = len(payload), sum(payload) / len(payload)
+        sd = (sum((x - mean) ** 2 for x in payload) / n) ** 0.5
+        size, got_mean, got_sd, hist = media.feature(payload).split(";")
+        assert size == f"64x{n // 64}" and got_mean == f"mean={mean:.3f}" and abs(float(got_sd[3:]) - sd) < 2e-3
+        assert hist == "hist=" + "-".join(str(sum(x >> 5 == k for x in payload) * 1000 // n) for k in range(8))
