@@ -3,9 +3,10 @@
 Values found by pattern (e-mail addresses, IP addresses, card and phone numbers) are protected entities, and so are
 card and phone numbers within longer runs of digits, which fail the patterns. A term near one, within so many words, reveals it by their pointwise mutual information: PMI(t; e) = IC(e) - log2(df(t) / co(t, e)),
 where df counts the distinct texts of the whole corpus that hold the term and co those where it stands near the entity.
-Terms whose PMI / IC(e) reaches the disclosure threshold are generalised in the documents that name the entity, and
-removed if it reaches the second one. An entity that is named in one text has the largest IC; what tells about its terms
-is then how rare they are in the corpus: PMI / IC(e) = 1 - log2(df(t)) / log2(number of texts). Copies of a text count once.
+Terms whose PMI / IC(e) reaches the disclosure threshold are generalised in the documents that name the entity, to a
+class of terms (numbers keep their size), and removed if it reaches the second one. An entity that is named in one text
+has the largest IC; what tells about its terms is then how rare they are in the corpus: PMI / IC(e) = 1 - log2(df(t)) /
+log2(number of texts). Copies of a text count once. Only terms that stand near some entity are counted.
 
 A null text counts as empty and stays null when sanitised. Equal texts get equal spans, whatever their ids. Rows are
 told apart by their text alone, so null or repeated ids and other columns play no part; an empty table gives an empty
@@ -21,10 +22,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lamina.llm.common import KeySet, slices, written
+from lamina.llm.common import KeySet, free_name, looked_up, slices, written
 from lamina.llm.neardup import word_hashes
 
 KINDS = ("email", "ip", "card", "phone", "term", "removed")
@@ -135,8 +136,13 @@ def neighbours(text: str, spans: list[tuple[int, int, int]], near: int = NEAR) -
     return {k: sorted(v) for k, v in out.items()}
 
 
-def document_frequencies(docs: DataFrame, text: str, copies: KeySet) -> DataFrame:
-    """term (hash) and df, in distinct texts: a text that stands n times (copies, by digest) counts 1 / n each time. A task adds up some megabytes of text before it sends a row for each of their words."""
+def digest(text: str) -> Column:
+    """128 bits that stand for the text."""
+    return F.md5(F.col(text).cast("binary"))
+
+
+def document_frequencies(docs: DataFrame, text: str, copies: KeySet, near: KeySet) -> DataFrame:
+    """term (hash) and df, in distinct texts, of the terms in near: a text that stands n times (copies, by hash) counts 1 / n each time. A task adds up some megabytes of text before it sends a row for each of their words."""
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -145,7 +151,10 @@ def document_frequencies(docs: DataFrame, text: str, copies: KeySet) -> DataFram
             word, weight = (np.concatenate(x) for x in zip(*held, strict=True))
             held.clear()
             term, place = np.unique(word, return_inverse=True)
-            return pa.RecordBatch.from_pydict({"term": pa.array(term.view(np.int64)), "n": pa.array(np.bincount(place, weight, len(term)), pa.float64())})
+            weight = np.bincount(place, weight, len(term))
+            on = near.contains(term)
+            term, weight = term[on], weight[on]
+            return pa.RecordBatch.from_pydict({"term": pa.array(term.view(np.int64)), "n": pa.array(weight, pa.float64())})
 
         for digests, texts in slices(batches, 512, 4 << 20):
             weight = 1 / copies.values(np.array(digests, np.int64).view(np.uint64), 1)
@@ -162,7 +171,7 @@ def document_frequencies(docs: DataFrame, text: str, copies: KeySet) -> DataFram
         if held:
             yield sent()
 
-    rows = docs.select(F.xxhash64(text).alias("digest"), F.col(text).alias("text")).where("text is not null")
+    rows = docs.select(F.xxhash64(text).alias("hash"), F.col(text).alias("text")).where("text is not null")
     return rows.mapInArrow(counted, "term long, n double").groupBy("term").agg(F.round(F.sum("n")).cast("long").alias("df"))
 
 
@@ -175,28 +184,27 @@ def candidates(docs: DataFrame, text: str, near: int) -> DataFrame:
             for d, t in zip(digests, texts, strict=True):
                 if spans := all_spans(t):
                     rows += [(d, e, w, [{"start": a, "end": b} for a, b in places]) for (e, w), places in neighbours(t, spans, near).items()]
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))]
+            kinds = [pa.string(), pa.int64(), pa.int64(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=["digest", "entity", "term", "places"])
 
-    rows = docs.select(F.xxhash64(text).alias("digest"), F.col(text).alias("text")).where("text is not null")
-    return rows.mapInArrow(found, "digest long, entity long, term long, places array<struct<start: long, end: long>>").groupBy("digest", "entity", "term").agg(F.first("places").alias("places"))
+    rows = docs.select(digest(text).alias("digest"), F.col(text).alias("text")).where("text is not null")
+    return rows.mapInArrow(found, "digest string, entity long, term long, places array<struct<start: long, end: long>>").groupBy("digest", "entity", "term").agg(F.first("places").alias("places"))
 
 
 def revealing_terms(docs: DataFrame, text: str = "text", near: int = NEAR, disclosure: float = DISCLOSURE, removal: float = REMOVAL) -> DataFrame:
-    """digest (xxhash64 of the text) and terms: places whose words reveal an entity of the document, with kind 4 (generalise) or 5 (remove).
+    """digest (of the text), terms: places whose words reveal an entity of the document, with kind 4 (generalise) or 5 (remove), and n, the rows that have the text.
 
     The counts are looked up, not joined: common words and values would be the hot keys of a join.
     """
     pairs = written(candidates(docs, text, near))
-    texts = written(docs.where(F.col(text).isNotNull()).groupBy(F.xxhash64(text).alias("digest")).agg(F.count("*").alias("n")))
+    texts = written(docs.where(F.col(text).isNotNull()).groupBy(F.xxhash64(text).alias("hash"), digest(text).alias("digest")).agg(F.count("*").alias("n")))
     total, repeated = texts.agg(F.count("*"), F.count_if(F.col("n") > 1)).first()
     pair, entity = F.xxhash64("entity", "term"), F.xxhash64("entity", F.lit(0).cast("long"))
     met = written(pairs.groupBy(pair.alias("pair"), "term").agg(F.count("*").alias("co")).select("pair", "co", "term"))
     co = KeySet.store(met.select("pair", "co"), met.count())
-    terms = met.where("term <> 0").select("term").distinct()
-    frequent = document_frequencies(docs, text, KeySet.store(texts.where("n > 1"), repeated))
-    near_df = written(frequent.join(terms, "term").select("term", "df"))
-    df = KeySet.store(near_df, near_df.count())
+    terms = written(met.where("term <> 0").select("term").distinct())
+    number = terms.count()
+    df = KeySet.store(document_frequencies(docs, text, KeySet.store(texts.where("n > 1").groupBy("hash").agg(F.sum("n").alias("n")), repeated), KeySet.store(terms, number)), number)
 
     def rated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -209,10 +217,10 @@ def revealing_terms(docs: DataFrame, text: str = "text", near: int = NEAR, discl
             yield pa.RecordBatch.from_arrays([batch.column("digest"), batch.column("places"), pa.array(share)], names=["digest", "places", "share"]).filter(on)
 
     rows = pairs.where("term <> 0").select("digest", "places", "term", pair.alias("pair"), entity.alias("named"))
-    places = rows.mapInArrow(rated, "digest long, places array<struct<start: long, end: long>>, share double").select("digest", F.explode("places").alias("p"), "share")
+    places = rows.mapInArrow(rated, "digest string, places array<struct<start: long, end: long>>, share double").select("digest", F.explode("places").alias("p"), "share")
     one = places.groupBy("digest", F.col("p.start").alias("start"), F.col("p.end").alias("end")).agg(F.max("share").alias("share"))
     kind = F.when(F.col("share") >= removal, F.lit(5)).otherwise(F.lit(4)).cast("long")
-    return one.select("digest", F.struct("start", kind.alias("kind"), "end").alias("span")).groupBy("digest").agg(F.sort_array(F.collect_list("span")).alias("terms"))
+    return one.select("digest", F.struct("start", kind.alias("kind"), "end").alias("span")).groupBy("digest").agg(F.sort_array(F.collect_list("span")).alias("terms")).join(texts.select("digest", "n"), "digest")
 
 
 SPANS = "array<struct<start: long, kind: long, end: long>>"
@@ -229,22 +237,31 @@ def find_private(docs: DataFrame, text: str = "text", key: str = "doc_id", near:
             count = [np.bincount([k for _, k, _ in s], minlength=4)[:4] if s else (0, 0, 0, 0) for s in every]
             sha = [hashlib.sha256(",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in s).encode()).hexdigest() for s in every]
             spans = pa.array([[{"start": a, "kind": k, "end": b} for a, k, b in s + inner_spans(f)] for s, f in zip(every, failed, strict=True)], kind)
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(digests, pa.int64()), *[pa.array([int(c[i]) for c in count], pa.int64()) for i in range(4)], pa.array(sha), spans], names=["key", "digest", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "base"])
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(digests, pa.string()), *[pa.array([int(c[i]) for c in count], pa.int64()) for i in range(4)], pa.array(sha), spans], names=["key", "digest", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "base"])
 
-    source = docs.select(F.col(key).cast("long").alias("key"), F.xxhash64(text).alias("digest"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    base = source.mapInArrow(found, f"key long, digest long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, base {SPANS}")
+    source = docs.select(F.col(key).cast("long").alias("key"), digest(text).alias("digest"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    base = source.mapInArrow(found, f"key long, digest string, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, base {SPANS}")
     names = F.array(*map(F.lit, KINDS))
     spans = F.array_sort(F.concat("base", F.coalesce("terms", F.expr(f"cast(array() as {SPANS})"))))
     shown = F.array_join(F.transform(spans, lambda s: F.concat_ws(":", names[s["kind"].cast("int")], s["start"], s["end"])), ",")
-    return base.join(revealing_terms(docs, text, near, disclosure, removal), "digest", "left").select(F.col("key").alias(key), "n_email", "n_ip", "n_card", "n_phone", "base_sha256", shown.alias("spans"))
+    return looked_up(base, revealing_terms(docs, text, near, disclosure, removal), "digest", docs.count()).select(F.col("key").alias(key), "n_email", "n_ip", "n_card", "n_phone", "base_sha256", shown.alias("spans"))
+
+
+def generalised(term: str) -> str:
+    """A class that holds the term: numbers keep their first digit and length."""
+    if term.isdecimal():
+        return (term[0] if len(term) > 1 else "") + "x" * max(1, len(term) - 1)
+    if any(c.isdecimal() for c in term):
+        return "[code]"
+    return "[name]" if term[0].isupper() else "[word]"
 
 
 def sanitised(text: str, spans: list[tuple[int, int, int]]) -> str:
-    """The text with each span replaced: by its kind, by `[...]` for a generalised term, by nothing for a removed one. Overlapping spans are replaced together, by the first's kind."""
+    """The text with each span replaced: by its kind, by its class for a generalised term, by nothing for a removed one. Overlapping spans are replaced together, by the first's kind."""
     out, at = [], 0
     for start, kind, end in sorted(spans):
         if start >= at:
-            out += [text[at:start], "" if kind == 5 else "[...]" if kind == 4 else f"[{KINDS[kind]}]"]
+            out += [text[at:start], "" if kind == 5 else generalised(text[start:end]) if kind == 4 else f"[{KINDS[kind]}]"]
         at = max(at, end)
     return "".join(out) + text[at:]
 
@@ -252,16 +269,15 @@ def sanitised(text: str, spans: list[tuple[int, int, int]]) -> str:
 def sanitise(docs: DataFrame, text: str = "text", near: int = NEAR, disclosure: float = DISCLOSURE, removal: float = REMOVAL) -> DataFrame:
     """The rows with sanitised texts, all other columns as they were."""
     names, at = docs.columns, docs.columns.index(text)
-    free = "digest_of_text"
-    while free in names:
-        free += "_"
-    terms = revealing_terms(docs, text, near, disclosure, removal).select(F.col("digest").alias(free), F.col("terms").alias(free + "terms"))
-    rows = docs.withColumn(free, F.xxhash64(text)).join(terms, free, "left").select(*names, free + "terms")
+    own = free_name(names, "digest_of_text")
+    shown = free_name([*names, own], "terms_of_text")
+    terms = revealing_terms(docs, text, near, disclosure, removal).select(F.col("digest").alias(own), F.col("terms").alias(shown), "n")
+    rows = looked_up(docs.withColumn(own, digest(text)), terms, own, docs.count()).select(*names, shown)
 
     def changed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = []
-            for own, more in slices([batch.select([text, free + "terms"])]):
+            for own, more in slices([batch.select([text, shown])]):
                 texts += [t if t is None else sanitised(t, s) if (s := all_spans(t) + [(x["start"], x["kind"], x["end"]) for x in m or ()]) else t for t, m in zip(own, more, strict=True)]
             columns = batch.columns[: len(names)]
             columns[at] = pa.array(texts, pa.string())

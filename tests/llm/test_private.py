@@ -1,6 +1,9 @@
+import collections
 import hashlib
+import math
 import re
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -87,3 +90,51 @@ def test_terms_near_a_value_that_one_text_names(spark):
         assert [x for x in found[5000 + i] if x[:5] != "email"] == ["term:" + place(told, "quibblefrotz")]
     assert "removed:" + place(rows[-1][1], "vexillator") in found[7000]
     assert found[0] == found[6000] == [""]
+
+
+def terms_by_hand(texts, near, disclosure, removal):
+    """Spans of terms of each distinct text by dictionaries, for texts of ASCII words whose only values are e-mail addresses."""
+    texts = sorted(set(texts))
+    df, named, co, places = (collections.defaultdict(set) for _ in range(4))
+    for k, t in enumerate(texts):
+        values = [m.span() for m in re.finditer(PATTERNS["email"], t)]
+        free = [m.span() for m in re.finditer("[a-z0-9]+", t) if not any(a < m.end() and m.start() < b for a, b in values)]
+        for w in re.findall("[a-z0-9]+", t):
+            df[w].add(k)
+        for a, b in values:
+            e = t[a:b]
+            named[e].add(k)
+            before, after = [x for x in free if x[1] <= a][-near:], [x for x in free if x[0] >= b][:near]
+            for x in before + after:
+                co[e, t[slice(*x)]].add(k)
+                places[k, e, t[slice(*x)]].add(x)
+    out = collections.defaultdict(dict)
+    for (k, e, w), at in places.items():
+        content = math.log2(len(texts) / len(named[e]))
+        if content > 0:
+            share = (content - math.log2(len(df[w]) / len(co[e, w]))) / content
+            for x in at:
+                out[texts[k]][x] = max(share, out[texts[k]].get(x, 0))
+    return {t: sorted(("removed" if s >= removal else "term", *x) for x, s in found.items() if s >= disclosure) for t, found in out.items()}
+
+
+def test_terms_equal_dictionaries(spark):
+    rng = np.random.default_rng(9)
+    texts = []
+    for i in range(300):
+        words = [f"w{int(x)}" for x in np.minimum(rng.zipf(1.3, 25), 400)]
+        for _ in range(rng.integers(0, 3)):
+            words.insert(int(rng.integers(0, len(words))), f"m{rng.integers(0, 40)}@x.org")
+        texts.append(" ".join(words))
+    texts += texts[:30] * 3
+    docs = spark.createDataFrame([(i % 200 if i % 7 else None, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    hand = terms_by_hand(texts, 4, 0.4, 0.7)
+    found = private.find_private(docs, near=4, disclosure=0.4, removal=0.7).select("doc_id", "spans").collect()
+    shown = sorted(",".join(x for x in r["spans"].split(",") if x[:5] != "email") for r in found)
+    assert shown == sorted(",".join(f"{k}:{a}:{b}" for k, a, b in sorted(hand.get(t, []), key=lambda x: x[1])) for t in texts)
+    assert sum(map(len, hand.values())) > 100 and {k for s in hand.values() for k, *_ in s} == {"term", "removed"}
+
+
+def test_generalised_terms_name_their_class():
+    assert [private.generalised(t) for t in ("4711", "7", "x25", "Zorblax", "quux")] == ["4xxx", "x", "[code]", "[name]", "[word]"]
+    assert private.sanitised("by Zorblax of 4711 here", [(3, 4, 10), (14, 4, 18), (19, 5, 23)]) == "by [name] of 4xxx "
