@@ -2,7 +2,8 @@
 
 One Aho-Corasick automaton over a text's words finds notice phrases and identifier tags. The expression after a tag
 is turned into postfix order by a shunting yard (WITH binds closest, then AND, then OR) and evaluated: its licences,
-and whether it leaves a permissive choice.
+and whether it leaves a permissive choice. Where more than the expression follows on its line, the longest expression
+at the line's start counts, of operators in capitals and of words that look like identifiers.
 
 A null text counts as empty: no words, no labels, score 0. Rows are independent: repeated rows give equal rows, other
 columns are not looked at, an empty table gives an empty one. Whole texts are searched, however long.
@@ -36,10 +37,27 @@ NOTICES = {
     "creative commons attribution": "cc-by",
     "dedicated to the public domain": "public-domain",
     "all rights reserved": "all-rights-reserved",
+    "gnu general public license as published by": "gpl",
+    "gplv2": "gpl-2",
+    "gplv3": "gpl-3",
+    "permission is hereby granted free of charge to any person obtaining a copy": "mit",
+    "permission to use copy modify and or distribute this software for any purpose": "isc",
+    "bsd 2 clause": "bsd",
+    "bsd 3 clause": "bsd",
+    "boost software license": "boost",
+    "artistic license": "artistic",
+    "sil open font license": "ofl",
+    "european union public licence": "eupl",
+    "this is free and unencumbered software": "public-domain",
+    "cc0 1 0 universal": "cc0",
+    "cc by 4 0": "cc-by",
+    "open database license": "odbl",
 }
 TAG = "spdx license identifier"
 TAGGED = re.compile(r"spdx-license-identifier:[ \t]*([^\n]*)", re.IGNORECASE | re.ASCII)
 TOKEN = re.compile(r"[()]|[A-Za-z0-9][A-Za-z0-9.+:-]*")
+#: What an identifier looks like where other words may follow.
+IDENTIFIER = re.compile(r"[A-Z0-9.+-]+|.*[-0-9].*|[Zz]lib|[Uu]nlicense", re.ASCII)
 PERMISSIVE = re.compile(r"(mit|apache|bsd|isc|zlib|0bsd|unlicense|cc0|cc-by-\d|public-domain)", re.ASCII)
 BINDS = {"or": 1, "and": 2, "with": 3}
 
@@ -78,6 +96,36 @@ def postfix(expression: str) -> list[str] | None:
     return out + wait[::-1]
 
 
+def leading(line: str) -> list[str] | None:
+    """The longest expression that a line starts with, in postfix order."""
+    tokens: list[str] = []
+    at = end = depth = 0
+    operand = True
+    for m in TOKEN.finditer(line):
+        t = m[0].rstrip(".:")
+        if line[at : m.start()].strip():
+            break
+        if t == "(" or t == ")":
+            if operand != (t == "(") or t == ")" and not depth:
+                break
+            depth += 1 if t == "(" else -1
+        elif t in ("AND", "OR", "WITH"):
+            if operand:
+                break
+            operand = True
+        elif operand and IDENTIFIER.fullmatch(t):
+            operand = False
+        else:
+            break
+        tokens.append(t)
+        at = m.end()
+        if not operand and not depth:
+            end = len(tokens)
+        if t != m[0]:  # a full stop
+            break
+    return postfix(" ".join(tokens[:end]))
+
+
 def evaluated(order: list[str]) -> tuple[set[str], bool] | None:
     """The licences of an expression, and whether one may choose permissive terms only."""
     stack: list[tuple[set[str], bool]] = []
@@ -125,7 +173,7 @@ def scanned(text: str) -> tuple:
     free, said = [PERMISSIVE.match(x) is not None for x in base | more], []
     if tagged:
         for m in TAGGED.finditer(text):
-            order = postfix(m[1])
+            order = postfix(m[1]) or leading(m[1])
             if order and (found := evaluated(order)):
                 more |= {x.replace(",", " ") for x in found[0]}
                 free.append(found[1])

@@ -9,7 +9,7 @@ from lamina.llm import language, licences, media, queries
 
 def test_licence_words_and_places(spark, docs, texts):
     said = "Released UNDER the MIT License. under the mit license under the mit license; CC BY-NC 4.0, Apache License, Version 2.0"
-    docs = docs.unionByName(spark.createDataFrame([(50, said, "s", "k"), (51, "x\nSPDX-License-Identifier: (MIT OR GPL-2.0-only) AND Apache-2.0 WITH LLVM-exception\n", "s", "k"), (52, "SPDX-License-Identifier: MIT OR", "s", "k")], docs.schema))
+    docs = docs.unionByName(spark.createDataFrame([(50, said, "s", "k"), (51, "x\nSPDX-License-Identifier: (MIT OR GPL-2.0-only) AND Apache-2.0 WITH LLVM-exception\n", "s", "k"), (52, "SPDX-License-Identifier: mit or", "s", "k")], docs.schema))
     found = {r["doc_id"]: r for r in licences.scan_licences(docs).collect()}
     r = found[50]
     words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", said.lower())
@@ -27,6 +27,15 @@ def test_shunting_yard():
         assert licences.postfix(wrong) is None
 
 
+def test_expressions_with_words_after_them():
+    cases = {"MIT. Copyright 2020": ["mit"], "Apache-2.0 This file is": ["apache-2.0"], "(MIT OR GPL-2.0+) AND ISC -- see": ["mit", "gpl-2.0+", "or", "isc", "and"], "MIT AND (x": ["mit"], "MIT OR": ["mit"], "GPL-2.0-only WITH Classpath-exception-2.0. More": ["gpl-2.0-only", "classpath-exception-2.0", "with"], "This file": None, "": None, "(MIT": None, "MIT and other words": ["mit"]}
+    for line, order in cases.items():
+        assert licences.leading(line) == order
+    text = "x SPDX-License-Identifier: MIT. Copyright 2020 by all. GNU General Public License as published by the"
+    assert licences.scanned(text)[5] == "gpl,mit"
+    assert licences.scanned("SPDX-License-Identifier: " + "(" * 200_000)[5] == ""
+
+
 def test_profile_equals_bundling_by_hand():
     s = language.Space(256)
     text = "Ab, ça ab"
