@@ -166,15 +166,21 @@ def store_file(uri: str, data: Iterable[bytes]) -> None:
     store.move(part, inner)
 
 
+def store_arrays(uri: str, arrays: list[np.ndarray]) -> None:
+    """A file of arrays: the length of each, as 8 bytes, then all of them."""
+    store_file(uri, [np.array([len(x) for x in arrays], "<u8").tobytes(), *[x.tobytes() for x in arrays]])
+
+
 @lru_cache(maxsize=4096)
 def mapped(uri: str, kinds: tuple[str, ...]) -> list[np.ndarray]:
-    """The arrays of a file, mapped into memory: its first 8 bytes are their length. A file that isn't there is an error."""
+    """The arrays of a file of store_arrays(), mapped into memory. A file that isn't there is an error."""
     with opened(uri) as f:
-        n = int(np.frombuffer(f.read(8), "<u8")[0])
-        out, at = [], 8
-        for k in kinds:
-            out.append(np.memmap(f, k, "r", at, (n,)) if n else np.empty(0, k))
-            at += n * np.dtype(k).itemsize
+        data = np.memmap(f, np.uint8, "r")
+    out, at = [], 8 * len(kinds)
+    for k, n in zip(kinds, data[:at].view("<u8").tolist(), strict=True):
+        size = n * np.dtype(k).itemsize
+        out.append(data[at : at + size].view(np.dtype(k).base).reshape(n, *np.dtype(k).shape))
+        at += size
     return out
 
 
@@ -203,7 +209,7 @@ class KeySet:
                 raise ValueError("a key was dealt to another part")
             order = np.argsort(columns[0])
             # Parts without keys are written too, so that a file that isn't there is known to be lost.
-            store_file(f"{folder}/keys-{own}", [len(order).to_bytes(8, "little"), *[x[order].tobytes() for x in columns]])
+            store_arrays(f"{folder}/keys-{own}", [x[order] for x in columns])
             yield pa.RecordBatch.from_pydict({"n": pa.array([len(order)], pa.int64())})
 
         name, *value = keys.columns

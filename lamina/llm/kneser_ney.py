@@ -1,14 +1,20 @@
 """Interpolated modified Kneser-Ney model of word n-grams of any order, for perplexity.
 
 Tasks hash words and count n-grams of some megabytes of text at once; the counts are shuffled as blocks of bytes, by the
-n-gram's hash, so that a frequent word's n-grams are spread over all parts. Each part is summed and stored as sorted
-hashes with counts in the shared folder, and passes on what it adds to the statistics of the n-grams that are a word
-shorter, which are summed and stored likewise, down to words. Workers map these files into memory to score texts; only
-totals come to the driver. Below the highest order, an n-gram counts the distinct words before it; one that begins a
-text counts as often as it occurs.
+n-gram's context (all words but the last), so that what a context's words add up to is known in one place. Contexts of
+words that are all very frequent are spread by their last word over several places. Each part is summed and stored in
+the shared folder, and passes on what it adds to the counts of the n-grams without their first word, which are summed
+and stored likewise, down to words. Workers map these files into memory to score texts; only totals come to the driver.
+Below the highest order, an n-gram counts the distinct words before it; one that begins a text counts as often as it
+occurs.
+
+A table is a sorted hash array: an index by the first bits of the hash, the next 32 bits, and numbers as bytes (large
+ones stand in a second array). A context that is followed by one word, once, isn't stored: it is known from the n-gram
+that it is. In shuffled blocks, frequent words have 16-bit codes; which words these are is learnt from a bounded sample of
+rows, and plays no part in the result.
 
 Words are the runs of bytes other than white space (0x20, 0x09 to 0x0D), A to Z in lower case, and an end. A null text
-counts as empty: it has its end. Words are hashed to 48 bits, longer n-grams to 64. Unknown words share one place in the
+counts as empty: it has its end. Words are hashed to 48 bits, longer n-grams to 64, of which tables keep some 50. Unknown words share one place in the
 vocabulary. Repeated rows count as often as they occur; other columns are not looked at; an empty table gives an empty
 one; without training texts each token has probability 1.
 """
@@ -20,17 +26,23 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import zstandard
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lamina.llm.common import mapped, shared_dir, slices, store_file
+from lamina.llm.common import mapped, shared_dir, slices, store_arrays
 from lamina.llm.neardup import MULTIPLIER, U, mixed, powers
 
 BEGIN, END = U(1), U(2)
 #: Order of the registered query.
 ORDER = 3
 #: Tokens whose n-grams a task counts at once, and bytes of text for each part of the tables; both as of order 2, fewer of higher ones.
-TOKENS, PART_BYTES = 3_000_000, 16 << 20
+TOKENS, PART_BYTES = 4_000_000, 16 << 20
+#: Rows that frequent words are learnt from, how many of them have codes, and how many make hot contexts.
+SAMPLE, CODES, HOT = 10_000, 65_533, 1024
+#: Places that the n-grams of a hot context are spread over.
+SPREAD = 16
 
 
 def word_keys(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -60,10 +72,6 @@ def gram_keys(words: list[np.ndarray]) -> np.ndarray:
     return key
 
 
-def width(n: int) -> int:
-    return 48 if n == 1 else 64
-
-
 def grams(keys: np.ndarray, number: np.ndarray, order: int) -> list[np.ndarray]:
     """The words of the n-gram that ends at each token, by place; BEGIN stands before each text."""
     place = np.arange(len(keys)) - np.repeat(np.cumsum(number) - number, number)
@@ -76,6 +84,19 @@ def grams(keys: np.ndarray, number: np.ndarray, order: int) -> list[np.ndarray]:
     return out
 
 
+class Codes:
+    """16-bit codes of frequent words, by falling frequency from 1; 0 is any other word."""
+
+    def __init__(self, words: np.ndarray):
+        order = np.argsort(words)
+        self.words, self.codes = words[order], (order + 1).astype(np.uint16)
+        self.by_code = np.concatenate([np.zeros(1, U), words])
+
+    def of(self, words: np.ndarray) -> np.ndarray:
+        at = np.minimum(np.searchsorted(self.words, words), len(self.words) - 1)
+        return np.where(self.words[at] == words, self.codes[at], np.uint16(0))
+
+
 def planes(x: np.ndarray, size: int) -> bytes:
     """The low bytes of integers, all first bytes before all second ones, which compresses well."""
     return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :size].T).tobytes()
@@ -87,34 +108,53 @@ def unplanes(data: bytes, size: int, n: int) -> np.ndarray:
     return out.view("<u8").ravel()
 
 
-def blocked(columns: list[np.ndarray]) -> bytes:
-    """A byte for the width of each column, then its planes."""
-    sizes = [(int(x.max()).bit_length() + 7) // 8 for x in columns]
-    return bytes(sizes) + b"".join(planes(x, s) for x, s in zip(columns, sizes, strict=True))
-
-
-def unblocked(data: bytes, columns: int) -> list[np.ndarray]:
-    sizes, at, out = data[:columns], columns, []
-    n = (len(data) - columns) // sum(sizes)
-    for s in sizes:
-        out.append(unplanes(data[at : at + s * n], s, n))
-        at += s * n
+def blocked(codes: list[np.ndarray], words: list[np.ndarray], columns: list[np.ndarray]) -> bytes:
+    """n-grams as codes, the words that have none, and numbers, compressed."""
+    head, body = [len(codes[0])], []
+    for c, w in zip(codes, words, strict=True):
+        rare = w[c == 0]
+        head.append(len(rare))
+        body += [planes(c, 2), planes(rare, 6)]
+    for x in columns:
+        head.append((int(x.max()).bit_length() + 7) // 8)
+        body.append(planes(x, head[-1]))
+    return zstandard.ZstdCompressor(level=3).compress(np.array(head, "<u4").tobytes() + b"".join(body))
+
+
+def unblocked(data: bytes, n_words: int, n_columns: int, codes: Codes) -> list[np.ndarray]:
+    data = zstandard.ZstdDecompressor().decompress(data)
+    head = np.frombuffer(data, "<u4", 1 + n_words + n_columns).tolist()
+    n, at, out = head[0], 4 * len(head), []
+    for rare in head[1 : 1 + n_words]:
+        c = unplanes(data[at : at + 2 * n], 2, n).astype(np.int64)
+        at += 2 * n
+        word = codes.by_code[c]
+        word[c == 0] = unplanes(data[at : at + 6 * rare], 6, rare)
+        at += 6 * rare
+        out.append(word)
+    for size in head[1 + n_words :]:
+        out.append(unplanes(data[at : at + size * n], size, n))
+        at += size * n
     return out
 
 
-#: Of a level below the highest: tokens, distinct words before; as a context: tokens, words that follow once, twice, more often.
-STATISTICS = 6
+def each_part(part: np.ndarray, order: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Each part, and the places that have it; order: all places by part."""
+    sorted_ = part[order].astype(np.int64)
+    edge = np.flatnonzero(np.diff(sorted_, prepend=-1)).tolist()
+    for a, b in zip(edge, [*edge, len(part)][1:], strict=True):
+        yield int(sorted_[a]), order[a:b]
 
 
-def by_part(key: np.ndarray, words: list[np.ndarray], columns: list[np.ndarray], bits: int) -> Iterator[tuple[int, bytes]]:
-    """n-grams cut into a block for each part, by the first bits of their hash; like words stand together, which compresses well."""
-    part = key >> U(width(len(words)) - bits)
-    first, second = words[0] >> U(26), words[min(1, len(words) - 1)] >> U(26)
-    order = np.argsort((part << U(44)) | (first << U(22)) | second)
-    part = part[order].astype(np.int64)
-    edge = np.flatnonzero(np.diff(part, prepend=-1))
-    for a, b in zip(edge, [*edge[1:], len(part)], strict=True):
-        yield int(part[a]), blocked([x[order[a:b]] for x in (*words, *columns)])
+def by_part(part: np.ndarray, words: list[np.ndarray], columns: list[np.ndarray], bits: int, codes: Codes) -> Iterator[tuple[int, bytes]]:
+    """n-grams cut into a block for each part; in it like words stand together, which compresses well."""
+    own = [codes.of(w) for w in words]
+    alike = np.zeros(len(part), U)
+    for k in range(3):
+        alike = (alike << U(16)) | (own[k] if k < len(own) else np.zeros(len(part), np.uint16)).astype(U)
+    order = np.argsort((part << U(48)) | alike if bits <= 16 else (part << U(64 - bits)) | (alike >> U(bits - 16)))
+    for p, some in each_part(part, order):
+        yield p, blocked([c[some] for c in own], [w[some] for w in words], [x[some] for x in columns])
 
 
 def summed(key: np.ndarray, columns: list[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
@@ -125,19 +165,17 @@ def summed(key: np.ndarray, columns: list[np.ndarray]) -> tuple[np.ndarray, list
     return key[at], [np.add.reduceat(x[order], at) if len(key) else x for x in columns], order[at]
 
 
-def joined_blocks(batches: Iterator[pa.RecordBatch], columns: int, order: int) -> tuple[dict[int, list[np.ndarray]], np.ndarray]:
-    """The columns of each part, and the sum of the rows' counts of counts."""
-    held: dict[int, list[bytes]] = {}
+def joined_blocks(batches: Iterator[pa.RecordBatch], part: int, words: int, columns: int, order: int, codes: Codes) -> tuple[list[np.ndarray], np.ndarray]:
+    """The columns of the part that this task has, and the sum of the rows' counts of counts."""
+    blocks = [[np.empty(0, U)] * (words + columns)]
     levels = np.zeros(4 * order, np.int64)
     for batch in batches:
-        for part, data, level in zip(batch.column("part").to_pylist(), batch.column("data").to_pylist(), batch.column("levels").to_pylist(), strict=True):
-            held.setdefault(part, []).append(data)
+        for own, data, level in zip(batch.column("part").to_pylist(), batch.column("data").to_pylist(), batch.column("levels").to_pylist(), strict=True):
+            if own != part:
+                raise ValueError("a block was dealt to another part")
+            blocks.append(unblocked(data, words, columns, codes))
             levels += np.array(level or [0] * 4 * order, np.int64)
-    out = {}
-    for part in list(held):
-        blocks = [unblocked(x, columns) for x in held.pop(part)]
-        out[part] = [np.concatenate(x) for x in zip(*blocks, strict=True)]
-    return out, levels
+    return [np.concatenate(x) for x in zip(*blocks, strict=True)], levels
 
 
 def levels_of(count: np.ndarray) -> list[int]:
@@ -159,20 +197,37 @@ def discounts(levels: list[int]) -> list[float]:
     return [min(k, max(0.0, k - (k + 1) * share * ratio(a, b))) for k, a, b in ((1, two, one), (2, three, two), (3, four, three))]
 
 
-#: A word's statistics, in this order: count, before, total, one, two, more.
-WORD_FILE = ("<u8", "<u8", "<u8", "<u8", *["<u4"] * 3)
-#: Numbers of longer n-grams are stored as bytes; n-grams with one from this on stand in a second file.
+#: Numbers are stored as bytes; rows with one from this on stand in a second table too.
 LARGE = 255
 
 
-def gram_file(columns: int, kind: str = "u1") -> tuple[str, ...]:
-    return ("<u8", *[kind] * columns)
+def index_bits(n: int) -> int:
+    return max(1, n.bit_length() - 3)
 
 
-def store_grams(folder: str, n: int, part: int, key: np.ndarray, columns: list[np.ndarray]) -> None:
+def store_table(folder: str, name: str, part: int, key: np.ndarray, columns: list[np.ndarray]) -> None:
+    """Keys (64 bits, distinct, sorted) and numbers of a part."""
     large = np.max(columns, axis=0) >= LARGE if len(key) else np.zeros(0, bool)
-    store_file(f"{folder}/grams{n}-{part}", [len(key).to_bytes(8, "little"), key.tobytes(), *[np.minimum(x, LARGE).astype(np.uint8).tobytes() for x in columns]])
-    store_file(f"{folder}/large{n}-{part}", [int(large.sum()).to_bytes(8, "little"), key[large].tobytes(), *[x[large].astype("<u8").tobytes() for x in columns]])
+    for kind, own, data in (("", key, [np.minimum(x, LARGE).astype(np.uint8) for x in columns]), ("-large", key[large], [x[large].astype("<u8") for x in columns])):
+        bits = index_bits(len(own))
+        first = np.searchsorted(own >> U(64 - bits), np.arange((1 << bits) + 1, dtype=U)).astype("<u4")
+        store_arrays(f"{folder}/{name}{kind}-{part}", [first, (own >> U(32 - bits)).astype("<u4"), *data])
+
+
+def found_in(arrays: list[np.ndarray], keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which keys a stored table has, and their places there."""
+    first, rest, *_ = arrays
+    bits = index_bits(len(rest))
+    low, high = (first[(keys >> U(64 - bits)).astype(np.int64) + k].astype(np.int64) for k in (0, 1))
+    want = (keys >> U(32 - bits)).astype(np.uint32)
+    end = high
+    while (open_ := low < high).any():
+        middle = (low + high) >> 1
+        less = open_ & (rest[np.where(open_, middle, 0)] < want)
+        low, high = np.where(less, middle + 1, low), np.where(open_ & ~less, middle, high)
+    on = low < end
+    on[on] = rest[low[on]] == want[on]
+    return on, low
 
 
 @dataclass
@@ -180,84 +235,130 @@ class Model:
     folder: str
     bits: int  # parts: 2 ** bits
     order: int
+    hot: np.ndarray  # frequent words, sorted
     discounts: list[list[float]] = field(default_factory=list)  # of n-grams by n - 1
     tokens: int = 0  # N
     vocabulary: int = 0  # V
     pairs: int = 0  # distinct pairs of words
     rest: float = 1.0  # share of the words' level that goes to the uniform one
 
-    def look_up(self, table: str, keys: np.ndarray, width: int, kinds: tuple[str, ...]) -> list[np.ndarray]:
-        """The stored columns of sorted keys, 0 where there are none."""
-        out = [np.zeros(len(keys), np.int64) for _ in kinds[1:]]
-        edges = np.searchsorted(keys >> U(width - self.bits), np.arange((1 << self.bits) + 1, dtype=U))
-        for part in np.flatnonzero(np.diff(edges)):
-            own = slice(edges[part], edges[part + 1])
-            known, *columns = mapped(f"{self.folder}/{table}-{part}", kinds)
-            if len(known):
-                at = np.minimum(np.searchsorted(known, keys[own]), len(known) - 1)
-                hit = known[at] == keys[own]
-                for x, c in zip(out, columns, strict=True):
-                    x[own] = np.where(hit, c[at], 0)
-        return out
-
-    def statistics(self, n: int, keys: np.ndarray) -> list[np.ndarray]:
-        """Of sorted n-grams: count; below the highest order also total, one, two and more of those that follow."""
-        if n == 1:
-            return self.look_up("words", keys, 48, WORD_FILE)[1:]
-        size = 1 if n == self.order else STATISTICS - 1
-        out = self.look_up(f"grams{n}", keys, 64, gram_file(size))
-        large = np.flatnonzero(np.max(out, axis=0) == LARGE) if len(keys) else []
-        if len(large):
-            for x, y in zip(out, self.look_up(f"large{n}", keys[large], 64, gram_file(size, "<u8")), strict=True):
-                x[large] = y
-        return out
+    def place(self, context: list[np.ndarray], last: np.ndarray | int) -> np.ndarray:
+        """Hash of a context, and of its last word's group if the context is hot: its first bits are the part."""
+        return mixed(mixed(gram_keys(context)) + np.where(self.is_hot(context), last, 0).astype(U) * MULTIPLIER)
+
+    def is_hot(self, context: list[np.ndarray]) -> np.ndarray:
+        at = [np.minimum(np.searchsorted(self.hot, w), len(self.hot) - 1) for w in context]
+        return np.all([self.hot[i] == w for i, w in zip(at, context, strict=True)], axis=0)
+
+    def part(self, place: np.ndarray) -> np.ndarray:
+        return place >> U(64 - self.bits)
+
+    def look_up(self, table: str, part: np.ndarray, keys: np.ndarray, columns: int) -> tuple[np.ndarray, list[np.ndarray]]:
+        """Which keys are stored, and their numbers, 0 where they aren't."""
+        on, out = np.zeros(len(keys), bool), [np.zeros(len(keys), np.int64) for _ in range(columns)]
+        for p, some in each_part(part, np.argsort(part)):
+            for kind, type_ in (("", "u1"), ("-large", "<u8")):
+                arrays = mapped(f"{self.folder}/{table}{kind}-{p}", ("<u4", "<u4", *[type_] * columns))
+                hit, at = found_in(arrays, keys[some])
+                some, at = some[hit], at[hit]
+                on[some] = True
+                for x, c in zip(out, arrays[2:], strict=True):
+                    x[some] = c[at]
+                some = some[np.max([x[some] for x in out], axis=0) == LARGE] if len(some) else some
+                if not len(some):
+                    break
+        return on, out
+
+    def words(self, keys: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+        """Of words: whether they are known, their counts, and the distinct words before them."""
+        own = mixed(keys)
+        return self.look_up("words", self.part(own), own << U(self.bits), 2)
+
+    def grams(self, words: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """Of n-grams: whether they are known, and their counts."""
+        if len(words) == 1:
+            return self.words(words[0])[0], self.words(words[0])[1][0]
+        on, (n,) = self.look_up(f"grams{len(words)}", self.part(self.place(words[:-1], mixed(words[-1]) % U(SPREAD))), gram_keys(words), 1)
+        return on, n
+
+    def contexts(self, words: list[np.ndarray]) -> list[np.ndarray]:
+        """Of contexts: tokens after them, and words that follow once, twice, more often."""
+        hot = self.is_hot(words)
+        total = [np.zeros(len(hot), np.int64) for _ in range(4)]
+        for group in range(SPREAD if hot.any() else 1):
+            some = np.flatnonzero(hot) if group else np.arange(len(hot))
+            place = self.place([w[some] for w in words], group)
+            on, columns = self.look_up(f"contexts{len(words) + 1}", self.part(place), place << U(self.bits), 4)
+            for x, c in zip(total, columns, strict=True):
+                x[some] += c
+        some = np.flatnonzero(~hot & (total[0] == 0) & (words[-1] != END))
+        one = some[self.grams([w[some] for w in words])[0]]
+        total[0][one] = total[1][one] = 1
+        return total
 
     def scores(self, texts: list[str]) -> tuple[np.ndarray, ...]:
         """n_tokens, n_known, base_score and score of each text."""
         keys, number = word_keys(texts)
         every = grams(keys, number, self.order)
         words, place = np.unique(keys, return_inverse=True)
-        count, spread, *_ = self.look_up("words", words, 48, WORD_FILE)
+        _, (count, spread) = self.words(words)
         base = np.log10((count + 0.5) / (self.tokens + 0.5 * (self.vocabulary + 1)))
         cut = lambda n, d: np.maximum(0, n - np.array([0.0, *d])[np.minimum(n, 3)])
         p = (cut(spread, self.discounts[0]) / max(1, self.pairs) + self.rest / (self.vocabulary + 1))[place]
         for n in range(2, self.order + 1):  # a longer context takes from the shorter one what it leaves
             d, own = self.discounts[n - 1], every[self.order - n :]
-            contexts, context = np.unique(gram_keys(own[:-1]), return_inverse=True)
-            _, total, one, two, more = self.statistics(n - 1, contexts)
+            _, at, context = np.unique(gram_keys(own[:-1]), return_index=True, return_inverse=True)
+            total, one, two, more = self.contexts([w[at] for w in own[:-1]])
             left = np.where(total > 0, (d[0] * one + d[1] * two + d[2] * more) / np.maximum(1, total), 1)
-            found, gram = np.unique(gram_keys(own), return_inverse=True)
-            seen = self.statistics(n, found)[0][gram]
+            _, at, gram = np.unique(gram_keys(own), return_index=True, return_inverse=True)
+            seen = self.grams([w[at] for w in own])[1][gram]
             p = cut(seen, d) / np.maximum(1, total)[context] + left[context] * p
         owner = np.repeat(np.arange(len(texts)), number)
         add = lambda x: np.bincount(owner, x, len(texts))
         return number, add((count > 0)[place].astype(float)).astype(np.int64), add(base[place]), add(np.log10(p))
 
 
-def fit(docs: DataFrame, text: str = "text", part_bytes: int = PART_BYTES, tokens: int = TOKENS, order: int = 2) -> Model:
-    """Counts all rows and stores the tables, from the highest order (2 or more) down."""
+def frequent_words(texts: DataFrame, rows: int) -> np.ndarray:
+    """Hashes of the most frequent words of a sample of the rows (column text), BEGIN and END first."""
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (some,) in slices(batches, 1000, 4 << 20):
+            word, n = np.unique(word_keys(some)[0], return_counts=True)
+            yield pa.RecordBatch.from_pydict({"word": pa.array(word.view(np.int64)), "n": pa.array(n, pa.int64())})
+
+    sample = texts if rows <= SAMPLE else texts.sample(SAMPLE / rows, seed=3)
+    found = sample.mapInArrow(counted, "word long, n long").where(F.col("word") > int(END)).groupBy("word").agg(F.sum("n").alias("n"))
+    top = found.orderBy(F.desc("n"), "word").limit(CODES).collect()  # CODES rows, whatever the input's size
+    return np.array([int(BEGIN), int(END), *[r["word"] for r in top]], U)
+
+
+def fit(docs: DataFrame, text: str = "text", part_bytes: int = PART_BYTES, tokens: int = TOKENS, order: int = 2, hot: int = HOT) -> Model:
+    """Counts all rows and stores the tables, from the highest order (2 or more) down. hot: frequent words that make hot contexts."""
     if order < 2:
         raise ValueError("order must be 2 or more")
     texts = docs.select(F.coalesce(F.col(text), F.lit("")).alias("text"))
-    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    bits = min(20, max(6, (size * order // (2 * part_bytes)).bit_length()))
+    size, rows = texts.agg(F.sum(F.octet_length("text")), F.count("*")).first()
+    bits = min(20, max(6, ((size or 0) * order // (2 * part_bytes)).bit_length()))
+    frequent = frequent_words(texts, rows)
     folder = shared_dir(docs.sparkSession)
     parts, most = 1 << bits, max(1, tokens * 2 // order)
+    model = Model(folder, bits, order, np.sort(frequent[:hot]))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray]] = []
+        codes, held = Codes(frequent), []
 
         def sent() -> pa.RecordBatch:
             words = grams(*(np.concatenate(x) for x in zip(*held, strict=True)), order)
             held.clear()
-            key, at, n = np.unique(gram_keys(words), return_index=True, return_counts=True)
-            return row([(p, data, None) for p, data in by_part(key, [w[at] for w in words], [n.astype(U)], bits)])
+            _, at, n = np.unique(gram_keys(words), return_index=True, return_counts=True)
+            words = [w[at] for w in words]
+            part = model.part(model.place(words[:-1], mixed(words[-1]) % U(SPREAD)))
+            return row([(p, data, None) for p, data in by_part(part, words, [n.astype(U)], bits, codes)])
 
         size = 0
         for (some,) in slices(batches, 1000, 4 << 20):
-            keys, number = word_keys(some)
-            held.append((keys, number))
-            size += len(keys)
+            held.append(word_keys(some))
+            size += len(held[-1][0])
             if size >= most:
                 yield sent()
                 size = 0
@@ -265,52 +366,52 @@ def fit(docs: DataFrame, text: str = "text", part_bytes: int = PART_BYTES, token
             yield sent()
 
     def level(k: int):  # noqa: ANN202
-        """Sums k-grams and stores them; passes on what they add to those without their first and without their last word."""
+        """Sums k-grams and stores them and their contexts; passes on what they add to those without their first word."""
         inner = k < order
 
         def stored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            found, levels = joined_blocks(batches, k + (STATISTICS if inner else 1), order)
-            for part in list(found):
-                columns = found.pop(part)
-                key, sums, at = summed(gram_keys(columns[:k]), columns[k:])
-                words = [w[at] for w in columns[:k]]
-                del columns
-                raw = sums[0]
-                # Nothing stands before a text, so what begins one counts as often as it occurs.
-                n = np.where(words[0] == BEGIN, raw, sums[1]) if inner else raw
-                real = words[1] != BEGIN  # with several BEGINs: only passed on
-                store_grams(folder, k, part, key[real], [n[real], *sums[2:]] if real.all() else [x[real] for x in (n, *sums[2:])])
-                levels[4 * k - 4 : 4 * k] += levels_of(n[real])
-                blocks: list[tuple[int, bytes]] = []
-                none = lambda x: np.zeros(len(x), U)
-                for own, data in ((words[1:], [raw, np.ones(len(raw), U)]), ([w[real] for w in words[:-1]], [x.astype(U) for x in (n[real], n[real] == 1, n[real] == 2, n[real] > 2)])):
-                    key, (*data,), at = summed(gram_keys(own), data)
-                    own = [w[at] for w in own]
-                    blocks += by_part(key, own, [*data, *[none(key)] * 4] if len(data) == 2 else [none(key), none(key), *data], bits)
-                yield row([(p, data, levels.tolist() if i == 0 else None) for i, (p, data) in enumerate(blocks)])
-                levels[:] = 0
+            own = TaskContext.get().partitionId()
+            codes = Codes(frequent)
+            columns, levels = joined_blocks(batches, own, k, 2 if inner else 1, order, codes)
+            key, sums, at = summed(gram_keys(columns[:k]), columns[k:])
+            words = [w[at] for w in columns[:k]]
+            del columns
+            raw = sums[0]
+            # Nothing stands before a text, so what begins one counts as often as it occurs.
+            n = np.where(words[0] == BEGIN, raw, sums[1]) if inner else raw
+            real = words[1] != BEGIN  # with several BEGINs: only passed on
+            store_table(folder, f"grams{k}", own, key[real], [n[real]])
+            levels[4 * k - 4 : 4 * k] += levels_of(n[real])
+            context = [w[real] for w in words[:-1]]
+            place, data, at = summed(model.place(context, mixed(words[-1][real]) % U(SPREAD)), [x.astype(U) for x in (n[real], n[real] == 1, n[real] == 2, n[real] > 2)])
+            kept = (data[0] > 1) | model.is_hot([w[at] for w in context])
+            key, order_ = place[kept] << U(bits), np.argsort(place[kept] << U(bits))
+            store_table(folder, f"contexts{k}", own, key[order_], [x[kept][order_] for x in data])
+            key, data, at = summed(gram_keys(words[1:]), [raw, np.ones(len(raw), U)])
+            words = [w[at] for w in words[1:]]
+            part = model.part(model.place(words[:-1], mixed(words[-1]) % U(SPREAD)) if k > 2 else mixed(words[0]))
+            yield row([(p, data, levels.tolist() if i == 0 else None) for i, (p, data) in enumerate(by_part(part, words, data, bits, codes))])
 
         return stored
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found, levels = joined_blocks(batches, 1 + STATISTICS, order)
-        sums = np.zeros(6, np.int64)
-        for part in list(found):
-            key, *columns = found.pop(part)
-            key, columns, _ = summed(key, columns)
-            store_file(f"{folder}/words-{part}", [len(key).to_bytes(8, "little"), key.tobytes(), *[x.astype(k).tobytes() for x, k in zip(columns, WORD_FILE[1:], strict=True)]])
-            n, spread = columns[0].astype(np.int64), columns[1].astype(np.int64)
-            levels[:4] += levels_of(spread)
-            sums += [n.sum(), (n > 0).sum(), spread.sum(), (spread == 1).sum(), (spread == 2).sum(), (spread > 2).sum()]
-        yield pa.RecordBatch.from_arrays([pa.array([[*sums.tolist(), *levels.tolist()]], pa.list_(pa.int64()))], names=["sums"])
-
-    counted = texts.mapInArrow(count, ROW).repartition(parts, "part")
+        own = TaskContext.get().partitionId()
+        (key, *columns), levels = joined_blocks(batches, own, 1, 2, order, Codes(frequent))
+        key, columns, _ = summed(mixed(key) << U(bits), columns)
+        store_table(folder, "words", own, key, columns)
+        n, spread = (x.astype(np.int64) for x in columns)
+        levels[:4] += levels_of(spread)
+        sums = [n.sum(), (n > 0).sum(), spread.sum(), (spread == 1).sum(), (spread == 2).sum(), (spread > 2).sum()]
+        yield pa.RecordBatch.from_arrays([pa.array([[*map(int, sums), *levels.tolist()]], pa.list_(pa.int64()))], names=["sums"])
+
+    counted = texts.mapInArrow(count, ROW).repartitionById(parts, F.col("part"))
     for k in range(order, 1, -1):
-        counted = counted.mapInArrow(level(k), ROW).repartition(parts, "part")
+        counted = counted.mapInArrow(level(k), ROW).repartitionById(parts, F.col("part"))
     sums = counted.mapInArrow(words, "sums array<long>")
     total = sums.select([F.sum(F.col("sums")[i]).alias(f"s{i}") for i in range(6 + 4 * order)]).first()
     t = [x or 0 for x in total]
-    model = Model(folder, bits, order, [discounts(t[at : at + 4]) for at in range(6, len(t), 4)], *t[:3])
+    model.discounts = [discounts(t[at : at + 4]) for at in range(6, len(t), 4)]
+    model.tokens, model.vocabulary, model.pairs = t[:3]
     model.rest = sum(a * b for a, b in zip(model.discounts[0], t[3:6], strict=True)) / model.pairs if model.pairs else 1.0
     return model
 

@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lamina.llm.common import mapped, shared_dir, store_file
+from lamina.llm.common import mapped, shared_dir, store_arrays
 
 #: Standard errors that an estimate may be off.
 BOUND = 2.5
@@ -144,10 +144,10 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, key: str = "vec_i
     def store_lane(number: int, ids: np.ndarray, vectors: np.ndarray) -> None:
         blocks = [coded(vectors[at : at + 4096].astype(np.float64), seed) for at in range(0, len(ids), 4096)]
         code, norm, fit = (np.concatenate(x) for x in zip(*blocks, strict=True)) if blocks else (np.empty(0),) * 3
-        store_file(f"{folder}/lane-{number}", [len(ids).to_bytes(8, "little"), ids.tobytes(), norm.tobytes(), fit.tobytes(), code.tobytes(), vectors.astype(kind).tobytes()])
+        store_arrays(f"{folder}/lane-{number}", [ids, norm, fit, code, vectors.astype(kind)])
 
     def store_chunk(number: int, ids: np.ndarray, vectors: np.ndarray) -> None:
-        store_file(f"{folder}/chunk-{number}", [len(ids).to_bytes(8, "little"), ids.tobytes(), vectors.astype(kind).tobytes()])
+        store_arrays(f"{folder}/chunk-{number}", [ids, vectors.astype(kind)])
 
     stored_parts(rows.select("id", "vector"), lanes, store_lane)
     stored_parts(rows.where("asks").groupBy("id").agg(F.min("vector").alias("vector")), chunks, store_chunk)

@@ -6,7 +6,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from lamina.llm.common import KeySet, Recent, crc_fold, local_path, looked_up, mapped, shared_dir, slices, store_file
+from lamina.llm.common import KeySet, Recent, crc_fold, local_path, looked_up, mapped, shared_dir, slices, store_arrays
 
 
 def test_key_sets_hold_their_keys_and_no_others(spark):
@@ -22,9 +22,9 @@ def test_key_sets_hold_their_keys_and_no_others(spark):
 
 def test_files_are_written_whole_and_mapped(spark):
     name = f"{shared_dir(spark)}/x"
-    store_file(name, [(3).to_bytes(8, "little"), np.arange(3, dtype="<u8").tobytes(), bytes([7, 8, 9])])
-    a, b = mapped(name, ("<u8", "u1"))
-    assert a.tolist() == [0, 1, 2] and b.tolist() == [7, 8, 9]
+    store_arrays(name, [np.array([7, 8, 9], "u1"), np.arange(2, dtype="<u8"), np.ones((4, 2), "<f4"), np.empty(0)])
+    a, b, c, d = mapped(name, ("u1", "<u8", "(2,)<f4", "<f8"))
+    assert a.tolist() == [7, 8, 9] and b.tolist() == [0, 1] and c.tolist() == [[1, 1]] * 4 and len(d) == 0
     with pytest.raises(FileNotFoundError):
         mapped(name + "-missing", ("<u8", "u1"))
 

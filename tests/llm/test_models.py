@@ -58,8 +58,8 @@ def test_scores_equal_dictionaries(spark, docs, texts):
     assert sum(hand.p("w1", w) for w in [*hand.count, "unknown"]) == pytest.approx(1)
 
 
-@pytest.mark.parametrize("order", [3, 4])
-def test_scores_of_higher_orders_equal_dictionaries(spark, order):
+@pytest.mark.parametrize(("order", "hot"), [(3, 1024), (3, 2), (4, 4)])
+def test_scores_of_higher_orders_equal_dictionaries(spark, order, hot):
     rng = np.random.default_rng(1)
     rows = [(i, " ".join(f"w{x}" for x in rng.zipf(1.4, 50) if x < 12)) for i in range(60)] + [(60, "often " * 700), (61, None), (62, "")]
     levels = [collections.Counter() for _ in range(order + 1)]
@@ -87,7 +87,7 @@ def test_scores_of_higher_orders_equal_dictionaries(spark, order):
         return (c - d[n][min(c, 3) - 1] if c else 0) / total + sum(d[n][min(x, 3) - 1] for x in after[context]) / total * lower
 
     docs = spark.createDataFrame([*rows, (99, "w1 never seen w2 w1 w1 w3")], "doc_id long, text string")
-    model = kneser_ney.fit(docs.where("doc_id <> 99"), tokens=200, order=order)
+    model = kneser_ney.fit(docs.where("doc_id <> 99"), tokens=200, order=order, hot=hot)
     found = {r["doc_id"]: r["score"] for r in kneser_ney.score(docs, model).collect()}
     for i, t in [*rows, (99, "w1 never seen w2 w1 w1 w3")]:
         w = ["<s>", *words(t)]
