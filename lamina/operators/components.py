@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lamina.operators.groups import in_whole_groups, least_connected, touching_runs
 from lamina.operators.pixels import padded
 
 
@@ -25,40 +27,15 @@ def run_edges(spans: DataFrame) -> DataFrame:
 
 
 def labelled(spans: DataFrame) -> DataFrame:
-    """Runs with component_id, the smallest run_id of their component. A group is the runs of one image."""
-
-    def label(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("run_id")
-        top = list(range(len(rows)))
-
-        def root(i: int) -> int:
-            while top[i] != i:
-                top[i] = top[top[i]]
-                i = top[i]
-            return i
-
-        y, s, e = rows["y"].tolist(), rows["x_start"].tolist(), rows["x_end"].tolist()
-        first: dict[int, int] = {}
-        for i, row in enumerate(y):
-            first.setdefault(row, i)
-        ends = {**{row: i for row, i in zip(y, range(len(y)), strict=True)}}
-        for row, at in first.items():
-            if row - 1 not in first:
-                continue
-            i, j = first[row - 1], at
-            while i <= ends[row - 1] and j <= ends[row]:
-                if s[i] <= e[j] + 1 and e[i] >= s[j] - 1:
-                    a, b = sorted((root(i), root(j)))
-                    top[b] = a
-                if e[i] < e[j]:
-                    i += 1
-                else:
-                    j += 1
-        ids = rows["run_id"].tolist()
-        return rows.assign(component_id=[ids[root(i)] for i in range(len(ids))])
+    """Runs with component_id, the smallest run_id of their component. Images are labelled many at once; one image is in one task."""
+
+    def label(rows: pa.Table) -> pa.Table:
+        image, y, s, e, run = (rows.column(c).to_numpy() for c in ("image_id", "y", "x_start", "x_end", "run_id"))
+        least = least_connected(len(y), *touching_runs(image, y, s, e))
+        return rows.append_column("component_id", pa.array(run[least].astype(np.int32)))
 
     kinds = ", ".join(f"{c} {t}" for c, t in spans.dtypes)
-    return spans.groupBy("image_id").applyInPandas(label, f"{kinds}, component_id int")
+    return in_whole_groups(spans, ["image_id"], ["y", "x_start"], label, f"{kinds}, component_id int")
 
 
 def components(runs_: DataFrame) -> DataFrame:

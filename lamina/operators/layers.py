@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lamina.operators import components as cc
 from lamina.operators.background import dominant_colours
+from lamina.operators.groups import in_whole_groups, least_connected, touching_runs
 from lamina.operators.pixels import alpha, luma, squared_distance
 
 
@@ -68,44 +69,47 @@ def cut(mask: np.ndarray, x: int, y: int, options: dict, depth: int = 0) -> list
 
 
 def partition(runs: DataFrame, area: int = 800, density: float = 0.1, gap: int = 3, depth: int = 9, span: int = 140) -> DataFrame:
-    """image_id, component_id, region (from 1), y, x_start, x_end: spans of large components, cut at sparse gaps. A group is one component."""
+    """image_id, component_id, region (from 1), y, x_start, x_end: spans of large components, cut at sparse gaps. Components that are too small to be cut aren't sent to Python."""
     options = {"area": area, "density": density, "gap": gap, "depth": depth, "span": span}
-
-    def split(rows: pd.DataFrame) -> pd.DataFrame:
-        left, top = rows["x_start"].min(), rows["y"].min()
-        mask = np.zeros((rows["y"].max() - top + 1, rows["x_end"].max() - left + 1), bool)
-        for y, a, b in rows[["y", "x_start", "x_end"]].itertuples(index=False):
-            mask[y - top, a - left : b - left + 1] = True
-        parts = cut(mask, int(left), int(top), options) if mask.size >= area else [(mask, int(left), int(top))]
-        out = []
-        for region, (part, x, y) in enumerate(((p, x, y) for p, x, y in parts if p.any()), 1):
-            edge = np.diff(np.pad(part.astype(int), ((0, 0), (1, 1))), axis=1)
-            for (row, a), (_, b) in zip(np.argwhere(edge == 1), np.argwhere(edge == -1), strict=True):
-                out.append((rows["image_id"].iloc[0], rows["component_id"].iloc[0], region, y + row, x + a, x + b - 1))
-        return pd.DataFrame(out, columns=["image_id", "component_id", "region", "y", "x_start", "x_end"])
-
-    return runs.groupBy("image_id", "component_id").applyInPandas(split, "image_id long, component_id long, region long, y long, x_start long, x_end long")
+    keys = ["image_id", "component_id"]
+    spans = runs.select(*[F.col(c).cast("long").alias(c) for c in (*keys, "y", "x_start", "x_end")])
+    large = cc.components(spans).where((F.greatest("width", "height") >= span) & (F.col("area") >= area)).select(*keys)
+
+    def split(rows: pa.Table) -> pa.Table:
+        image, component, y, a, b = (rows.column(c).to_numpy() for c in (*keys, "y", "x_start", "x_end"))
+        edge = np.flatnonzero(np.concatenate([[True], (image[1:] != image[:-1]) | (component[1:] != component[:-1]), [True]]))
+        out: list[list[np.ndarray]] = [[np.empty(0, np.int64)] * 6]
+        for i, j in zip(edge[:-1], edge[1:], strict=True):
+            left, top = int(a[i:j].min()), int(y[i])
+            change = np.zeros((int(y[j - 1]) - top + 1, int(b[i:j].max()) - left + 2), np.int8)
+            np.add.at(change, (y[i:j] - top, a[i:j] - left), 1)
+            np.add.at(change, (y[i:j] - top, b[i:j] + 1 - left), -1)
+            parts = [p for p in cut(change.cumsum(axis=1)[:, :-1] > 0, left, top, options) if p[0].any()]
+            for region, (part, x0, y0) in enumerate(parts, 1):
+                edges = np.diff(np.pad(part.astype(np.int8), ((0, 0), (1, 1))), axis=1)
+                (row, x_start), (_, x_end) = np.nonzero(edges == 1), np.nonzero(edges == -1)
+                whole = lambda v: np.full(len(row), v)  # noqa: E731, B023
+                out.append([whole(image[i]), whole(component[i]), whole(region), row + y0, x_start + x0, x_end + x0 - 1])
+        return pa.table([pa.array(np.concatenate(c), pa.int64()) for c in zip(*out, strict=True)], names=[*keys, "region", "y", "x_start", "x_end"])
+
+    schema = "image_id long, component_id long, region long, y long, x_start long, x_end long"
+    cut_ = in_whole_groups(spans.join(large, keys, "left_semi"), keys, ["y", "x_start"], split, schema)
+    return cut_.unionByName(spans.join(large, keys, "left_anti").withColumn("region", F.lit(1).cast("long")))
 
 
 def labelled_regions(runs: DataFrame) -> DataFrame:
     """Runs (image_id, component_id, region, y, x_start, x_end, run_id) with component_id anew, the smallest run_id that they touch within one old component and region."""
+    keys = ["image_id", "component_id", "region"]
+
+    def label(rows: pa.Table) -> pa.Table:
+        key = np.stack([rows.column(c).to_numpy() for c in keys], axis=1)
+        group = np.cumsum(np.concatenate([[0], (key[1:] != key[:-1]).any(axis=1)]))
+        y, s, e, run = (rows.column(c).to_numpy() for c in ("y", "x_start", "x_end", "run_id"))
+        least = least_connected(len(y), *touching_runs(group, y, s, e))
+        return rows.select(["image_id", "y", "x_start", "x_end", "run_id"]).append_column("component_id", pa.array(run[least].astype(np.int32)))
 
-    def label(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["y", "x_start"])
-        y, s, e, ids = (rows[c].tolist() for c in ("y", "x_start", "x_end", "run_id"))
-        group = list(range(len(rows)))
-        above: dict[int, list[int]] = {}
-        for i in range(len(rows)):
-            for j in above.get(y[i] - 1, ()):
-                if s[j] <= e[i] + 1 and e[j] >= s[i] - 1 and group[i] != group[j]:
-                    group = [group[j] if g == group[i] else g for g in group]
-            above.setdefault(y[i], []).append(i)
-        least: dict[int, int] = {}
-        for g, n in zip(group, ids, strict=True):
-            least[g] = min(n, least.get(g, n))
-        return rows[["image_id", "y", "x_start", "x_end", "run_id"]].assign(component_id=[least[g] for g in group])
-
-    return runs.groupBy("image_id", "component_id", "region").applyInPandas(label, "image_id long, y int, x_start int, x_end int, run_id int, component_id int")
+    rows = runs.select(*keys, *[F.col(c).cast("int").alias(c) for c in ("y", "x_start", "x_end", "run_id")])
+    return in_whole_groups(rows, keys, ["y", "x_start"], label, "image_id long, y int, x_start int, x_end int, run_id int, component_id int")
 
 
 def composite(background: DataFrame, layers: DataFrame) -> DataFrame:

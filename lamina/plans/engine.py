@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -13,6 +12,7 @@ from lamina.operators import layers as ly
 from lamina.operators import pixels
 from lamina.plans.images import BEST, DIST, LAYERS, SIDE, images, sql
 from lamina.plans.registry import query
+from lamina.sources.tables import written
 
 COLUMNS = ["image_id", "layer_id", "area", "x", "y", "width", "height"]
 
@@ -29,14 +29,14 @@ def surface_layer(distances: DataFrame, high: DataFrame, options: SegmentOptions
 def extract_layers(px: DataFrame, width: int, height: int, options: SegmentOptions, surface_least: int = 800, partition: dict | None = None, details: dict | None = None) -> DataFrame:
     """image_id, layer_id, area, x, y, width, height, z of the layers of images of one size.
 
-    Steps that the options switch off are not in the plan. Distances and runs are read by several steps, so Spark keeps
-    them in memory or on disk until its cache is cleared. partition: arguments of layers.partition; details: min_area,
+    Steps that the options switch off are not in the plan. Distances and runs are read by several steps, so they are
+    written to the shared folder. partition: arguments of layers.partition; details: min_area,
     min_ratio, max_luma, distance and min_detail of components with marks inside.
     """
-    distances = pixels.with_distance(px, bg.background(px, width, height)).persist(StorageLevel.MEMORY_AND_DISK)
+    distances = written(pixels.with_distance(px, bg.background(px, width, height)))
     mask = pixels.foreground(distances, options.bg_threshold)
     work = pixels.dilated(mask, options.dilation_px, width, height)
-    runs = cc.labelled(cc.runs(work)).persist(StorageLevel.MEMORY_AND_DISK)
+    runs = written(cc.labelled(cc.runs(work)))
     found = cc.largest(cc.components(runs), options.min_area_px, options.min_bbox_px, options.max_layers)
     if options.partition:
         kept = runs.join(found.select("image_id", "component_id"), ["image_id", "component_id"], "left_semi")
@@ -44,7 +44,7 @@ def extract_layers(px: DataFrame, width: int, height: int, options: SegmentOptio
         cells = parts.select("image_id", "component_id", "region", "y", F.explode(F.sequence("x_start", "x_end")).alias("x"))
         spans = cc.runs(cells, "image_id", "component_id", "region").drop("run_id")
         number = F.row_number().over(Window.partitionBy("image_id").orderBy("component_id", "region", "y", "x_start"))
-        runs = ly.labelled_regions(spans.withColumn("run_id", number)).persist(StorageLevel.MEMORY_AND_DISK)
+        runs = written(ly.labelled_regions(spans.withColumn("run_id", number)))
         found = cc.largest(cc.components(runs), 1, 1, options.max_layers)
     shown = ly.opaque_components(runs, distances, mask, options.alpha_low, options.alpha_high)
     found = found.join(shown.select("image_id", "component_id"), ["image_id", "component_id"], "left_semi")
