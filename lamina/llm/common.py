@@ -195,6 +195,7 @@ class KeySet:
     folder: str
     bits: int
     kinds: tuple[str, ...] = ("<u8",)
+    size: int = 0
 
     @classmethod
     def store(cls, keys: DataFrame, count: int, part: int = 1 << 20) -> KeySet:
@@ -216,8 +217,8 @@ class KeySet:
         kinds = ("<u8", *["<i8"] * len(value))
         key = F.col(name)
         parts = keys.select(key.alias("key"), *value).repartitionById(1 << bits, F.shiftrightunsigned("key", 64 - bits).cast("int"))
-        parts.mapInArrow(stored, "n long").agg(F.sum("n")).collect()
-        return cls(folder, bits, kinds)
+        size = parts.mapInArrow(stored, "n long").agg(F.sum("n")).first()[0]
+        return cls(folder, bits, kinds, size or 0)
 
     def contains(self, keys: np.ndarray) -> np.ndarray:
         """Whether each key (unsigned) is in the set."""
@@ -232,6 +233,8 @@ class KeySet:
         order = np.argsort(keys)
         sorted_ = keys[order]
         out, values = np.zeros(len(keys), bool), np.zeros(len(keys), np.int64)
+        if not self.size:  # Spark need not run tasks over no rows, so there may be no files
+            return out, values
         edges = np.searchsorted(sorted_ >> np.uint64(64 - self.bits), np.arange((1 << self.bits) + 1, dtype=np.uint64))
         for part in np.flatnonzero(np.diff(edges)):
             own = slice(edges[part], edges[part + 1])

@@ -256,6 +256,8 @@ class Model:
     def look_up(self, table: str, part: np.ndarray, keys: np.ndarray, columns: int) -> tuple[np.ndarray, list[np.ndarray]]:
         """Which keys are stored, and their numbers, 0 where they aren't."""
         on, out = np.zeros(len(keys), bool), [np.zeros(len(keys), np.int64) for _ in range(columns)]
+        if not self.tokens:  # Spark need not run tasks over no rows, so there may be no files
+            return on, out
         for p, some in each_part(part, np.argsort(part)):
             for kind, type_ in (("", "u1"), ("-large", "<u8")):
                 arrays = mapped(f"{self.folder}/{table}{kind}-{p}", ("<u4", "<u4", *[type_] * columns))

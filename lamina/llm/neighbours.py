@@ -64,8 +64,8 @@ def lane_kinds(dims: int, kind: str) -> tuple[str, ...]:
     return ("<i8", "<f8", "<f8", f"({-(-dims // 8)},)u1", f"({dims},){kind}")
 
 
-def stored_parts(rows: DataFrame, parts: int, store: Callable[[int, np.ndarray, np.ndarray], None]) -> None:
-    """Deals rows (id, vector) to so many parts, equal ones too, and has each stored by its number, ids and vectors; empty ones too."""
+def stored_parts(rows: DataFrame, parts: int, store: Callable[[int, np.ndarray, np.ndarray], None]) -> int:
+    """Deals rows (id, vector) to so many parts, equal ones too, and has each stored by its number, ids and vectors; empty ones too, unless all are. Returns the number of rows."""
 
     def salted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = 0
@@ -82,7 +82,7 @@ def stored_parts(rows: DataFrame, parts: int, store: Callable[[int, np.ndarray,
 
     kinds = ", ".join(f"{c} {t}" for c, t in rows.dtypes)
     dealt = rows.mapInArrow(salted, f"{kinds}, salt long").repartitionById(parts, F.pmod(F.xxhash64("id", "salt"), F.lit(parts)).cast("int"))
-    dealt.select("id", "vector").mapInArrow(kept, "n long").agg(F.sum("n")).collect()
+    return dealt.select("id", "vector").mapInArrow(kept, "n long").agg(F.sum("n")).first()[0] or 0
 
 
 def best(queries: np.ndarray, own: np.ndarray, lanes: Iterable[list[np.ndarray]], k: int, seed: int, bound: float, block: int = 4096, group: int = 128) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -149,8 +149,9 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, key: str = "vec_i
     def store_chunk(number: int, ids: np.ndarray, vectors: np.ndarray) -> None:
         store_arrays(f"{folder}/chunk-{number}", [ids, vectors.astype(kind)])
 
-    stored_parts(rows.select("id", "vector"), lanes, store_lane)
-    stored_parts(rows.where("asks").groupBy("id").agg(F.min("vector").alias("vector")), chunks, store_chunk)
+    asks = rows.where("asks").groupBy("id").agg(F.min("vector").alias("vector"))
+    if not stored_parts(rows.select("id", "vector"), lanes, store_lane) or not stored_parts(asks, chunks, store_chunk):
+        lanes = 0
     several = min(LANES[1], max(LANES[0], lanes * chunks // 256))
     groups = -(-lanes // several)
 
@@ -166,6 +167,6 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, key: str = "vec_i
                     ids = np.repeat(own[at : at + 4096], [len(x) for x, _ in some])
                     yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(np.concatenate([x for x, _ in some])), pa.array(np.concatenate([x for _, x in some]))], names=["query_id", "id", "score"])
 
-    tasks = spark.range(0, groups * chunks, 1, groups * chunks)
+    tasks = spark.range(0, groups * chunks, 1, max(1, groups * chunks))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     return tasks.mapInArrow(met, "query_id long, id long, score double").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", F.col("id").alias(key), "score")

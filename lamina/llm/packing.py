@@ -37,7 +37,7 @@ STEP_TOKENS = 16 * WINDOW
 #: Bytes of text that go to a bucket, on average.
 BUCKET_BYTES = 1_500_000
 #: Parts of texts that a worker keeps the ids of: twice so many at most.
-BITS = 500_000
+BITS = 300_000
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, sequence_tokens long, step_id long"
 PLAIN_SPACE = re.compile(r"[ \t\n\r]+")
 #: Characters that the library's normalizer only lower-cases: ASCII and Latin letters without a dotted capital I.

@@ -61,3 +61,10 @@ def test_slices_keep_all_rows_in_order():
 def test_folds_of_ids(spark):
     rows = spark.createDataFrame([(7,), (None,), (123456,)], "i long").select("i", crc_fold(F.col("i")).alias("f")).collect()
     assert {r["i"]: r["f"] for r in rows} == {7: zlib.crc32(b"7") % 5, 123456: zlib.crc32(b"123456") % 5, None: 0}
+
+
+def test_sets_without_keys_after_a_shuffle(spark):
+    """Spark drops tasks over no rows, so that no file is written."""
+    none = spark.range(100).groupBy((F.col("id") % 7).alias("k")).agg(F.count("*").alias("n")).where("n > 1000")
+    held = KeySet.store(none, 0)
+    assert not held.contains(np.arange(10, dtype=np.uint64)).any() and held.values(np.arange(3, dtype=np.uint64), 5).tolist() == [5, 5, 5]

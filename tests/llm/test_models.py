@@ -99,6 +99,8 @@ def test_no_training_texts(spark, docs):
     model = kneser_ney.fit(docs.where("false"))
     assert {(r["score"], r["base_score"]) for r in kneser_ney.score(docs, model).collect()} == {(0.0, 0.0)}
     assert kneser_ney.score(docs.where("false"), model).count() == 0
+    grouped = docs.groupBy("doc_id").agg(F.first("text").alias("text"), F.count("*").alias("n")).where("n > 100")
+    assert {r["score"] for r in kneser_ney.score(docs, kneser_ney.fit(grouped, order=3)).collect()} == {0.0}
 
 
 def test_nearest_and_odd_vectors(spark):
@@ -125,6 +127,10 @@ def test_nearest_and_odd_vectors(spark):
     assert right >= 0.98 * 20 * len(found)
     assert neighbours.nearest(table.where("false"), F.col("vec_id") % 20 == 0).count() == 0
     assert neighbours.nearest(table.where("vec_id in (0, 1)"), F.col("vec_id") % 20 == 0).count() == 1
+    assert neighbours.nearest(table.where("vec_id in (1, 2)"), F.col("vec_id") % 20 == 0).count() == 0
+    assert neighbours.nearest(table.where("vec_id in (1, 1080)"), F.col("vec_id") % 20 == 0).count() == 0
+    grouped = table.groupBy("vec_id").agg(F.first("embedding").alias("embedding"), F.count("*").alias("n")).where("n > 100")
+    assert neighbours.nearest(grouped, F.col("vec_id") % 20 == 0).count() == 0
 
 
 def test_recall_on_the_table(spark):
