@@ -175,7 +175,7 @@ def store_arrays(uri: str, arrays: list[np.ndarray]) -> None:
 def mapped(uri: str, kinds: tuple[str, ...]) -> list[np.ndarray]:
     """The arrays of a file of store_arrays(), mapped into memory. A file that isn't there is an error."""
     with opened(uri) as f:
-        data = np.memmap(f, np.uint8, "r")
+        data = np.asarray(np.memmap(f, np.uint8, "r"))
     out, at = [], 8 * len(kinds)
     for k, n in zip(kinds, data[:at].view("<u8").tolist(), strict=True):
         size = n * np.dtype(k).itemsize

@@ -218,16 +218,16 @@ def found_in(arrays: list[np.ndarray], keys: np.ndarray) -> tuple[np.ndarray, np
     """Which keys a stored table has, and their places there."""
     first, rest, *_ = arrays
     bits = index_bits(len(rest))
-    low, high = (first[(keys >> U(64 - bits)).astype(np.int64) + k].astype(np.int64) for k in (0, 1))
+    bucket = (keys >> U(64 - bits)).astype(np.int64)
+    low, high = first[bucket].astype(np.int64), first[bucket + 1].astype(np.int64)
     want = (keys >> U(32 - bits)).astype(np.uint32)
-    end = high
-    while (open_ := low < high).any():
-        middle = (low + high) >> 1
-        less = open_ & (rest[np.where(open_, middle, 0)] < want)
-        low, high = np.where(less, middle + 1, low), np.where(open_ & ~less, middle, high)
-    on = low < end
-    on[on] = rest[low[on]] == want[on]
-    return on, low
+    if not len(rest):
+        return np.zeros(len(keys), bool), low
+    step = 1 << int((high - low).max(initial=0)).bit_length()
+    while step := step >> 1:  # how many of the bucket are less, from the highest bit down
+        probe = low + (step - 1)
+        low += step * ((probe < high) & (rest.take(probe, mode="clip") < want))
+    return (low < high) & (rest.take(low, mode="clip") == want), low
 
 
 @dataclass
@@ -235,7 +235,7 @@ class Model:
     folder: str
     bits: int  # parts: 2 ** bits
     order: int
-    hot: np.ndarray  # frequent words, sorted
+    hot: np.ndarray  # frequent words, by falling frequency
     discounts: list[list[float]] = field(default_factory=list)  # of n-grams by n - 1
     tokens: int = 0  # N
     vocabulary: int = 0  # V
@@ -247,8 +247,13 @@ class Model:
         return mixed(mixed(gram_keys(context)) + np.where(self.is_hot(context), last, 0).astype(U) * MULTIPLIER)
 
     def is_hot(self, context: list[np.ndarray]) -> np.ndarray:
-        at = [np.minimum(np.searchsorted(self.hot, w), len(self.hot) - 1) for w in context]
-        return np.all([self.hot[i] == w for i, w in zip(at, context, strict=True)], axis=0)
+        """Whether all words are among the most frequent ones, of which fewer count in longer contexts."""
+        hot = np.sort(self.hot[: max(2, len(self.hot) >> 4 * (len(context) - 1))])
+        out = np.ones(len(context[0]), bool)
+        for w in context:
+            some = np.flatnonzero(out)
+            out[some] = hot.take(np.searchsorted(hot, w[some]), mode="clip") == w[some]
+        return out
 
     def part(self, place: np.ndarray) -> np.ndarray:
         return place >> U(64 - self.bits)
@@ -258,7 +263,7 @@ class Model:
         on, out = np.zeros(len(keys), bool), [np.zeros(len(keys), np.int64) for _ in range(columns)]
         if not self.tokens:  # Spark need not run tasks over no rows, so there may be no files
             return on, out
-        for p, some in each_part(part, np.argsort(part)):
+        for p, some in each_part(part, np.argsort(part.astype(np.uint16 if self.bits <= 16 else np.uint32), kind="stable")):
             for kind, type_ in (("", "u1"), ("-large", "<u8")):
                 arrays = mapped(f"{self.folder}/{table}{kind}-{p}", ("<u4", "<u4", *[type_] * columns))
                 hit, at = found_in(arrays, keys[some])
@@ -276,48 +281,48 @@ class Model:
         own = mixed(keys)
         return self.look_up("words", self.part(own), own << U(self.bits), 2)
 
-    def grams(self, words: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        """Of n-grams: whether they are known, and their counts."""
-        if len(words) == 1:
-            return self.words(words[0])[0], self.words(words[0])[1][0]
-        on, (n,) = self.look_up(f"grams{len(words)}", self.part(self.place(words[:-1], mixed(words[-1]) % U(SPREAD))), gram_keys(words), 1)
-        return on, n
+    def grams(self, words: list[np.ndarray]) -> np.ndarray:
+        """Counts of n-grams of two words or more, 0 of unknown ones."""
+        return self.look_up(f"grams{len(words)}", self.part(self.place(words[:-1], mixed(words[-1]) % U(SPREAD))), gram_keys(words), 1)[1][0]
 
-    def contexts(self, words: list[np.ndarray]) -> list[np.ndarray]:
-        """Of contexts: tokens after them, and words that follow once, twice, more often."""
+    def contexts(self, words: list[np.ndarray], known: np.ndarray) -> np.ndarray:
+        """Of contexts, in rows: tokens after them, and words that follow once, twice, more often. known: whether they occur, as n-grams."""
         hot = self.is_hot(words)
-        total = [np.zeros(len(hot), np.int64) for _ in range(4)]
-        for group in range(SPREAD if hot.any() else 1):
-            some = np.flatnonzero(hot) if group else np.arange(len(hot))
-            place = self.place([w[some] for w in words], group)
-            on, columns = self.look_up(f"contexts{len(words) + 1}", self.part(place), place << U(self.bits), 4)
-            for x, c in zip(total, columns, strict=True):
-                x[some] += c
-        some = np.flatnonzero(~hot & (total[0] == 0) & (words[-1] != END))
-        one = some[self.grams([w[some] for w in words])[0]]
-        total[0][one] = total[1][one] = 1
+        total = np.zeros((4, len(hot)), np.int64)
+        some = np.concatenate([np.flatnonzero(known & ~hot), np.repeat(np.flatnonzero(hot), SPREAD)])
+        place = self.place([w[some] for w in words], np.concatenate([np.zeros(int((known & ~hot).sum()), np.int64), np.tile(np.arange(SPREAD), int(hot.sum()))]))
+        for x, column in zip(total, self.look_up(f"contexts{len(words) + 1}", self.part(place), place << U(self.bits), 4)[1], strict=True):
+            np.add.at(x, some, column)
+        total[:2, ~hot & (total[0] == 0) & known & (words[-1] != END)] = 1
         return total
 
     def scores(self, texts: list[str]) -> tuple[np.ndarray, ...]:
         """n_tokens, n_known, base_score and score of each text."""
         keys, number = word_keys(texts)
         every = grams(keys, number, self.order)
-        words, place = np.unique(keys, return_inverse=True)
-        _, (count, spread) = self.words(words)
-        base = np.log10((count + 0.5) / (self.tokens + 0.5 * (self.vocabulary + 1)))
+        begins = np.zeros(len(keys), bool)
+        begins[np.cumsum(number) - number] = True
+        own, at, gram = np.unique(keys, return_index=True, return_inverse=True)
+        _, (count, spread) = self.words(own)
+        base = np.log10((count + 0.5) / (self.tokens + 0.5 * (self.vocabulary + 1)))[gram]
+        n_known = (count > 0)[gram]
         cut = lambda n, d: np.maximum(0, n - np.array([0.0, *d])[np.minimum(n, 3)])
-        p = (cut(spread, self.discounts[0]) / max(1, self.pairs) + self.rest / (self.vocabulary + 1))[place]
-        for n in range(2, self.order + 1):  # a longer context takes from the shorter one what it leaves
-            d, own = self.discounts[n - 1], every[self.order - n :]
-            _, at, context = np.unique(gram_keys(own[:-1]), return_index=True, return_inverse=True)
-            total, one, two, more = self.contexts([w[at] for w in own[:-1]])
+        p = (cut(spread, self.discounts[0]) / max(1, self.pairs) + self.rest / (self.vocabulary + 1))[gram]
+        seen = count
+        for n in range(2, self.order + 1):
+            # The context of a token is the shorter n-gram at the token before; at a text's first one, it is BEGINs only.
+            d, words = self.discounts[n - 1], every[self.order - n :]
+            total, one, two, more = self.contexts([w[at] for w in words[1:]], seen > 0)[:, np.roll(gram, 1)]
+            first = self.contexts([np.array([BEGIN])], np.zeros(1, bool)) if n == 2 else np.zeros((4, 1), np.int64)
+            for x, y in zip((total, one, two, more), first, strict=True):
+                x[begins] = y[0]
             left = np.where(total > 0, (d[0] * one + d[1] * two + d[2] * more) / np.maximum(1, total), 1)
-            _, at, gram = np.unique(gram_keys(own), return_index=True, return_inverse=True)
-            seen = self.grams([w[at] for w in own])[1][gram]
-            p = cut(seen, d) / np.maximum(1, total)[context] + left[context] * p
+            _, at, gram = np.unique(gram_keys(words), return_index=True, return_inverse=True)
+            seen = self.grams([w[at] for w in words])
+            p = cut(seen, d)[gram] / np.maximum(1, total) + left * p  # what a longer context leaves goes to the shorter one
         owner = np.repeat(np.arange(len(texts)), number)
         add = lambda x: np.bincount(owner, x, len(texts))
-        return number, add((count > 0)[place].astype(float)).astype(np.int64), add(base[place]), add(np.log10(p))
+        return number, add(n_known.astype(float)).astype(np.int64), add(base), add(np.log10(p))
 
 
 def frequent_words(texts: DataFrame, rows: int) -> np.ndarray:
@@ -344,7 +349,7 @@ def fit(docs: DataFrame, text: str = "text", part_bytes: int = PART_BYTES, token
     frequent = frequent_words(texts, rows)
     folder = shared_dir(docs.sparkSession)
     parts, most = 1 << bits, max(1, tokens * 2 // order)
-    model = Model(folder, bits, order, np.sort(frequent[:hot]))
+    model = Model(folder, bits, order, frequent[:hot])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes, held = Codes(frequent), []
