@@ -28,7 +28,7 @@ from lamina.llm.common import slices
 
 UNDETERMINED = "und"
 #: n-gram vectors that a worker keeps, at most.
-KEPT = 40_000
+KEPT = 20_000
 SHARE, SPREADS, FEWEST = 1 / 3, 3, 20
 
 
