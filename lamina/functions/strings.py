@@ -6,16 +6,46 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def safe_stem(name: Column) -> Column:
-    """Letters, digits, - and _; white space becomes _, the rest goes; 80 characters; `image` if nothing is left."""
+def safe_stem(name: Column, default: str = "image") -> Column:
+    """Letters, digits, - and _; white space becomes _, the rest goes; 80 characters; the default if nothing is left."""
     kept = F.regexp_replace(F.regexp_replace(name, r"\s", "_"), r"[^\p{L}\p{N}_-]", "")
-    return F.coalesce(F.nullif(F.substring(kept, 1, 80), F.lit("")), F.lit("image"))
+    return F.coalesce(F.nullif(F.substring(kept, 1, 80), F.lit("")), F.lit(default))
 
 
-def collapsed_stem(name: Column) -> Column:
-    """Runs of anything but letters, digits, - and _ become one _; none at the ends; `image` if nothing is left."""
-    kept = F.regexp_replace(F.regexp_replace(name, r"[^\p{L}\p{N}_-]", "_"), "_+", "_")
-    return F.coalesce(F.nullif(F.regexp_replace(kept, "^_|_$", ""), F.lit("")), F.lit("image"))
+def path_stem(path: Column) -> Column:
+    """The last part of a path, without its last suffix."""
+    return F.regexp_replace(F.regexp_extract(path, "([^/]*)/*$", 1), r"^(.+)\.[^.]+$", "$1")
+
+
+def collapsed_stem(path: Column) -> Column:
+    """Of a path's stem: runs of anything but letters and digits become one _; none at the ends; `image` if nothing is left."""
+    kept = F.regexp_replace(F.regexp_replace(path_stem(path), r"[^\p{L}\p{N}]+", "_"), "^_|_$", "")
+    return F.coalesce(F.nullif(kept, F.lit("")), F.lit("image"))
+
+
+def download_name(names: Column, bundled: Column, product: str = "lamina") -> Column:
+    """What a download is called. names: an array of the uploaded files' names; bundled: whether it is a bundle of decks, else it is one deck."""
+    n = F.coalesce(F.size(names), F.lit(0))
+    many = F.concat(F.lit(f"{product}_"), n.cast("string"))
+    stem = safe_stem(path_stem(F.coalesce(F.get(names, F.lit(0)), F.lit(f"{product}_output"))), f"{product}_output")
+    bundle = F.when(n > 1, F.concat(many, F.lit("_pptx_layers.zip"))).otherwise(f"{product}_pptx_layers.zip")
+    return F.when(bundled, bundle).when(n > 1, F.concat(many, F.lit("_slides_layers.pptx"))).otherwise(F.concat(stem, F.lit("_layers.pptx")))
+
+
+def output_mode(asked: Column, files: Column) -> Column:
+    """A bundle only if it is asked for and there are several files."""
+    return F.when((asked == "zip") & (files > 1), "zip").otherwise("deck")
+
+
+def unfenced(text: Column) -> Column:
+    """An answer without the marks of a block of code around it, and the name of its language."""
+    bare = F.regexp_replace(F.trim(text), "^`+|`+$", "")
+    return F.trim(F.when(F.startswith(text, F.lit("```")), F.regexp_replace(bare, "(?i)^json", "")).otherwise(text))
+
+
+def parsed_json(text: Column, schema: str) -> Column:
+    """The object in an answer, null if there is none that can be read."""
+    return F.from_json(json_slice(unfenced(text)), schema, {"mode": "PERMISSIVE"})
 
 
 def escaped(text: Column) -> Column:
@@ -47,9 +77,10 @@ def json_slice(text: Column) -> Column:
     return F.when((start > 0) & (F.instr(text, "}") > 0) & (end >= start), text.substr(start, end - start + 1))
 
 
-def thresholds(text: Column) -> Column:
-    """Distinct numbers of a list with commas, in order."""
-    return F.array_distinct(F.transform(F.filter(F.split(text, ","), lambda t: F.trim(t) != ""), lambda t: F.trim(t).cast("double")))
+def thresholds(text: Column, default: Column | None = None) -> Column:
+    """Distinct numbers of a list with commas, in order; the default (an array) where there are none. Anything but a number is an error."""
+    found = F.array_distinct(F.transform(F.filter(F.split(text, ","), lambda t: F.trim(t) != ""), lambda t: F.trim(t).cast("double")))
+    return found if default is None else F.when(F.coalesce(F.size(found), F.lit(0)) > 0, found).otherwise(default)
 
 
 def data_url(content: Column, kind: Column) -> Column:

@@ -27,20 +27,31 @@ def filled_components(runs: DataFrame, components: DataFrame, pixels: DataFrame,
     return dominant_colours(cells, "image_id", "component_id").where(luma(F.col("r"), F.col("g"), F.col("b")) <= max_luma)
 
 
-def detail_components(runs: DataFrame, filled: DataFrame, pixels: DataFrame, distance: float, min_detail: int) -> DataFrame:
-    """image_id, component_id, detail (from 1), area, x, y, width, height: marks inside filled components.
-
-    Components never touch, so their details can be labelled by image.
-    """
+def detail_pixels(runs: DataFrame, filled: DataFrame, pixels: DataFrame, distance: float, min_detail: int) -> DataFrame:
+    """image_id, component_id, y, x: pixels inside filled components that are far from their colour, where there are enough of them."""
     c = filled.select("image_id", "component_id", *[F.col(k).alias(f"c_{k}") for k in "rgb"])
-    far = cc.component_pixels(runs, pixels).join(c, ["image_id", "component_id"]).where(squared_distance(F.col("c_r"), F.col("c_g"), F.col("c_b")) >= distance * distance)
+    far = cc.component_pixels(runs.join(c.select("image_id", "component_id"), ["image_id", "component_id"], "left_semi"), pixels).join(c, ["image_id", "component_id"]).where(squared_distance(F.col("c_r"), F.col("c_g"), F.col("c_b")) >= distance * distance)
     enough = far.groupBy("image_id", "component_id").count().where(F.col("count") >= min_detail)
-    far = far.join(enough, ["image_id", "component_id"], "left_semi")
-    spans = cc.labelled(cc.runs(far))
-    found = cc.components(spans).withColumnRenamed("component_id", "label").where(F.col("area") >= min_detail)
+    return far.join(enough, ["image_id", "component_id"], "left_semi").select("image_id", "component_id", "y", "x")
+
+
+def detail_spans(far: DataFrame) -> DataFrame:
+    """Runs of detail_pixels() with label, their component within the detail. Components never touch, so their details can be labelled by image."""
+    return cc.labelled(cc.runs(far)).withColumnRenamed("component_id", "label")
+
+
+def details_of(spans: DataFrame, far: DataFrame, min_detail: int) -> DataFrame:
+    """image_id, component_id, detail (from 1), label, area, x, y, width, height of details that are large enough."""
+    found = cc.components(spans.withColumnRenamed("label", "component_id")).withColumnRenamed("component_id", "label").where(F.col("area") >= min_detail)
     owner = far.select("image_id", F.col("y").alias("first_y"), F.col("x").alias("first_x"), "component_id")
     order = Window.partitionBy("image_id", "component_id").orderBy(F.desc(F.col("width") * F.col("height")), F.desc("area"), "first_y", "first_x")
-    return found.join(owner, ["image_id", "first_y", "first_x"]).withColumn("detail", F.row_number().over(order)).select("image_id", "component_id", "detail", "area", "x", "y", "width", "height")
+    return found.join(owner, ["image_id", "first_y", "first_x"]).withColumn("detail", F.row_number().over(order)).select("image_id", "component_id", "detail", "label", "area", "x", "y", "width", "height")
+
+
+def detail_components(runs: DataFrame, filled: DataFrame, pixels: DataFrame, distance: float, min_detail: int) -> DataFrame:
+    """image_id, component_id, detail (from 1), area, x, y, width, height: marks inside filled components."""
+    far = detail_pixels(runs, filled, pixels, distance, min_detail)
+    return details_of(detail_spans(far), far, min_detail).drop("label")
 
 
 def sparse_gap(density: np.ndarray, threshold: float, least: int) -> tuple[int, int] | None:
@@ -112,6 +123,13 @@ def labelled_regions(runs: DataFrame) -> DataFrame:
     return in_whole_groups(rows, keys, ["y", "x_start"], label, "image_id long, y int, x_start int, x_end int, run_id int, component_id int")
 
 
+def laid_out(pixels: DataFrame, background: DataFrame, cells: DataFrame) -> DataFrame:
+    """What the layers show on the whole slide: image_id, y, x, r, g, b at each place of pixels, the background where no layer is."""
+    shown = composite(background, cells).select("image_id", "y", "x", *[F.col(c).alias(f"l_{c}") for c in "rgb"])
+    places = pixels.select("image_id", "y", "x").join(background, "image_id").join(shown, ["image_id", "y", "x"], "left")
+    return places.select("image_id", "y", "x", *[F.coalesce(f"l_{c}", f"bg_{c}").cast("int").alias(c) for c in "rgb"])
+
+
 def composite(background: DataFrame, layers: DataFrame) -> DataFrame:
     """Pixels of the layers (image_id, z, y, x, r, g, b, alpha) laid over the background, lowest z first."""
     stack = F.sort_array(F.collect_list(F.struct("z", "r", "g", "b", "alpha")))

@@ -53,9 +53,12 @@ def edge_f1(mine: DataFrame, theirs: DataFrame, images: DataFrame) -> DataFrame:
     return images.join(both, "image_id", "left").select("image_id", *[v.alias(k) for k, v in n.items()], f1.alias("edge_f1"))
 
 
-def quality(mae: Column, f1: Column) -> tuple[Column, Column]:
-    """Score from 0 to 100, and grade."""
-    score = F.greatest(F.lit(0.0), F.least(F.lit(100.0), 100 - mae * 1.8 + (f1 - 0.8) * 25))
+def quality_score(mae: Column, f1: Column) -> Column:
+    """From 0 to 100; missing metrics count as the worst (999 and 0)."""
+    mae, f1 = F.coalesce(mae, F.lit(999.0)), F.coalesce(f1, F.lit(0.0))
+    return F.greatest(F.lit(0.0), F.least(F.lit(100.0), 100 - mae * 1.8 + (f1 - 0.8) * 25))
+
+
+def grade(score: Column) -> Column:
     # The least score of each grade.
-    grade = F.when(score >= 92, "A").when(score >= 86, "B+").when(score >= 78, "B").when(score >= 68, "C").otherwise("D")
-    return score, grade
+    return F.when(score >= 92, "A").when(score >= 86, "B+").when(score >= 78, "B").when(score >= 68, "C").otherwise("D")

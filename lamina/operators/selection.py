@@ -94,3 +94,37 @@ def compact(names: list[str]) -> Column:
     """The named columns that have a value, as a map of texts."""
     every = F.create_map(*[x for n in names for x in (F.lit(n), F.col(n).cast("string"))])
     return F.map_filter(every, lambda k, v: v.isNotNull())
+
+
+def stretch(rows: DataFrame, key: str, order: list[str], start: int = 1, limit: int | None = None) -> DataFrame:
+    """The rows of each key from the start-th on (counted from 1), so many at most, with their place."""
+    placed = rows.withColumn("place", F.row_number().over(Window.partitionBy(key).orderBy(*order)))
+    return placed.where((F.col("place") >= start) & (F.lit(True) if limit is None else F.col("place") < start + limit))
+
+
+def agent_state(candidates: DataFrame, votes: DataFrame) -> DataFrame:
+    """One row: the model that answered first, images judged, images left to the local score, and the first three errors (as texts, by image). votes: of the judges, with ok."""
+    images = candidates.select("image_id").distinct()
+    own = votes.join(images, "image_id", "left_semi")
+    judged = own.where("ok").agg(F.count_distinct("image_id").alias("slides_judged"), F.min_by("model_ord", F.struct("image_id", "model_ord")).alias("model_used"))
+    failed = own.where("not ok").select("image_id", "model_ord").orderBy("image_id", "model_ord").limit(3)
+    said = F.transform(F.sort_array(F.collect_list(F.struct("image_id", "model_ord"))), lambda s: F.concat_ws(":", s["image_id"], s["model_ord"]))
+    errors = failed.agg(F.array_join(said, ",").alias("judge_errors"))
+    total = images.agg(F.count("*").alias("images"))
+    parts = total.unionByName(judged, allowMissingColumns=True).unionByName(errors, allowMissingColumns=True)  # one row each
+    one = parts.agg(*[F.max(c).alias(c) for c in parts.columns])
+    return one.select("model_used", "slides_judged", (F.col("images") - F.col("slides_judged")).alias("slides_local_fallback"), "judge_errors")
+
+
+def layer_features(layers: DataFrame, images: DataFrame, width: int, height: int) -> DataFrame:
+    """image_id, largest_layer_ratio (box over slide), internal_detail_layers, internal_detail_base_layers; 1, 0 and 0 without layers."""
+    detail, base = F.col("layer_id").contains("_detail_"), F.col("layer_id").endswith("_base")
+    found = layers.groupBy("image_id").agg((F.max(F.col("width") * F.col("height")) / max(1, width * height)).alias("largest_layer_ratio"), F.count_if(detail).alias("internal_detail_layers"), F.count_if(base).alias("internal_detail_base_layers"))
+    return images.join(found, "image_id", "left").select("image_id", F.coalesce("largest_layer_ratio", F.lit(1.0)).alias("largest_layer_ratio"), *[F.coalesce(c, F.lit(0)).alias(c) for c in ("internal_detail_layers", "internal_detail_base_layers")])
+
+
+def candidate_prompt(candidates: DataFrame) -> DataFrame:
+    """image_id, prompt: what a judge is asked about an image's candidates, each as compact JSON in order."""
+    known = F.to_json(F.struct("ord", "mae", "edge_f1", "raster_layers", "internal_detail_layers"))
+    each = F.transform(F.sort_array(F.collect_list(F.struct("ord", known.alias("json")))), lambda s: s["json"])
+    return candidates.groupBy("image_id").agg(F.concat(F.lit("Candidates: "), F.count("*").cast("string"), F.lit("\n["), F.array_join(each, ","), F.lit("]")).alias("prompt"))

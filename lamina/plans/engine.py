@@ -2,70 +2,150 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from dataclasses import replace
+from functools import reduce
+from typing import NamedTuple
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lamina.model import SegmentOptions
+from lamina.model import SegmentOptions, preset
 from lamina.operators import background as bg
 from lamina.operators import components as cc
 from lamina.operators import layers as ly
-from lamina.operators import pixels
-from lamina.plans.images import BEST, DIST, LAYERS, SIDE, images, sql
+from lamina.operators import metrics, pixels, selection, text
+from lamina.operators import textlayers as tl
+from lamina.plans.images import BEST, CORNER, DIFF, DIST, F1, LAYERS, SIDE, images, sql
 from lamina.plans.registry import query
+from lamina.plans.textlayers import words
 from lamina.sources.tables import written
 
 COLUMNS = ["image_id", "layer_id", "area", "x", "y", "width", "height"]
+CELLS = ["image_id", "layer_id", "y", "x", "r", "g", "b", "alpha"]
+ID = ["image_id", "component_id"]
+
+
+class Extracted(NamedTuple):
+    layers: DataFrame  # COLUMNS and z (1: at the bottom)
+    cells: DataFrame  # CELLS: pixels of each layer that show
+    background: DataFrame  # image_id, bg_r, bg_g, bg_b
+    stats: DataFrame  # image_id, foreground_pixels, raw_components
+
+
+def boxes(found: DataFrame, name: Column, options: SegmentOptions, width: int, height: int) -> DataFrame:
+    """COLUMNS of components or details, with padded boxes."""
+    box = pixels.padded({k: F.col(k) for k in ("x", "y", "width", "height")}, options.crop_padding_px, F.lit(width), F.lit(height))
+    return found.select("image_id", name.alias("layer_id"), "area", *[v.alias(k) for k, v in box.items()])
 
 
-def surface_layer(distances: DataFrame, high: DataFrame, options: SegmentOptions, width: int, height: int, least: int) -> DataFrame:
-    """A layer of what differs from the background a little, away from what differs much; none if there is too little of it."""
+def surface_pixels(distances: DataFrame, high: DataFrame, options: SegmentOptions, width: int, height: int, least: int) -> DataFrame:
+    """Pixels that differ from the background a little, away from what differs much; none of an image that has too few."""
     low = pixels.foreground(distances, options.surface_threshold)
     left = low.join(pixels.dilated(high, max(1, options.dilation_px), width, height), pixels.PIXEL, "left_anti")
-    s = left.groupBy("image_id").agg(F.count("*").alias("area"), F.min("x").alias("l"), F.min("y").alias("t"), F.max("x").alias("r"), F.max("y").alias("b")).where(F.col("area") >= least)
-    box = pixels.padded({"x": F.col("l"), "y": F.col("t"), "width": F.col("r") - F.col("l") + 1, "height": F.col("b") - F.col("t") + 1}, options.crop_padding_px, F.lit(width), F.lit(height))
-    return s.select("image_id", F.lit("surface_001").alias("layer_id"), "area", *[v.alias(k) for k, v in box.items()])
+    enough = left.groupBy("image_id").agg(F.count("*").alias("n")).where(F.col("n") >= least)
+    return left.join(enough, "image_id", "left_semi")
 
 
-def extract_layers(px: DataFrame, width: int, height: int, options: SegmentOptions, surface_least: int = 800, partition: dict | None = None, details: dict | None = None) -> DataFrame:
-    """image_id, layer_id, area, x, y, width, height, z of the layers of images of one size.
+def extract(px: DataFrame, width: int, height: int, options: SegmentOptions, surface_least: int = 800, partition: dict | None = None, details: dict | None = None) -> Extracted:
+    """Layers of images of one size, with their pixels.
 
     Steps that the options switch off are not in the plan. Distances and runs are read by several steps, so they are
-    written to the shared folder. partition: arguments of layers.partition; details: min_area,
-    min_ratio, max_luma, distance and min_detail of components with marks inside.
+    written to the shared folder. partition: arguments of layers.partition; details: min_area, min_ratio, max_luma,
+    distance and min_detail of components with marks inside.
     """
-    distances = written(pixels.with_distance(px, bg.background(px, width, height)))
+    background = written(bg.background(px, width, height))
+    distances = written(pixels.with_distance(px, background))
     mask = pixels.foreground(distances, options.bg_threshold)
-    work = pixels.dilated(mask, options.dilation_px, width, height)
-    runs = written(cc.labelled(cc.runs(work)))
-    found = cc.largest(cc.components(runs), options.min_area_px, options.min_bbox_px, options.max_layers)
+    runs = written(cc.labelled(cc.runs(pixels.dilated(mask, options.dilation_px, width, height))))
+    every = cc.components(runs)
+    stats = mask.groupBy("image_id").agg(F.count("*").alias("foreground_pixels")).join(every.groupBy("image_id").agg(F.count("*").alias("raw_components")), "image_id")
+    found = cc.largest(every, options.min_area_px, options.min_bbox_px, options.max_layers)
     if options.partition:
-        kept = runs.join(found.select("image_id", "component_id"), ["image_id", "component_id"], "left_semi")
+        kept = runs.join(found.select(*ID), ID, "left_semi")
         parts = ly.partition(kept, **(partition or {}))
-        cells = parts.select("image_id", "component_id", "region", "y", F.explode(F.sequence("x_start", "x_end")).alias("x"))
-        spans = cc.runs(cells, "image_id", "component_id", "region").drop("run_id")
+        cells = parts.select(*ID, "region", "y", F.explode(F.sequence("x_start", "x_end")).alias("x"))
+        spans = cc.runs(cells, *ID, "region").drop("run_id")
         number = F.row_number().over(Window.partitionBy("image_id").orderBy("component_id", "region", "y", "x_start"))
         runs = written(ly.labelled_regions(spans.withColumn("run_id", number)))
         found = cc.largest(cc.components(runs), 1, 1, options.max_layers)
-    shown = ly.opaque_components(runs, distances, mask, options.alpha_low, options.alpha_high)
-    found = found.join(shown.select("image_id", "component_id"), ["image_id", "component_id"], "left_semi")
-    box = pixels.padded({k: F.col(k) for k in ("x", "y", "width", "height")}, options.crop_padding_px, F.lit(width), F.lit(height))
-    out = found.select("image_id", F.format_string("raster_%03d", "index").alias("layer_id"), "area", *[v.alias(k) for k, v in box.items()])
+    seen = distances.join(mask.select(*pixels.PIXEL), pixels.PIXEL, "left_semi").withColumn("alpha", pixels.alpha(F.col("d2"), options.alpha_low, options.alpha_high)).where("alpha > 0")
+    shown = written(cc.component_pixels(runs, seen.select(*pixels.PIXEL, "r", "g", "b", "alpha")).join(found.select(*ID, "index"), ID))
+    found = written(found.join(shown.select(*ID).distinct(), ID, "left_semi"))
+    raster = F.format_string("raster_%03d", "index")
+    out, cells = boxes(found, raster, options, width, height), shown.withColumn("layer_id", raster).select(*CELLS)
     if options.internal_details:
         d = {"min_area": 9000, "min_ratio": 0.55, "max_luma": 0.72, "distance": 46, "min_detail": 5} | (details or {})
-        full = ly.filled_components(runs, cc.components(runs), px, d["min_area"], d["min_ratio"], d["max_luma"])
-        marks = ly.detail_components(runs, full, px, d["distance"], d["min_detail"]).join(found.select("image_id", "component_id", "index"), ["image_id", "component_id"])
-        marked = marks.select("image_id", F.format_string("raster_%03d", "index").alias("layer_id")).distinct().withColumn("base", F.lit(True))
-        out = out.join(marked, ["image_id", "layer_id"], "left").withColumn("layer_id", F.when(F.col("base"), F.concat("layer_id", F.lit("_base"))).otherwise(F.col("layer_id"))).select(*COLUMNS)
-        inner = pixels.padded({k: F.col(k) for k in ("x", "y", "width", "height")}, options.crop_padding_px, F.lit(width), F.lit(height))
-        out = out.unionByName(marks.select("image_id", F.format_string("raster_%03d_detail_%03d", "index", "detail").alias("layer_id"), "area", *[v.alias(k) for k, v in inner.items()]))
+        full = written(ly.filled_components(runs, cc.components(runs), px, d["min_area"], d["min_ratio"], d["max_luma"]))
+        far = written(ly.detail_pixels(runs, full, px, d["distance"], d["min_detail"]))
+        spans = written(ly.detail_spans(far))
+        marks = written(ly.details_of(spans, far, d["min_detail"]).join(found.select(*ID, "index"), ID))
+        bases = far.select(*ID).distinct().join(full.select(*ID, *[F.col(c).alias(f"c_{c}") for c in "rgb"]), ID).join(found.select(*ID, "index"), ID)
+        base_id = F.concat(raster, F.lit("_base"))
+        named = F.when(F.col("c_r").isNotNull(), base_id).otherwise(raster)
+        out = boxes(found.join(bases.drop("index"), ID, "left"), named, options, width, height)
+        covered = shown.join(bases.drop("index"), ID, "left").join(far.withColumn("far", F.lit(True)), [*ID, "y", "x"], "left")
+        cells = covered.withColumn("layer_id", named).withColumns({c: F.when(F.col("far"), F.col(f"c_{c}")).otherwise(F.col(c)) for c in "rgb"}).select(*CELLS)
+        mark = F.format_string("raster_%03d_detail_%03d", "index", "detail")
+        places = cc.component_pixels(spans.withColumnRenamed("label", "component_id"), shown.select(*pixels.PIXEL, "r", "g", "b", "alpha")).withColumnRenamed("component_id", "label")
+        out = out.unionByName(boxes(marks, mark, options, width, height))
+        cells = cells.unionByName(places.join(marks.select("image_id", "label", "index", "detail"), ["image_id", "label"]).withColumn("layer_id", mark).select(*CELLS))
     if options.surface_threshold is not None and options.surface_threshold < options.bg_threshold:
-        out = out.unionByName(surface_layer(distances, mask, options, width, height, surface_least))
+        subtle = written(surface_pixels(distances, mask, options, width, height, surface_least))
+        edges = subtle.groupBy("image_id").agg(F.count("*").alias("area"), F.min("x").alias("x"), F.min("y").alias("y"), F.max("x").alias("right"), F.max("y").alias("bottom"))
+        edges = edges.withColumn("width", F.col("right") - F.col("x") + 1).withColumn("height", F.col("bottom") - F.col("y") + 1)
+        out = out.unionByName(boxes(edges, F.lit("surface_001"), options, width, height))
+        cells = cells.unionByName(subtle.select("image_id", F.lit("surface_001").alias("layer_id"), "y", "x", "r", "g", "b", F.lit(255).alias("alpha")))
     order = Window.partitionBy("image_id").orderBy(F.desc(F.col("width") * F.col("height")), F.desc("y"), F.desc("x"), "layer_id")
-    return out.withColumn("z", F.row_number().over(order))
+    return Extracted(out.withColumn("z", F.row_number().over(order)), cells, background, stats)
+
+
+def extract_layers(px: DataFrame, width: int, height: int, options: SegmentOptions, surface_least: int = 800, partition: dict | None = None, details: dict | None = None) -> DataFrame:
+    """image_id, layer_id, area, x, y, width, height, z of the layers of images of one size: see extract()."""
+    return extract(px, width, height, options, surface_least, partition, details).layers
+
+
+class Result(NamedTuple):
+    layers: DataFrame  # image_id, kind, layer_id, text, x, y, width, height, z
+    cells: DataFrame  # CELLS of raster layers
+    texts: DataFrame  # text layers with font and colour: see textlayers.text_layers
+    background: DataFrame
+    metadata: DataFrame  # image_id, colour, counts of lines, layers, components and pixels
+
+
+def image_to_layers(px: DataFrame, words: DataFrame, width: int, height: int, options: SegmentOptions, text_mode: str = "large", erase: bool = True, **gates) -> Result:
+    """The whole way from images and recognised words to layers: lines that stay text are painted over, the rest is segmented, and text layers go on top."""
+    lines = tl.box_lines(words)
+    kept = written(text.editable(lines, text_mode, height))
+    own = words.join(kept.select("image_id", "line_no"), ["image_id", "line_no"], "left_semi")
+    source = written(tl.without_text(px, own, width, height)) if erase and text_mode != "none" else px
+    found = extract(source, width, height, options, **gates)
+    texts = tl.text_layers(own, px, found.background, options.bg_threshold, width, height)
+    raster = found.layers.select("image_id", F.lit("raster").alias("kind"), "layer_id", F.lit(None).cast("string").alias("text"), "x", "y", "width", "height", "z")
+    top = raster.groupBy("image_id").agg(F.max("z").alias("top"))
+    on_top = texts.join(top, "image_id", "left").select("image_id", F.lit("text").alias("kind"), "layer_id", "text", "x", "y", "width", "height", (F.coalesce("top", F.lit(0)) + F.row_number().over(Window.partitionBy("image_id").orderBy("layer_id"))).alias("z"))
+    count = lambda t, name: t.groupBy("image_id").agg(F.count("*").alias(name))
+    metadata = found.background.withColumn("background_color", F.format_string("#%02x%02x%02x", "bg_r", "bg_g", "bg_b")).select("image_id", "background_color")
+    counts = {"ocr_lines": count(lines, "ocr_lines"), "editable_text_lines": count(kept, "editable_text_lines"), "raster_layers": count(found.layers, "raster_layers"), "foreground_pixels": found.stats.select("image_id", "foreground_pixels"), "raw_components": found.stats.select("image_id", "raw_components")}
+    for name, table in counts.items():
+        metadata = metadata.join(table, "image_id", "left").withColumn(name, F.coalesce(name, F.lit(0)))
+    return Result(raster.unionByName(on_top), found.cells, texts, found.background, metadata)
+
+
+def candidate_row(px: DataFrame, width: int, height: int, found: Extracted) -> DataFrame:
+    """image_id, mae, edge_f1, raster_layers, largest_layer_ratio, internal_detail_layers: how well the layers, laid over the background, give the image back."""
+    z = found.layers.select("image_id", "layer_id", "z")
+    render = written(ly.laid_out(px, found.background, found.cells.join(z, ["image_id", "layer_id"])))
+    ids = found.background.select("image_id")
+    edges = lambda p: metrics.edges(metrics.gradients(metrics.grey(p)))
+    scores = metrics.differences(metrics.aligned(px, render)).join(metrics.edge_f1(edges(px), edges(render), ids).select("image_id", "edge_f1"), "image_id")
+    counts = found.layers.groupBy("image_id").agg(F.count("*").alias("raster_layers"))
+    features = selection.layer_features(found.layers, ids, width, height)
+    return scores.join(features, "image_id").join(counts, "image_id", "left").select("image_id", "mae", "edge_f1", F.coalesce("raster_layers", F.lit(0)).alias("raster_layers"), "largest_layer_ratio", "internal_detail_layers")
 
 
 SMALL = SegmentOptions(24, None, 2, 1, 4, 0, 1, 4, 55)
-FRAGMENT = BEST + ", bg2 AS (SELECT image_id, coalesce(r, cr) AS bg_r, coalesce(g, cg) AS bg_g, coalesce(b, cb) AS bg_b FROM be LEFT JOIN rf USING (image_id))" + DIST[DIST.index(", ds AS") :].replace("JOIN bg ", "JOIN bg2 ") + LAYERS[len(DIST) :]
+BG2 = ", bg2 AS (SELECT image_id, coalesce(r, cr) AS bg_r, coalesce(g, cg) AS bg_g, coalesce(b, cb) AS bg_b FROM be LEFT JOIN rf USING (image_id))"
+FRAGMENT = BEST + BG2 + DIST[DIST.index(", ds AS") :].replace("JOIN bg ", "JOIN bg2 ") + LAYERS[len(DIST) :]
 
 
 @query(sql(FRAGMENT, "SELECT image_id, layer_id, area, x, y, width, height, row_number() OVER (PARTITION BY image_id ORDER BY width * height DESC, y DESC, x DESC, layer_id) AS z FROM la"))
@@ -73,8 +153,49 @@ def lyr_1_extract_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_layers(images(spark, sf_dir), SIDE, SIDE, SMALL)
 
 
+#: Options and gates that images of this size pass.
+HEAVY = SegmentOptions(24, 12, 2, 1, 20, 0, 1, 4, 55, True, True)
+GATES = {"surface_least": 3, "partition": {"area": 4, "density": 0.3, "gap": 1, "depth": 9, "span": 4}, "details": {"min_area": 4, "min_ratio": 0.4, "min_detail": 2}}
+
+
 @query()
 def lyr_9_heavy_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All steps at once, with gates that images of this size pass."""
-    options = SegmentOptions(24, 12, 2, 1, 20, 0, 1, 4, 55, True, True)
-    return extract_layers(images(spark, sf_dir), SIDE, SIDE, options, 3, {"area": 4, "density": 0.3, "gap": 1, "depth": 9, "span": 4}, {"min_area": 4, "min_ratio": 0.4, "min_detail": 2})
+    """All steps of the segmentation at once."""
+    return extract_layers(images(spark, sf_dir), SIDE, SIDE, HEAVY, **GATES)
+
+
+@query()
+def lyr_9_image_to_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Text painted over, segmentation, text layers on top, and what is known of the image."""
+    found = image_to_layers(images(spark, sf_dir), words(spark, sf_dir), SIDE, SIDE, SMALL, "all")
+    return found.layers.join(found.metadata, "image_id")
+
+
+RENDER = LAYERS + """, tc AS (SELECT lab.image_id, lab.y, lab.x_start, lab.x_end FROM lab JOIN top USING (image_id, component_id) WHERE index <= 4),
+ac AS (SELECT ds.image_id, ds.y, ds.x, CAST(floor(least(255.0, greatest(0.0, (sqrt(d2) - 4) / 51 * 255))) AS BIGINT) AS a FROM ds JOIN tc ON tc.image_id = ds.image_id AND tc.y = ds.y AND ds.x BETWEEN x_start AND x_end WHERE d2 > 576),
+rd AS (SELECT ds.image_id, ds.y, ds.x, """ + ", ".join(f"CAST(round_even(bg_{c} + ({c} - bg_{c}) * coalesce(a, 0) / 255.0::DOUBLE, 0) AS BIGINT) AS {c}" for c in "rgb") + " FROM ds JOIN bg USING (image_id) LEFT JOIN ac USING (image_id, y, x))"
+RENDER = RENDER.replace("JOIN bg ", "JOIN bg2 ")
+
+
+@query(sql(BEST + BG2 + RENDER[len(CORNER) :] + F1 + DIFF, """SELECT image_id, round(mae, 6) AS mae, round(f, 6) AS edge_f1, coalesce(n, 0) AS raster_layers, coalesce(round(largest, 6), 1) AS largest_layer_ratio, 0 AS internal_detail_layers
+FROM df JOIN f2 USING (image_id) LEFT JOIN (SELECT image_id, count(*) AS n, max(width * height) / 64.0::DOUBLE AS largest FROM la GROUP BY image_id) USING (image_id)"""))
+def evl_3_candidate_row(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Layers, the slide they make, and its distance from the image."""
+    px = images(spark, sf_dir)
+    row = candidate_row(px, SIDE, SIDE, extract(px, SIDE, SIDE, SMALL))
+    return row.withColumns({c: F.round(c, 6) for c in ("mae", "edge_f1", "largest_layer_ratio")})
+
+
+@query()
+def evl_4_preset_race(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each image with each of the five candidates, by their thresholds and opacities, with gates for images of this size; the best by local score."""
+    px = images(spark, sf_dir)
+    rows = []
+    for place, (name, mode, compact) in enumerate(selection.SPECS):
+        o = preset(mode, compact)
+        own = replace(o, min_area_px=3 if compact else 2, min_bbox_px=1, max_layers=o.max_layers // 100 + 1, crop_padding_px=1, dilation_px=min(1, o.dilation_px))
+        rows.append(candidate_row(px, SIDE, SIDE, extract(px, SIDE, SIDE, own, **GATES)).select("image_id", F.lit(place).alias("ord"), F.lit(name).alias("name"), "mae", "edge_f1", "raster_layers", "largest_layer_ratio", "internal_detail_layers"))
+    every = written(reduce(DataFrame.unionByName, rows))
+    score = selection.local_score(*map(F.col, ("mae", "edge_f1", "raster_layers", "largest_layer_ratio", "internal_detail_layers")))
+    scored = every.withColumn("local_score", F.round(score, 9))
+    return selection.best_local(scored).join(scored, ["image_id", "ord"])

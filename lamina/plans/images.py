@@ -318,5 +318,5 @@ GRADE = "CASE WHEN s >= 92 THEN 'A' WHEN s >= 86 THEN 'B+' WHEN s >= 78 THEN 'B'
 @query(sql(F1 + DIFF, f"SELECT image_id, round(mae, 6) AS mae, round(f, 6) AS edge_f1, round(s, 6) AS score, {GRADE} AS grade FROM (SELECT image_id, mae, f, greatest(0.0::DOUBLE, least(100.0::DOUBLE, 100 - 1.8::DOUBLE * mae + 25 * (f - 0.8::DOUBLE))) AS s FROM df JOIN f2 USING (image_id))", RENDERS))
 def evl_2_compare_render(spark: SparkSession, sf_dir: str) -> DataFrame:
     both = metrics.differences(pairs(spark, sf_dir)).join(edge_scores(spark, sf_dir), "image_id")
-    score, grade = metrics.quality(F.col("mae"), F.col("edge_f1"))
-    return both.select("image_id", F.round("mae", 6).alias("mae"), F.round("edge_f1", 6).alias("edge_f1"), F.round(score, 6).alias("score"), grade.alias("grade"))
+    score = metrics.quality_score(F.col("mae"), F.col("edge_f1"))
+    return both.select("image_id", F.round("mae", 6).alias("mae"), F.round("edge_f1", 6).alias("edge_f1"), F.round(score, 6).alias("score"), metrics.grade(score).alias("grade"))

@@ -133,18 +133,32 @@ def src_8_shape_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return component_layers(spark, sf_dir).groupBy("image_id").agg(F.count("*").alias("shapes"), F.count_if(F.col("layer_id").startswith("raster")).alias("pictures"))
 
 
-@query("SELECT image_id, printf('%03d', row_number() OVER (PARTITION BY image_id // 1000 ORDER BY image_id)) || ',' || name || ',' || CAST(layers AS VARCHAR) AS line FROM (SELECT p_partkey AS image_id, p_name AS name, p_size AS layers FROM part)")
+DECKS = """d AS (SELECT p_brand AS bundle, p_partkey AS image_id, p_name AS name, 1 AS slides, p_size + p_partkey % 5 AS objects, p_size AS picture_layers, p_partkey % 5 AS text_layers,
+coalesce(nullif(regexp_replace(regexp_replace(regexp_replace(regexp_extract(p_name, '([^/]*)/*$', 1), '^(.+)\\.[^.]+$', '\\1'), '[^\\p{L}\\p{N}]+', '_', 'g'), '^_|_$', '', 'g'), ''), 'image') AS stem FROM part),
+k AS (SELECT *, row_number() OVER (PARTITION BY bundle ORDER BY name, image_id) AS place FROM d)"""
+
+
+@query(f"WITH {DECKS} SELECT bundle, place, printf('%02d_', place) || stem || '_layers.pptx,' || slides || ',' || objects || ',' || picture_layers || ',' || text_layers AS line FROM k UNION ALL SELECT DISTINCT bundle, 0, 'file,slides,objects,picture_layers,text_layers' FROM d")
 def snk_6_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return files.manifest(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("image_id"), F.col("p_name").alias("name"), F.col("p_size").alias("layers")))
+    k, size = F.col("p_partkey"), F.col("p_size")
+    decks = table(spark, sf_dir, "part").select(F.col("p_brand").alias("bundle"), k.alias("image_id"), F.col("p_name").alias("name"), F.lit(1).alias("slides"), (size + k % 5).alias("objects"), size.alias("picture_layers"), (k % 5).alias("text_layers"))
+    return files.manifest(decks)
 
 
-@query(f"WITH {CANDIDATES} SELECT image_id, ord, '<tr><td>' || ord || '</td><td>a&amp;b</td><td>heavy@24</td><td>' || raster_layers || '</td><td>' || coalesce(printf('%.3f', mae), '') || '</td><td></td><td>' || coalesce(printf('%.3f', edge_f1), '') || '</td></tr>' AS html FROM c")
+@query(f"WITH {CANDIDATES} SELECT image_id, ord, '<tr><td>' || ord || '</td><td>a&amp;b</td><td>heavy@24</td><td>' || ord % 4 || '/' || coalesce(CASE WHEN ord % 3 > 0 THEN CAST(ord % 9 AS VARCHAR) END, '') || '</td><td>' || raster_layers || '</td><td>' || coalesce(printf('%.3f', mae), '') || '</td><td></td><td>' || coalesce(printf('%.3f', edge_f1), '') || '</td><td>' || CASE WHEN mae IS NOT NULL THEN '<a href=\"p' || ord || '.jpg\"><img src=\"p' || ord || '.jpg\" loading=\"lazy\"></a>' ELSE '' END || '</td></tr>' AS html FROM c")
 def snk_8_report_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = candidates(spark, sf_dir).withColumns({"index": F.col("ord"), "name": F.lit("a&b"), "mode": F.lit("heavy"), "threshold": F.lit(24), "psnr": F.lit(None).cast("double")})
-    rows = files.report_rows(c.withColumn("key", F.struct("image_id", "ord")).drop("image_id").withColumnRenamed("key", "image_id"))
+    ord_ = F.col("ord")
+    more = {"index": ord_, "name": F.lit("a&b"), "mode": F.lit("heavy"), "threshold": F.lit(24), "psnr": F.lit(None).cast("double"), "editable_text_lines": ord_ % 4, "ocr_lines": F.when(ord_ % 3 > 0, ord_ % 9), "preview": F.when(F.col("mae").isNotNull(), F.concat(F.lit("/previews/p"), ord_.cast("string"), F.lit(".jpg")))}
+    rows = files.report_rows(candidates(spark, sf_dir).withColumns(more).withColumn("key", F.struct("image_id", "ord")).drop("image_id").withColumnRenamed("key", "image_id"))
     return rows.select("image_id.image_id", "image_id.ord", "html")
 
 
+@query(f"WITH {CANDIDATES} SELECT image_id, '{{\"ord\":' || ord || CASE WHEN raster_layers % 2 = 0 THEN ',\"layers\":' || raster_layers ELSE '' END || ',\"details\":' || internal_detail_layers || '}}' AS json FROM c")
+def snk_9_metadata_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    layers = F.col("raster_layers")
+    return files.metadata_json(candidates(spark, sf_dir).select("image_id", "ord", F.when(layers % 2 == 0, layers).alias("layers"), F.col("internal_detail_layers").alias("details")))
+
+
 @query(f"WITH {CANDIDATES} SELECT count(*) AS files, CAST(sum(raster_layers) AS BIGINT) AS shapes, CAST(sum(internal_detail_layers) AS BIGINT) AS details FROM c")
 def agg_15_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return candidates(spark, sf_dir).agg(F.count("*").alias("files"), F.sum("raster_layers").alias("shapes"), F.sum("internal_detail_layers").alias("details"))
@@ -170,9 +184,16 @@ def evl_6_first_answer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return votes(spark, sf_dir).where("ok").groupBy("image_id").agg(F.min_by("winner_index", key).alias("winner"), F.min_by("model_ord", key).alias("model"))
 
 
-@query(f"WITH {CANDIDATES} SELECT image_id, max(raster_layers) AS layers, min(ord) AS first_ord FROM c WHERE ord > 1 GROUP BY image_id")
+@query(f"WITH {CANDIDATES} SELECT image_id, ord, n AS place FROM (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY raster_layers, ord) AS n FROM c) WHERE n >= 2 AND n < 5")
 def src_3_offset(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scored(spark, sf_dir).where("ord > 1").groupBy("image_id").agg(F.max("raster_layers").alias("layers"), F.min("ord").alias("first_ord"))
+    """From the second on, three at most."""
+    return selection.stretch(candidates(spark, sf_dir), "image_id", ["raster_layers", "ord"], 2, 3).select("image_id", "ord", "place")
+
+
+@query(sql(LAYERS, "SELECT image_id, coalesce(round(max(width * height) / 64.0::DOUBLE, 6), 1) AS largest_layer_ratio, 0 AS internal_detail_layers, 0 AS internal_detail_base_layers FROM (SELECT vec_id AS image_id FROM embeddings) LEFT JOIN la USING (image_id) GROUP BY image_id"))
+def agg_14_layer_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ids = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("image_id"))
+    return selection.layer_features(component_layers(spark, sf_dir), ids, SIDE, SIDE).withColumn("largest_layer_ratio", F.round("largest_layer_ratio", 6))
 
 
 @query("SELECT page_id, 'data:image/' || CASE WHEN page_id % 3 = 0 THEN 'png' ELSE 'jpeg' END || ';base64,' || to_base64(encode(url)) AS url FROM pages")

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from lamina.model import PRESETS, presets
 from lamina.operators import metrics, selection
 from lamina.plans.registry import query
-from lamina.sources import derived
 from lamina.sources.derived import CANDIDATES, JOBS, VOTES, candidates, job_events, table, votes
 from lamina.streaming import jobs
 
@@ -27,11 +26,10 @@ def prj_16_local_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored(spark, sf_dir).select("image_id", "ord", F.round("exact", 6).alias("local_score"))
 
 
-@query(f"WITH {CANDIDATES}, s0 AS (SELECT image_id, ord, greatest(0.0::DOUBLE, least(100.0::DOUBLE, 100 - 1.8::DOUBLE * mae + 25 * (edge_f1 - 0.8::DOUBLE))) AS s FROM c WHERE mae IS NOT NULL) SELECT image_id, ord, round(s, 6) AS score, CASE WHEN round(s, 9) >= 92 THEN 'A' WHEN round(s, 9) >= 86 THEN 'B+' WHEN round(s, 9) >= 78 THEN 'B' WHEN round(s, 9) >= 68 THEN 'C' ELSE 'D' END AS grade FROM s0")
+@query(f"WITH {CANDIDATES}, s0 AS (SELECT image_id, ord, greatest(0.0::DOUBLE, least(100.0::DOUBLE, 100 - 1.8::DOUBLE * coalesce(mae, 999) + 25 * (coalesce(edge_f1, 0) - 0.8::DOUBLE))) AS s FROM c) SELECT image_id, ord, round(s, 6) AS score, CASE WHEN round(s, 9) >= 92 THEN 'A' WHEN round(s, 9) >= 86 THEN 'B+' WHEN round(s, 9) >= 78 THEN 'B' WHEN round(s, 9) >= 68 THEN 'C' ELSE 'D' END AS grade FROM s0")
 def prj_15_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    score, _ = metrics.quality(F.col("mae"), F.col("edge_f1"))
-    c = candidates(spark, sf_dir).where("mae is not null").withColumn("s", F.round(score, 9))
-    return c.select("image_id", "ord", F.round("s", 6).alias("score"), F.when(F.col("s") >= 92, "A").when(F.col("s") >= 86, "B+").when(F.col("s") >= 78, "B").when(F.col("s") >= 68, "C").otherwise("D").alias("grade"))
+    c = candidates(spark, sf_dir).withColumn("s", F.round(metrics.quality_score(F.col("mae"), F.col("edge_f1")), 9))
+    return c.select("image_id", "ord", F.round("s", 6).alias("score"), metrics.grade(F.col("s")).alias("grade"))
 
 
 VALUES = ", ".join(f"('{m}', {str(c).lower()}, {o.bg_threshold}, {o.min_area_px}, {o.max_layers}, {o.alpha_low}, {o.alpha_high})" for (m, c), o in PRESETS.items())
@@ -111,11 +109,6 @@ def agg_13_biased_means(spark: SparkSession, sf_dir: str) -> DataFrame:
     return selection.biased_means(candidates(spark, sf_dir), ["mae", "edge_f1"]).select(*[F.round(c, 6).alias(c) for c in ("mae", "edge_f1")])
 
 
-@query(f"WITH {CANDIDATES} SELECT image_id, max(largest_layer_ratio) AS largest, CAST(sum(internal_detail_layers) AS BIGINT) AS details, count(*) FILTER (internal_detail_layers > 0) AS with_details FROM c GROUP BY image_id")
-def agg_14_layer_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return candidates(spark, sf_dir).groupBy("image_id").agg(F.max("largest_layer_ratio").alias("largest"), F.sum("internal_detail_layers").alias("details"), F.count_if(F.col("internal_detail_layers") > 0).alias("with_details"))
-
-
 @query(f"WITH {CANDIDATES} SELECT image_id, " + ", ".join(f"max({m}) FILTER (ord = {k}) AS {m}_{k}" for k in (1, 2, 3) for m in ("mae", "edge_f1")) + " FROM c GROUP BY image_id")
 def evl_9_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
     return selection.pivoted(candidates(spark, sf_dir), F.col("ord").cast("string"), ["1", "2", "3"], ["mae", "edge_f1"])
@@ -150,9 +143,6 @@ def job_4_download_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("job_id")).join(state, "job_id", "left").select("job_id", jobs.download_status(F.col("status")).alias("code"))
 
 
-@query(f"WITH {JOBS} SELECT job_id, seq, CAST(floor(20 + 42.0::DOUBLE * row_number() OVER w / count(*) OVER (PARTITION BY job_id)) AS BIGINT) AS progress FROM j WINDOW w AS (PARTITION BY job_id ORDER BY seq)")
+@query(f"WITH {JOBS}, k AS (SELECT job_id, seq, row_number() OVER (PARTITION BY job_id ORDER BY seq) AS k, count(*) OVER (PARTITION BY job_id) AS n FROM j) SELECT job_id, seq, 20 + CAST(round_even((k - 1)::DOUBLE / n * 42, 0) AS BIGINT) AS start_progress, 20 + CAST(round_even(k::DOUBLE / n * 42, 0) AS BIGINT) AS end_progress FROM k")
 def win_11_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("job_id")
-    return derived.job_events(spark, sf_dir).select("job_id", "seq", F.floor(F.lit(42.0) * F.row_number().over(w.orderBy("seq")) / F.count("*").over(w) + 20).alias("progress"))
+    return jobs.progress(job_events(spark, sf_dir), "job_id", "seq").select("job_id", "seq", "start_progress", "end_progress")

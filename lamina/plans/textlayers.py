@@ -13,7 +13,7 @@ from lamina.operators import textlayers as tl
 from lamina.plans.images import DIST, LAYERS, SIDE, component_layers, distances, images, sql
 from lamina.plans.races import SCORED, scored
 from lamina.plans.registry import query
-from lamina.sources.derived import CANDIDATES, JOBS, job_events, table
+from lamina.sources.derived import CANDIDATES, VOTES, table
 
 WORDS = """wd AS (SELECT vec_id AS image_id, 0 AS line_no, k AS word_no, CASE WHEN k = 0 THEN 'Word' || (vec_id % 7) ELSE 'TEXT' END AS text,
   CASE WHEN k = 0 THEN vec_id % 3 ELSE 4 END AS x, CASE WHEN k = 0 THEN vec_id % 4 ELSE vec_id % 3 END AS y, 3 AS width, 3 + k AS height FROM embeddings, range(2) t(k))"""
@@ -90,17 +90,20 @@ def prj_17_compact_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return candidates(spark, sf_dir).select("image_id", "ord", F.array_join(F.map_keys(kept), ",").alias("keys"))
 
 
-@query("SELECT p_partkey, CASE WHEN t IN ('none', 'all', 'large') THEN t ELSE 'large' END AS text_mode, CASE WHEN p_size > 1 AND t = 'all' THEN 'zip' ELSE 'deck' END AS output FROM (SELECT p_partkey, p_size, ['none', 'all', 'large', 'other'][p_partkey % 4 + 1] AS t FROM part)")
+@query("SELECT p_partkey, CASE WHEN t IN ('none', 'all', 'large') THEN t ELSE 'large' END AS text_mode, CASE WHEN o = 'zip' AND p_size > 1 THEN 'zip' ELSE 'deck' END AS output FROM (SELECT p_partkey, p_size, ['none', 'all', 'large', 'other'][p_partkey % 4 + 1] AS t, ['zip', 'deck', 'odd'][p_partkey % 3 + 1] AS o FROM part)")
 def prj_18_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    asked = F.array(*map(F.lit, ("none", "all", "large", "other")))[(F.col("p_partkey") % 4).cast("int")]
-    p = table(spark, sf_dir, "part").withColumn("t", asked)
-    return p.select("p_partkey", strings.one_of(F.col("t"), ["none", "all", "large"], "large").alias("text_mode"), F.when((F.col("p_size") > 1) & (F.col("t") == "all"), "zip").otherwise("deck").alias("output"))
+    pick = lambda *of: F.array(*map(F.lit, of))[(F.col("p_partkey") % len(of)).cast("int")]
+    mode = strings.one_of(pick("none", "all", "large", "other"), ["none", "all", "large"], "large")
+    return table(spark, sf_dir, "part").select("p_partkey", mode.alias("text_mode"), strings.output_mode(pick("zip", "deck", "odd"), F.col("p_size")).alias("output"))
 
 
-@query("SELECT page_id, CASE WHEN page_id % 2 = 0 THEN s || '_layers.zip' ELSE s || '.pptx' END AS name FROM (SELECT page_id, coalesce(nullif(substring(regexp_replace(regexp_replace(url, '\\s', '_', 'g'), '[^\\p{L}\\p{N}_-]', '', 'g'), 1, 80), ''), 'image') AS s FROM pages)")
+@query("""WITH u AS (SELECT page_id, url, CASE page_id % 4 WHEN 0 THEN [] WHEN 1 THEN [url] ELSE [url, 'other.png'] END AS names FROM pages),
+s AS (SELECT *, coalesce(nullif(substring(regexp_replace(regexp_replace(regexp_replace(regexp_extract(coalesce(names[1], 'lamina_output'), '([^/]*)/*$', 1), '^(.+)\\.[^.]+$', '\\1'), '\\s', '_', 'g'), '[^\\p{L}\\p{N}_-]', '', 'g'), 1, 80), ''), 'lamina_output') AS stem FROM u)
+SELECT page_id, CASE WHEN page_id % 3 = 0 THEN CASE WHEN len(names) > 1 THEN 'lamina_' || len(names) || '_pptx_layers.zip' ELSE 'lamina_pptx_layers.zip' END WHEN len(names) > 1 THEN 'lamina_' || len(names) || '_slides_layers.pptx' ELSE stem || '_layers.pptx' END AS name FROM s""")
 def str_3_download_name(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stem = strings.safe_stem(F.col("url"))
-    return table(spark, sf_dir, "pages").select("page_id", F.when(F.col("page_id") % 2 == 0, F.concat(stem, F.lit("_layers.zip"))).otherwise(F.concat(stem, F.lit(".pptx"))).alias("name"))
+    k, url = F.col("page_id"), F.col("url")
+    names = F.when(k % 4 == 0, F.expr("cast(array() as array<string>)")).when(k % 4 == 1, F.array(url)).otherwise(F.array(url, F.lit("other.png")))
+    return table(spark, sf_dir, "pages").select("page_id", strings.download_name(names, k % 3 == 0).alias("name"))
 
 
 @query("SELECT event_id, array_to_string(list_sort(map_keys(m)), ',') AS keys, m['type'] AS kind, m['user'] AS who FROM (SELECT event_id, MAP {'type': CASE WHEN event_id % 2 = 0 THEN 'changed' ELSE event_type END, 'user': CAST(user_id AS VARCHAR)} AS m FROM events)")
@@ -111,10 +114,11 @@ def str_14_merged_maps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.select("event_id", F.array_join(F.array_sort(F.map_keys("m")), ",").alias("keys"), F.col("m")["type"].alias("kind"), F.col("m")["user"].alias("who"))
 
 
-@query("SELECT conv_id, 'Messages: ' || count(*) || chr(10) || string_agg(turn || ' ' || role, chr(10) ORDER BY turn) AS prompt FROM conversations GROUP BY conv_id")
+@query(f"""WITH {CANDIDATES} SELECT image_id, 'Candidates: ' || count(*) || chr(10) || '[' || string_agg('{{"ord":' || ord || CASE WHEN mae IS NULL THEN '' ELSE ',"mae":' || mae::DOUBLE || ',"edge_f1":' || edge_f1::DOUBLE END || ',"raster_layers":' || raster_layers || ',"internal_detail_layers":' || internal_detail_layers || '}}', ',' ORDER BY ord) || ']' AS prompt FROM c GROUP BY image_id""")
 def str_15_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = F.transform(F.sort_array(F.collect_list(F.struct("turn", "role"))), lambda s: F.concat_ws(" ", s["turn"], s["role"]))
-    return table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.concat(F.lit("Messages: "), F.count("*").cast("string"), F.lit("\n"), F.array_join(lines, "\n")).alias("prompt"))
+    from lamina.sources.derived import candidates
+
+    return selection.candidate_prompt(candidates(spark, sf_dir))
 
 
 @query("WITH t AS (SELECT l_orderkey AS k, l_quantity AS v, min(l_linenumber * 100000000 + l_partkey) AS o FROM lineitem GROUP BY ALL), n AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY o, v) AS n FROM t) SELECT k, string_agg(CAST(CAST(v AS BIGINT) AS VARCHAR), ',' ORDER BY n) AS found FROM n GROUP BY k")
@@ -138,6 +142,10 @@ def evl_8_first_setting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "customer").select("c_custkey", strings.first_set(F.when(k % 3 == 0, "").otherwise(F.trim("c_name")), F.when(k % 2 == 0, F.col("c_mktsegment")), default="default").alias("chain"))
 
 
-@query(f"WITH {JOBS} SELECT job_id, arg_max(phase, seq) AS phase, count(*) FILTER (status = 'done') AS done, count(*) FILTER (status = 'error') AS failed, arg_min(phase, seq) AS first_phase FROM j GROUP BY job_id")
+@query(f"""WITH {CANDIDATES}, {VOTES}, i AS (SELECT DISTINCT image_id FROM c), o AS (SELECT v.* FROM v SEMI JOIN i USING (image_id)), f AS (SELECT image_id, model_ord FROM o WHERE NOT ok ORDER BY image_id, model_ord LIMIT 3)
+SELECT (SELECT arg_min(model_ord, struct_pack(a := image_id, b := model_ord)) FROM o WHERE ok) AS model_used, (SELECT count(DISTINCT image_id) FROM o WHERE ok) AS slides_judged, (SELECT count(*) FROM i) - (SELECT count(DISTINCT image_id) FROM o WHERE ok) AS slides_local_fallback,
+(SELECT string_agg(image_id || ':' || model_ord, ',' ORDER BY image_id, model_ord) FROM f) AS judge_errors""")
 def agg_23_agent_state(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return job_events(spark, sf_dir).groupBy("job_id").agg(F.max_by("phase", "seq").alias("phase"), F.count_if(F.col("status") == "done").alias("done"), F.count_if(F.col("status") == "error").alias("failed"), F.min_by("phase", "seq").alias("first_phase"))
+    from lamina.sources.derived import candidates, votes
+
+    return selection.agent_state(candidates(spark, sf_dir), votes(spark, sf_dir))

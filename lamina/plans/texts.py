@@ -44,7 +44,7 @@ def str_1_safe_stem(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", strings.safe_stem(F.col("url")).alias("stem"))
 
 
-@query("SELECT page_id, coalesce(nullif(regexp_replace(regexp_replace(regexp_replace(url, '[^\\p{L}\\p{N}_-]', '_', 'g'), '_+', '_', 'g'), '^_|_$', '', 'g'), ''), 'image') AS stem FROM pages")
+@query("SELECT page_id, coalesce(nullif(regexp_replace(regexp_replace(regexp_replace(regexp_extract(url, '([^/]*)/*$', 1), '^(.+)\\.[^.]+$', '\\1'), '[^\\p{L}\\p{N}]+', '_', 'g'), '^_|_$', '', 'g'), ''), 'image') AS stem FROM pages")
 def str_2_collapsed_stem(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", strings.collapsed_stem(F.col("url")).alias("stem"))
 
@@ -73,3 +73,13 @@ def str_8_model_list(spark: SparkSession, sf_dir: str) -> DataFrame:
 def str_9_json_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = F.concat(F.lit("x "), F.col("props"), F.when(F.col("event_id") % 3 == 0, " y").otherwise(""))
     return table(spark, sf_dir, "events").select("event_id", strings.json_slice(t).alias("found"))
+
+
+@query("SELECT event_id, CASE WHEN event_id % 3 < 2 THEN event_id % 100 END AS winner, CASE WHEN event_id % 3 < 2 THEN event_type END AS reason FROM events")
+def str_9_parsed_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Objects in fences, in other words, and answers without any."""
+    k = F.col("event_id")
+    own = F.to_json(F.struct((k % 100).alias("winner_index"), F.col("event_type").alias("winner_reason")))
+    answer = F.when(k % 3 == 0, F.concat(F.lit("```json\n"), own, F.lit("\n```"))).when(k % 3 == 1, F.concat(F.lit("I choose "), own, F.lit(" at last"))).otherwise("no object")
+    found = table(spark, sf_dir, "events").withColumn("o", strings.parsed_json(answer, "winner_index long, winner_reason string"))
+    return found.select("event_id", F.col("o.winner_index").alias("winner"), F.col("o.winner_reason").alias("reason"))

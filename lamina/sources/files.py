@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lamina.functions.strings import escaped, three_places
+from lamina.functions.strings import collapsed_stem, escaped, three_places
 
 #: English metric units of an inch; suffixes that count as images.
 EMU_PER_INCH = 914400
@@ -66,18 +66,31 @@ def placed(layers: DataFrame, first_width: Column, first_height: Column, dpi: fl
     return layers.select("*", sw.cast("long").alias("slide_width"), sh.cast("long").alias("slide_height"), *[F.bround(v).cast("long").alias(k) for k, v in spot.items()])
 
 
+MANIFEST = "file,slides,objects,picture_layers,text_layers"
+
+
 def manifest(decks: DataFrame) -> DataFrame:
-    """line: a row of the bundle's list for each deck (image_id, name, layers)."""
-    order = Window.partitionBy(F.floor(F.col("image_id") / 1000)).orderBy("image_id")
-    return decks.select("image_id", F.concat_ws(",", F.format_string("%03d", F.row_number().over(order)), "name", F.col("layers").cast("string")).alias("line"))
+    """bundle, place, line: the list of each bundle, its heading (place 0) and a row for each deck (bundle, name, slides, objects, picture_layers, text_layers) by name and id, numbered within the bundle."""
+    place = F.row_number().over(Window.partitionBy("bundle").orderBy("name", "image_id"))
+    named = decks.withColumn("place", place).withColumn("file", F.concat(F.format_string("%02d_", "place"), collapsed_stem(F.col("name")), F.lit("_layers.pptx")))
+    rows = named.select("bundle", "place", F.concat_ws(",", "file", "slides", "objects", "picture_layers", "text_layers").alias("line"))
+    return rows.unionByName(decks.select("bundle").distinct().select("bundle", F.lit(0).alias("place"), F.lit(MANIFEST).alias("line")))
 
 
 def report_rows(rows: DataFrame) -> DataFrame:
-    """image_id, html: a table row for each report row (index, name, mode, threshold, raster_layers, mae, psnr, edge_f1)."""
+    """image_id, html: a table row of nine cells for each report row (index, name, mode, threshold, editable_text_lines, ocr_lines, raster_layers, mae, psnr, edge_f1, preview)."""
     cell = lambda c: F.concat(F.lit("<td>"), c, F.lit("</td>"))
     text = lambda c: escaped(F.coalesce(F.col(c).cast("string"), F.lit("")))
-    cells = [cell(text("index")), cell(text("name")), cell(F.concat(text("mode"), F.lit("@"), text("threshold"))), cell(text("raster_layers")), *[cell(three_places(F.col(c))) for c in ("mae", "psnr", "edge_f1")]]
-    return rows.select("image_id", F.concat(F.lit("<tr>"), *cells, F.lit("</tr>")).alias("html"))
+    link = F.regexp_extract("preview", "([^/]*)$", 1)
+    preview = F.when(F.coalesce("preview", F.lit("")) == "", "").otherwise(F.concat(F.lit('<a href="'), link, F.lit('"><img src="'), link, F.lit('" loading="lazy"></a>')))
+    pair = lambda a, mark, b: F.concat(text(a), F.lit(mark), text(b))
+    cells = [text("index"), text("name"), pair("mode", "@", "threshold"), pair("editable_text_lines", "/", "ocr_lines"), text("raster_layers"), *[three_places(F.col(c)) for c in ("mae", "psnr", "edge_f1")], preview]
+    return rows.select("image_id", F.concat(F.lit("<tr>"), *map(cell, cells), F.lit("</tr>")).alias("html"))
+
+
+def metadata_json(rows: DataFrame, key: str = "image_id") -> DataFrame:
+    """key, json: each row's values as one JSON object, missing ones left out, for one file an image."""
+    return rows.select(key, F.to_json(F.struct(*[c for c in rows.columns if c != key])).alias("json"))
 
 
 RELATIONS = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"

@@ -160,10 +160,10 @@ def test_jobs_are_followed_as_a_stream(spark, tmp_path):
     events = derived.job_events(spark, "/root/testdata/sf0.001")
     events.write.parquet(str(tmp_path / "events"))
     stream = spark.readStream.schema(events.schema).parquet(str(tmp_path / "events"))
-    q = jobs.follow(stream, "followed")
+    q = jobs.follow(stream, str(tmp_path / "states"), str(tmp_path / "checkpoint"))
     q.awaitTermination(60)
-    key = lambda t: sorted(map(tuple, t.collect()))
-    assert key(spark.table("followed")) == key(jobs.current(events))
+    key = lambda t: sorted(map(tuple, t.select("job_id", "status", "progress", "phase", "message", "events").collect()))
+    assert key(jobs.latest(spark.read.parquet(str(tmp_path / "states")))) == key(jobs.current(events))
 
 
 def test_a_word_of_two_colours_is_split_in_proportion(spark):
