@@ -83,3 +83,27 @@ def str_9_parsed_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     answer = F.when(k % 3 == 0, F.concat(F.lit("```json\n"), own, F.lit("\n```"))).when(k % 3 == 1, F.concat(F.lit("I choose "), own, F.lit(" at last"))).otherwise("no object")
     found = table(spark, sf_dir, "events").withColumn("o", strings.parsed_json(answer, "winner_index long, winner_reason string"))
     return found.select("event_id", F.col("o.winner_index").alias("winner"), F.col("o.winner_reason").alias("reason"))
+
+
+RAW = """rw AS (SELECT doc_id AS image_id, i // 3 AS line_no, i % 3 AS word_no, parts[i + 1] AS word_text, CASE WHEN i % 7 > 0 THEN i * 4.25::DOUBLE END AS x, (i // 3) * 10.5::DOUBLE AS y, CASE WHEN i % 5 > 0 THEN length(parts[i + 1]) * 0.15::DOUBLE END AS width, 8.5::DOUBLE AS height, CASE WHEN (i // 3) % 2 = 0 THEN ' Line ' || i // 3 END AS line_text
+  FROM (SELECT doc_id, parts, unnest(range(len(parts))) AS i FROM (SELECT doc_id, string_split(replace(text, chr(10), ' '), ' ') AS parts FROM documents))),
+wd AS (SELECT image_id, line_no, word_no, trim(word_text) AS text, CAST(round_even(coalesce(x, 0), 0) AS BIGINT) AS x, CAST(round_even(y, 0) AS BIGINT) AS y, greatest(1, CAST(round_even(coalesce(width, 1), 0) AS BIGINT)) AS width, greatest(1, CAST(round_even(height, 0) AS BIGINT)) AS height, line_text FROM rw WHERE trim(word_text) <> ''),
+ln AS (SELECT image_id, line_no, trim(coalesce(nullif(any_value(line_text), ''), string_agg(text, ' ' ORDER BY word_no))) AS text, min(x) AS x, min(y) AS y, max(x + width) - min(x) AS width, max(y + height) - min(y) AS height FROM wd GROUP BY ALL)"""
+
+
+def raw_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of the documents as a recogniser might give them, with places as fractions, some missing."""
+    i, text_ = F.col("i"), F.col("word_text")
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("image_id"), F.posexplode(F.split(F.replace("text", F.lit("\n"), F.lit(" ")), " ")).alias("i", "word_text"))
+    line = F.floor(i / 3)
+    return d.select("image_id", line.alias("line_no"), (i % 3).alias("word_no"), "word_text", F.when(i % 7 > 0, i * 4.25).alias("x"), (line * 10.5).alias("y"), F.when(i % 5 > 0, F.char_length(text_) * 0.15).alias("width"), F.lit(8.5).alias("height"), F.when(line % 2 == 0, F.concat(F.lit(" Line "), line.cast("string"))).alias("line_text"))
+
+
+@query(f"WITH {RAW} SELECT * FROM ln")
+def src_5_recognised_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return text.recognised(raw_words(spark, sf_dir))[1]
+
+
+@query(f"WITH {RAW} SELECT image_id, line_no, word_no, text, x, y, width, height FROM wd")
+def src_5_recognised_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return text.recognised(raw_words(spark, sf_dir))[0]

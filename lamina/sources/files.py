@@ -7,8 +7,10 @@ import struct
 import zipfile
 import zlib
 from collections.abc import Iterator
+from xml.sax.saxutils import escape
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -98,51 +100,94 @@ DRAWING = "http://schemas.openxmlformats.org/drawingml/2006/main"
 SLIDES = "http://schemas.openxmlformats.org/presentationml/2006/main"
 
 
-def deck(width: int, height: int, colour: str, pictures: list[tuple[str, int, int, int, int, bytes]]) -> bytes:
-    """A deck of one slide: a background and named pictures (name, left, top, width, height in EMU, PNG)."""
+def run_xml(run: dict) -> str:
+    """A run of text of one colour: text, r, g, b, font_size (points) and bold."""
+    colour = f'{int(run["r"]):02X}{int(run["g"]):02X}{int(run["b"]):02X}'
+    size = round(float(run["font_size"] or 18) * 100)
+    return f'<a:r><a:rPr lang="en-US" sz="{size}" b="{int(bool(run["bold"]))}" dirty="0"><a:solidFill><a:srgbClr val="{colour}"/></a:solidFill><a:latin typeface="Aptos Display"/></a:rPr><a:t>{escape(run["text"])}</a:t></a:r>'
+
+
+def shape_xml(number: int, shape: dict) -> str:
+    """A picture, or a box of text runs without margins."""
+    spot = f'<a:xfrm><a:off x="{shape["left"]}" y="{shape["top"]}"/><a:ext cx="{shape["width"]}" cy="{shape["height"]}"/></a:xfrm><a:prstGeom prst="rect"><a:avLst/></a:prstGeom>'
+    name = escape(shape["name"], {'"': "&quot;"})
+    if shape.get("runs") is None:
+        return f'<p:pic><p:nvPicPr><p:cNvPr id="{number}" name="{name}"/><p:cNvPicPr/><p:nvPr/></p:nvPicPr><p:blipFill><a:blip r:embed="rId{number}"/><a:stretch><a:fillRect/></a:stretch></p:blipFill><p:spPr>{spot}</p:spPr></p:pic>'
+    runs = "".join(map(run_xml, shape["runs"]))
+    return f'<p:sp><p:nvSpPr><p:cNvPr id="{number}" name="{name}"/><p:cNvSpPr txBox="1"/><p:nvPr/></p:nvSpPr><p:spPr>{spot}<a:noFill/></p:spPr><p:txBody><a:bodyPr wrap="square" lIns="0" tIns="0" rIns="0" bIns="0" anchor="t"><a:normAutofit/></a:bodyPr><a:lstStyle/><a:p><a:pPr algn="l"><a:spcBef><a:spcPts val="0"/></a:spcBef><a:spcAft><a:spcPts val="0"/></a:spcAft></a:pPr>{runs}</a:p></p:txBody></p:sp>'
+
+
+def deck(width: int, height: int, slides: list[tuple[str, list[dict]]]) -> bytes:
+    """A deck. slides: background colour and shapes (name, left, top, width, height in EMU; png of a picture, or runs of a text box)."""
     kind, rel = "application/vnd.openxmlformats-officedocument.presentationml.", "http://schemas.openxmlformats.org/package/2006/relationships"
     head = '<?xml version="1.0" encoding="UTF-8" standalone="yes"?>'
     spaces = f'xmlns:a="{DRAWING}" xmlns:r="{RELATIONS}" xmlns:p="{SLIDES}"'
     links = lambda rows: head + f'<Relationships xmlns="{rel}">' + "".join(f'<Relationship Id="rId{i}" Type="{RELATIONS}/{t}" Target="{to}"/>' for i, t, to in rows) + "</Relationships>"
     group = '<p:nvGrpSpPr><p:cNvPr id="1" name=""/><p:cNvGrpSpPr/><p:nvPr/></p:nvGrpSpPr><p:grpSpPr/>'
     fill = lambda c: f'<a:solidFill><a:srgbClr val="{c}"/></a:solidFill>'
-    shapes = "".join(f'<p:pic><p:nvPicPr><p:cNvPr id="{i + 2}" name="{name}"/><p:cNvPicPr/><p:nvPr/></p:nvPicPr><p:blipFill><a:blip r:embed="rId{i + 2}"/><a:stretch><a:fillRect/></a:stretch></p:blipFill><p:spPr><a:xfrm><a:off x="{x}" y="{y}"/><a:ext cx="{w}" cy="{h}"/></a:xfrm><a:prstGeom prst="rect"><a:avLst/></a:prstGeom></p:spPr></p:pic>' for i, (name, x, y, w, h, _) in enumerate(pictures))
-    files = {
-        "[Content_Types].xml": head + '<Types xmlns="http://schemas.openxmlformats.org/package/2006/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Default Extension="xml" ContentType="application/xml"/><Default Extension="png" ContentType="image/png"/>' + "".join(f'<Override PartName="/ppt/{path}.xml" ContentType="{kind}{t}+xml"/>' for path, t in (("presentation", "presentation.main"), ("slides/slide1", "slide"), ("slideLayouts/slideLayout1", "slideLayout"), ("slideMasters/slideMaster1", "slideMaster"))) + "</Types>",
+    numbers = range(1, len(slides) + 1)
+    parts = [("presentation", "presentation.main"), ("slideLayouts/slideLayout1", "slideLayout"), ("slideMasters/slideMaster1", "slideMaster"), *[(f"slides/slide{n}", "slide") for n in numbers]]
+    files: dict[str, str | bytes] = {
+        "[Content_Types].xml": head + '<Types xmlns="http://schemas.openxmlformats.org/package/2006/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Default Extension="xml" ContentType="application/xml"/><Default Extension="png" ContentType="image/png"/>' + "".join(f'<Override PartName="/ppt/{path}.xml" ContentType="{kind}{t}+xml"/>' for path, t in parts) + "</Types>",
         "_rels/.rels": links([(1, "officeDocument", "ppt/presentation.xml")]),
-        "ppt/presentation.xml": head + f'<p:presentation {spaces}><p:sldMasterIdLst><p:sldMasterId id="2147483648" r:id="rId1"/></p:sldMasterIdLst><p:sldIdLst><p:sldId id="256" r:id="rId2"/></p:sldIdLst><p:sldSz cx="{width}" cy="{height}"/><p:notesSz cx="{height}" cy="{width}"/></p:presentation>',
-        "ppt/_rels/presentation.xml.rels": links([(1, "slideMaster", "slideMasters/slideMaster1.xml"), (2, "slide", "slides/slide1.xml")]),
+        "ppt/presentation.xml": head + f'<p:presentation {spaces}><p:sldMasterIdLst><p:sldMasterId id="2147483648" r:id="rId1"/></p:sldMasterIdLst><p:sldIdLst>' + "".join(f'<p:sldId id="{255 + n}" r:id="rId{n + 1}"/>' for n in numbers) + f'</p:sldIdLst><p:sldSz cx="{width}" cy="{height}"/><p:notesSz cx="{height}" cy="{width}"/></p:presentation>',
+        "ppt/_rels/presentation.xml.rels": links([(1, "slideMaster", "slideMasters/slideMaster1.xml"), *[(n + 1, "slide", f"slides/slide{n}.xml") for n in numbers]]),
         "ppt/slideMasters/slideMaster1.xml": head + f'<p:sldMaster {spaces}><p:cSld><p:spTree>{group}</p:spTree></p:cSld><p:clrMap bg1="lt1" tx1="dk1" bg2="lt2" tx2="dk2" accent1="accent1" accent2="accent2" accent3="accent3" accent4="accent4" accent5="accent5" accent6="accent6" hlink="hlink" folHlink="folHlink"/><p:sldLayoutIdLst><p:sldLayoutId id="2147483649" r:id="rId1"/></p:sldLayoutIdLst></p:sldMaster>',
         "ppt/slideMasters/_rels/slideMaster1.xml.rels": links([(1, "slideLayout", "../slideLayouts/slideLayout1.xml")]),
         "ppt/slideLayouts/slideLayout1.xml": head + f'<p:sldLayout {spaces} type="blank"><p:cSld><p:spTree>{group}</p:spTree></p:cSld></p:sldLayout>',
         "ppt/slideLayouts/_rels/slideLayout1.xml.rels": links([(1, "slideMaster", "../slideMasters/slideMaster1.xml")]),
-        "ppt/slides/slide1.xml": head + f"<p:sld {spaces}><p:cSld><p:bg><p:bgPr>{fill(colour)}<a:effectLst/></p:bgPr></p:bg><p:spTree>{group}{shapes}</p:spTree></p:cSld></p:sld>",
-        "ppt/slides/_rels/slide1.xml.rels": links([(1, "slideLayout", "../slideLayouts/slideLayout1.xml"), *[(i + 2, "image", f"../media/image{i + 1}.png") for i in range(len(pictures))]]),
     }
+    for n, (colour, shapes) in zip(numbers, slides, strict=True):
+        pictures = [i for i, s in enumerate(shapes, 2) if s.get("runs") is None]
+        body = "".join(shape_xml(i, s) for i, s in enumerate(shapes, 2))
+        files[f"ppt/slides/slide{n}.xml"] = head + f"<p:sld {spaces}><p:cSld><p:bg><p:bgPr>{fill(colour)}<a:effectLst/></p:bgPr></p:bg><p:spTree>{group}{body}</p:spTree></p:cSld></p:sld>"
+        files[f"ppt/slides/_rels/slide{n}.xml.rels"] = links([(1, "slideLayout", "../slideLayouts/slideLayout1.xml"), *[(i, "image", f"../media/image{n}_{i}.png") for i in pictures]])
+        files |= {f"ppt/media/image{n}_{i}.png": shapes[i - 2]["png"] for i in pictures}
     out = io.BytesIO()
     with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
-        for name, text in files.items():
-            z.writestr(name, text)
-        for i, picture in enumerate(pictures):
-            z.writestr(f"ppt/media/image{i + 1}.png", picture[5])
+        for name, data in files.items():
+            z.writestr(name, data)
     return out.getvalue()
 
 
-def decks(layers: DataFrame, cells: DataFrame, background: DataFrame) -> DataFrame:
-    """image_id, pptx: a deck for each image. layers: placed ones with layer_id and z; cells: image_id, layer_id, y, x, r, g, b, alpha. A group is one image."""
-    c = cells.groupBy("image_id", "layer_id").agg(F.collect_list(F.struct("y", "x", "r", "g", "b", "alpha")).alias("cells"))
-    rows = layers.join(c, ["image_id", "layer_id"]).join(background, "image_id")
-
-    def made(rows: pd.DataFrame) -> pd.DataFrame:
-        pictures = []
-        for r in rows.sort_values("z").itertuples():
-            rgba = bytearray(int(r.width) * int(r.height) * 4)
-            for cell in r.cells:
-                at = (int(cell["y"] - r.y) * int(r.width) + int(cell["x"] - r.x)) * 4
-                rgba[at : at + 4] = bytes((cell["r"], cell["g"], cell["b"], cell["alpha"]))
-            pictures.append((r.layer_id, r.left_emu, r.top_emu, r.width_emu, r.height_emu, png(int(r.width), int(r.height), bytes(rgba))))
-        f = rows.iloc[0]
-        colour = f"{int(f.bg_r):02X}{int(f.bg_g):02X}{int(f.bg_b):02X}"
-        return pd.DataFrame({"image_id": [f.image_id], "pptx": [deck(int(f.slide_width), int(f.slide_height), colour, pictures)]})
-
-    return rows.groupBy("image_id").applyInPandas(made, "image_id long, pptx binary")
+def decks(layers: DataFrame, cells: DataFrame, background: DataFrame, texts: DataFrame | None = None, deck_of: DataFrame | None = None) -> DataFrame:
+    """deck_id, pptx: a deck for each deck_id, a slide for each of its images in order of slide.
+
+    layers: placed ones with layer_id and z; cells: image_id, layer_id, y, x, r, g, b, alpha; texts: placed boxes with
+    layer_id and runs (text, r, g, b, font_size, bold), which go on top; deck_of: image_id, deck_id and slide, else
+    each image is a deck. A deck has the size of its first slide, by which layers are placed. A task has one deck's slides.
+    """
+    raster = cells.groupBy("image_id", "layer_id").agg(F.collect_list(F.struct("y", "x", "r", "g", "b", "alpha")).alias("cells"))
+    runs = "array<struct<text: string, r: int, g: int, b: int, font_size: double, bold: boolean>>"
+    spot = ["image_id", "layer_id", "z", "x", "y", "width", "height", "left_emu", "top_emu", "width_emu", "height_emu", "slide_width", "slide_height"]
+    rows = layers.join(raster, ["image_id", "layer_id"]).select(*spot, "cells", F.expr(f"cast(null as {runs})").alias("runs"))
+    if texts is not None:
+        kinds = {f: t for f, t in raster.dtypes}["cells"]
+        # Fixed value: a text box is 1.15 times as high as its line.
+        tall = F.bround(F.col("height_emu") * 1.15).cast("long").alias("height_emu")
+        rows = rows.unionByName(texts.select(*[tall if c == "height_emu" else F.col(c) for c in spot], F.expr(f"cast(null as {kinds})").alias("cells"), F.col("runs").cast(runs).alias("runs")))
+    deck_of = background.select("image_id", F.col("image_id").alias("deck_id"), F.lit(1).alias("slide")) if deck_of is None else deck_of
+    shape = F.struct(F.col("runs").isNotNull().alias("on_top"), *[c for c in ("z", "layer_id", "x", "y", "width", "height", "left_emu", "top_emu", "width_emu", "height_emu")], "cells", "runs")
+    slide = rows.groupBy("image_id").agg(F.first("slide_width").alias("slide_width"), F.first("slide_height").alias("slide_height"), F.collect_list(shape).alias("shapes"))
+    whole = deck_of.join(background, "image_id").join(slide, "image_id").select("deck_id", "slide", "slide_width", "slide_height", "bg_r", "bg_g", "bg_b", "shapes")
+
+    def picture(s: dict) -> bytes:
+        rgba = bytearray(int(s["width"]) * int(s["height"]) * 4)
+        for cell in s["cells"]:
+            at = (int(cell["y"] - s["y"]) * int(s["width"]) + int(cell["x"] - s["x"])) * 4
+            rgba[at : at + 4] = bytes((cell["r"], cell["g"], cell["b"], cell["alpha"]))
+        return png(int(s["width"]), int(s["height"]), bytes(rgba))
+
+    def made(rows: pa.Table) -> pa.Table:
+        slides = sorted(rows.to_pylist(), key=lambda r: r["slide"])
+        content = []
+        for r in slides:
+            shapes = []
+            for s in sorted(r["shapes"], key=lambda s: (s["on_top"], s["z"], s["layer_id"])):
+                shown = {"name": s["layer_id"], "left": s["left_emu"], "top": s["top_emu"], "width": s["width_emu"], "height": s["height_emu"]}
+                shapes.append(shown | ({"png": picture(s)} if s["runs"] is None else {"runs": s["runs"]}))
+            content.append((f"{r['bg_r']:02X}{r['bg_g']:02X}{r['bg_b']:02X}", shapes))
+        first = slides[0]
+        return pa.table({"deck_id": pa.array([first["deck_id"]], pa.int64()), "pptx": pa.array([deck(first["slide_width"], first["slide_height"], content)], pa.binary())})
+
+    return whole.groupBy("deck_id").applyInArrow(made, "deck_id long, pptx binary")
