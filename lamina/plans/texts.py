@@ -75,14 +75,14 @@ def str_9_json_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", strings.json_slice(t).alias("found"))
 
 
-@query("SELECT event_id, CASE WHEN event_id % 3 < 2 THEN event_id % 100 END AS winner, CASE WHEN event_id % 3 < 2 THEN event_type END AS reason FROM events")
+@query("SELECT event_id, CASE WHEN event_id % 3 < 2 THEN event_id % 100 ELSE -1 END AS winner, CASE WHEN event_id % 3 < 2 THEN event_type END AS reason FROM events")
 def str_9_parsed_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Objects in fences, in other words, and answers without any."""
     k = F.col("event_id")
     own = F.to_json(F.struct((k % 100).alias("winner_index"), F.col("event_type").alias("winner_reason")))
     answer = F.when(k % 3 == 0, F.concat(F.lit("```json\n"), own, F.lit("\n```"))).when(k % 3 == 1, F.concat(F.lit("I choose "), own, F.lit(" at last"))).otherwise("no object")
     found = table(spark, sf_dir, "events").withColumn("o", strings.parsed_json(answer, "winner_index long, winner_reason string"))
-    return found.select("event_id", F.col("o.winner_index").alias("winner"), F.col("o.winner_reason").alias("reason"))
+    return found.select("event_id", F.coalesce("o.winner_index", F.lit(-1)).alias("winner"), F.col("o.winner_reason").alias("reason"))
 
 
 RAW = """rw AS (SELECT doc_id AS image_id, i // 3 AS line_no, i % 3 AS word_no, parts[i + 1] AS word_text, CASE WHEN i % 7 > 0 THEN i * 4.25::DOUBLE END AS x, (i // 3) * 10.5::DOUBLE AS y, CASE WHEN i % 5 > 0 THEN length(parts[i + 1]) * 0.15::DOUBLE END AS width, 8.5::DOUBLE AS height, CASE WHEN (i // 3) % 2 = 0 THEN ' Line ' || i // 3 END AS line_text
