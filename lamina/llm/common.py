@@ -220,6 +220,45 @@ class KeySet:
         size = parts.mapInArrow(stored, "n long").agg(F.sum("n")).first()[0]
         return cls(folder, bits, kinds, size or 0)
 
+    @classmethod
+    def summed(cls, blocks: DataFrame, bits: int, held: int = 4 << 20) -> KeySet:
+        """The sums, rounded, of the values of each key. blocks: rows of blocks_of(); a part sums its blocks as they come, so many rows at most beside its distinct keys."""
+        folder = shared_dir(blocks.sparkSession)
+
+        def stored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            own = TaskContext.get().partitionId()
+            keys, values, size = [np.empty(0, np.uint64)], [np.empty(0)], 0
+
+            def added() -> None:
+                key, place = np.unique(np.concatenate(keys), return_inverse=True)
+                values[:] = [np.bincount(place, np.concatenate(values), len(key))]
+                keys[:] = [key]
+
+            for batch in batches:
+                for part, data in zip(batch.column("part").to_pylist(), batch.column("data").to_pylist(), strict=True):
+                    if part != own:
+                        raise ValueError("a block was dealt to another part")
+                    n = len(data) // 16
+                    keys.append(np.frombuffer(data, "<u8", n))
+                    values.append(np.frombuffer(data, "<f8", n, 8 * n))
+                    size += n
+                    if size > held:
+                        added()
+                        size = 0
+            added()
+            store_arrays(f"{folder}/keys-{own}", [keys[0], np.rint(values[0]).astype("<i8")])
+            yield pa.RecordBatch.from_pydict({"n": pa.array([len(keys[0])], pa.int64())})
+
+        size = blocks.repartitionById(1 << bits, F.col("part")).mapInArrow(stored, "n long").agg(F.sum("n")).first()[0]
+        return cls(folder, bits, ("<u8", "<i8"), size or 0)
+
+    def blocks_of(self, keys: np.ndarray, values: np.ndarray) -> pa.RecordBatch:
+        """part, data: sorted keys and their values (floats) as a block of bytes for each part of a set that is dealt like this one."""
+        edges = np.searchsorted(keys >> np.uint64(64 - self.bits), np.arange((1 << self.bits) + 1, dtype=np.uint64))
+        parts = np.flatnonzero(np.diff(edges)).tolist()
+        data = [keys[edges[p] : edges[p + 1]].tobytes() + values[edges[p] : edges[p + 1]].tobytes() for p in parts]
+        return pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), pa.array(data, pa.binary())], names=["part", "data"])
+
     def contains(self, keys: np.ndarray) -> np.ndarray:
         """Whether each key (unsigned) is in the set."""
         return self.found(keys)[0]

@@ -141,8 +141,8 @@ def digest(text: str) -> Column:
     return F.md5(F.col(text).cast("binary"))
 
 
-def document_frequencies(docs: DataFrame, text: str, copies: KeySet, near: KeySet) -> DataFrame:
-    """term (hash) and df, in distinct texts, of the terms in near: a text that stands n times (copies, by hash) counts 1 / n each time. A task adds up some megabytes of text before it sends a row for each of their words."""
+def document_frequencies(docs: DataFrame, text: str, copies: KeySet, near: KeySet) -> KeySet:
+    """df by term (hash), in distinct texts, of the terms in near: a text that stands n times (copies, by hash) counts 1 / n each time. A task adds up some megabytes of text before it sends a block of their terms to each part."""
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -153,8 +153,7 @@ def document_frequencies(docs: DataFrame, text: str, copies: KeySet, near: KeySe
             term, place = np.unique(word, return_inverse=True)
             weight = np.bincount(place, weight, len(term))
             on = near.contains(term)
-            term, weight = term[on], weight[on]
-            return pa.RecordBatch.from_pydict({"term": pa.array(term.view(np.int64)), "n": pa.array(weight, pa.float64())})
+            return near.blocks_of(term[on], weight[on])
 
         for digests, texts in slices(batches, 512, 4 << 20):
             weight = 1 / copies.values(np.array(digests, np.int64).view(np.uint64), 1)
@@ -172,7 +171,7 @@ def document_frequencies(docs: DataFrame, text: str, copies: KeySet, near: KeySe
             yield sent()
 
     rows = docs.select(F.xxhash64(text).alias("hash"), F.col(text).alias("text")).where("text is not null")
-    return rows.mapInArrow(counted, "term long, n double").groupBy("term").agg(F.round(F.sum("n")).cast("long").alias("df"))
+    return KeySet.summed(rows.mapInArrow(counted, "part int, data binary"), near.bits)
 
 
 def candidates(docs: DataFrame, text: str, near: int) -> DataFrame:
@@ -204,7 +203,8 @@ def revealing_terms(docs: DataFrame, text: str = "text", near: int = NEAR, discl
     co = KeySet.store(met.select("pair", "co"), met.count())
     terms = written(met.where("term <> 0").select("term").distinct())
     number = terms.count()
-    df = KeySet.store(document_frequencies(docs, text, KeySet.store(texts.where("n > 1").groupBy("hash").agg(F.sum("n").alias("n")), repeated), KeySet.store(terms, number)), number)
+    copies = KeySet.store(texts.where("n > 1").groupBy("hash").agg(F.sum("n").alias("n")), repeated)
+    df = document_frequencies(docs, text, copies, KeySet.store(terms, number))
 
     def rated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 from lamina.llm.common import KeySet, Recent, crc_fold, local_path, looked_up, mapped, shared_dir, slices, store_arrays
 
+from lamina.llm.neardup import mixed
+
 
 def test_key_sets_hold_their_keys_and_no_others(spark):
     rng = np.random.default_rng(4)
@@ -68,3 +70,19 @@ def test_sets_without_keys_after_a_shuffle(spark):
     none = spark.range(100).groupBy((F.col("id") % 7).alias("k")).agg(F.count("*").alias("n")).where("n > 1000")
     held = KeySet.store(none, 0)
     assert not held.contains(np.arange(10, dtype=np.uint64)).any() and held.values(np.arange(3, dtype=np.uint64), 5).tolist() == [5, 5, 5]
+
+
+def test_sums_of_blocks(spark):
+    rng = np.random.default_rng(3)
+    some = KeySet("", 6)
+
+    def blocks(batches):
+        for batch in batches:
+            for seed in batch.column("id").to_pylist():
+                key, place = np.unique(mixed(np.random.default_rng(seed).integers(0, 500, 300).astype(np.uint64)), return_inverse=True)
+                yield some.blocks_of(key, np.bincount(place) / 2)
+
+    held = KeySet.summed(spark.range(0, 20, 1, 5).mapInArrow(blocks, "part int, data binary"), 6, 100)
+    hand = np.bincount(np.concatenate([np.random.default_rng(s).integers(0, 500, 300) for s in range(20)]), minlength=500)
+    assert held.values(mixed(np.arange(500, dtype=np.uint64)), -1).tolist() == np.where(hand > 0, np.rint(hand / 2), -1).tolist()
+    assert not held.contains(mixed(rng.integers(500, 10_000, 100).astype(np.uint64))).any()
