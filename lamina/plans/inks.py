@@ -14,6 +14,7 @@ from lamina.plans.races import scored
 from lamina.plans.registry import query
 from lamina.sources import files
 from lamina.sources.derived import CANDIDATES, LINES, PIXELS, VOTES, candidates, table, text_lines, votes
+from lamina.sources.tables import written
 
 LUM = "r * 0.2126::DOUBLE + g * 0.7152::DOUBLE + b * 0.0722::DOUBLE AS lum, greatest(r, g, b) - least(r, g, b) AS sat"
 MEDIANS = "CAST(round_even(median(r), 0) AS BIGINT) AS r, CAST(round_even(median(g), 0) AS BIGINT) AS g, CAST(round_even(median(b), 0) AS BIGINT) AS b"
@@ -74,7 +75,19 @@ def win_7_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ink.bands(smooth_codes(spark, sf_dir), "key", "pos", "code")
 
 
-@query()
+BANDS = SMOOTH + """, nw AS (SELECT *, CASE WHEN lag(code) OVER (PARTITION BY key ORDER BY pos) = code THEN 0 ELSE 1 END AS new FROM sm), nb AS (SELECT *, sum(new) OVER (PARTITION BY key ORDER BY pos) AS band FROM nw),
+bs AS (SELECT key, min(pos) AS s, max(pos) AS e, min(code) AS code FROM nb GROUP BY key, band),
+ls AS (SELECT key, list(struct_pack(s := s, e := e, code := code) ORDER BY s) AS l FROM bs GROUP BY key)"""
+#: One pass over the bands in order: (what is done, the place of the next band).
+PASSES = f"""{BANDS}, p1 AS (SELECT key, l, 1 AS i, l[:0] AS done FROM ls UNION ALL
+SELECT key, l, i + CASE WHEN l[i].e - l[i].s + 1 < 4 AND len(done) = 0 AND i < len(l) THEN 2 ELSE 1 END,
+  CASE WHEN l[i].e - l[i].s + 1 >= 4 THEN list_append(done, l[i]) WHEN len(done) > 0 THEN list_append(done[:-2], struct_pack(s := done[-1].s, e := l[i].e, code := done[-1].code))
+  WHEN i < len(l) THEN [struct_pack(s := l[i].s, e := l[i + 1].e, code := l[i + 1].code)] ELSE [l[i]] END FROM p1 WHERE i <= len(l)),
+d1 AS (SELECT key, done AS l FROM p1 WHERE i = len(l) + 1),
+d2 AS (SELECT key, CASE WHEN len(l) > 1 AND l[1].e - l[1].s + 1 < 4 THEN list_prepend(struct_pack(s := l[1].s, e := l[2].e, code := l[2].code), l[3:]) ELSE l END AS l FROM d1)"""
+
+
+@query(f"WITH RECURSIVE {PASSES} SELECT key, b.s AS start, b.e AS \"end\", b.code AS code FROM (SELECT key, unnest(l) AS b FROM d2)")
 def win_8_merged_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ink.merged_bands(ink.bands(smooth_codes(spark, sf_dir), "key", "pos", "code"), "key", "code", 4)
 
@@ -85,7 +98,7 @@ def lyr_3_opaque_components(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def filled(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    runs = labelled(spark, sf_dir)
+    runs = written(labelled(spark, sf_dir))
     return runs, ly.filled_components(runs, cc.components(runs), images(spark, sf_dir), 4, 0.4, 0.72)
 
 
@@ -101,10 +114,22 @@ def lyr_4_filled_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filled(spark, sf_dir)[1]
 
 
-@query()
+MARKS = FULL + """, fa0 AS (SELECT fc.image_id, fc.component_id, fc.y, fc.x, count(*) OVER (PARTITION BY fc.image_id, fc.component_id) AS n FROM fc JOIN ff USING (image_id, component_id)
+  WHERE (ff.r * 0.2126::DOUBLE + ff.g * 0.7152::DOUBLE + ff.b * 0.0722::DOUBLE) / 255 <= 0.72::DOUBLE AND (fc.r - ff.r) ** 2 + (fc.g - ff.g) ** 2 + (fc.b - ff.b) ** 2 >= 2116),
+fa AS (SELECT * FROM fa0 WHERE n >= 2),
+dr AS (SELECT image_id, y, min(x) AS s, max(x) AS e, min(component_id) AS owner FROM (SELECT *, x - row_number() OVER (PARTITION BY image_id, y ORDER BY x) AS island FROM fa) GROUP BY image_id, y, island),
+dn AS (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY y, s) AS id FROM dr),
+de AS (SELECT a.image_id, a.id AS a, b.id AS b FROM dn a JOIN dn b ON a.image_id = b.image_id AND abs(a.y - b.y) = 1 AND b.s <= a.e + 1 AND b.e >= a.s - 1),
+dw AS (SELECT image_id, id AS a, id AS b FROM dn UNION SELECT dw.image_id, dw.a, de.b FROM dw JOIN de ON de.image_id = dw.image_id AND de.a = dw.b),
+dl AS (SELECT dn.*, label FROM dn JOIN (SELECT image_id, a AS id, min(b) AS label FROM dw GROUP BY ALL) USING (image_id, id)),
+dc AS (SELECT image_id, label, min(owner) AS component_id, CAST(sum(e - s + 1) AS BIGINT) AS area, min(s) AS x, min(y) AS y, max(e) - min(s) + 1 AS width, max(y) - min(y) + 1 AS height, arg_min(s, id) AS first_x FROM dl GROUP BY image_id, label)"""
+
+
+@query(sql(MARKS, "SELECT image_id, component_id, row_number() OVER (PARTITION BY image_id, component_id ORDER BY width * height DESC, area DESC, y, first_x) AS detail, area, x, y, width, height FROM dc WHERE area >= 2"))
 def lyr_4_detail_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     runs, full = filled(spark, sf_dir)
-    return ly.detail_components(runs, full, images(spark, sf_dir), 46, 2)
+    far = written(ly.detail_pixels(runs, full, images(spark, sf_dir), 46, 2))
+    return ly.details_of(written(ly.detail_spans(far)), far, 2).drop("label")
 
 
 @query()
@@ -112,7 +137,19 @@ def gra_3_partition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ly.partition(labelled(spark, sf_dir), area=4, density=0.3, gap=1, depth=9, span=3)
 
 
-@query()
+#: One line after another, by the height of its middle, to the first extent that it is near to.
+BASELINES = LINES + """, ft AS (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY y + height / 2, x, line_no) AS k FROM ln),
+fo AS (SELECT image_id, 0::BIGINT AS k, CAST([] AS STRUCT(l BIGINT, r BIGINT, t BIGINT, b BIGINT, h BIGINT, m BIGINT[])[]) AS gs FROM (SELECT DISTINCT image_id FROM ft) UNION ALL
+SELECT image_id, k, CASE WHEN hit IS NULL OR hit = 0 THEN list_append(gs, struct_pack(l := x::BIGINT, r := (x + width)::BIGINT, t := y::BIGINT, b := (y + height)::BIGINT, h := height::BIGINT, m := [line_no::BIGINT]))
+  ELSE list_concat(list_append(gs[:hit - 1], struct_pack(l := least(gs[hit].l, x)::BIGINT, r := greatest(gs[hit].r, x + width)::BIGINT, t := least(gs[hit].t, y)::BIGINT, b := greatest(gs[hit].b, y + height)::BIGINT, h := greatest(gs[hit].h, height)::BIGINT, m := list_append(gs[hit].m, line_no::BIGINT))), gs[hit + 1:]) END
+FROM (SELECT fo.image_id, ft.k, gs, x, y, width, height, line_no, list_position(list_transform(gs, lambda g: abs(y + height / 2 - (g.t + g.b) / 2) <= greatest(8, g.h * 0.33) AND CASE WHEN x >= g.r THEN x - g.r ELSE g.l - x - width END <= greatest(90, g.h * 1.5)), true) AS hit
+  FROM fo JOIN ft ON ft.image_id = fo.image_id AND ft.k = fo.k + 1)),
+la AS (SELECT image_id, g.m AS m, i FROM (SELECT image_id, unnest(gs) AS g, unnest(range(len(gs))) AS i FROM (SELECT image_id, arg_max(gs, k) AS gs FROM fo GROUP BY image_id))),
+lm AS (SELECT image_id, i, len(m) AS parts, unnest(m) AS line_no, unnest(range(len(m))) AS nth FROM la),
+lo AS (SELECT image_id, i, parts, string_agg(text, ' ' ORDER BY x, y, nth) AS text, min(x) AS x, min(y) AS y, max(x + width) - min(x) AS width, max(y + height) - min(y) AS height FROM lm JOIN ln USING (image_id, line_no) GROUP BY ALL)"""
+
+
+@query(f"WITH RECURSIVE {BASELINES} SELECT image_id, row_number() OVER (PARTITION BY image_id ORDER BY y, x, text) AS line, text, x, y, width, height, parts FROM lo")
 def gra_7_merged_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lamina.operators import text
 

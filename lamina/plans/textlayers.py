@@ -54,6 +54,14 @@ def lyr_6_word_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.select("image_id", "line_no", F.array_join(shown, "|").alias("runs"))
 
 
+@query()
+def lyr_7_split_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One long word over each image, on three images side by side as one, so that it has columns enough to be split."""
+    px = images(spark, sf_dir).withColumn("x", F.col("x") + F.col("image_id") % 3 * SIDE).withColumn("image_id", F.floor(F.col("image_id") / 3))
+    word = px.select("image_id").distinct().select("image_id", F.lit(0).alias("line_no"), F.lit(0).alias("word_no"), F.concat(F.lit("Header"), F.col("image_id").cast("string")).alias("text"), F.lit(0).alias("x"), F.lit(0).alias("y"), F.lit(3 * SIDE).alias("width"), F.lit(SIDE).alias("height"))
+    return tl.split_words(word, px, bg.corner_background(px, 3 * SIDE, SIDE), 35, 3 * SIDE, SIDE)
+
+
 @query()
 def lyr_8_without_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tl.without_text(images(spark, sf_dir), words(spark, sf_dir), SIDE, SIDE)
