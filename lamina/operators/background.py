@@ -51,7 +51,9 @@ def scored_candidates(pixels: DataFrame, width: int, height: int) -> DataFrame:
     distinct = all_.groupBy("image_id", *RGB).agg(F.min("ord").alias("ord"))
     own = distinct.select("image_id", *[F.col(c).alias(f"c_{c}") for c in RGB], "ord")
     close = squared_distance(F.col("c_r"), F.col("c_g"), F.col("c_b")) <= 900
-    share = lambda px, name: px.join(own, "image_id").groupBy("image_id", "ord").agg(F.avg(close.cast("int")).alias(name))
+    # Colours are counted before they meet the candidates, so an image's colours are joined, not its pixels.
+    counted = lambda px: px.groupBy("image_id", *RGB).agg(F.count("*").alias("n"))
+    share = lambda px, name: counted(px).join(own, "image_id").groupBy("image_id", "ord").agg((F.sum(F.when(close, F.col("n")).otherwise(0)) / F.sum("n")).alias(name))
     return distinct.join(share(pixels, "coverage"), ["image_id", "ord"]).join(share(border, "border_coverage"), ["image_id", "ord"]).withColumn("luma", luma(*map(F.col, RGB)))
 
 

@@ -69,13 +69,12 @@ def padded(box: dict[str, Column], pad: int, width: Column, height: Column) -> d
 
 
 def dilated(mask: DataFrame, radius: int, width: int, height: int) -> DataFrame:
-    """The mask grown by a square of the radius, within the image."""
+    """The mask grown by a square of the radius, within the image: along its rows, then its columns."""
     if radius <= 0:
         return mask.select(*PIXEL)
     around = F.sequence(F.lit(-radius), F.lit(radius))
-    grown = mask.select("image_id", "y", "x", F.explode(around).alias("dy")).select("image_id", "y", "x", "dy", F.explode(around).alias("dx"))
-    grown = grown.select("image_id", (F.col("y") + F.col("dy")).alias("y"), (F.col("x") + F.col("dx")).alias("x"))
-    return grown.where(F.col("y").between(0, height - 1) & F.col("x").between(0, width - 1)).distinct()
+    wide = mask.select("image_id", "y", F.explode(F.transform(around, lambda d: F.col("x") + d)).alias("x")).where(F.col("x").between(0, width - 1)).distinct()
+    return wide.select("image_id", F.explode(F.transform(around, lambda d: F.col("y") + d)).alias("y"), "x").where(F.col("y").between(0, height - 1)).distinct()
 
 
 def closed(mask: DataFrame, width: int, height: int) -> DataFrame:
