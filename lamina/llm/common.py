@@ -65,7 +65,7 @@ def looked_up(rows: DataFrame, values: DataFrame, key: str, total: int | None =
 
     values has one row for each key, with a column n: the number of the key's rows. As these add up to all rows, at most
     HOT keys have more than a HOT-th of them; the values of these are broadcast, and only rows of other keys meet theirs
-    in a shuffle. total: the number of rows.
+    in a shuffle. So values should have the hot keys that have nothing to look up, too. total: the number of rows.
     """
     total = rows.count() if total is None else total
     names = rows.columns
@@ -73,7 +73,7 @@ def looked_up(rows: DataFrame, values: DataFrame, key: str, total: int | None =
     hot = F.col("n") > total / HOT
     at, often, seldom = (free_name([*names, *new], x) for x in ("spread", "often", "seldom"))
     value = F.struct(*new)
-    met = rows.join(F.broadcast(values.where(hot).select(key, value.alias(often))), key, "left")
+    met = rows.join(F.broadcast(values.where(hot).select(key, value.alias(often))), key, "left")  # HOT rows at most
     met = met.withColumn(at, F.when(F.col(often).isNotNull() | F.col(key).isNull(), F.xxhash64(*names).cast(rows.schema[key].dataType)).otherwise(F.col(key)))
     met = met.join(values.where(~hot).select(F.col(key).alias(at), value.alias(seldom)), at, "left")
     return met.select(*names, *[F.when(F.col(key).isNotNull(), F.coalesce(F.col(often)[c], F.col(seldom)[c])).alias(c) for c in new])

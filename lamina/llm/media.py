@@ -244,7 +244,7 @@ def resolve(references: DataFrame, media: DataFrame) -> DataFrame:
     features = [x.split()[0] for x in FEATURE.split(", ") if not x.startswith("kind")]
     m = media.select(F.col("payload_sha256").alias("digest"), F.struct(*features).alias("media")).groupBy("digest").agg(F.first("media").alias("media"))
     asked = references.where("digest is not null").groupBy("digest").agg(F.count("*").alias("n"))
-    return looked_up(references, m.join(asked, "digest"), "digest")
+    return looked_up(references, asked.join(m, "digest", "left"), "digest")
 
 
 def interleave(pages: DataFrame, media: DataFrame) -> DataFrame:
@@ -259,7 +259,7 @@ def interleave(pages: DataFrame, media: DataFrame) -> DataFrame:
     lists = rows.groupBy(F.col(refs).alias("list")).agg(F.count("*").alias("n"), F.first(F.array_distinct(digests)).alias("digests"))
     each = resolve(lists.select("list", F.explode("digests").alias("digest")), media).where("media is not null")
     maps = each.groupBy("list").agg(F.map_from_entries(F.collect_list(F.struct("digest", "media"))).alias(found))
-    met = looked_up(rows, maps.join(lists.select("list", "n"), "list").withColumnRenamed("list", refs), refs)
+    met = looked_up(rows, lists.select("list", "n").join(maps, "list", "left").withColumnRenamed("list", refs), refs)
     whole = F.transform("parts", lambda p: F.struct(*[p[n].alias(n) for n, _ in PART], F.when(p["digest"].isNotNull(), F.col(found)[p["digest"]]).alias("media")))
     return met.withColumn("parts", whole).select(*names)
 

@@ -290,11 +290,11 @@ def links_across(crowded: DataFrame, sets: DataFrame, components: DataFrame, thr
     """
     member = written(crowded.join(components, "node", "left").withColumn("component", F.coalesce("component", "node")))
     held = member.groupBy("bucket", "component").agg(F.count("*").alias("n"))
-    open_ = held.groupBy("bucket").agg(F.sum("n").alias("n"), F.max(F.struct("n", "component")).alias("main")).where("n > main.n")
-    open_ = written(open_.select("bucket", "n", F.col("main.component").alias("main"), F.col("main.n").alias("inner"), (F.col("n") - F.col("main.n")).alias("outer")))
-    if not open_.limit(1).count():
+    sizes = held.groupBy("bucket").agg(F.sum("n").alias("n"), F.max(F.struct("n", "component")).alias("main"))
+    sizes = written(sizes.select("bucket", "n", F.col("main.component").alias("main"), F.col("main.n").alias("inner"), (F.col("n") - F.col("main.n")).alias("outer")))
+    if not sizes.where("outer > 0").limit(1).count():
         return None
-    rows = looked_up(member, open_, "bucket").where("main is not null")
+    rows = looked_up(member, sizes, "bucket").where("outer > 0")
     inside = F.col("component") == F.col("main")
     own, outer_blocks, inner_blocks = F.when(inside, dealt(F.col("inner"), block)).otherwise(dealt(F.col("outer"), block)), F.ceil(F.col("outer") / block).cast("int"), F.ceil(F.col("inner") / block).cast("int")
     rows = rows.withColumn("own", own)

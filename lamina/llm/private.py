@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lamina.llm.common import KeySet, free_name, looked_up, slices, written
+from lamina.llm.common import HOT, KeySet, free_name, looked_up, slices, written
 from lamina.llm.neardup import word_hashes
 
 KINDS = ("email", "ip", "card", "phone", "term", "removed")
@@ -191,13 +191,13 @@ def candidates(docs: DataFrame, text: str, near: int) -> DataFrame:
 
 
 def revealing_terms(docs: DataFrame, text: str = "text", near: int = NEAR, disclosure: float = DISCLOSURE, removal: float = REMOVAL) -> DataFrame:
-    """digest (of the text), terms: places whose words reveal an entity of the document, with kind 4 (generalise) or 5 (remove), and n, the rows that have the text.
+    """digest (of the text), terms: places whose words reveal an entity of the document, with kind 4 (generalise) or 5 (remove), and n, the rows that have the text. Texts that very many rows have are there without terms, too (see looked_up).
 
     The counts are looked up, not joined: common words and values would be the hot keys of a join.
     """
     pairs = written(candidates(docs, text, near))
     texts = written(docs.where(F.col(text).isNotNull()).groupBy(F.xxhash64(text).alias("hash"), digest(text).alias("digest")).agg(F.count("*").alias("n")))
-    total, repeated = texts.agg(F.count("*"), F.count_if(F.col("n") > 1)).first()
+    total, repeated, known = texts.agg(F.count("*"), F.count_if(F.col("n") > 1), F.sum("n")).first()
     pair, entity = F.xxhash64("entity", "term"), F.xxhash64("entity", F.lit(0).cast("long"))
     met = written(pairs.groupBy(pair.alias("pair"), "term").agg(F.count("*").alias("co")).select("pair", "co", "term"))
     co = KeySet.store(met.select("pair", "co"), met.count())
@@ -220,7 +220,9 @@ def revealing_terms(docs: DataFrame, text: str = "text", near: int = NEAR, discl
     places = rows.mapInArrow(rated, "digest string, places array<struct<start: long, end: long>>, share double").select("digest", F.explode("places").alias("p"), "share")
     one = places.groupBy("digest", F.col("p.start").alias("start"), F.col("p.end").alias("end")).agg(F.max("share").alias("share"))
     kind = F.when(F.col("share") >= removal, F.lit(5)).otherwise(F.lit(4)).cast("long")
-    return one.select("digest", F.struct("start", kind.alias("kind"), "end").alias("span")).groupBy("digest").agg(F.sort_array(F.collect_list("span")).alias("terms")).join(texts.select("digest", "n"), "digest")
+    found = one.select("digest", F.struct("start", kind.alias("kind"), "end").alias("span")).groupBy("digest").agg(F.sort_array(F.collect_list("span")).alias("terms"))
+    hot = (known or 0) / HOT
+    return texts.select("digest", "n").join(found, "digest", "left").where(F.col("terms").isNotNull() | (F.col("n") > hot))
 
 
 SPANS = "array<struct<start: long, kind: long, end: long>>"
