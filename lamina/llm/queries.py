@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lamina.llm import kneser_ney, language, licences, media, neardup, neighbours, packing, pieces, private, tokens
+from lamina.llm import conversations, kneser_ney, language, licences, media, neardup, negatives, neighbours, packing, pieces, private, sql, tokenfiles, tokens
 from lamina.llm.common import crc_fold, table, written
 
 
@@ -66,10 +66,23 @@ def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.resolve(references, stored).select("doc_id", "n_bytes", "media.*", "position", "caption", "n_parts")
 
 
+def op11_orc_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenfiles.digests(tokenfiles.written_ids(table(spark, sf_dir, "documents")).rows())
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, F.expr("try_add(cast(label as bigint), 1L)") % 10).otherwise(F.col("label"))
+    return negatives.hard_negatives(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, label=label)
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.repaired_conversations(conversations.damaged(table(spark, sf_dir, "conversations")))
+
+
 def queries() -> dict:
     found = {k: v for k, v in globals().items() if k.startswith("op") and k[2].isdigit()}
     return dict(sorted(found.items(), key=lambda x: int(x[0][2:].split("_")[0])))
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op12_hard_negatives": sql.HARD_NEGATIVES, "op13_conversation_repair": sql.CONVERSATION_REPAIR}

@@ -1,13 +1,14 @@
 import os
 import zlib
 
+import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from lamina.llm import queries
 from lamina.llm.common import KeySet, Recent, crc_fold, local_path, looked_up, mapped, shared_dir, slices, store_arrays
-
 from lamina.llm.neardup import mixed
 
 
@@ -86,3 +87,15 @@ def test_sums_of_blocks(spark):
     hand = np.bincount(np.concatenate([np.random.default_rng(s).integers(0, 500, 300) for s in range(20)]), minlength=500)
     assert held.values(mixed(np.arange(500, dtype=np.uint64)), -1).tolist() == np.where(hand > 0, np.rint(hand / 2), -1).tolist()
     assert not held.contains(mixed(rng.integers(500, 10_000, 100).astype(np.uint64))).any()
+
+
+@pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
+def test_queries_equal_their_sql(spark, name):
+    duck = duckdb.connect()
+    folder = "/root/testdata/sf0.01"
+    for t in ("embeddings", "conversations"):
+        duck.execute(f"CREATE VIEW {t} AS SELECT * FROM '{folder}/{t}.parquet'")
+    theirs = duck.execute(queries.oracle_sql()[name])
+    mine = queries.queries()[name](spark, folder)
+    assert mine.columns == [c[0] for c in theirs.description]
+    assert sorted(map(tuple, mine.collect())) == sorted(theirs.fetchall())
