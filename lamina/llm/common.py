@@ -15,39 +15,19 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lamina.sources.tables import shared_dir, written  # noqa: F401  also used by the operators
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """A new folder below the one the cluster names in spark.checkpoint.dir.
-
-    A local folder is made only where the session names none and runs in one process, as in tests; a cluster that names none is an error.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not root:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        root = tempfile.mkdtemp(prefix="spark-lamina-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/lamina-{uuid.uuid4().hex}"
-
-
 def bound_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Arrow batches of so many rows at most: of long texts, 10,000 (the default) take tens of MB in the executor and again in its worker."""
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
 
 
-def written(df: DataFrame, folder: str | None = None) -> DataFrame:
-    """df as a table in the shared folder: its lineage is cut and no executor's loss takes it away."""
-    spark = df.sparkSession
-    path = folder or shared_dir(spark)
-    df.write.mode("overwrite").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def free_name(names: list[str], wish: str) -> str:
     """The wish, with so many underscores that no column has this name, in any case."""
     taken = {n.lower() for n in names}
@@ -58,25 +38,33 @@ def free_name(names: list[str], wish: str) -> str:
 
 #: A key that more than one in so many rows have is a hot one; there are no more hot keys than this.
 HOT = 1000
+#: Bytes of a value that is broadcast.
+HOT_BYTES = 1 << 16
 
 
-def looked_up(rows: DataFrame, values: DataFrame, key: str, total: int | None = None) -> DataFrame:
+def looked_up(rows: DataFrame, values: DataFrame, key: str, total: int | None = None, size: Column | None = None) -> DataFrame:
     """rows with the columns of values, null where a key has none: a left join that no hot key holds up.
 
     values has one row for each key, with a column n: the number of the key's rows. As these add up to all rows, at most
-    HOT keys have more than a HOT-th of them; the values of these are broadcast, and only rows of other keys meet theirs
-    in a shuffle. So values should have the hot keys that have nothing to look up, too. total: the number of rows.
+    HOT keys have more than a HOT-th of them; the values of these are broadcast, their rows (and those with a null key)
+    stay where they are, and only rows of other keys meet theirs in a shuffle. So values should have the hot keys that
+    have nothing to look up, too. rows is read twice, so it should be cheap to make. total: the number of rows. size:
+    bytes of a value that may be long; a hot key whose value has more than HOT_BYTES goes the other keys' way, where
+    Spark splits skewed partitions.
     """
     total = rows.count() if total is None else total
     names = rows.columns
     new = [c for c in values.columns if c not in (key, "n")]
     hot = F.col("n") > total / HOT
-    at, often, seldom = (free_name([*names, *new], x) for x in ("spread", "often", "seldom"))
+    if size is not None:
+        hot = F.coalesce(hot & (F.coalesce(size, F.lit(0)) <= HOT_BYTES), F.lit(False))
+    often = free_name([*names, *new], "often")
     value = F.struct(*new)
     met = rows.join(F.broadcast(values.where(hot).select(key, value.alias(often))), key, "left")  # HOT rows at most
-    met = met.withColumn(at, F.when(F.col(often).isNotNull() | F.col(key).isNull(), F.xxhash64(*names).cast(rows.schema[key].dataType)).otherwise(F.col(key)))
-    met = met.join(values.where(~hot).select(F.col(key).alias(at), value.alias(seldom)), at, "left")
-    return met.select(*names, *[F.when(F.col(key).isNotNull(), F.coalesce(F.col(often)[c], F.col(seldom)[c])).alias(c) for c in new])
+    apart = F.col(often).isNotNull() | F.col(key).isNull()
+    known = met.where(apart).select(*names, *[F.col(often)[c].alias(c) for c in new])
+    asked = met.where(~apart).select(*names).join(values.where(~hot).select(key, *new), key, "left")
+    return known.unionByName(asked.select(*names, *new))
 
 
 def crc_fold(doc_id: Column, modulus: int = 5) -> Column:

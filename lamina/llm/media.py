@@ -259,7 +259,7 @@ def interleave(pages: DataFrame, media: DataFrame) -> DataFrame:
     lists = rows.groupBy(F.col(refs).alias("list")).agg(F.count("*").alias("n"), F.first(F.array_distinct(digests)).alias("digests"))
     each = resolve(lists.select("list", F.explode("digests").alias("digest")), media).where("media is not null")
     maps = each.groupBy("list").agg(F.map_from_entries(F.collect_list(F.struct("digest", "media"))).alias(found))
-    met = looked_up(rows, lists.select("list", "n").join(maps, "list", "left").withColumnRenamed("list", refs), refs)
+    met = looked_up(rows, lists.select("list", "n").join(maps, "list", "left").withColumnRenamed("list", refs), refs, size=512 * F.coalesce(F.size(found), F.lit(0)))
     whole = F.transform("parts", lambda p: F.struct(*[p[n].alias(n) for n, _ in PART], F.when(p["digest"].isNotNull(), F.col(found)[p["digest"]]).alias("media")))
     return met.withColumn("parts", whole).select(*names)
 

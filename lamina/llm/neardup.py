@@ -10,11 +10,13 @@ the bands of its set (weights of 1), which are all the bands of one without; two
 any band.
 
 Documents of the same words are one node. A bucket of few nodes gives pairs, each verified once. A crowded one is
-dealt to blocks, each of which returns links that connect the same nodes as all links within it would. Components are
-then formed, and only buckets that still hold several of them are looked at again: the nodes outside a bucket's main
-component meet all others, block by block, and return at most one link for each pair of components. So links grow with
-the nodes, no group of copies is expanded to pairs, no link between different texts is lost, and no task gets a whole
-group.
+dealt to blocks, each of which returns links that connect the same nodes as all links within it would; a node goes to
+blocks of a few of its crowded buckets, and each bucket is cut differently, so that blocks of one connect those of
+another. Components are then formed, and only buckets that still hold several of them are looked at again: the nodes
+outside a bucket's main component meet all others, block by block, and return at most one link for each pair of
+components. No link between different texts is lost, and no task gets a whole group. Of texts that are near copies of
+each other, rows and links grow with the nodes. Of texts that share a template, without being near copies, and so a
+crowded bucket, the second look meets all pairs of blocks: that work grows with the square of the bucket.
 
 A document is a row with a non-null id. Rows with a null id have a null class. A null text counts as empty; a text
 without words is a class of its own. Repeated rows are copies. Other columns are not looked at; an empty table gives
@@ -39,6 +41,8 @@ WORDS = 5
 THRESHOLD = 0.8
 BANDS, ROWS = 32, 6
 CROWD, BLOCK = 16, 256
+#: Crowded buckets that a node is compared in at first: those with the least hashes, so that alike nodes choose the same ones.
+FIRST = 4
 U = np.uint64
 MULTIPLIER = U(0x9E3779B97F4A7C15)
 
@@ -279,8 +283,8 @@ def block_links(rows: DataFrame, threshold: float, *group: str) -> DataFrame:
 
 
 def dealt(size: Column, block: int) -> Column:
-    """A block for each node of so many, by the node's hash."""
-    return F.pmod(F.xxhash64("node", F.lit(1)), F.greatest(F.lit(1), F.ceil(size / block))).cast("int")
+    """A block for each node of so many, by the hash of node and bucket: buckets that hold the same nodes are cut differently, so that their blocks connect each other's."""
+    return F.pmod(F.xxhash64("node", "bucket"), F.greatest(F.lit(1), F.ceil(size / block))).cast("int")
 
 
 def links_across(crowded: DataFrame, sets: DataFrame, components: DataFrame, threshold: float, block: int) -> DataFrame | None:
@@ -323,7 +327,9 @@ def similar_components(docs: DataFrame, table: DataFrame, text: str, key: str, t
     sets = written(shingle_sets(docs, text, key, words, KeySet.store(wanted, wanted.count())))
     first = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), "a")
     both = first.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb")), "b")
-    within = crowded.join(sets, "node").withColumn("component", F.col("node")).withColumn("own", dealt(F.col("size"), block))
+    nth = F.row_number().over(Window.partitionBy("node").orderBy("bucket"))  # BANDS rows a node, or twice as many
+    first_ones = crowded.withColumn("nth", nth).where(F.col("nth") <= FIRST).drop("nth")
+    within = first_ones.join(sets, "node").withColumn("component", F.col("node")).withColumn("own", dealt(F.col("size"), block))
     components = connected_components(linked_pairs(both, threshold).unionByName(block_links(within, threshold, "bucket", "own")))
     across = links_across(crowded, sets, components, threshold, block)
     if across is None:

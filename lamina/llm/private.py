@@ -246,7 +246,8 @@ def find_private(docs: DataFrame, text: str = "text", key: str = "doc_id", near:
     names = F.array(*map(F.lit, KINDS))
     spans = F.array_sort(F.concat("base", F.coalesce("terms", F.expr(f"cast(array() as {SPANS})"))))
     shown = F.array_join(F.transform(spans, lambda s: F.concat_ws(":", names[s["kind"].cast("int")], s["start"], s["end"])), ",")
-    return looked_up(base, revealing_terms(docs, text, near, disclosure, removal), "digest", docs.count()).select(F.col("key").alias(key), "n_email", "n_ip", "n_card", "n_phone", "base_sha256", shown.alias("spans"))
+    base = written(base)  # spans only, no texts
+    return looked_up(base, revealing_terms(docs, text, near, disclosure, removal), "digest", docs.count(), 24 * F.size("terms")).select(F.col("key").alias(key), "n_email", "n_ip", "n_card", "n_phone", "base_sha256", shown.alias("spans"))
 
 
 def generalised(term: str) -> str:
@@ -274,7 +275,7 @@ def sanitise(docs: DataFrame, text: str = "text", near: int = NEAR, disclosure:
     own = free_name(names, "digest_of_text")
     shown = free_name([*names, own], "terms_of_text")
     terms = revealing_terms(docs, text, near, disclosure, removal).select(F.col("digest").alias(own), F.col("terms").alias(shown), "n")
-    rows = looked_up(docs.withColumn(own, digest(text)), terms, own, docs.count()).select(*names, shown)
+    rows = looked_up(docs.withColumn(own, digest(text)), terms, own, docs.count(), 24 * F.size(shown)).select(*names, shown)
 
     def changed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -1,5 +1,9 @@
 import os
+import subprocess
+import sys
+import time
 import zlib
+from pathlib import Path
 
 import duckdb
 import numpy as np
@@ -99,3 +103,34 @@ def test_queries_equal_their_sql(spark, name):
     mine = queries.queries()[name](spark, folder)
     assert mine.columns == [c[0] for c in theirs.description]
     assert sorted(map(tuple, mine.collect())) == sorted(theirs.fetchall())
+
+
+def test_looked_up_takes_maps_repeated_rows_and_long_values(spark):
+    rows = spark.range(0, 40_000, 1, 8).selectExpr("if(id % 2 = 0, null, id % 4000) as key", "'same' as text", "map('a', struct(1 as b)) as extra")
+    rows = rows.unionByName(spark.range(20_000).selectExpr("7L as key", "'same' as text", "map('a', struct(1 as b)) as extra"))
+    values = rows.where("key is not null").groupBy("key").agg(F.count("*").alias("n")).withColumn("v", F.repeat(F.lit("x"), (F.col("key") % 9).cast("int")))
+    for size in (None, F.length("v") * 20_000):
+        met = looked_up(rows, values, "key", size=size)
+        assert met.columns == ["key", "text", "extra", "v"]
+        assert met.where("key is not null and length(v) <> key % 9 or key is null and v is not null").count() == 0 and met.count() == 60_000
+        busiest = met.groupBy(F.spark_partition_id()).count().agg(F.max("count") / F.avg("count")).first()[0]
+        assert busiest < 3 if size is None else True
+    assert looked_up(rows.where("false"), values, "key").count() == 0
+
+
+def test_folders_go_when_discarded_and_when_the_application_ends(tmp_path):
+    code = """
+from pyspark.sql import SparkSession
+from lamina.sources.tables import discard, folders, written
+spark = SparkSession.builder.master("local[1]").config("spark.checkpoint.dir", "file://ROOT").config("spark.ui.enabled", "false").getOrCreate()
+one, two = (written(spark.range(3)) for _ in range(2))
+discard(spark, folders(spark)[:1])
+print("left", len(folders(spark)), two.count())
+"""
+    done = subprocess.run([sys.executable, "-c", code.replace("ROOT", str(tmp_path))], capture_output=True, text=True, timeout=120, cwd=Path(__file__).resolve().parents[2])
+    assert "left 1 3" in done.stdout, done.stderr[-2000:]
+    for _ in range(100):
+        if not list(tmp_path.glob("lamina-*")):
+            return
+        time.sleep(0.1)
+    raise AssertionError(list(tmp_path.iterdir()))

@@ -118,6 +118,18 @@ def test_links_of_a_crowd_grow_with_its_nodes(spark, monkeypatch):
         assert sum(taken) <= 8 * nodes
 
 
+def test_rows_of_blocks_grow_with_the_nodes(spark, monkeypatch):
+    rows_in = []
+    whole = neardup.block_links
+    monkeypatch.setattr(neardup, "block_links", lambda rows, *how: rows_in.append(rows.count()) or whole(rows, *how))
+    for n in (1600, 3200):
+        rows_in.clear()
+        rows = crowd(n, 3, words=500)
+        docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+        assert {r["class_id"] for r in neardup.near_duplicates(docs).select("class_id").distinct().collect()} == {0}
+        assert sum(rows_in) <= 40 * n
+
+
 def test_spanning_links_respect_what_is_known():
     rng = np.random.default_rng(2)
     sets = [np.unique(rng.choice(400, 12)).astype("<u4") for _ in range(60)]

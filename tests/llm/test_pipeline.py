@@ -8,6 +8,7 @@ from test_neardup import classes_by_hand, corpus
 from test_private import by_hand
 
 from lamina.llm import private
+from lamina.sources.tables import folders
 
 
 def test_stages(spark, tmp_path):
@@ -45,6 +46,20 @@ def test_stages(spark, tmp_path):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language", "near_duplicates", "sanitise", "pack"]
 
 
+def test_columns_of_any_type_are_kept_and_stages_leave_one_copy(spark, tmp_path):
+    texts = [f"the house and the garden of the old man number {i} with water and some more words in the morning" for i in range(6)]
+    docs = spark.createDataFrame([(i, t, "en", {"a": i}, [(i, {"b": 1.5})]) for i, t in enumerate([*texts, texts[0]])], "doc_id long, text string, lang string, more map<string, int>, deep array<struct<x: int, y: map<string, double>>>")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES[:3]:
+        docs = stage(spark, docs, str(tmp_path))
+        assert docs.columns == ["doc_id", "text", "lang", "more", "deep"]
+        assert all(r["more"]["a"] == r["deep"][0]["x"] == r["doc_id"] for r in docs.collect() if r["doc_id"] < 6)
+    before = folders(spark)
+    found = corpus_pipeline.run(spark, str(tmp_path))
+    assert len(set(folders(spark)) - set(before)) == 1 and found.count()
+
+
 def test_empty(spark, tmp_path):
     docs = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
     docs.write.parquet(f"{tmp_path}/documents.parquet")
