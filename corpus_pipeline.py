@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from lamina.llm import language, neardup, packing, private
 from lamina.llm.common import bound_batches, shared_dir, written
+from lamina.sources.tables import discard, folders
 
 
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,9 +53,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of the last stage. What a stage has read and made goes when its result is written, so that one copy of the documents stays, which the result is read from."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    others = set(folders(spark))
     for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i < len(STAGES) - 1:
-            docs = written(docs, shared_dir(spark))
+            place = shared_dir(spark)
+            docs = written(docs, place)
+            discard(spark, [f for f in folders(spark) if f not in others and f != place])
     return docs
