@@ -39,7 +39,7 @@ STRIPE_BYTES, GROUP_ROWS, FALSE_SHARE = 16 << 20, 1000, 0.01
 KEPT = 300_000
 LETTERS = "a-zA-Z\xc0-\xd6\xd8-\xf6\xf8-ſ"
 #: What the byte-level split makes of a text of ASCII and Latin letters, and any character that needs the library's own.
-PARTS = re.compile(rf"'(?:s|t|re|ve|m|ll|d)| ?[{LETTERS}]+| ?[0-9]+| ?[^\s{LETTERS}0-9]+|\s+(?!\S)|\s+")
+PARTS = re.compile(rf" ?[{LETTERS}]+|'(?:s|t|re|ve|m|ll|d)| ?[0-9]+| ?[^\s{LETTERS}0-9]+|\s+(?!\S)|\s+")
 ODD = re.compile(f"[^\t\n\r -~{LETTERS}]")
 ROW = "doc_id long, part int, at long, n_tokens int, ids array<int>"
 
@@ -53,6 +53,7 @@ class ByteIds:
         self.whole = Tokenizer.from_file(path)
         self.model = self.whole.model
         self.code = "H" if self.whole.get_vocab_size() <= 0x10000 else "I"
+        self.space = byte_symbols()[ord(" ")]
         self.symbol = str.maketrans({chr(b): c for b, c in enumerate(byte_symbols())})
         special = [re.escape(t.content) for t in self.whole.get_added_tokens_decoder().values()]
         self.special = re.compile("|".join(special)) if special else None
@@ -63,7 +64,11 @@ class ByteIds:
         return array(self.code, ids).tobytes()
 
     def made(self, part: str) -> bytes:
-        return self.packed([t.id for t in self.model.tokenize(part.encode().decode("latin-1").translate(self.symbol))])
+        if part.isascii() and part[1:].isalnum() and part[0] == " ":
+            shown = self.space + part[1:]
+        else:
+            shown = part.encode().decode("latin-1").translate(self.symbol)
+        return array(self.code, [t.id for t in self.model.tokenize(shown)]).tobytes()
 
     def encoded(self, text: str) -> bytes:
         return self.packed(self.whole.encode(text, add_special_tokens=False).ids)
