@@ -9,7 +9,7 @@ from lamina.functions import strings
 from lamina.operators import ink, selection
 from lamina.operators import layers as ly
 from lamina.operators import components as cc
-from lamina.plans.images import BOXES, LABELS, LAYERS, SIDE, boxes, component_layers, distances, images, labelled, mask, sql
+from lamina.plans.images import BOXES, COMPS, LABELS, LAYERS, SIDE, boxes, component_layers, distances, images, labelled, mask, sql
 from lamina.plans.races import scored
 from lamina.plans.registry import query
 from lamina.sources import files
@@ -132,7 +132,34 @@ def lyr_4_detail_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ly.details_of(written(ly.detail_spans(far)), far, 2).drop("label")
 
 
-@query()
+def cuts_sql(keys: str, cells: str, boxes: str, gates: dict, side: int = 8) -> str:
+    """CTEs cut (rectangles of components, halved again and again), leaf and rc (its cells, with region). keys: of a component; cells: keys, y, x; boxes: keys, x, y, width, height of what may be cut."""
+    k, g = keys, gates
+    same = " AND ".join(f"cl.{c.strip()} = r.{c.strip()}" for c in keys.split(","))
+    return f"""cut AS (SELECT {k}, x AS x0, y AS y0, x + width AS x1, y + height AS y1, '' AS path FROM ({boxes}) UNION ALL
+SELECT {k}, CASE WHEN half = 1 AND axis = 1 THEN x0 + mid ELSE x0 END, CASE WHEN half = 1 AND axis = 0 THEN y0 + mid ELSE y0 END, CASE WHEN half = 0 AND axis = 1 THEN x0 + mid ELSE x1 END, CASE WHEN half = 0 AND axis = 0 THEN y0 + mid ELSE y1 END, path || half
+FROM (SELECT *, row_number() OVER (PARTITION BY {k}, path ORDER BY share DESC, axis DESC, mid DESC) AS first FROM (
+  SELECT *, (stop - start) / size::DOUBLE AS share, (start + stop) // 2 AS mid, row_number() OVER (PARTITION BY {k}, path, axis ORDER BY stop - start DESC, start) AS longest FROM (
+    SELECT {k}, x0, y0, x1, y1, path, axis, size, min(pos) AS start, max(pos) + 1 AS stop FROM (
+      SELECT *, pos - row_number() OVER (PARTITION BY {k}, path, axis ORDER BY pos) AS island FROM (
+        SELECT *, sum(n) OVER (PARTITION BY {k}, path, axis) AS total FROM (
+          SELECT {', '.join(f'r.{c.strip()}' for c in keys.split(','))}, x0, y0, x1, y1, path, axis, CASE axis WHEN 1 THEN x1 - x0 ELSE y1 - y0 END AS size, CASE axis WHEN 1 THEN y1 - y0 ELSE x1 - x0 END AS across, pos, count(cl.x) AS n
+          FROM (SELECT * FROM cut WHERE len(path) < {g['depth']} AND greatest(x1 - x0, y1 - y0) >= {g['span']}) r CROSS JOIN (VALUES (0), (1)) a(axis) CROSS JOIN range({side}) p(pos)
+          LEFT JOIN ({cells}) cl ON {same} AND cl.x >= x0 AND cl.x < x1 AND cl.y >= y0 AND cl.y < y1 AND CASE axis WHEN 1 THEN cl.x - x0 ELSE cl.y - y0 END = pos
+          WHERE pos < CASE axis WHEN 1 THEN x1 - x0 ELSE y1 - y0 END GROUP BY ALL))
+      WHERE total >= {g['area']} AND size >= {g['span']} AND n / across::DOUBLE <= {g['density']}::DOUBLE)
+    GROUP BY {k}, x0, y0, x1, y1, path, axis, size, island) WHERE stop - start >= {g['gap']})
+  WHERE longest = 1 AND least(mid, size - mid) >= {g['gap']}) CROSS JOIN (VALUES (0), (1)) h(half) WHERE first = 1),
+leaf AS (SELECT * FROM cut c WHERE NOT EXISTS (SELECT 1 FROM cut d WHERE {' AND '.join(f'c.{x.strip()} = d.{x.strip()}' for x in keys.split(','))} AND d.path = c.path || '0')),
+rc AS (SELECT {', '.join(f'r.{c.strip()}' for c in keys.split(','))}, y, x, path, dense_rank() OVER (PARTITION BY {', '.join(f'r.{c.strip()}' for c in keys.split(','))} ORDER BY path) AS region FROM leaf r JOIN ({cells}) cl ON {same} AND cl.x >= x0 AND cl.x < x1 AND cl.y >= y0 AND cl.y < y1)"""
+
+
+CELLS = "SELECT image_id, component_id, y, unnest(range(x_start, x_end + 1)) AS x FROM lab"
+CUTS = COMPS + ", " + cuts_sql("image_id, component_id", CELLS, "SELECT * FROM co WHERE greatest(width, height) >= 3 AND area >= 4", {"area": 4, "density": 0.3, "gap": 1, "depth": 9, "span": 3})
+
+
+@query(sql(CUTS, """SELECT image_id, component_id, region, y, min(x) AS x_start, max(x) AS x_end FROM (SELECT *, x - row_number() OVER (PARTITION BY image_id, component_id, region, y ORDER BY x) AS island FROM rc) GROUP BY image_id, component_id, region, y, island
+UNION ALL SELECT image_id, component_id, 1, y, x_start, x_end FROM lab WHERE NOT EXISTS (SELECT 1 FROM leaf l WHERE l.image_id = lab.image_id AND l.component_id = lab.component_id)"""))
 def gra_3_partition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ly.partition(labelled(spark, sf_dir), area=4, density=0.3, gap=1, depth=9, span=3)
 
