@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lamina.operators.groups import in_whole_groups, least_connected, touching_runs
@@ -38,14 +38,15 @@ def labelled(spans: DataFrame) -> DataFrame:
     return in_whole_groups(spans, ["image_id"], ["y", "x_start"], label, f"{kinds}, component_id int")
 
 
-def components(runs_: DataFrame) -> DataFrame:
-    """image_id, component_id, area, x, y, width, height, first_y, first_x."""
+def components(runs_: DataFrame, *keys: str) -> DataFrame:
+    """keys, area, x, y, width, height, first_y, first_x. keys: of a component; default image_id, component_id."""
+    keys = keys or ("image_id", "component_id")
     first = F.min(F.struct("y", "x_start"))
-    c = runs_.groupBy("image_id", "component_id").agg(F.sum(F.col("x_end") - F.col("x_start") + 1).alias("area"), F.min("x_start").alias("x"), F.min("y").alias("y"), F.max("x_end").alias("right"), F.max("y").alias("bottom"), first.alias("first"))
-    return c.select("image_id", "component_id", "area", "x", "y", (F.col("right") - F.col("x") + 1).alias("width"), (F.col("bottom") - F.col("y") + 1).alias("height"), F.col("first.y").alias("first_y"), F.col("first.x_start").alias("first_x"))
+    c = runs_.groupBy(*keys).agg(F.sum(F.col("x_end") - F.col("x_start") + 1).alias("area"), F.min("x_start").alias("x"), F.min("y").alias("y"), F.max("x_end").alias("right"), F.max("y").alias("bottom"), first.alias("first"))
+    return c.select(*keys, "area", "x", "y", (F.col("right") - F.col("x") + 1).alias("width"), (F.col("bottom") - F.col("y") + 1).alias("height"), F.col("first.y").alias("first_y"), F.col("first.x_start").alias("first_x"))
 
 
-def largest(c: DataFrame, min_area: int, min_side: int, max_layers: int) -> DataFrame:
+def largest(c: DataFrame, min_area: int | Column, min_side: int | Column, max_layers: int | Column) -> DataFrame:
     """Components that are large enough, the max_layers largest of an image, with their rank."""
     kept = c.where((F.col("area") >= min_area) & (F.col("width") >= min_side) & (F.col("height") >= min_side))
     order = Window.partitionBy("image_id").orderBy(F.desc(F.col("width") * F.col("height")), F.desc("area"), "first_y", "first_x")

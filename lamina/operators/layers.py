@@ -36,22 +36,29 @@ def detail_pixels(runs: DataFrame, filled: DataFrame, pixels: DataFrame, distanc
 
 
 def detail_spans(far: DataFrame) -> DataFrame:
-    """Runs of detail_pixels() with label, their component within the detail. Components never touch, so their details can be labelled by image."""
-    return cc.labelled(cc.runs(far)).withColumnRenamed("component_id", "label")
+    """Runs of detail_pixels() with label, the smallest run_id of what they touch within their component, whose neighbours may touch it."""
+    keys = ["image_id", "component_id"]
+
+    def label(rows: pa.Table) -> pa.Table:
+        key = np.stack([rows.column(c).to_numpy() for c in keys], axis=1)
+        group = np.cumsum(np.concatenate([[0], (key[1:] != key[:-1]).any(axis=1)]))
+        y, s, e, run = (rows.column(c).to_numpy() for c in ("y", "x_start", "x_end", "run_id"))
+        return rows.append_column("label", pa.array(run[least_connected(len(y), *touching_runs(group, y, s, e))].astype(np.int32)))
+
+    spans = cc.runs(far, *keys)
+    return in_whole_groups(spans, keys, ["y", "x_start"], label, ", ".join(f"{c} {t}" for c, t in spans.dtypes) + ", label int")
 
 
-def details_of(spans: DataFrame, far: DataFrame, min_detail: int) -> DataFrame:
+def details_of(spans: DataFrame, min_detail: int) -> DataFrame:
     """image_id, component_id, detail (from 1), label, area, x, y, width, height of details that are large enough."""
-    found = cc.components(spans.withColumnRenamed("label", "component_id")).withColumnRenamed("component_id", "label").where(F.col("area") >= min_detail)
-    owner = far.select("image_id", F.col("y").alias("first_y"), F.col("x").alias("first_x"), "component_id")
+    found = cc.components(spans, "image_id", "component_id", "label").where(F.col("area") >= min_detail)
     order = Window.partitionBy("image_id", "component_id").orderBy(F.desc(F.col("width") * F.col("height")), F.desc("area"), "first_y", "first_x")
-    return found.join(owner, ["image_id", "first_y", "first_x"]).withColumn("detail", F.row_number().over(order)).select("image_id", "component_id", "detail", "label", "area", "x", "y", "width", "height")
+    return found.withColumn("detail", F.row_number().over(order)).select("image_id", "component_id", "detail", "label", "area", "x", "y", "width", "height")
 
 
 def detail_components(runs: DataFrame, filled: DataFrame, pixels: DataFrame, distance: float, min_detail: int) -> DataFrame:
     """image_id, component_id, detail (from 1), area, x, y, width, height: marks inside filled components."""
-    far = detail_pixels(runs, filled, pixels, distance, min_detail)
-    return details_of(detail_spans(far), far, min_detail).drop("label")
+    return details_of(detail_spans(detail_pixels(runs, filled, pixels, distance, min_detail)), min_detail).drop("label")
 
 
 def sparse_gap(density: np.ndarray, threshold: float, least: int) -> tuple[int, int] | None:

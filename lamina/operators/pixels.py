@@ -33,9 +33,10 @@ def text_mask(pixels: DataFrame, boxes: DataFrame) -> DataFrame:
     return pixels.join(b, inside, "left_semi").select(*PIXEL)
 
 
-def alpha(d2: Column, low: float, high: float) -> Column:
+def alpha(d2: Column, low: float | Column, high: float | Column) -> Column:
     """Opacity of a distance: a ramp from low to high, clipped and truncated."""
-    return F.floor(F.least(F.lit(255.0), F.greatest(F.lit(0.0), (F.sqrt(d2) - low) / max(1, high - low) * 255))).cast("int")
+    span = F.greatest(F.lit(1), high - low) if isinstance(high, Column) else max(1, high - low)
+    return F.floor(F.least(F.lit(255.0), F.greatest(F.lit(0.0), (F.sqrt(d2) - low) / span * 255))).cast("int")
 
 
 def packed(r: Column, g: Column, b: Column) -> Column:
@@ -68,13 +69,14 @@ def padded(box: dict[str, Column], pad: int, width: Column, height: Column) -> d
     return {"x": left, "y": top, "width": right - left, "height": bottom - top}
 
 
-def dilated(mask: DataFrame, radius: int, width: int, height: int) -> DataFrame:
-    """The mask grown by a square of the radius, within the image: along its rows, then its columns."""
-    if radius <= 0:
+def dilated(mask: DataFrame, radius: int | Column, width: int, height: int) -> DataFrame:
+    """The mask grown by a square of the radius, within the image: along its rows, then its columns. The radius may be a column of the mask that is the same for all pixels of an image."""
+    if not isinstance(radius, Column) and radius <= 0:
         return mask.select(*PIXEL)
-    around = F.sequence(F.lit(-radius), F.lit(radius))
-    wide = mask.select("image_id", "y", F.explode(F.transform(around, lambda d: F.col("x") + d)).alias("x")).where(F.col("x").between(0, width - 1)).distinct()
-    return wide.select("image_id", F.explode(F.transform(around, lambda d: F.col("y") + d)).alias("y"), "x").where(F.col("y").between(0, height - 1)).distinct()
+    own = mask.select(*PIXEL, (radius if isinstance(radius, Column) else F.lit(radius)).cast("int").alias("radius"))
+    around = lambda c: F.explode(F.sequence(F.col(c) - F.col("radius"), F.col(c) + F.col("radius"))).alias(c)
+    wide = own.select("image_id", "y", "radius", around("x")).where(F.col("x").between(0, width - 1)).distinct()
+    return wide.select("image_id", around("y"), "x").where(F.col("y").between(0, height - 1)).distinct()
 
 
 def closed(mask: DataFrame, width: int, height: int) -> DataFrame:

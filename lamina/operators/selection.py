@@ -7,8 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: The candidates of a race.
-SPECS = [("balanced", "balanced", False), ("granular", "granular", False), ("heavy", "heavy", False), ("grouped", "grouped", False), ("heavy_compact", "heavy", True)]
+#: The candidates of a race (name, preset, compact), in order.
+SPECS = [("heavy", "heavy", False), ("heavy_lite", "heavy", True), ("granular", "granular", False), ("balanced", "auto", False), ("light", "grouped", False)]
 
 
 def local_score(mae: Column, f1: Column, layers: Column, largest: Column, details: Column) -> Column:

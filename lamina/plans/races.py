@@ -49,7 +49,7 @@ def jon_4_candidate_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return selection.grid(table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("image_id")), ["balanced", "heavy"], [18.0, 35.0])
 
 
-@query("SELECT vec_id AS image_id, ord, name, mode, compact FROM embeddings, (VALUES (0, 'balanced', 'balanced', false), (1, 'granular', 'granular', false), (2, 'heavy', 'heavy', false), (3, 'grouped', 'grouped', false), (4, 'heavy_compact', 'heavy', true)) s(ord, name, mode, compact)")
+@query("SELECT vec_id AS image_id, ord, name, mode, compact FROM embeddings, (VALUES (0, 'heavy', 'heavy', false), (1, 'heavy_lite', 'heavy', true), (2, 'granular', 'granular', false), (3, 'balanced', 'auto', false), (4, 'light', 'grouped', false)) s(ord, name, mode, compact)")
 def jon_5_candidate_race(spark: SparkSession, sf_dir: str) -> DataFrame:
     return selection.race(table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("image_id")), spark)
 

@@ -136,7 +136,7 @@ def set_2_ordered_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
     return first.groupBy("k").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("o", "q", "v"))), lambda s: s["v"]), ",").alias("found"))
 
 
-@query(f"WITH {SCORED} SELECT bl.image_id, ord, name, round(local_score, 6) AS local_score FROM bl JOIN (VALUES (0, 'balanced'), (1, 'granular'), (2, 'heavy'), (3, 'grouped'), (4, 'heavy_compact')) s(place, name) ON place = ord % 5")
+@query(f"WITH {SCORED} SELECT bl.image_id, ord, name, round(local_score, 6) AS local_score FROM bl JOIN (VALUES (0, 'heavy'), (1, 'heavy_lite'), (2, 'granular'), (3, 'balanced'), (4, 'light')) s(place, name) ON place = ord % 5")
 def evl_4_race(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = scored(spark, sf_dir)
     names = F.array(*[F.lit(n) for n, *_ in selection.SPECS])
