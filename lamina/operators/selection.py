@@ -55,6 +55,26 @@ def winners(tally: DataFrame, fallback: DataFrame) -> DataFrame:
     return f.join(voted, "image_id", "left").select("image_id", F.coalesce("w.ord", "own").alias("ord"), F.coalesce("w.votes", F.lit(0)).alias("votes"))
 
 
+#: So many failure modes and changes of an ensemble are kept.
+FAILURES, CHANGES = 8, 4
+
+
+def ensemble(votes: DataFrame, candidates: DataFrame, local: DataFrame) -> DataFrame:
+    """image_id, ord, votes, quality, judges, model_used, failure_modes and next_change (null without any): what the judges that answered say together.
+
+    votes: image_id, model_ord, winner_index, quality_score, failure_mode, next_change, ok. Most votes win, ties go to the
+    local choice (image_id, ord), then to the candidate voted for first; without a vote for a candidate the local choice
+    stands. Qualities that are missing don't count. Images that no judge has answered for have no row.
+    """
+    heard = votes.where("ok").join(local.select("image_id"), "image_id", "left_semi")
+    models = F.concat(F.lit("ensemble:"), F.array_join(F.sort_array(F.collect_list("model_ord")).cast("array<string>"), ","))
+    said = heard.groupBy("image_id").agg(F.coalesce(F.avg(rescaled(F.col("quality_score"))), F.lit(0.0)).alias("quality"), F.count("*").alias("judges"), models.alias("model_used"))
+    failures = ordered_distinct(heard, "image_id", "failure_mode", "model_ord", FAILURES).select("image_id", F.col("values").alias("failure_modes"))
+    changes = ordered_distinct(heard.withColumn("next_change", F.trim("next_change")), "image_id", "next_change", "model_ord", CHANGES).select("image_id", F.array_join("values", " | ").alias("next_change"))
+    won = winners(tallies(votes, candidates), local)
+    return said.join(won, "image_id").join(failures, "image_id", "left").join(changes, "image_id", "left").select("image_id", "ord", "votes", "quality", "judges", "model_used", "failure_modes", "next_change")
+
+
 def rescaled(quality: Column) -> Column:
     """A judge's quality: percentages become fractions, then all are cut to 0..1."""
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.when(quality > 1, quality / 100).otherwise(quality)))
@@ -78,6 +98,20 @@ def pivoted(candidates: DataFrame, key: Column, keys: list[str], metrics: list[s
     return c.groupBy("image_id").agg(*[F.first(F.when(F.col("key") == k, F.col(m)), True).alias(f"{m}_{k}") for k in keys for m in metrics])
 
 
+def report(candidates: DataFrame, votes: DataFrame, key: Column, keys: list[str], metrics: list[str]) -> DataFrame:
+    """One row for each image: the chosen candidate's columns, selected_mode, selected_threshold, judge_model, judge_error, and a column for each metric and key of all candidates.
+
+    The judge that answers first chooses, if it names a candidate, or else the least error does. judge_error: the first
+    judge that failed, where none answered. key: of a candidate, one of keys.
+    """
+    heard = votes.groupBy("image_id").agg(F.min_by(F.when(F.col("ok"), F.col("winner_index")), F.when(F.col("ok"), F.col("model_ord"))).alias("winner"), F.min(F.when(F.col("ok"), F.col("model_ord"))).alias("judge_model"), F.min(F.when(~F.col("ok"), F.col("model_ord"))).alias("failed"))
+    named = candidates.select("image_id", F.col("ord").alias("winner"), F.lit(True).alias("named"))
+    chosen = least_error(candidates).join(heard, "image_id", "left").join(named, ["image_id", "winner"], "left")
+    chosen = chosen.select("image_id", F.when(F.col("named"), F.col("winner")).otherwise(F.col("ord")).alias("ord"), "judge_model", F.when(F.col("judge_model").isNull(), F.col("failed")).alias("judge_error"))
+    rows = candidates.join(chosen, ["image_id", "ord"]).withColumns({"selected_mode": F.col("candidate_mode"), "selected_threshold": F.col("candidate_threshold")})
+    return rows.join(pivoted(candidates, key, keys, metrics), "image_id")
+
+
 def zipped(left: DataFrame, right: DataFrame, key: str, order: str) -> DataFrame:
     """Rows of both sides with the same place within the key; the longer side is cut."""
     numbered = lambda t: t.withColumn("place", F.row_number().over(Window.partitionBy(key).orderBy(order)))
@@ -123,8 +157,24 @@ def layer_features(layers: DataFrame, images: DataFrame, width: int, height: int
     return images.join(found, "image_id", "left").select("image_id", F.coalesce("largest_layer_ratio", F.lit(1.0)).alias("largest_layer_ratio"), *[F.coalesce(c, F.lit(0)).alias(c) for c in ("internal_detail_layers", "internal_detail_base_layers")])
 
 
-def candidate_prompt(candidates: DataFrame) -> DataFrame:
-    """image_id, prompt: what a judge is asked about an image's candidates, each as compact JSON in order."""
-    known = F.to_json(F.struct("ord", "mae", "edge_f1", "raster_layers", "internal_detail_layers"))
+#: What a judge is told of a candidate, and the shape of its answer.
+TOLD = ["candidate_mode", "candidate_threshold", "mae", "rmse", "psnr", "edge_f1", "raster_layers", "shapes", "text_shapes", "raw_components", "foreground_pixels", "largest_layer_ratio", "internal_detail_layers", "internal_detail_base_layers", "local_score", "render_error"]
+ANSWER = '{"winner_index": number, "winner_reason": string, "quality_score": number, "failure_modes": [string], "next_pipeline_change": string}'
+
+
+def candidate_prompt(candidates: DataFrame, task: str = "Choose the best candidate.") -> DataFrame:
+    """image_id, prompt: what a judge is asked: the task, the image's name, its candidates in order as JSON (what is known of TOLD, and their index), and the shape of the answer. candidates: image_id, ord, name (of the image) and some of TOLD."""
+    known = F.to_json(F.struct(*[c for c in TOLD if c in candidates.columns], F.col("ord").alias("index")))
     each = F.transform(F.sort_array(F.collect_list(F.struct("ord", known.alias("json")))), lambda s: s["json"])
-    return candidates.groupBy("image_id").agg(F.concat(F.lit("Candidates: "), F.count("*").cast("string"), F.lit("\n["), F.array_join(each, ","), F.lit("]")).alias("prompt"))
+    text = F.concat(F.lit(f"{task}\n\nImage: "), F.coalesce(F.first("name", True), F.lit("")), F.lit("\nCandidates: ["), F.array_join(each, ", "), F.lit(f"]\n\nReturn exactly this JSON shape:\n{ANSWER}"))
+    return candidates.groupBy("image_id").agg(text.alias("prompt"))
+
+
+#: Fixed value: the shape of the answer on one image's metadata.
+DIAGNOSIS = '{"quality_risk": string, "recommended_preset": string, "next_pipeline_change": string, "confidence": number}'
+
+
+def metadata_prompt(metadata: DataFrame, task: str = "Diagnose the layers.") -> DataFrame:
+    """image_id, prompt: what is asked about an image's metadata (all other columns, as JSON)."""
+    known = F.to_json(F.struct(*[c for c in metadata.columns if c != "image_id"]))
+    return metadata.select("image_id", F.concat(F.lit(f"{task}\n\nMetadata: "), known, F.lit(f"\n\nReturn exactly this JSON shape: {DIAGNOSIS}")).alias("prompt"))

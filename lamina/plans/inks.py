@@ -10,7 +10,7 @@ from lamina.operators import ink, selection
 from lamina.operators import layers as ly
 from lamina.operators import components as cc
 from lamina.plans.images import BOXES, COMPS, LABELS, LAYERS, SIDE, boxes, component_layers, distances, images, labelled, mask, sql
-from lamina.plans.races import scored
+from lamina.plans.races import TALLY, scored
 from lamina.plans.registry import query
 from lamina.sources import files
 from lamina.sources.derived import CANDIDATES, LINES, PIXELS, VOTES, candidates, table, text_lines, votes
@@ -227,18 +227,20 @@ def agg_15_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return candidates(spark, sf_dir).agg(F.count("*").alias("files"), F.sum("raster_layers").alias("shapes"), F.sum("internal_detail_layers").alias("details"))
 
 
-ENSEMBLE = f"""{VOTES}, {CANDIDATES}, ta AS (SELECT image_id, winner_index AS ord, count(*) AS votes, min(model_ord) AS first_vote FROM v WHERE ok GROUP BY ALL),
-tw AS (SELECT ta.image_id, ta.ord, votes, row_number() OVER (PARTITION BY ta.image_id ORDER BY votes DESC, first_vote) AS n FROM ta SEMI JOIN c USING (image_id, ord)),
-qu AS (SELECT image_id, round(avg(greatest(0.0::DOUBLE, least(1.0::DOUBLE, CASE WHEN quality_score > 1 THEN quality_score / 100 ELSE quality_score END))), 6) AS quality, count(*) AS judges FROM v WHERE ok GROUP BY image_id)"""
+def first_values(column: str, limit: int, separator: str) -> str:
+    """Of judges that answered: distinct values in order of their first occurrence, joined."""
+    return f"SELECT image_id, string_agg(x, '{separator}' ORDER BY n) AS found FROM (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY o, x) AS n FROM (SELECT image_id, trim({column}) AS x, min(model_ord) AS o FROM v WHERE ok AND trim({column}) <> '' GROUP BY ALL)) WHERE n <= {limit} GROUP BY image_id"
 
 
-@query(f"WITH {ENSEMBLE} SELECT image_id, ord, votes, quality, judges FROM tw JOIN qu USING (image_id) WHERE n = 1")
+ENSEMBLE = f"""{TALLY}, w AS (SELECT tv.image_id, tv.ord, votes, row_number() OVER (PARTITION BY tv.image_id ORDER BY votes DESC, tv.ord = bl.ord DESC, first_vote) AS n FROM tv JOIN bl ON bl.image_id = tv.image_id),
+qu AS (SELECT image_id, round(coalesce(avg(greatest(0.0::DOUBLE, least(1.0::DOUBLE, CASE WHEN quality_score > 1 THEN quality_score / 100 ELSE quality_score END))), 0), 6) AS quality, count(*) AS judges, 'ensemble:' || string_agg(model_ord, ',' ORDER BY model_ord) AS model_used FROM v WHERE ok GROUP BY image_id),
+fm AS ({first_values('failure_mode', 8, ';')}), nc AS ({first_values('next_change', 4, ' | ')})"""
+
+
+@query(f"WITH {ENSEMBLE} SELECT bl.image_id, coalesce(w.ord, bl.ord) AS ord, coalesce(votes, 0) AS votes, quality, judges, model_used, fm.found AS failure_modes, nc.found AS next_change FROM bl JOIN qu ON qu.image_id = bl.image_id LEFT JOIN w ON w.image_id = bl.image_id AND n = 1 LEFT JOIN fm ON fm.image_id = bl.image_id LEFT JOIN nc ON nc.image_id = bl.image_id")
 def evl_5_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v = votes(spark, sf_dir)
-    tally = selection.tallies(v, candidates(spark, sf_dir))
-    first = tally.groupBy("image_id").agg(F.max_by(F.struct("ord", "votes"), F.struct("votes", -F.col("first_vote"))).alias("w"))
-    quality = v.where("ok").groupBy("image_id").agg(F.round(F.avg(selection.rescaled(F.col("quality_score"))), 6).alias("quality"), F.count("*").alias("judges"))
-    return first.join(quality, "image_id").select("image_id", "w.ord", "w.votes", "quality", "judges")
+    found = selection.ensemble(votes(spark, sf_dir), candidates(spark, sf_dir), selection.best_local(scored(spark, sf_dir)))
+    return found.withColumns({"quality": F.round("quality", 6), "failure_modes": F.array_join("failure_modes", ";")})
 
 
 @query(f"WITH {VOTES} SELECT image_id, arg_min(winner_index, struct_pack(a := model_ord % 2, b := model_ord)) AS winner, arg_min(model_ord, struct_pack(a := model_ord % 2, b := model_ord)) AS model FROM v WHERE ok GROUP BY image_id")

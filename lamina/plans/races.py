@@ -114,11 +114,19 @@ def evl_9_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
     return selection.pivoted(candidates(spark, sf_dir), F.col("ord").cast("string"), ["1", "2", "3"], ["mae", "edge_f1"])
 
 
-@query(f"WITH {CANDIDATES}, b AS (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY mae IS NULL, mae, edge_f1 DESC, ord) AS k FROM c) SELECT image_id, ord, mae, edge_f1, raster_layers, count(*) OVER (PARTITION BY image_id) AS tried FROM b QUALIFY k = 1")
+PLACES = [(k, f"heavy_t{k}") for k in range(1, 8)]
+
+
+@query(f"""WITH {TALLY}, j AS (SELECT image_id, arg_min(winner_index, model_ord) AS winner, min(model_ord) AS model FROM v WHERE ok GROUP BY image_id), e AS (SELECT image_id, min(model_ord) AS failed FROM v WHERE NOT ok GROUP BY image_id),
+b AS (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY mae IS NULL, mae, edge_f1 DESC, ord) AS k FROM c),
+s AS (SELECT b.image_id, coalesce(c.ord, b.ord) AS ord, j.model AS judge_model, CASE WHEN j.model IS NULL THEN e.failed END AS judge_error FROM b LEFT JOIN j USING (image_id) LEFT JOIN e USING (image_id) LEFT JOIN c ON c.image_id = b.image_id AND c.ord = j.winner WHERE k = 1)
+SELECT s.image_id, s.ord, 'heavy' AS selected_mode, s.ord AS selected_threshold, 'judge ' || judge_model AS judge_model, 'judge ' || judge_error AS judge_error, any_value(c.raster_layers) FILTER (c.ord = s.ord) AS raster_layers, """ + ", ".join(f"max(c.{m}) FILTER (c.ord = {k}) AS {m}_{key}" for k, key in PLACES for m in ("mae", "edge_f1")) + " FROM s JOIN c ON c.image_id = s.image_id GROUP BY ALL")
 def evl_10_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = candidates(spark, sf_dir)
-    tried = c.groupBy("image_id").agg(F.count("*").alias("tried"))
-    return selection.least_error(c).join(c, ["image_id", "ord"]).join(tried, "image_id").select("image_id", "ord", "mae", "edge_f1", "raster_layers", "tried")
+    """A row for each image: the candidate that its judge chose, or else the one of least error, and the metrics of all by mode and threshold."""
+    c = candidates(spark, sf_dir).withColumns({"candidate_mode": F.lit("heavy"), "candidate_threshold": F.col("ord")})
+    kept = selection.report(c, votes(spark, sf_dir), F.concat_ws("_t", "candidate_mode", "candidate_threshold"), [key for _, key in PLACES], ["mae", "edge_f1"])
+    judge = lambda c: F.concat(F.lit("judge "), F.col(c).cast("string")).alias(c)
+    return kept.select("image_id", "ord", "selected_mode", "selected_threshold", judge("judge_model"), judge("judge_error"), "raster_layers", *[f"{m}_{key}" for _, key in PLACES for m in ("mae", "edge_f1")])
 
 
 @query("WITH a AS (SELECT o_custkey AS k, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS place FROM orders WHERE o_orderkey % 2 = 0), b AS (SELECT o_custkey AS k, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS place FROM orders WHERE o_orderkey % 2 = 1) SELECT k, place, a.o_orderkey, b.o_orderkey AS o_orderkey_right FROM a JOIN b USING (k, place)")

@@ -122,11 +122,18 @@ def str_14_merged_maps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.select("event_id", F.array_join(F.array_sort(F.map_keys("m")), ",").alias("keys"), F.col("m")["type"].alias("kind"), F.col("m")["user"].alias("who"))
 
 
-@query(f"""WITH {CANDIDATES} SELECT image_id, 'Candidates: ' || count(*) || chr(10) || '[' || string_agg('{{"ord":' || ord || CASE WHEN mae IS NULL THEN '' ELSE ',"mae":' || mae::DOUBLE || ',"edge_f1":' || edge_f1::DOUBLE END || ',"raster_layers":' || raster_layers || ',"internal_detail_layers":' || internal_detail_layers || '}}', ',' ORDER BY ord) || ']' AS prompt FROM c GROUP BY image_id""")
+@query(f"""WITH {CANDIDATES} SELECT image_id, 'Choose the best candidate.' || chr(10) || chr(10) || 'Image: image ' || image_id || chr(10) || 'Candidates: [' || string_agg('{{' || CASE WHEN mae IS NULL THEN '' ELSE '"mae":' || mae::DOUBLE || ',"edge_f1":' || edge_f1::DOUBLE || ',' END || '"raster_layers":' || raster_layers || ',"largest_layer_ratio":' || largest_layer_ratio::DOUBLE || ',"internal_detail_layers":' || internal_detail_layers || ',"index":' || ord || '}}', ', ' ORDER BY ord) || ']' || chr(10) || chr(10) || 'Return exactly this JSON shape:' || chr(10) || '{selection.ANSWER}' AS prompt FROM c GROUP BY image_id""")
 def str_15_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lamina.sources.derived import candidates
 
-    return selection.candidate_prompt(candidates(spark, sf_dir))
+    return selection.candidate_prompt(candidates(spark, sf_dir).withColumn("name", F.concat(F.lit("image "), F.col("image_id").cast("string"))))
+
+
+@query(f"""SELECT p_partkey AS image_id, 'Diagnose the layers.' || chr(10) || chr(10) || 'Metadata: {{"background_color":"' || p_brand || '","raster_layers":' || p_size || CASE WHEN p_partkey % 3 = 0 THEN '' ELSE ',"ocr_lines":' || p_partkey % 7 END || '}}' || chr(10) || chr(10) || 'Return exactly this JSON shape: {selection.DIAGNOSIS}' AS prompt FROM part""")
+def str_15_metadata_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("p_partkey")
+    facts = table(spark, sf_dir, "part").select(k.alias("image_id"), F.col("p_brand").alias("background_color"), F.col("p_size").alias("raster_layers"), F.when(k % 3 != 0, k % 7).alias("ocr_lines"))
+    return selection.metadata_prompt(facts)
 
 
 @query("WITH t AS (SELECT l_orderkey AS k, l_quantity AS v, min(l_linenumber * 100000000 + l_partkey) AS o FROM lineitem GROUP BY ALL), n AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY o, v) AS n FROM t) SELECT k, string_agg(CAST(CAST(v AS BIGINT) AS VARCHAR), ',' ORDER BY n) AS found FROM n GROUP BY k")
