@@ -42,28 +42,53 @@ def top_colours(pixels: DataFrame, limit: int) -> DataFrame:
     return counts.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit)
 
 
-def scored_candidates(pixels: DataFrame, width: int, height: int) -> DataFrame:
-    """image_id, r, g, b, ord, coverage, border_coverage, luma: every distinct candidate for an image's background."""
-    border = border_pixels(pixels, width, height)
-    corner = medians(corner_pixels(pixels, width, height), "image_id").select("image_id", *RGB, F.lit(0).alias("ord"))
-    named = lambda top, first: top.select("image_id", *[c.alias(n) for n, c in zip(RGB, unpacked(F.col("colour")), strict=True)], (F.col("rank") + first).alias("ord"))
-    all_ = corner.unionAll(named(top_colours(pixels, 12), 0)).unionAll(named(top_colours(border, 8), 12))
-    distinct = all_.groupBy("image_id", *RGB).agg(F.min("ord").alias("ord"))
+def colour_counts(pixels: DataFrame, width: int, height: int) -> DataFrame:
+    """image_id, r, g, b, n, border, corner: how many pixels have a colour, and how often the edge bands and the corner patches hold it."""
+    at = lambda c, size, n: (F.col(c) < size).cast("int") + (F.col(c) >= n - size).cast("int")
+    band, side = max(2, min(width, height) // 18), max(8, min(width, height) // 24)
+    border, corner = at("y", band, height) + at("x", band, width), at("y", side, height) * at("x", side, width)
+    return pixels.groupBy("image_id", *RGB).agg(F.count("*").alias("n"), F.sum(border).alias("border"), F.sum(corner).alias("corner"))
+
+
+def weighted_medians(colours: DataFrame, weight: str) -> DataFrame:
+    """image_id and the median of each channel, rounded half to even, of colours that stand for so many pixels."""
+    return colours.where(F.col(weight) > 0).groupBy("image_id").agg(*[F.bround(F.percentile(c, 0.5, F.col(weight))).cast("int").alias(c) for c in RGB])
+
+
+def candidates_of(counts: DataFrame) -> DataFrame:
+    """image_id, r, g, b, ord, coverage, border_coverage, luma: every distinct candidate for an image's background. Colours meet the candidates, not pixels."""
+
+    def top(weight: str, limit: int, first: int) -> DataFrame:
+        cells = counts.where(F.col(weight) > 0).groupBy("image_id", quantised(*map(F.col, RGB)).alias("colour")).agg(F.sum(weight).alias("n"))
+        rank = F.row_number().over(Window.partitionBy("image_id").orderBy(F.desc("n"), F.desc("colour")))
+        found = cells.withColumn("rank", rank).where(F.col("rank") <= limit)
+        return found.select("image_id", *[c.alias(n) for n, c in zip(RGB, unpacked(F.col("colour")), strict=True)], (F.col("rank") + first).alias("ord"))
+
+    corner = weighted_medians(counts, "corner").select("image_id", *RGB, F.lit(0).alias("ord"))
+    distinct = corner.unionAll(top("n", 12, 0)).unionAll(top("border", 8, 12)).groupBy("image_id", *RGB).agg(F.min("ord").alias("ord"))
     own = distinct.select("image_id", *[F.col(c).alias(f"c_{c}") for c in RGB], "ord")
     close = squared_distance(F.col("c_r"), F.col("c_g"), F.col("c_b")) <= 900
-    # Colours are counted before they meet the candidates, so an image's colours are joined, not its pixels.
-    counted = lambda px: px.groupBy("image_id", *RGB).agg(F.count("*").alias("n"))
-    share = lambda px, name: counted(px).join(own, "image_id").groupBy("image_id", "ord").agg((F.sum(F.when(close, F.col("n")).otherwise(0)) / F.sum("n")).alias(name))
-    return distinct.join(share(pixels, "coverage"), ["image_id", "ord"]).join(share(border, "border_coverage"), ["image_id", "ord"]).withColumn("luma", luma(*map(F.col, RGB)))
+    share = lambda weight: (F.sum(F.when(close, F.col(weight)).otherwise(0)) / F.sum(weight)).alias("coverage" if weight == "n" else "border_coverage")
+    met = counts.join(own, "image_id").groupBy("image_id", "ord").agg(share("n"), share("border"))
+    return distinct.join(met, ["image_id", "ord"]).withColumn("luma", luma(*map(F.col, RGB)))
 
 
-def background(pixels: DataFrame, width: int, height: int) -> DataFrame:
-    """image_id, bg_r, bg_g, bg_b: the candidate that covers most, refined to the median of the pixels near it."""
+def background_of(counts: DataFrame) -> DataFrame:
+    """image_id, bg_r, bg_g, bg_b: the candidate that covers most, refined to the median of the pixels near it. counts: of colour_counts()."""
     key = F.struct("coverage", "border_coverage", "luma", -F.col("ord"))
-    best = scored_candidates(pixels, width, height).groupBy("image_id").agg(F.max_by(F.struct(*RGB), key).alias("c")).select("image_id", *[F.col(f"c.{c}").alias(f"c_{c}") for c in RGB])
-    near = pixels.join(best, "image_id").where(squared_distance(F.col("c_r"), F.col("c_g"), F.col("c_b")) <= 900)
-    refined = medians(near, "image_id")
-    return best.join(refined, "image_id", "left").select("image_id", *[F.coalesce(c, f"c_{c}").alias(f"bg_{c}") for c in RGB])
+    best = candidates_of(counts).groupBy("image_id").agg(F.max_by(F.struct(*RGB), key).alias("c")).select("image_id", *[F.col(f"c.{c}").alias(f"c_{c}") for c in RGB])
+    near = counts.join(best, "image_id").where(squared_distance(F.col("c_r"), F.col("c_g"), F.col("c_b")) <= 900)
+    return best.join(weighted_medians(near, "n"), "image_id", "left").select("image_id", *[F.coalesce(c, f"c_{c}").alias(f"bg_{c}") for c in RGB])
+
+
+def scored_candidates(pixels: DataFrame, width: int, height: int) -> DataFrame:
+    """Candidates for the background of images of one size, of their pixels: see candidates_of()."""
+    return candidates_of(colour_counts(pixels, width, height))
+
+
+def background(pixels: DataFrame, width: int, height: int) -> DataFrame:
+    """The background of images of one size, of their pixels: see background_of()."""
+    return background_of(colour_counts(pixels, width, height))
 
 
 def dominant_colours(pixels: DataFrame, *keys: str) -> DataFrame:

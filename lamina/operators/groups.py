@@ -9,8 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 
-def in_whole_groups(rows: DataFrame, keys: list[str], order: list[str], f: Callable[[pa.Table], pa.Table], schema: str) -> DataFrame:
-    """f of tables that hold one or several whole groups, sorted by keys and order; keys are whole numbers, the first of which deals the rows.
+def in_whole_groups(rows: DataFrame, keys: list[str], order: list[str], f: Callable[[pa.Table], pa.Table], schema: str, deal: int = 1) -> DataFrame:
+    """f of tables that hold one or several whole groups, sorted by keys and order; keys are whole numbers, the first of which (or so many as deal says) deal the rows.
 
     A task sorts its rows on disk and holds a batch and the group at its end; small groups cost nothing of their own.
     """
@@ -35,7 +35,7 @@ def in_whole_groups(rows: DataFrame, keys: list[str], order: list[str], f: Calla
         if held:
             yield from f(pa.Table.from_batches(held)).to_batches()
 
-    return rows.repartition(keys[0]).sortWithinPartitions(*keys, *order).mapInArrow(run, schema)
+    return rows.repartition(*keys[:deal]).sortWithinPartitions(*keys, *order).mapInArrow(run, schema)
 
 
 def touching_runs(group: np.ndarray, y: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -13,9 +13,9 @@ from lamina.model import SegmentOptions, preset
 from lamina.operators import background as bg
 from lamina.operators import components as cc
 from lamina.operators import layers as ly
-from lamina.operators import metrics, pixels, selection, text
+from lamina.operators import metrics, pixels, selection, strips, text
 from lamina.operators import textlayers as tl
-from lamina.plans.images import BEST, COMPS, CORNER, DIFF, DIST, F1, LAYERS, MASK, SIDE, images, sql
+from lamina.plans.images import BEST, COMPS, CORNER, DIFF, DIST, F1, LABELS, LAYERS, MASK, SIDE, images, mask, sql
 from lamina.plans.inks import cuts_sql
 from lamina.plans.races import SCORED
 from lamina.plans.registry import query
@@ -230,6 +230,19 @@ def lyr_1_extract_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_layers(images(spark, sf_dir), SIDE, SIDE, SMALL)
 
 
+@query(sql(FRAGMENT, "SELECT image_id, layer_id, area, x, y, width, height, row_number() OVER (PARTITION BY image_id ORDER BY width * height DESC, y DESC, x DESC, layer_id) AS z FROM la"))
+def lyr_1_strip_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same layers from strips of three rows."""
+    return strips.layers(strips.strips_of_pixels(images(spark, sf_dir), SIDE, SIDE, 3), SIDE, SIDE, SMALL, 3)
+
+
+@query(sql(LABELS, "SELECT image_id, run_id, component_id FROM lab"))
+def gra_2_strip_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs numbered and labelled strip by strip, and joined at seams."""
+    spans = cc.runs(mask(spark, sf_dir)).drop("run_id")
+    return cc.labelled_strips(cc.numbered(spans, 3), 3).select("image_id", "run_id", "component_id")
+
+
 #: Options and gates that images of this size pass.
 HEAVY = SegmentOptions(24, 12, 2, 1, 20, 0, 1, 4, 55, True, True)
 GATES = {"surface_least": 3, "partition": {"area": 4, "density": 0.3, "gap": 1, "depth": 9, "span": 4}, "details": {"min_area": 4, "min_ratio": 0.4, "min_detail": 2}}
