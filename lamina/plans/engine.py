@@ -19,8 +19,8 @@ from lamina.plans.images import BEST, COMPS, CORNER, DIFF, DIST, F1, LABELS, LAY
 from lamina.plans.inks import cuts_sql
 from lamina.plans.races import SCORED
 from lamina.plans.registry import query
-from lamina.plans.textlayers import words
-from lamina.sources.derived import VOTES, votes
+from lamina.plans.textlayers import ERASE, OCR as OCR_LINES, words
+from lamina.sources.derived import PIXELS, VOTES, votes
 from lamina.sources.tables import written
 
 COLUMNS = ["image_id", "layer_id", "area", "x", "y", "width", "height"]
@@ -160,14 +160,17 @@ class Result(NamedTuple):
     metadata: DataFrame  # image_id, colour, counts of lines, layers, components and pixels
 
 
-def image_to_layers(px: DataFrame, words: DataFrame, width: int, height: int, options: SegmentOptions, text_mode: str = "large", erase: bool = True, **gates) -> Result:
-    """The whole way from images and recognised words to layers: lines that stay text are painted over, the rest is segmented, and text layers go on top."""
-    lines = tl.box_lines(words)
+def image_to_layers(px: DataFrame, words: DataFrame, width: int, height: int, options: SegmentOptions, text_mode: str = "large", erase: bool = True, lines: DataFrame | None = None, **gates) -> Result:
+    """The whole way from images and recognised words to layers: lines are told apart and merged, those that stay text are painted over, the rest is segmented, and text layers go on top.
+
+    lines: as text.recognised() gives them with the words; else a line has its words' text.
+    """
+    words, lines = map(written, text.regrouped(words, tl.box_lines(words) if lines is None else lines))
     kept = written(text.editable(lines, text_mode, height))
     own = words.join(kept.select("image_id", "line_no"), ["image_id", "line_no"], "left_semi")
     source = written(tl.without_text(px, own, width, height)) if erase and text_mode != "none" else px
     found = extract(source, width, height, options, **gates)
-    texts = tl.text_layers(own, px, found.background, options.bg_threshold, width, height)
+    texts = tl.text_layers(own, px, found.background, options.bg_threshold, width, height, kept)
     raster = found.layers.select("image_id", F.lit("raster").alias("kind"), "layer_id", F.lit(None).cast("string").alias("text"), "x", "y", "width", "height", "z")
     top = raster.groupBy("image_id").agg(F.max("z").alias("top"))
     on_top = texts.join(top, "image_id", "left").select("image_id", F.lit("text").alias("kind"), "layer_id", "text", "x", "y", "width", "height", (F.coalesce("top", F.lit(0)) + F.row_number().over(Window.partitionBy("image_id").orderBy("layer_id"))).alias("z"))
@@ -248,16 +251,18 @@ HEAVY = SegmentOptions(24, 12, 2, 1, 20, 0, 1, 4, 55, True, True)
 GATES = {"surface_least": 3, "partition": {"area": 4, "density": 0.3, "gap": 1, "depth": 9, "span": 4}, "details": {"min_area": 4, "min_ratio": 0.4, "min_detail": 2}}
 
 
-@query()
-def lyr_9_heavy_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All steps of the segmentation at once."""
-    return extract_layers(images(spark, sf_dir), SIDE, SIDE, HEAVY, **GATES)
+#: The segmentation on pictures without their text, and the colours of the text's boxes before it went.
+ERASED = ERASE + FRAGMENT + ", ds0 AS (SELECT px0.*, " + " + ".join(f"({c} - bg_{c}) * ({c} - bg_{c})" for c in "rgb") + " AS d2 FROM px0 JOIN bg2 USING (image_id))" + OCR_LINES + """, mt AS (SELECT bg2.image_id, printf('#%02x%02x%02x', bg_r, bg_g, bg_b) AS background_color, 1 AS ocr_lines, 1 AS editable_text_lines, coalesce(n, 0) AS raster_layers, coalesce(fp, 0) AS foreground_pixels, coalesce(rc, 0) AS raw_components
+FROM bg2 LEFT JOIN (SELECT image_id, count(*) AS n FROM la GROUP BY image_id) USING (image_id) LEFT JOIN (SELECT image_id, count(*) AS fp FROM m GROUP BY image_id) USING (image_id) LEFT JOIN (SELECT image_id, count(*) AS rc FROM co GROUP BY image_id) USING (image_id)),
+al AS (SELECT image_id, 'raster' AS kind, layer_id, CAST(NULL AS VARCHAR) AS text, x, y, width, height, row_number() OVER (PARTITION BY image_id ORDER BY width * height DESC, y DESC, x DESC, layer_id) AS z FROM la
+UNION ALL SELECT ol.image_id, 'text', 'text_001', ol.text, greatest(0, ol.x - 2), greatest(0, ol.y - 2), least(8, ol.x + ol.width + 2) - greatest(0, ol.x - 2), least(8, ol.y + ol.height + 2) - greatest(0, ol.y - 2), coalesce(n, 0) + 1 FROM ol LEFT JOIN (SELECT image_id, count(*) AS n FROM la GROUP BY image_id) USING (image_id))"""
 
 
-@query()
+@query(sql(ERASED, "SELECT * FROM al JOIN mt USING (image_id)", PIXELS.replace("px AS", "px0 AS")))
 def lyr_9_image_to_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Text painted over, segmentation, text layers on top, and what is known of the image."""
-    found = image_to_layers(images(spark, sf_dir), words(spark, sf_dir), SIDE, SIDE, SMALL, "all")
+    """Two fragments of one line merged, text painted over, segmentation, text layers on top, and what is known of the image."""
+    fragments = words(spark, sf_dir).withColumn("line_no", F.col("word_no"))
+    found = image_to_layers(images(spark, sf_dir), fragments, SIDE, SIDE, SMALL, "all")
     return found.layers.join(found.metadata, "image_id")
 
 
@@ -285,11 +290,12 @@ def small_candidates() -> list[Candidate]:
     return out
 
 
-def race_sql() -> str:
-    """CTEs up to sc: a row for each case (its image_id is 5 times the image's, plus the candidate's place) with the metrics of its layers."""
+def cases_sql(candidates: list[Candidate]) -> str:
+    """CTEs sp (the candidates), lz (layers of each case, whose image_id is n times the image's, plus the candidate's place) and ce (their pixels)."""
+    n = len(candidates)
     p, d = GATES["partition"], GATES["details"]
     own = lambda o: (o.bg_threshold ** 2, "NULL" if o.surface_threshold is None else o.surface_threshold ** 2, o.min_area_px, o.max_layers, o.dilation_px, o.alpha_low, o.alpha_high, str(o.partition).lower(), str(o.internal_details).lower())
-    specs = ", ".join(f"({i}, '{c.name}', {', '.join(map(str, own(c.options)))})" for i, c in enumerate(small_candidates()))
+    specs = ", ".join(f"({i}, '{c.name}', {', '.join(map(str, own(c.options)))})" for i, c in enumerate(candidates))
     islands = lambda keys, source: f"SELECT {keys}, y, min(x) AS x_start, max(x) AS x_end FROM (SELECT {keys}, y, x, x - row_number() OVER (PARTITION BY {keys}, y ORDER BY x) AS island FROM {source}) GROUP BY {keys}, y, island"
     box = "CAST(sum(x_end - x_start + 1) AS BIGINT) AS area, min(x_start) AS x, min(y) AS y, max(x_end) - min(x_start) + 1 AS width, max(y) - min(y) + 1 AS height, min(y) AS first_y, arg_min(x_start, run_id) AS first_x"
     closure = lambda name, keys: f"""{name}e AS (SELECT a.image_id, a.run_id AS a, b.run_id AS b FROM {name} a JOIN {name} b ON {' AND '.join(f'a.{k} = b.{k}' for k in keys)} AND abs(a.y - b.y) = 1 AND b.x_start <= a.x_end + 1 AND b.x_end >= a.x_start - 1),
@@ -297,11 +303,11 @@ def race_sql() -> str:
 {name}l AS (SELECT r.*, label FROM {name} r JOIN (SELECT image_id, a AS run_id, min(b) AS label FROM {name}w GROUP BY ALL) USING (image_id, run_id))"""
     rank = "row_number() OVER (PARTITION BY image_id ORDER BY width * height DESC, area DESC, first_y, first_x)"
     padded = "greatest(0, x - 1) AS x, greatest(0, y - 1) AS y, least(8, x + width + 1) - greatest(0, x - 1) AS width, least(8, y + height + 1) - greatest(0, y - 1) AS height"
-    over = ", ".join(f"CAST(round_even(list_reduce(list_prepend({{'v': bg_{c}::DOUBLE, 'a': 0::DOUBLE}}, list({{'v': {c}::DOUBLE, 'a': a::DOUBLE}} ORDER BY z)), lambda o, s: {{'v': o.v + (s.v - o.v) * s.a / 255.0::DOUBLE, 'a': 0::DOUBLE}}).v, 0) AS BIGINT) AS {c}" for c in "rgb")
     return f"""{BEST}{BG2}{DIST[DIST.index(', ds AS'):].replace('JOIN bg ', 'JOIN bg2 ')}, sp(ord, name, bgt, sft, min_area, most, dil, lo, hi, part, det) AS (VALUES {specs}),
-mk AS (SELECT image_id * 5 + ord AS image_id, ord, y, x, r, g, b, CAST(floor(least(255.0, greatest(0.0, (sqrt(d2) - lo) / (hi - lo) * 255))) AS BIGINT) AS a, dil FROM ds JOIN sp ON d2 > bgt),
-m AS (SELECT DISTINCT image_id, y + dy AS y, x + dx AS x FROM mk, range(-1, 2) p(dy), range(-1, 2) q(dx) WHERE abs(dy) <= dil AND abs(dx) <= dil AND y + dy BETWEEN 0 AND 7 AND x + dx BETWEEN 0 AND 7){COMPS[len(MASK):]},
-tp AS (SELECT * FROM (SELECT co.*, {rank} AS index, most, part FROM co JOIN sp ON sp.ord = co.image_id % 5 WHERE area >= min_area) WHERE index <= most),
+mk AS (SELECT image_id * {n} + ord AS image_id, ord, y, x, r, g, b, CAST(floor(least(255.0, greatest(0.0, (sqrt(d2) - lo) / (hi - lo) * 255))) AS BIGINT) AS a, dil FROM ds JOIN sp ON d2 > bgt),
+m AS (SELECT DISTINCT image_id, y + dy AS y, x + dx AS x FROM mk, range(-1, 2) p(dy), range(-1, 2) q(dx) WHERE abs(dy) <= dil AND abs(dx) <= dil AND y + dy BETWEEN 0 AND 7 AND x + dx BETWEEN 0 AND 7),
+ms AS (SELECT DISTINCT image_id, y + dy AS y, x + dx AS x FROM mk, range(-1, 2) p(dy), range(-1, 2) q(dx) WHERE abs(dy) <= greatest(1, dil) AND abs(dx) <= greatest(1, dil)){COMPS[len(MASK):]},
+tp AS (SELECT * FROM (SELECT co.*, {rank} AS index, most, part FROM co JOIN sp ON sp.ord = co.image_id % {n} WHERE area >= min_area) WHERE index <= most),
 kc AS (SELECT lab.image_id, lab.component_id, lab.y, unnest(range(x_start, x_end + 1)) AS x FROM lab JOIN tp USING (image_id, component_id) WHERE part),
 {cuts_sql("image_id, component_id", "SELECT * FROM kc", f"SELECT * FROM tp WHERE part AND greatest(width, height) >= {p['span']} AND area >= {p['area']}", p)},
 pc AS (SELECT image_id, component_id, region, y, x FROM rc UNION ALL SELECT image_id, component_id, 1, y, x FROM kc WHERE NOT EXISTS (SELECT 1 FROM leaf l WHERE l.image_id = kc.image_id AND l.component_id = kc.component_id)),
@@ -309,13 +315,13 @@ pr0 AS (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY component_id
 {closure('pr0', ['image_id', 'component_id', 'region'])},
 pb AS (SELECT image_id, label AS component_id, {box} FROM pr0l GROUP BY image_id, label),
 pt AS (SELECT pb.*, {rank} AS index FROM pb),
-tq AS (SELECT image_id, component_id, area, x, y, width, height, index FROM tp WHERE NOT part UNION ALL SELECT image_id, component_id, area, x, y, width, height, index FROM pt JOIN sp ON sp.ord = image_id % 5 WHERE index <= most),
-fl AS (SELECT image_id, component_id, y, x_start, x_end FROM lab JOIN sp ON sp.ord = image_id % 5 WHERE NOT part UNION ALL SELECT image_id, label, y, x_start, x_end FROM pr0l),
+tq AS (SELECT image_id, component_id, area, x, y, width, height, index FROM tp WHERE NOT part UNION ALL SELECT image_id, component_id, area, x, y, width, height, index FROM pt JOIN sp ON sp.ord = image_id % {n} WHERE index <= most),
+fl AS (SELECT image_id, component_id, y, x_start, x_end FROM lab JOIN sp ON sp.ord = image_id % {n} WHERE NOT part UNION ALL SELECT image_id, label, y, x_start, x_end FROM pr0l),
 fx AS (SELECT image_id, component_id, y, unnest(range(x_start, x_end + 1)) AS x FROM fl),
 sh AS (SELECT fx.image_id, fx.component_id, index, fx.y, fx.x, r, g, b, a FROM fx JOIN mk USING (image_id, y, x) JOIN tq ON tq.image_id = fx.image_id AND tq.component_id = fx.component_id WHERE a > 0),
 tr AS (SELECT * FROM tq SEMI JOIN sh USING (image_id, component_id)),
 dc0 AS (SELECT fx.image_id, fx.component_id, px.y, px.x, px.r, px.g, px.b, ((px.r // 16 * 16 + 8) << 16) | ((px.g // 16 * 16 + 8) << 8) | (px.b // 16 * 16 + 8) AS c
-  FROM fx JOIN px ON px.image_id = fx.image_id // 5 AND px.y = fx.y AND px.x = fx.x JOIN sp ON sp.ord = fx.image_id % 5
+  FROM fx JOIN px ON px.image_id = fx.image_id // {n} AND px.y = fx.y AND px.x = fx.x JOIN sp ON sp.ord = fx.image_id % {n}
   JOIN (SELECT image_id, component_id FROM fl GROUP BY ALL HAVING sum(x_end - x_start + 1) >= {d['min_area']} AND sum(x_end - x_start + 1)::DOUBLE / ((max(x_end) - min(x_start) + 1) * (max(y) - min(y) + 1)) >= {d['min_ratio']}::DOUBLE) f ON f.image_id = fx.image_id AND f.component_id = fx.component_id WHERE det),
 dm AS (SELECT image_id, component_id, arg_min(c, struct_pack(n := -n, c := c)) AS mode FROM (SELECT image_id, component_id, c, count(*) AS n FROM dc0 GROUP BY ALL) GROUP BY ALL),
 dd AS (SELECT image_id, component_id, CAST(round_even(median(r), 0) AS BIGINT) AS r, CAST(round_even(median(g), 0) AS BIGINT) AS g, CAST(round_even(median(b), 0) AS BIGINT) AS b FROM dc0 JOIN dm USING (image_id, component_id) WHERE (r - (mode >> 16)) ** 2 + (g - ((mode >> 8) & 255)) ** 2 + (b - (mode & 255)) ** 2 <= 784 GROUP BY ALL),
@@ -329,23 +335,37 @@ dn AS (SELECT *, row_number() OVER (PARTITION BY image_id, component_id ORDER BY
 dx AS (SELECT l.image_id, l.component_id, l.label, sh.index, sh.y, sh.x, sh.r, sh.g, sh.b, sh.a FROM (SELECT image_id, component_id, label, y, unnest(range(x_start, x_end + 1)) AS x FROM dr0l) l JOIN sh USING (image_id, component_id, y, x)),
 dl AS (SELECT dn.*, index FROM dn JOIN (SELECT DISTINCT image_id, component_id, label, index FROM dx) USING (image_id, component_id, label)),
 ba AS (SELECT dom.* FROM dom SEMI JOIN fr USING (image_id, component_id)),
-su0 AS (SELECT image_id * 5 + ord AS image_id, y, x, r, g, b FROM ds JOIN sp ON d2 > sft WHERE sft < bgt),
-su1 AS (SELECT *, count(*) OVER (PARTITION BY image_id) AS n FROM su0 ANTI JOIN m USING (image_id, y, x)),
+su0 AS (SELECT image_id * {n} + ord AS image_id, y, x, r, g, b FROM ds JOIN sp ON d2 > sft WHERE sft < bgt),
+su1 AS (SELECT *, count(*) OVER (PARTITION BY image_id) AS n FROM su0 ANTI JOIN ms USING (image_id, y, x)),
 su AS (SELECT * FROM su1 WHERE n >= {GATES['surface_least']}),
-la AS (SELECT tr.image_id, printf('raster_%03d', index) || CASE WHEN ba.r IS NOT NULL THEN '_base' ELSE '' END AS layer_id, {padded} FROM (SELECT image_id, component_id, index, x, y, width, height FROM tr) tr LEFT JOIN ba USING (image_id, component_id)
-  UNION ALL SELECT image_id, printf('raster_%03d_detail_%03d', index, detail), {padded} FROM dl
-  UNION ALL SELECT image_id, 'surface_001', {padded} FROM (SELECT image_id, min(x) AS x, min(y) AS y, max(x) - min(x) + 1 AS width, max(y) - min(y) + 1 AS height FROM su GROUP BY image_id)),
+la AS (SELECT tr.image_id, printf('raster_%03d', index) || CASE WHEN ba.r IS NOT NULL THEN '_base' ELSE '' END AS layer_id, area, {padded} FROM tr LEFT JOIN ba USING (image_id, component_id)
+  UNION ALL SELECT image_id, printf('raster_%03d_detail_%03d', index, detail), area, {padded} FROM dl
+  UNION ALL SELECT image_id, 'surface_001', area, {padded} FROM (SELECT image_id, count(*) AS area, min(x) AS x, min(y) AS y, max(x) - min(x) + 1 AS width, max(y) - min(y) + 1 AS height FROM su GROUP BY image_id)),
 lz AS (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY width * height DESC, y DESC, x DESC, layer_id) AS z FROM la),
 ce AS (SELECT sh.image_id, printf('raster_%03d', sh.index) || CASE WHEN ba.r IS NOT NULL THEN '_base' ELSE '' END AS layer_id, sh.y, sh.x, CASE WHEN fr.x IS NOT NULL THEN ba.r ELSE sh.r END AS r, CASE WHEN fr.x IS NOT NULL THEN ba.g ELSE sh.g END AS g, CASE WHEN fr.x IS NOT NULL THEN ba.b ELSE sh.b END AS b, sh.a
   FROM sh LEFT JOIN ba USING (image_id, component_id) LEFT JOIN fr ON fr.image_id = sh.image_id AND fr.component_id = sh.component_id AND fr.y = sh.y AND fr.x = sh.x
   UNION ALL SELECT image_id, printf('raster_%03d_detail_%03d', dx.index, detail), dx.y, dx.x, r, g, b, a FROM dx JOIN dl USING (image_id, component_id, label)
-  UNION ALL SELECT image_id, 'surface_001', y, x, r, g, b, 255 FROM su),
-st AS (SELECT image_id, ce.y, ce.x, {over} FROM ce JOIN lz USING (image_id, layer_id) JOIN (SELECT image_id * 5 + ord AS image_id, bg_r, bg_g, bg_b FROM bg2, sp) USING (image_id) GROUP BY image_id, ce.y, ce.x, bg_r, bg_g, bg_b),
-cx AS (SELECT image_id * 5 + ord AS image_id, y, x, r, g, b FROM px, sp),
-rd AS (SELECT cx.image_id, cx.y, cx.x, coalesce(st.r, bg_r) AS r, coalesce(st.g, bg_g) AS g, coalesce(st.b, bg_b) AS b FROM cx JOIN bg2 ON bg2.image_id = cx.image_id // 5 LEFT JOIN st ON st.image_id = cx.image_id AND st.y = cx.y AND st.x = cx.x)
+  UNION ALL SELECT image_id, 'surface_001', y, x, r, g, b, 255 FROM su)"""
+
+
+def race_sql() -> str:
+    """CTEs up to cs: a row for each candidate of each image with the metrics of its layers and its score."""
+    candidates = small_candidates()
+    n = len(candidates)
+    over = ", ".join(f"CAST(round_even(list_reduce(list_prepend({{'v': bg_{c}::DOUBLE, 'a': 0::DOUBLE}}, list({{'v': {c}::DOUBLE, 'a': a::DOUBLE}} ORDER BY z)), lambda o, s: {{'v': o.v + (s.v - o.v) * s.a / 255.0::DOUBLE, 'a': 0::DOUBLE}}).v, 0) AS BIGINT) AS {c}" for c in "rgb")
+    return f"""{cases_sql(candidates)},
+st AS (SELECT image_id, ce.y, ce.x, {over} FROM ce JOIN lz USING (image_id, layer_id) JOIN (SELECT image_id * {n} + ord AS image_id, bg_r, bg_g, bg_b FROM bg2, sp) USING (image_id) GROUP BY image_id, ce.y, ce.x, bg_r, bg_g, bg_b),
+cx AS (SELECT image_id * {n} + ord AS image_id, y, x, r, g, b FROM px, sp),
+rd AS (SELECT cx.image_id, cx.y, cx.x, coalesce(st.r, bg_r) AS r, coalesce(st.g, bg_g) AS g, coalesce(st.b, bg_b) AS b FROM cx JOIN bg2 ON bg2.image_id = cx.image_id // {n} LEFT JOIN st ON st.image_id = cx.image_id AND st.y = cx.y AND st.x = cx.x)
 {F1.replace(' px', ' cx')}{DIFF.replace('px', 'cx').replace(' pr ', ' pp ')},
 lf AS (SELECT image_id, count(*) AS n, max(width * height) / 64.0::DOUBLE AS largest, count(*) FILTER (contains(layer_id, '_detail_')) AS details FROM la GROUP BY image_id),
-c AS (SELECT image_id // 5 AS image_id, image_id % 5 AS ord, mae, f AS edge_f1, coalesce(n, 0) AS raster_layers, coalesce(largest, 1) AS largest_layer_ratio, coalesce(details, 0) AS internal_detail_layers FROM df JOIN f2 USING (image_id) LEFT JOIN lf USING (image_id)){SCORED[SCORED.index(', sc AS'):].replace(' sc AS', ' cs AS').replace('FROM sc)', 'FROM cs)')}"""
+c AS (SELECT image_id // {n} AS image_id, image_id % {n} AS ord, mae, f AS edge_f1, coalesce(n, 0) AS raster_layers, coalesce(largest, 1) AS largest_layer_ratio, coalesce(details, 0) AS internal_detail_layers FROM df JOIN f2 USING (image_id) LEFT JOIN lf USING (image_id)){SCORED[SCORED.index(', sc AS'):].replace(' sc AS', ' cs AS').replace('FROM sc)', 'FROM cs)')}"""
+
+
+@query(sql(cases_sql([Candidate("", HEAVY)]), "SELECT image_id, layer_id, CAST(area AS BIGINT) AS area, x, y, width, height, z FROM lz"))
+def lyr_9_heavy_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All steps of the segmentation at once."""
+    return extract_layers(images(spark, sf_dir), SIDE, SIDE, HEAVY, **GATES)
 
 
 @query(sql(race_sql() + f""", {VOTES}, ta AS (SELECT image_id, winner_index AS ord, count(*) AS votes, min(model_ord) AS first_vote FROM v WHERE ok GROUP BY ALL), tv AS (SELECT ta.* FROM ta SEMI JOIN c USING (image_id, ord)),

@@ -11,9 +11,10 @@ from lamina.operators import layers as ly
 from lamina.operators import pixels, selection
 from lamina.operators import textlayers as tl
 from lamina.plans.images import DIST, LAYERS, SIDE, component_layers, distances, images, sql
+from lamina.plans.inks import LUM, MEDIANS, PASSES, SMOOTH
 from lamina.plans.races import SCORED, scored
 from lamina.plans.registry import query
-from lamina.sources.derived import CANDIDATES, VOTES, table
+from lamina.sources.derived import CANDIDATES, PIXELS, VOTES, table
 
 WORDS = """wd AS (SELECT vec_id AS image_id, 0 AS line_no, k AS word_no, CASE WHEN k = 0 THEN 'Word' || (vec_id % 7) ELSE 'TEXT' END AS text,
   CASE WHEN k = 0 THEN vec_id % 3 ELSE 4 END AS x, CASE WHEN k = 0 THEN vec_id % 4 ELSE vec_id % 3 END AS y, 3 AS width, 3 + k AS height FROM embeddings, range(2) t(k))"""
@@ -35,15 +36,15 @@ ft AS (SELECT {keys.replace('bx.', '')}, count(*) AS n, count(*) FILTER (sat > 3
 cl AS (SELECT {keys.replace('bx.', '')}, CAST(round_even(median(r), 0) AS BIGINT) AS r, CAST(round_even(median(g), 0) AS BIGINT) AS g, CAST(round_even(median(b), 0) AS BIGINT) AS b FROM ik JOIN ft USING ({keys.replace('bx.', '')}) WHERE CASE WHEN nc > greatest(8, n // 12) THEN sat > 35 WHEN low < bound THEN lum < bound ELSE true END GROUP BY ALL)"""
 
 
-OCR = ", " + WORDS + ", ol AS (SELECT image_id, line_no, string_agg(text, ' ' ORDER BY word_no) AS text, min(x) AS x, min(y) AS y, max(x + width) - min(x) AS width, max(y + height) - min(y) AS height, count(*) AS words FROM wd GROUP BY ALL)"
+OCR = ", ol AS (SELECT image_id, line_no, string_agg(text, ' ' ORDER BY word_no) AS text, min(x) AS x, min(y) AS y, max(x + width) - min(x) AS width, max(y + height) - min(y) AS height, count(*) AS words FROM wd GROUP BY ALL)"
 
 
-@query(sql(DIST + OCR + box_sql("bx.image_id, bx.line_no", "ol", 2), """SELECT image_id, 'text_001' AS layer_id, text, l AS x, t AS y, r0 - l AS width, b0 - t AS height, coalesce(r, 0) AS r, coalesce(g, 0) AS g, coalesce(b, 0) AS b,
+@query(sql(DIST + ", " + WORDS + OCR + box_sql("bx.image_id, bx.line_no", "ol", 2), """SELECT image_id, 'text_001' AS layer_id, text, l AS x, t AS y, r0 - l AS width, b0 - t AS height, coalesce(r, 0) AS r, coalesce(g, 0) AS g, coalesce(b, 0) AS b,
 round(greatest(5.0::DOUBLE, least(72.0::DOUBLE, height * 72.0::DOUBLE / (112.0::DOUBLE * 0.82::DOUBLE), width * 72.0::DOUBLE / (112.0::DOUBLE * 0.56::DOUBLE * greatest(1.0::DOUBLE, length(text) - 0.45::DOUBLE * (length(text) - length(replace(text, ' ', ''))))) * 0.96::DOUBLE)), 6) AS font_size, upper(text) = text OR height >= 24 AS bold, words FROM bx LEFT JOIN cl USING (image_id, line_no)"""))
 def lyr_5_text_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
     px = images(spark, sf_dir)
     found = tl.text_layers(words(spark, sf_dir), px, bg.corner_background(px, SIDE, SIDE), 35, SIDE, SIDE)
-    return found.withColumn("font_size", F.round("font_size", 6))
+    return found.drop("runs").withColumn("font_size", F.round("font_size", 6))
 
 
 @query(sql(DIST + ", " + WORDS + box_sql("bx.image_id, bx.line_no, bx.word_no", "wd", 1), "SELECT image_id, line_no, string_agg(text || CASE WHEN word_no = 0 THEN ' ' ELSE '' END || '#' || coalesce(r, 0) || '-' || coalesce(g, 0) || '-' || coalesce(b, 0), '|' ORDER BY word_no) AS runs FROM bx LEFT JOIN cl USING (image_id, line_no, word_no) GROUP BY ALL"))
@@ -54,7 +55,26 @@ def lyr_6_word_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.select("image_id", "line_no", F.array_join(shown, "|").alias("runs"))
 
 
-@query()
+#: Three images side by side as one, the ink of the word over it by columns, their codes, and (from PASSES on) merged bands in d2. A letter's band: the i-th one ends where its share of the width does, but a letter at least after the one before.
+SPLIT = f""", p3 AS (SELECT image_id // 3 AS image_id, y, x + image_id % 3 * 8 AS x, r, g, b FROM px),
+b3 AS (SELECT image_id, {', '.join(f'CAST(round_even(median({c}), 0) AS BIGINT) AS bg_{c}' for c in 'rgb')} FROM p3 WHERE x < 8 OR x >= 16 GROUP BY image_id),
+k3 AS (SELECT p3.*, {LUM} FROM p3 JOIN b3 USING (image_id) WHERE (r - bg_r) ** 2 + (g - bg_g) ** 2 + (b - bg_b) ** 2 > 1225),
+c3 AS (SELECT image_id, x, CASE WHEN greatest(r, g, b) - least(r, g, b) > 45 AND {LUM.split(' AS lum')[0]} > 60 THEN 1 ELSE 0 END AS code FROM (SELECT image_id, x, median(r) AS r, median(g) AS g, median(b) AS b FROM k3 GROUP BY image_id, x)),
+w3 AS (SELECT image_id, min(x) AS first, max(x) AS last FROM c3 GROUP BY image_id HAVING count(*) >= 12),
+e3 AS (SELECT v3.image_id AS key, v - first AS pos, code FROM (SELECT image_id, first, unnest(range(first, last + 1)) AS v FROM w3) v3 LEFT JOIN c3 ON c3.image_id = v3.image_id AND c3.x = v),
+fi AS (SELECT key, pos, coalesce(last_value(code IGNORE NULLS) OVER (PARTITION BY key ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 0) AS code FROM e3),
+sm AS (SELECT key, pos, CASE WHEN count(*) OVER (PARTITION BY key) >= 9 THEN CASE WHEN avg(code) OVER (PARTITION BY key ORDER BY pos ROWS BETWEEN 4 PRECEDING AND 4 FOLLOWING) >= 0.5 THEN 1 ELSE 0 END ELSE code END AS code FROM fi){PASSES[len(SMOOTH):]},
+l3 AS (SELECT key, 'Header' || key AS text, l, l[-1].e + 1 AS total FROM d2 WHERE len(list_distinct(list_transform(l, lambda v: v.code))) > 1),
+q3 AS (SELECT key, text, l, total, 1 AS i, 0::BIGINT AS prev, 0 AS run, 0::BIGINT AS a, 0::BIGINT AS z, '' AS part FROM l3 UNION ALL
+SELECT key, text, l, total, i + 1, CASE WHEN prev < length(text) AND stop > prev THEN stop ELSE prev END, run + CASE WHEN prev < length(text) AND stop > prev THEN 1 ELSE 0 END, l[i].s, l[i].e, CASE WHEN prev < length(text) AND stop > prev THEN substring(text, prev + 1, stop - prev) ELSE '' END
+FROM (SELECT *, CASE WHEN i = len(l) THEN length(text) ELSE greatest(prev + 1, CAST(round_even((l[i].e + 1) / total::DOUBLE * length(text), 0) AS BIGINT)) END AS stop FROM q3 WHERE i <= len(l))),
+r3 AS (SELECT key, run, part, a, z FROM q3 WHERE part <> ''),
+i3 AS (SELECT r3.key, r3.run, k3.r, k3.g, k3.b, lum, sat FROM r3 JOIN w3 ON w3.image_id = r3.key JOIN k3 ON k3.image_id = r3.key AND k3.x BETWEEN first + a AND first + z),
+f3 AS (SELECT key, run, count(*) AS n, count(*) FILTER (sat > 35) AS nc, quantile_cont(lum, 0.6) AS bound, min(lum) AS low FROM i3 GROUP BY ALL),
+o3 AS (SELECT key, run, {MEDIANS} FROM i3 JOIN f3 USING (key, run) WHERE CASE WHEN nc > greatest(8, n // 12) THEN sat > 35 WHEN low < bound THEN lum < bound ELSE true END GROUP BY ALL)"""
+
+
+@query(sql(SPLIT, "SELECT key AS image_id, 0 AS line_no, CAST(run AS BIGINT) AS run, part AS text, a AS start, z AS \"end\", coalesce(r, 0) AS r, coalesce(g, 0) AS g, coalesce(b, 0) AS b FROM r3 LEFT JOIN o3 USING (key, run)"))
 def lyr_7_split_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One long word over each image, on three images side by side as one, so that it has columns enough to be split."""
     px = images(spark, sf_dir).withColumn("x", F.col("x") + F.col("image_id") % 3 * SIDE).withColumn("image_id", F.floor(F.col("image_id") / 3))
@@ -62,7 +82,27 @@ def lyr_7_split_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tl.split_words(word, px, bg.corner_background(px, 3 * SIDE, SIDE), 35, 3 * SIDE, SIDE)
 
 
-@query()
+def fill_sql(word: int, source: str, to: str) -> str:
+    """CTEs that paint one word of each image over: its frame, the frame's light or soft pixels, what in the box is far from their median, closed, in that median."""
+    n = lambda x: f"{x}{word}"
+    return f""", {n('ba')} AS (SELECT image_id, l, t, r0, b0, greatest(0, l - 4) AS ol, greatest(0, t - 4) AS ot, least(8, r0 + 4) AS orr, least(8, b0 + 4) AS ob FROM (SELECT image_id, greatest(0, x - 3) AS l, greatest(0, y - 3) AS t, least(8, x + width + 3) AS r0, least(8, y + height + 3) AS b0 FROM wd WHERE word_no = {word}) WHERE r0 - l >= 2 AND b0 - t >= 2),
+{n('fa')} AS (SELECT p.*, x >= l AND x < r0 AND y >= t AND y < b0 AS inside, {LUM} FROM {source} p JOIN {n('ba')} USING (image_id) WHERE x >= ol AND x < orr AND y >= ot AND y < ob),
+{n('fb')} AS (SELECT *, count(*) FILTER (NOT inside) OVER (PARTITION BY image_id) AS ring FROM {n('fa')}),
+{n('fc')} AS (SELECT * FROM {n('fb')} WHERE NOT inside OR ring < 8),
+{n('fd')} AS (SELECT f.*, lum >= bound OR sat < 30 AS soft, count(*) FILTER (lum >= bound OR sat < 30) OVER (PARTITION BY f.image_id) AS many FROM {n('fc')} f JOIN (SELECT image_id, quantile_cont(lum, 0.45) AS bound FROM {n('fc')} GROUP BY image_id) USING (image_id)),
+{n('fe')} AS (SELECT image_id, {MEDIANS} FROM {n('fd')} WHERE soft OR many < 8 GROUP BY image_id),
+{n('fg')} AS (SELECT a.image_id, y, x, sqrt((a.r - e.r) ** 2 + (a.g - e.g) ** 2 + (a.b - e.b) ** 2) AS d FROM {n('fa')} a JOIN {n('fe')} e USING (image_id) WHERE inside),
+{n('fh')} AS (SELECT g.image_id, y, x, d > least(80.0::DOUBLE, greatest(28.0::DOUBLE, q * 0.55::DOUBLE)) AS ink FROM {n('fg')} g JOIN (SELECT image_id, quantile_cont(d, 0.75) AS q FROM {n('fg')} GROUP BY image_id) USING (image_id)),
+{n('fi')} AS (SELECT a.image_id, a.y, a.x, bool_or(b.ink) AS ink FROM {n('fh')} a JOIN {n('fh')} b ON a.image_id = b.image_id AND abs(a.y - b.y) <= 1 AND abs(a.x - b.x) <= 1 GROUP BY ALL),
+{n('fj')} AS (SELECT a.image_id, a.y, a.x FROM {n('fi')} a JOIN {n('fi')} b ON a.image_id = b.image_id AND abs(a.y - b.y) <= 1 AND abs(a.x - b.x) <= 1 GROUP BY ALL HAVING bool_and(b.ink)),
+{to} AS (SELECT p.image_id, p.y, p.x, {', '.join(f'CASE WHEN j.x IS NOT NULL THEN e.{c} ELSE p.{c} END AS {c}' for c in 'rgb')} FROM {source} p LEFT JOIN {n('fj')} j ON j.image_id = p.image_id AND j.y = p.y AND j.x = p.x LEFT JOIN {n('fe')} e ON e.image_id = p.image_id)"""
+
+
+#: Both words painted over, one after the other: from px0 to px.
+ERASE = ", " + WORDS + fill_sql(0, "px0", "px1") + fill_sql(1, "px1", "px")
+
+
+@query(sql(ERASE, "SELECT * FROM px", PIXELS.replace("px AS", "px0 AS")))
 def lyr_8_without_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tl.without_text(images(spark, sf_dir), words(spark, sf_dir), SIDE, SIDE)
 

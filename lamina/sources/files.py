@@ -9,6 +9,7 @@ import zlib
 from collections.abc import Iterator
 from xml.sax.saxutils import escape
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -38,8 +39,6 @@ def image_pixels(images: DataFrame) -> DataFrame:
     """image_id, y, x, r, g, b. Bytes are in the order blue, green, red, and opacity, which is ignored; one channel is grey."""
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import numpy as np
-
         for batch in batches:
             for i, width, height, channels, data in batch[["image_id", "width", "height", "channels", "data"]].itertuples(index=False):
                 px = np.frombuffer(data, np.uint8).reshape(height * width, channels)
@@ -150,6 +149,20 @@ def deck(width: int, height: int, slides: list[tuple[str, list[dict]]]) -> bytes
     return out.getvalue()
 
 
+def pictures(cells: DataFrame, layers: DataFrame) -> DataFrame:
+    """image_id, layer_id, png: each layer's pixels (image_id, layer_id, y, x, r, g, b, alpha) in its box (x, y, width, height). A task has one layer's pixels."""
+    box = layers.select("image_id", "layer_id", *[F.col(c).cast("int").alias(n) for c, n in (("x", "left"), ("y", "top"), ("width", "width"), ("height", "height"))])
+
+    def drawn(rows: pa.Table) -> pa.Table:
+        left, top, width, height = (rows.column(c)[0].as_py() for c in ("left", "top", "width", "height"))
+        rgba = np.zeros((height, width, 4), np.uint8)
+        rgba[rows.column("y").to_numpy() - top, rows.column("x").to_numpy() - left] = np.stack([rows.column(c).to_numpy() for c in ("r", "g", "b", "alpha")], axis=1)
+        return pa.table({"image_id": rows.column("image_id")[:1], "layer_id": rows.column("layer_id")[:1], "png": pa.array([png(width, height, rgba.tobytes())], pa.binary())})
+
+    placed_cells = cells.join(box, ["image_id", "layer_id"]).select(F.col("image_id").cast("long"), "layer_id", *[F.col(c).cast("int") for c in ("y", "x", "r", "g", "b", "alpha")], "left", "top", "width", "height")
+    return placed_cells.groupBy("image_id", "layer_id").applyInArrow(drawn, "image_id long, layer_id string, png binary")
+
+
 def decks(layers: DataFrame, cells: DataFrame, background: DataFrame, texts: DataFrame | None = None, deck_of: DataFrame | None = None) -> DataFrame:
     """deck_id, pptx: a deck for each deck_id, a slide for each of its images in order of slide.
 
@@ -157,27 +170,19 @@ def decks(layers: DataFrame, cells: DataFrame, background: DataFrame, texts: Dat
     layer_id and runs (text, r, g, b, font_size, bold), which go on top; deck_of: image_id, deck_id and slide, else
     each image is a deck. A deck has the size of its first slide, by which layers are placed. A task has one deck's slides.
     """
-    raster = cells.groupBy("image_id", "layer_id").agg(F.collect_list(F.struct("y", "x", "r", "g", "b", "alpha")).alias("cells"))
+    raster = pictures(cells, layers)
     runs = "array<struct<text: string, r: int, g: int, b: int, font_size: double, bold: boolean>>"
     spot = ["image_id", "layer_id", "z", "x", "y", "width", "height", "left_emu", "top_emu", "width_emu", "height_emu", "slide_width", "slide_height"]
-    rows = layers.join(raster, ["image_id", "layer_id"]).select(*spot, "cells", F.expr(f"cast(null as {runs})").alias("runs"))
+    rows = layers.join(raster, ["image_id", "layer_id"]).select(*spot, "png", F.expr(f"cast(null as {runs})").alias("runs"))
     if texts is not None:
-        kinds = {f: t for f, t in raster.dtypes}["cells"]
         # Fixed value: a text box is 1.15 times as high as its line.
         tall = F.bround(F.col("height_emu") * 1.15).cast("long").alias("height_emu")
-        rows = rows.unionByName(texts.select(*[tall if c == "height_emu" else F.col(c) for c in spot], F.expr(f"cast(null as {kinds})").alias("cells"), F.col("runs").cast(runs).alias("runs")))
+        rows = rows.unionByName(texts.select(*[tall if c == "height_emu" else F.col(c) for c in spot], F.lit(None).cast("binary").alias("png"), F.col("runs").cast(runs).alias("runs")))
     deck_of = background.select("image_id", F.col("image_id").alias("deck_id"), F.lit(1).alias("slide")) if deck_of is None else deck_of
-    shape = F.struct(F.col("runs").isNotNull().alias("on_top"), *[c for c in ("z", "layer_id", "x", "y", "width", "height", "left_emu", "top_emu", "width_emu", "height_emu")], "cells", "runs")
+    shape = F.struct(F.col("runs").isNotNull().alias("on_top"), *[c for c in ("z", "layer_id", "x", "y", "width", "height", "left_emu", "top_emu", "width_emu", "height_emu")], "png", "runs")
     slide = rows.groupBy("image_id").agg(F.first("slide_width").alias("slide_width"), F.first("slide_height").alias("slide_height"), F.collect_list(shape).alias("shapes"))
     whole = deck_of.join(background, "image_id").join(slide, "image_id").select("deck_id", "slide", "slide_width", "slide_height", "bg_r", "bg_g", "bg_b", "shapes")
 
-    def picture(s: dict) -> bytes:
-        rgba = bytearray(int(s["width"]) * int(s["height"]) * 4)
-        for cell in s["cells"]:
-            at = (int(cell["y"] - s["y"]) * int(s["width"]) + int(cell["x"] - s["x"])) * 4
-            rgba[at : at + 4] = bytes((cell["r"], cell["g"], cell["b"], cell["alpha"]))
-        return png(int(s["width"]), int(s["height"]), bytes(rgba))
-
     def made(rows: pa.Table) -> pa.Table:
         slides = sorted(rows.to_pylist(), key=lambda r: r["slide"])
         content = []
@@ -185,7 +190,7 @@ def decks(layers: DataFrame, cells: DataFrame, background: DataFrame, texts: Dat
             shapes = []
             for s in sorted(r["shapes"], key=lambda s: (s["on_top"], s["z"], s["layer_id"])):
                 shown = {"name": s["layer_id"], "left": s["left_emu"], "top": s["top_emu"], "width": s["width_emu"], "height": s["height_emu"]}
-                shapes.append(shown | ({"png": picture(s)} if s["runs"] is None else {"runs": s["runs"]}))
+                shapes.append(shown | ({"png": s["png"]} if s["runs"] is None else {"runs": s["runs"]}))
             content.append((f"{r['bg_r']:02X}{r['bg_g']:02X}{r['bg_b']:02X}", shapes))
         first = slides[0]
         return pa.table({"deck_id": pa.array([first["deck_id"]], pa.int64()), "pptx": pa.array([deck(first["slide_width"], first["slide_height"], content)], pa.binary())})
