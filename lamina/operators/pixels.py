@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -93,3 +95,44 @@ def block_average(pixels: DataFrame, factor: int) -> DataFrame:
     """Means of factor x factor pixels, rounded half to even."""
     cell = [F.floor(F.col(c) / factor).cast("int").alias(c) for c in ("y", "x")]
     return pixels.select("image_id", *cell, "r", "g", "b").groupBy(*PIXEL).agg(*[F.bround(F.avg(c)).cast("int").alias(c) for c in "rgb"])
+
+
+#: Lobes of the window, and bits of a weight's fraction.
+LOBES, BITS = 3, 22
+
+
+def sinc(x: float) -> float:
+    return math.sin(math.pi * x) / (math.pi * x) if x else 1.0
+
+
+def resampling_weights(size: int, to: int) -> list[tuple[int, int, int]]:
+    """(place, source, weight): what each of so many places takes from each of size places, as whole numbers of 2 ** -BITS.
+
+    A windowed sinc, as wide as the step between places if that is over 1, whose weights add up to 1 at the edges too.
+    """
+    step = size / to
+    wide = max(1.0, step)
+    out = []
+    for place in range(to):
+        centre = (place + 0.5) * step
+        sources = range(max(0, int(centre - LOBES * wide + 0.5)), min(size, int(centre + LOBES * wide + 0.5)))
+        far = [(s - centre + 0.5) / wide for s in sources]
+        weights = [sinc(x) * sinc(x / LOBES) if -LOBES <= x < LOBES else 0.0 for x in far]
+        total = sum(weights)
+        out += [(place, s, math.floor(abs(w / total) * (1 << BITS) + 0.5) * (1 if w >= 0 else -1)) for s, w in zip(sources, weights, strict=True)]
+    return out
+
+
+def resized(pixels: DataFrame, width: int, height: int, to_width: int, to_height: int) -> DataFrame:
+    """Images of one size as images of another, along rows, then columns. The tables of weights have a few rows for each column and row of the larger size."""
+    spark = pixels.sparkSession
+
+    def along(px: DataFrame, axis: str, other: str, size: int, to: int) -> DataFrame:
+        if size == to:
+            return px
+        weights = spark.createDataFrame(resampling_weights(size, to), f"place int, {axis} int, weight long")
+        met = px.join(F.broadcast(weights), axis).groupBy("image_id", other, F.col("place").alias(axis))
+        value = lambda c: F.least(F.lit(255), F.greatest(F.lit(0), F.shiftright(F.sum(F.col(c) * F.col("weight")) + (1 << BITS - 1), BITS))).cast("int").alias(c)
+        return met.agg(*map(value, "rgb"))
+
+    return along(along(pixels.select(*PIXEL, "r", "g", "b"), "x", "y", width, to_width), "y", "x", height, to_height).select(*PIXEL, "r", "g", "b")

@@ -226,6 +226,37 @@ def nbr_3_block_average(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pixels.block_average(images(spark, sf_dir), 2)
 
 
+def resized_sql(source: str, name: str, axis: str, size: int, to: int) -> str:
+    """CTEs that resample one axis: weights as whole numbers, sums cut to bytes."""
+    other = "y" if axis == "x" else "x"
+    return f""", {name}f AS (SELECT p, s, (s - (p + 0.5::DOUBLE) * {size} / {to} + 0.5::DOUBLE) / greatest(1.0::DOUBLE, {size} / {to}::DOUBLE) AS d FROM range({to}) a(p), range({size}) b(s)
+  WHERE s >= greatest(0, trunc((p + 0.5::DOUBLE) * {size} / {to} - 3 * greatest(1.0::DOUBLE, {size} / {to}::DOUBLE) + 0.5::DOUBLE)) AND s < least({size}, trunc((p + 0.5::DOUBLE) * {size} / {to} + 3 * greatest(1.0::DOUBLE, {size} / {to}::DOUBLE) + 0.5::DOUBLE))),
+{name}w AS (SELECT p, s, CASE WHEN abs(d) < 1e-12 THEN 1.0::DOUBLE WHEN d >= -3 AND d < 3 THEN sin(pi() * d) / (pi() * d) * sin(pi() * d / 3) / (pi() * d / 3) ELSE 0 END AS w FROM {name}f),
+{name}k AS (SELECT p, s, CAST(round(w / sum(w) OVER (PARTITION BY p) * 4194304, 0) AS BIGINT) AS k FROM {name}w),
+{name} AS (SELECT image_id, {other}, p AS {axis}, """ + ", ".join(f"least(255, greatest(0, (CAST(sum({c} * k) AS BIGINT) + 2097152) >> 22)) AS {c}" for c in "rgb") + f" FROM {source} JOIN {name}k ON s = {source}.{axis} GROUP BY image_id, {other}, p)"
+
+
+RESIZED = resized_sql("px", "rx", "x", 8, 12) + resized_sql("rx", "ry", "y", 8, 6)
+
+
+@query(sql(RESIZED, "SELECT image_id, y, x, r, g, b FROM ry"))
+def nbr_4_resized(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Wider and lower."""
+    return pixels.resized(images(spark, sf_dir), SIDE, SIDE, 12, 6)
+
+
+OTHER = resized_sql("rd", "sx", "x", 8, 12) + resized_sql("sx", "sy", "y", 8, 6)
+
+
+@query(sql(RESIZED + OTHER + """, pr AS (SELECT ry.image_id, ry.r, ry.g, ry.b, sy.r AS r2, sy.g AS g2, sy.b AS b2 FROM ry JOIN sy USING (image_id, y, x)),
+sm AS (SELECT image_id, sum(abs(r - r2) + abs(g - g2) + abs(b - b2))::DOUBLE AS a, sum((r - r2) * (r - r2) + (g - g2) * (g - g2) + (b - b2) * (b - b2))::DOUBLE AS s, count(*) * 3 AS n FROM pr GROUP BY image_id)""", "SELECT image_id, round(a / n, 6) AS mae, round(sqrt(s / n), 6) AS rmse FROM sm", RENDERS))
+def evl_2_compare_resized(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Images are brought to the size of their renders, 12 x 6, before both are compared."""
+    render = pixels.resized(derived.renders(spark, sf_dir), SIDE, SIDE, 12, 6)
+    found = metrics.differences(metrics.aligned(pixels.resized(images(spark, sf_dir), SIDE, SIDE, 12, 6), render))
+    return found.select("image_id", F.round("mae", 6).alias("mae"), F.round("rmse", 6).alias("rmse"))
+
+
 @query(sql(LABELS, "SELECT lab.image_id, component_id, px.y, px.x, px.r, px.g, px.b FROM lab JOIN px ON px.image_id = lab.image_id AND px.y = lab.y AND px.x BETWEEN x_start AND x_end"))
 def jon_8_component_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cc.component_pixels(labelled(spark, sf_dir), images(spark, sf_dir)).select("image_id", "component_id", "y", "x", "r", "g", "b")
