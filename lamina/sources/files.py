@@ -159,8 +159,8 @@ def pictures(cells: DataFrame, layers: DataFrame) -> DataFrame:
         rgba[rows.column("y").to_numpy() - top, rows.column("x").to_numpy() - left] = np.stack([rows.column(c).to_numpy() for c in ("r", "g", "b", "alpha")], axis=1)
         return pa.table({"image_id": rows.column("image_id")[:1], "layer_id": rows.column("layer_id")[:1], "png": pa.array([png(width, height, rgba.tobytes())], pa.binary())})
 
-    placed_cells = cells.join(box, ["image_id", "layer_id"]).select(F.col("image_id").cast("long"), "layer_id", *[F.col(c).cast("int") for c in ("y", "x", "r", "g", "b", "alpha")], "left", "top", "width", "height")
-    return placed_cells.groupBy("image_id", "layer_id").applyInArrow(drawn, "image_id long, layer_id string, png binary")
+    own = cells.select(F.col("image_id").cast("long"), "layer_id", *[F.col(c).cast("int") for c in ("y", "x", "r", "g", "b", "alpha")])
+    return own.join(box, ["image_id", "layer_id"]).groupBy("image_id", "layer_id").applyInArrow(drawn, "image_id long, layer_id string, png binary")
 
 
 def decks(layers: DataFrame, cells: DataFrame, background: DataFrame, texts: DataFrame | None = None, deck_of: DataFrame | None = None) -> DataFrame:
