@@ -55,17 +55,19 @@ class ByteIds:
         self.code = "H" if self.whole.get_vocab_size() <= 0x10000 else "I"
         self.space = byte_symbols()[ord(" ")]
         self.symbol = str.maketrans({chr(b): c for b, c in enumerate(byte_symbols())})
-        special = [re.escape(t.content) for t in self.whole.get_added_tokens_decoder().values()]
-        self.special = re.compile("|".join(special)) if special else None
+        self.special = [t.content for t in self.whole.get_added_tokens_decoder().values()]
         self.part = Recent(self.made, KEPT)
         self.word = Recent(self.encoded, KEPT // 4)
 
     def packed(self, ids: list[int]) -> bytes:
         return array(self.code, ids).tobytes()
 
-    def made(self, part: str) -> bytes:
+    def made(self, part: str) -> bytes | None:
+        """Ids of a part; None where uncommon characters may have cut it otherwise."""
         if part.isascii() and part[1:].isalnum() and part[0] == " ":
             shown = self.space + part[1:]
+        elif ODD.search(part):
+            return None
         else:
             shown = part.encode().decode("latin-1").translate(self.symbol)
         return array(self.code, [t.id for t in self.model.tokenize(shown)]).tobytes()
@@ -77,10 +79,12 @@ class ByteIds:
         return b"".join(map(self.part.__getitem__, PARTS.findall(text)))
 
     def bytes_of(self, text: str) -> bytes:
-        if self.special is not None and self.special.search(text):
+        if any(x in text for x in self.special):
             return self.encoded(text)
-        if not ODD.search(text):
+        try:
             return self.plain(text)
+        except TypeError:  # a part without ids: the text has uncommon characters
+            pass
         found, newline = [], self.plain("\n")
         for line in LINE.split(text):
             found.append(newline)
