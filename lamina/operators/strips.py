@@ -19,9 +19,12 @@ from lamina.operators import background as bg
 from lamina.operators import components as cc
 from lamina.operators.groups import in_whole_groups
 from lamina.operators.pixels import squared_distance
+from lamina.sources.tables import written
 
 #: Rows of a strip.
 ROWS = 256
+#: Pixels that are counted at once.
+PIXELS = 1 << 19
 STRIP = "image_id long, strip int, width int, height int, data binary"
 
 
@@ -47,10 +50,10 @@ def strips_of_pixels(pixels: DataFrame, width: int, height: int, rows: int = ROW
     def gathered(cells: pa.Table) -> pa.Table:
         image, strip = cells.column("image_id").to_numpy(), cells.column("strip").to_numpy()
         rgb = np.stack([cells.column(c).to_numpy() for c in "rgb"], axis=1).astype(np.uint8)
-        edge = np.flatnonzero(np.concatenate([[True], (image[1:] != image[:-1]) | (strip[1:] != strip[:-1]), [True]])).tolist()
-        data = [rgb[a:b].tobytes() for a, b in zip(edge, edge[1:], strict=False)]
-        first, n = edge[:-1], len(data)
-        return pa.table([pa.array(image[first]), pa.array(strip[first]), *[pa.array(np.full(n, v, np.int32)) for v in (width, height)], pa.array(data, pa.binary())], names=["image_id", "strip", "width", "height", "data"])
+        edge = np.flatnonzero(np.concatenate([[True], (image[1:] != image[:-1]) | (strip[1:] != strip[:-1]), [True]]))
+        first, n = edge[:-1], len(edge) - 1
+        data = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer((edge * 3).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(rgb))])
+        return pa.table([pa.array(image[first]), pa.array(strip[first]), *[pa.array(np.full(n, v, np.int32)) for v in (width, height)], data], names=["image_id", "strip", "width", "height", "data"])
 
     own = pixels.select(F.col("image_id").cast("long"), F.floor(F.col("y") / rows).cast("int").alias("strip"), "y", "x", "r", "g", "b")
     return in_whole_groups(own, ["image_id", "strip"], ["y", "x"], gathered, STRIP, deal=2)
@@ -60,21 +63,45 @@ def picture(row: dict) -> np.ndarray:
     return np.frombuffer(row["data"], np.uint8).reshape(-1, row["width"], 3)
 
 
+def all_pixels(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """The pixels of all strips of a batch one after the other, and how many each strip has."""
+    data = batch.column("data")
+    ends = np.frombuffer(data.buffers()[1], np.int32)[data.offset : data.offset + len(data) + 1]
+    values = np.frombuffer(data.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]]
+    return values.reshape(-1, 3), np.diff(ends).astype(np.int64) // 3
+
+
+def bounded(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The batch in parts of strips next to each other, of PIXELS pixels or a strip."""
+    size = all_pixels(batch)[1]
+    first = 0
+    while first < len(size):
+        n = max(1, int(np.searchsorted(np.cumsum(size[first:]), PIXELS, "right")))
+        yield batch.slice(first, n)
+        first += n
+
+
 def colour_counts(strips: DataFrame, rows: int = ROWS) -> DataFrame:
     """As background.colour_counts(), of strips: each counts its own colours before they meet."""
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
-                px, width, height = picture(row).astype(np.uint32), row["width"], row["height"]
-                y, x = row["strip"] * rows + np.arange(len(px)), np.arange(width)
-                band, side = max(2, min(width, height) // 18), max(8, min(width, height) // 24)
-                at = lambda v, size, n: (v < size).astype(np.int64) + (v >= n - size)
-                border = (at(y, band, height)[:, None] + at(x, band, width)[None, :]).ravel()
-                corner = (at(y, side, height)[:, None] * at(x, side, width)[None, :]).ravel()
-                colour, place, n = np.unique((px[..., 0] << 16 | px[..., 1] << 8 | px[..., 2]).ravel(), return_inverse=True, return_counts=True)
-                sums = [n, *[np.bincount(place.reshape(-1), w, len(colour)).astype(np.int64) for w in (border, corner)]]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(colour), row["image_id"], np.int64)), *[pa.array((colour >> s & 255).astype(np.int32)) for s in (16, 8, 0)], *map(pa.array, sums)], names=["image_id", "r", "g", "b", "n", "border", "corner"])
+            for some in bounded(batch):
+                yield counts_of(some)
+
+    def counts_of(batch: pa.RecordBatch) -> pa.RecordBatch:
+        image, strip, width, height = (batch.column(c).to_numpy().astype(np.int64) for c in ("image_id", "strip", "width", "height"))
+        px, size = all_pixels(batch)
+        own = np.repeat(np.arange(len(size)), size)
+        y, x = np.divmod(np.arange(len(px)) - np.repeat(np.cumsum(size) - size, size), width[own])
+        y += (strip * rows)[own]
+        least = np.minimum(width, height)
+        at = lambda v, near, n: (v < near[own]).astype(np.int64) + (v >= (n - near)[own])
+        band, side = np.maximum(2, least // 18), np.maximum(8, least // 24)
+        border, corner = at(y, band, height) + at(x, band, width), at(y, side, height) * at(x, side, width)
+        colour, place, n = np.unique(own << 24 | px[:, 0].astype(np.int64) << 16 | px[:, 1].astype(np.int64) << 8 | px[:, 2], return_inverse=True, return_counts=True)
+        sums = [n, *[np.bincount(place.reshape(-1), w, len(colour)).astype(np.int64) for w in (border, corner)]]
+        return pa.RecordBatch.from_arrays([pa.array(image[colour >> 24]), *[pa.array((colour >> s & 255).astype(np.int32)) for s in (16, 8, 0)], *map(pa.array, sums)], names=["image_id", "r", "g", "b", "n", "border", "corner"])
 
     found = strips.mapInArrow(counted, "image_id long, r int, g int, b int, n long, border long, corner long")
     return found.groupBy("image_id", "r", "g", "b").agg(*[F.sum(c).alias(c) for c in ("n", "border", "corner")])
@@ -138,9 +165,13 @@ def runs(strips: DataFrame, background: DataFrame, options: SegmentOptions, rows
 
 
 def layers(strips: DataFrame, width: int, height: int, options: SegmentOptions, rows: int = ROWS) -> DataFrame:
-    """image_id, layer_id, area, x, y, width, height, z of images of one size: what engine.extract_layers() gives by options without partition, details and surface."""
-    counts = colour_counts(strips, rows)
-    spans = cc.numbered(runs(strips, bg.background_of(counts), options, rows), rows)
+    """image_id, layer_id, area, x, y, width, height, z of images of one size: what engine.extract_layers() gives by options without partition, details and surface.
+
+    What several steps read is written to the shared folder: strips, counts of colours and runs, each made once.
+    """
+    strips = written(strips)
+    counts = written(colour_counts(strips, rows))
+    spans = cc.numbered(written(runs(strips, bg.background_of(counts), options, rows)), rows)
     labelled = cc.labelled_strips(spans, rows)
     seen = labelled.groupBy("image_id", "component_id").agg(F.max("visible").alias("visible")).where("visible")
     found = cc.largest(cc.components(labelled), options.min_area_px, options.min_bbox_px, options.max_layers)
