@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lamina.operators.groups import in_whole_groups, least_connected, touching_runs
+from lamina.operators.groups import grown_spans, in_whole_groups, least_connected, touching_runs
 from lamina.operators.pixels import padded
 from lamina.sources.tables import written
 
@@ -80,6 +80,57 @@ def labelled(spans: DataFrame) -> DataFrame:
     return in_whole_groups(spans, ["image_id"], ["y", "x_start"], label, f"{kinds}, component_id int")
 
 
+def places_of(rows: pa.Table, width: int, height: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of pixels of whole images: the images, each pixel's among them, and its place as groups.grown_spans() has it."""
+    image, y, x = (rows.column(c).to_numpy().astype(np.int64) for c in ("image_id", "y", "x"))
+    new = np.concatenate([[True], image[1:] != image[:-1]])
+    group = np.cumsum(new) - 1
+    return image[new], group, (group * height + y) * (width + 2) + x
+
+
+def labelled_cases(distances: DataFrame, masks: list[tuple[float, int]], width: int, height: int) -> DataFrame:
+    """As labelled() gives them, the runs of several masks of each image: of pixels farther than a threshold, grown by a radius. The image_id is n times the image's, plus the mask's place; pixels are shuffled once for all masks."""
+
+    def label(rows: pa.Table) -> pa.Table:
+        images, _, places = places_of(rows, width, height)
+        d2 = rows.column("d2").to_numpy()
+        out = []
+        for k, (threshold, radius) in enumerate(masks):
+            start, end = grown_spans(places[d2 > threshold * threshold], radius, width, height)
+            row = start // (width + 2)
+            group, y, s, e = row // height, row % height, start - row * (width + 2), end - row * (width + 2)
+            run = np.arange(1, len(row) + 1) - np.searchsorted(group, group)
+            out.append([images[group] * len(masks) + k, y, s, e, run, run[least_connected(len(y), *touching_runs(group, y, s, e))]])
+        return pa.table([pa.array(np.concatenate(c)).cast(pa.int32() if i else pa.int64()) for i, c in enumerate(zip(*out, strict=True))], names=["image_id", "y", "x_start", "x_end", "run_id", "component_id"])
+
+    least = min(t for t, _ in masks)
+    rows = distances.where(F.col("d2") > least * least).select("image_id", "y", "x", "d2")
+    return in_whole_groups(rows, ["image_id"], [], label, "image_id long, y int, x_start int, x_end int, run_id int, component_id int")
+
+
+def surface_cases(distances: DataFrame, masks: list[tuple[float, int, float] | None], width: int, height: int, least: int) -> DataFrame:
+    """image_id (as of labelled_cases()), y, x, r, g, b: for each mask (threshold, radius, low threshold) the pixels over the low threshold that the grown mask doesn't hold; none where they are fewer than the least number."""
+
+    def left(rows: pa.Table) -> pa.Table:
+        images, group, places = places_of(rows, width, height)
+        d2 = rows.column("d2").to_numpy()
+        out = []
+        for k, mask in enumerate(masks):
+            if mask:
+                threshold, radius, low = mask
+                start, end = grown_spans(places[d2 > threshold * threshold], radius, width, height)
+                covered = np.append(end, -1)[np.searchsorted(start, places, "right") - 1] >= places
+                free = (d2 > low * low) & ~covered
+                some = rows.filter(pa.array(free & (np.bincount(group[free], minlength=len(images)) >= least)[group]))
+                out.append(some.set_column(0, "image_id", pa.array(some.column("image_id").to_numpy().astype(np.int64) * len(masks) + k)).drop_columns("d2"))
+        return pa.concat_tables(out)
+
+    lowest = min(m[2] for m in masks if m)
+    kinds = {"image_id": "long"} | dict.fromkeys(("y", "x", "r", "g", "b", "d2"), "int")
+    rows = distances.where(F.col("d2") > lowest * lowest).select(*[F.col(c).cast(t).alias(c) for c, t in kinds.items()])
+    return in_whole_groups(rows, ["image_id"], [], left, "image_id long, y int, x int, r int, g int, b int")
+
+
 def components(runs_: DataFrame, *keys: str) -> DataFrame:
     """keys, area, x, y, width, height, first_y, first_x. keys: of a component; default image_id, component_id."""
     keys = keys or ("image_id", "component_id")

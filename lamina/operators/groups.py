@@ -68,3 +68,25 @@ def least_connected(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         np.minimum.at(label, y, least)
         while (label != (up := label[label])).any():
             label = up
+
+
+def merged_spans(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted spans of places (ends inclusive) that cover the same places without touching."""
+    if not len(start):
+        return start, end
+    order = np.argsort(start, kind="stable")
+    start, end = start[order], np.maximum.accumulate(end[order])
+    first = np.flatnonzero(np.concatenate([[True], start[1:] > end[:-1] + 1]))
+    return start[first], end[np.append(first[1:], len(start)) - 1]
+
+
+def grown_spans(places: np.ndarray, radius: int, width: int, height: int) -> tuple[np.ndarray, np.ndarray]:
+    """Spans of pixels grown by a square of the radius within their images. A place is (image * height + y) * (width + 2) + x, so that spans of two rows never touch."""
+    wide = width + 2
+    start, end = merged_spans(places, places)
+    if not radius:
+        return start, end
+    row = start // wide
+    start, end, y = np.maximum(0, start - row * wide - radius), np.minimum(width - 1, end - row * wide + radius), row % height
+    kept = [(d, (y + d >= 0) & (y + d < height)) for d in range(-radius, radius + 1)]
+    return merged_spans(np.concatenate([(row[k] + d) * wide + start[k] for d, k in kept]), np.concatenate([(row[k] + d) * wide + end[k] for d, k in kept]))

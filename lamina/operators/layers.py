@@ -130,11 +130,21 @@ def labelled_regions(runs: DataFrame) -> DataFrame:
     return in_whole_groups(rows, keys, ["y", "x_start"], label, "image_id long, y int, x_start int, x_end int, run_id int, component_id int")
 
 
-def laid_out(pixels: DataFrame, background: DataFrame, cells: DataFrame) -> DataFrame:
-    """What the layers show on the whole slide: image_id, y, x, r, g, b at each place of pixels, the background where no layer is."""
-    shown = composite(background, cells).select("image_id", "y", "x", *[F.col(c).alias(f"l_{c}") for c in "rgb"])
-    places = pixels.select("image_id", "y", "x").join(background, "image_id").join(shown, ["image_id", "y", "x"], "left")
-    return places.select("image_id", "y", "x", *[F.coalesce(f"l_{c}", f"bg_{c}").cast("int").alias(c) for c in "rgb"])
+def laid_out(pixels: DataFrame, background: DataFrame, cells: DataFrame, n: int) -> DataFrame:
+    """Pixels with render0, render1, ...: what each of n stacks of layers shows at their place (r, g, b), the background where no layer is. cells: with place, the number of their stack.
+
+    Pixels and cells are dealt by image, in one shuffle; a place has one row for all stacks.
+    """
+    cell = F.struct("place", "z", "r", "g", "b", "alpha")
+    own = pixels.select("image_id", "y", "x", F.struct("r", "g", "b").alias("own"), F.lit(None).alias("cell"))
+    every = own.unionByName(cells.select("image_id", "y", "x", F.lit(None).alias("own"), cell.alias("cell"))).repartition("image_id")
+    places = every.groupBy("image_id", "y", "x").agg(F.max("own").alias("own"), F.sort_array(F.collect_list("cell")).alias("stack")).where("own IS NOT NULL")
+    ground = F.struct(*[F.col(f"bg_{c}").cast("double").alias(c) for c in "rgb"])
+    over = lambda acc, s: F.struct(*[(acc[c] + (s[c] - acc[c]) * s["alpha"] / 255.0).alias(c) for c in "rgb"])
+    shown = lambda acc: F.struct(*[F.bround(acc[c]).cast("int").alias(c) for c in "rgb"])
+    own = lambda k: F.filter("stack", lambda s: s["place"] == k)
+    renders = [F.aggregate(own(k), ground, over, shown).alias(f"render{k}") for k in range(n)]
+    return places.join(background, "image_id").select("image_id", "y", "x", "own.*", *renders)
 
 
 def composite(background: DataFrame, layers: DataFrame) -> DataFrame:

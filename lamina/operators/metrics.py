@@ -49,8 +49,32 @@ def edge_f1(mine: DataFrame, theirs: DataFrame, images: DataFrame) -> DataFrame:
     """image_id, tp, fp, fn, edge_f1. images: image_id of all images; one without edges on either side has 1."""
     both = mine.withColumn("a", F.lit(1)).join(theirs.withColumn("b", F.lit(1)), PIXEL, "full").groupBy("image_id").agg(F.count_if(F.col("a").isNotNull() & F.col("b").isNotNull()).alias("tp"), F.count_if(F.col("a").isNull()).alias("fp"), F.count_if(F.col("b").isNull()).alias("fn"))
     n = {c: F.coalesce(c, F.lit(0)) for c in ("tp", "fp", "fn")}
-    f1 = F.when(n["tp"] + n["fp"] + n["fn"] == 0, 1.0).otherwise(n["tp"] * 2 / F.greatest(F.lit(1), n["tp"] * 2 + n["fp"] + n["fn"]))
-    return images.join(both, "image_id", "left").select("image_id", *[v.alias(k) for k, v in n.items()], f1.alias("edge_f1"))
+    return images.join(both, "image_id", "left").select("image_id", *[v.alias(k) for k, v in n.items()], f1_score(**n).alias("edge_f1"))
+
+
+def f1_score(tp: Column, fp: Column, fn: Column) -> Column:
+    return F.when(tp + fp + fn == 0, 1.0).otherwise(tp * 2 / F.greatest(F.lit(1), tp * 2 + fp + fn))
+
+
+def compared(rendered: DataFrame, n: int, quantile: float = 0.91, least: float = 12.0) -> DataFrame:
+    """image_id, place, mae, edge_f1 of each of n renders, as differences() and edge_f1() give them. rendered: of layers.laid_out().
+
+    The renders of a pixel stay in its row, so windows over rows, columns and images need no shuffle if pixels are dealt by image.
+    """
+    value = lambda c: F.floor((c("r") * 299 + c("g") * 587 + c("b") * 114 + 500) / 1000).cast("int")
+    render = [lambda c, k=k: F.col(f"render{k}")[c] for k in range(n)]
+    greys = rendered.select(*PIXEL, value(F.col).alias("v"), *[value(c).alias(f"v{k}") for k, c in enumerate(render)], *[sum(F.abs(F.col(x) - c(x)) for x in RGB).alias(f"off{k}") for k, c in enumerate(render)])
+    row, column, whole = Window.partitionBy("image_id", "y").orderBy("x"), Window.partitionBy("image_id", "x").orderBy("y"), Window.partitionBy("image_id")
+    names = ["v", *[f"v{k}" for k in range(n)]]
+    step = lambda c, w: F.coalesce(F.abs(F.col(c) - F.lag(c).over(w)), F.lit(0))
+    steps = greys.withColumns({f"row_{c}": step(c, row) for c in names}).withColumns({f"step_{c}": F.greatest(f"row_{c}", step(c, column)) for c in names})
+    bounds = steps.withColumns({f"bound_{c}": F.greatest(F.lit(least), F.percentile(f"step_{c}", quantile).over(whole)) for c in names})
+    edge = {c: F.col(f"step_{c}") >= F.col(f"bound_{c}") for c in names}
+    mine = edge["v"]
+    counts = lambda k: {"off": F.sum(f"off{k}"), "tp": F.count_if(mine & edge[f"v{k}"]), "fp": F.count_if(~mine & edge[f"v{k}"]), "fn": F.count_if(mine & ~edge[f"v{k}"])}
+    sums = bounds.groupBy("image_id").agg(F.count("*").alias("n"), *[F.struct(F.lit(k).alias("place"), *[v.alias(name) for name, v in counts(k).items()]).alias(f"of{k}") for k in range(n)])
+    each = sums.select("image_id", "n", F.explode(F.array(*[f"of{k}" for k in range(n)])).alias("of")).select("image_id", "n", "of.*")
+    return each.select("image_id", "place", (F.col("off") / (F.col("n") * 3)).alias("mae"), f1_score(*map(F.col, ("tp", "fp", "fn"))).alias("edge_f1"))
 
 
 def quality_score(mae: Column, f1: Column) -> Column:

@@ -76,14 +76,6 @@ def boxes(found: DataFrame, name: Column, pad: Column, width: int, height: int)
     return found.select("image_id", name.alias("layer_id"), "area", *[v.alias(k) for k, v in box.items()])
 
 
-def surface_pixels(distances: DataFrame, mask: DataFrame, cases: Cases, width: int, height: int, least: int) -> DataFrame:
-    """Pixels that differ from the background a little, away from what differs much; none of a case that has too few."""
-    low = cases.spread(distances, "surface_threshold", "bg_threshold", on=lambda c: (c["surface_threshold"] < c["bg_threshold"]) & (F.col("d2") > c["surface_threshold"] * c["surface_threshold"]))
-    left = low.join(pixels.dilated(mask, F.greatest(F.lit(1), F.col("dilation_px")), width, height), pixels.PIXEL, "left_anti")
-    enough = left.groupBy("image_id").agg(F.count("*").alias("n")).where(F.col("n") >= least)
-    return left.join(enough, "image_id", "left_semi")
-
-
 def extract_cases(px: DataFrame, width: int, height: int, candidates: list[Candidate], surface_least: int = 800, partition: dict | None = None, details: dict | None = None) -> Extracted:
     """Layers of images of one size by each candidate, with their pixels, in one plan. Its image_id is a case's: see Cases.
 
@@ -93,10 +85,11 @@ def extract_cases(px: DataFrame, width: int, height: int, candidates: list[Candi
     details: min_area, min_ratio, max_luma, distance and min_detail of components with marks inside.
     """
     cases = Cases(candidates)
-    own_background = written(bg.background(px, width, height))
+    own_background = written(bg.background_of(written(bg.colour_counts(px, width, height))))
     distances = written(pixels.with_distance(px, own_background))
-    mask = cases.spread(distances, "bg_threshold", "dilation_px", on=lambda c: F.col("d2") > c["bg_threshold"] * c["bg_threshold"])
-    runs = written(cc.labelled(cc.runs(pixels.dilated(mask, F.col("dilation_px"), width, height) if cases.asked("dilation_px") else mask)))
+    mask = cases.spread(distances, "bg_threshold", on=lambda c: F.col("d2") > c["bg_threshold"] * c["bg_threshold"])
+    options = [c.options for c in candidates]
+    runs = written(cc.labelled_cases(distances, [(o.bg_threshold, o.dilation_px) for o in options], width, height))
     every = cc.components(runs)
     stats = mask.groupBy("image_id").agg(F.count("*").alias("foreground_pixels")).join(every.groupBy("image_id").agg(F.count("*").alias("raw_components")), "image_id")
     found = cc.largest(every, *map(cases.option, ("min_area_px", "min_bbox_px", "max_layers")))
@@ -132,8 +125,9 @@ def extract_cases(px: DataFrame, width: int, height: int, candidates: list[Candi
         mark = F.format_string("raster_%03d_detail_%03d", "index", "detail")
         out = out.unionByName(boxes(marks, mark, pad, width, height))
         cells = cells.unionByName(places.join(marks.select(*ID, "label", "detail"), [*ID, "label"]).withColumn("layer_id", mark).select(*CELLS))
-    if any((o := c.options).surface_threshold is not None and o.surface_threshold < o.bg_threshold for c in candidates):
-        subtle = written(surface_pixels(distances, mask, cases, width, height, surface_least))
+    surfaces = [(o.bg_threshold, max(1, o.dilation_px), o.surface_threshold) if o.surface_threshold is not None and o.surface_threshold < o.bg_threshold else None for o in options]
+    if any(surfaces):
+        subtle = written(cc.surface_cases(distances, surfaces, width, height, surface_least))
         edges = subtle.groupBy("image_id").agg(F.count("*").alias("area"), F.min("x").alias("x"), F.min("y").alias("y"), F.max("x").alias("right"), F.max("y").alias("bottom"))
         edges = edges.withColumn("width", F.col("right") - F.col("x") + 1).withColumn("height", F.col("bottom") - F.col("y") + 1)
         out = out.unionByName(boxes(edges, F.lit("surface_001"), pad, width, height))
@@ -187,14 +181,14 @@ ROW = ("mae", "edge_f1", "raster_layers", "largest_layer_ratio", "internal_detai
 
 def candidate_rows(px: DataFrame, width: int, height: int, found: Extracted, cases: Cases) -> DataFrame:
     """image_id (a case's) and ROW: how well the layers, laid over the background, give the image back."""
-    z = found.layers.select("image_id", "layer_id", "z")
-    own = cases.spread(px)
-    render = written(ly.laid_out(own, found.background, found.cells.join(z, ["image_id", "layer_id"])))
+    layers = written(found.layers)
     ids = found.background.select("image_id")
-    edges = lambda p: metrics.edges(metrics.gradients(metrics.grey(p)))
-    scores = metrics.differences(metrics.aligned(own, render)).join(metrics.edge_f1(cases.spread(edges(px)), edges(render), ids).select("image_id", "edge_f1"), "image_id")
-    counts = found.layers.groupBy("image_id").agg(F.count("*").alias("raster_layers"))
-    features = selection.layer_features(found.layers, ids, width, height)
+    cells = found.cells.join(layers.select("image_id", "layer_id", "z"), ["image_id", "layer_id"])
+    own = cells.withColumns({"place": cases.place(), "image_id": cases.image()})
+    background = found.background.where(cases.place() == 0).withColumn("image_id", cases.image())
+    scores = metrics.compared(ly.laid_out(px, background, own, cases.n), cases.n).withColumn("image_id", F.col("image_id") * cases.n + F.col("place"))
+    counts = layers.groupBy("image_id").agg(F.count("*").alias("raster_layers"))
+    features = selection.layer_features(layers, ids, width, height)
     return scores.join(features, "image_id").join(counts, "image_id", "left").select("image_id", "mae", "edge_f1", F.coalesce("raster_layers", F.lit(0)).alias("raster_layers"), "largest_layer_ratio", "internal_detail_layers")
 
 
