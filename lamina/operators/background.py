@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lamina.operators.pixels import luma, quantised, squared_distance, unpacked
+from lamina.operators.pixels import luma, packed, quantised, squared_distance, unpacked
 
 RGB = ["r", "g", "b"]
 
@@ -55,22 +55,34 @@ def weighted_medians(colours: DataFrame, weight: str) -> DataFrame:
     return colours.where(F.col(weight) > 0).groupBy("image_id").agg(*[F.bround(F.percentile(c, 0.5, F.col(weight))).cast("int").alias(c) for c in RGB])
 
 
+#: So many frequent colours of an image, and of its edge bands, may be its background.
+FREQUENT, FREQUENT_AT_EDGES = 12, 8
+
+
+def candidate_lists(counts: DataFrame) -> DataFrame:
+    """image_id, n, border (of all its colours), own: every distinct candidate for an image's background (ord, r, g, b), the one of least ord where several are the same."""
+
+    def top(weight: str, limit: int, first: int) -> Column:
+        found = F.sort_array(F.collect_list(F.when(F.col(weight) > 0, F.struct(weight, "colour"))), False)
+        return F.transform(F.slice(found, 1, limit), lambda s, i: F.struct((i + first).alias("ord"), s["colour"].alias("colour")))
+
+    cells = counts.groupBy("image_id", quantised(*map(F.col, RGB)).alias("colour")).agg(F.sum("n").alias("n"), F.sum("border").alias("border"))
+    tops = cells.groupBy("image_id").agg(top("n", FREQUENT, 1).alias("most"), top("border", FREQUENT_AT_EDGES, FREQUENT + 1).alias("edges"), F.sum("n").alias("n"), F.sum("border").alias("border"))
+    corner = weighted_medians(counts, "corner").select("image_id", F.array(F.struct(F.lit(0).alias("ord"), packed(*map(F.col, RGB)).alias("colour"))).alias("corner"))
+    every = tops.join(corner, "image_id", "left").select("image_id", "n", "border", F.concat(F.coalesce("corner", F.slice("most", 1, 0)), "most", "edges").alias("own"))
+    distinct = F.filter("own", lambda s, i: F.array_position(F.col("own")["colour"], s["colour"]) == i + 1)
+    rgb = lambda s: [c.alias(n) for n, c in zip(RGB, unpacked(s["colour"]), strict=True)]
+    return every.withColumn("own", F.transform(distinct, lambda s: F.struct(s["ord"].alias("ord"), *rgb(s))))
+
+
 def candidates_of(counts: DataFrame) -> DataFrame:
-    """image_id, r, g, b, ord, coverage, border_coverage, luma: every distinct candidate for an image's background. Colours meet the candidates, not pixels."""
-
-    def top(weight: str, limit: int, first: int) -> DataFrame:
-        cells = counts.where(F.col(weight) > 0).groupBy("image_id", quantised(*map(F.col, RGB)).alias("colour")).agg(F.sum(weight).alias("n"))
-        rank = F.row_number().over(Window.partitionBy("image_id").orderBy(F.desc("n"), F.desc("colour")))
-        found = cells.withColumn("rank", rank).where(F.col("rank") <= limit)
-        return found.select("image_id", *[c.alias(n) for n, c in zip(RGB, unpacked(F.col("colour")), strict=True)], (F.col("rank") + first).alias("ord"))
-
-    corner = weighted_medians(counts, "corner").select("image_id", *RGB, F.lit(0).alias("ord"))
-    distinct = corner.unionAll(top("n", 12, 0)).unionAll(top("border", 8, 12)).groupBy("image_id", *RGB).agg(F.min("ord").alias("ord"))
-    own = distinct.select("image_id", *[F.col(c).alias(f"c_{c}") for c in RGB], "ord")
-    close = squared_distance(F.col("c_r"), F.col("c_g"), F.col("c_b")) <= 900
-    share = lambda weight: (F.sum(F.when(close, F.col(weight)).otherwise(0)) / F.sum(weight)).alias("coverage" if weight == "n" else "border_coverage")
-    met = counts.join(own, "image_id").groupBy("image_id", "ord").agg(share("n"), share("border"))
-    return distinct.join(met, ["image_id", "ord"]).withColumn("luma", luma(*map(F.col, RGB)))
+    """image_id, r, g, b, ord, coverage, border_coverage, luma: every distinct candidate for an image's background. Colours meet the candidates, not pixels, and only those near one are added up."""
+    lists = candidate_lists(counts)
+    met = counts.join(lists.select("image_id", "own"), "image_id").select("image_id", "n", "border", *RGB, F.explode("own").alias("c"))
+    near = met.where(squared_distance(F.col("c.r"), F.col("c.g"), F.col("c.b")) <= 900).groupBy("image_id", "c.ord").agg(F.sum("n").alias("near"), F.sum("border").alias("border_near"))
+    each = lists.select("image_id", "n", "border", F.explode("own").alias("c")).select("image_id", "n", "border", "c.*").join(near, ["image_id", "ord"], "left")
+    share = lambda part, of: F.coalesce(part, F.lit(0)) / F.col(of)
+    return each.select("image_id", *RGB, "ord", share("near", "n").alias("coverage"), share("border_near", "border").alias("border_coverage")).withColumn("luma", luma(*map(F.col, RGB)))
 
 
 def background_of(counts: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from lamina.operators import background as bg
 from lamina.operators import components as cc
 from lamina.operators import layers as ly
 from lamina.operators import metrics, pixels
@@ -86,3 +87,16 @@ def test_a_race_reads_pixels_a_few_times(spark, images):
     px, times = counted(spark, images)
     assert engine.race(px, WIDTH, HEIGHT, engine.small_candidates(), **engine.GATES).count() == 4
     assert times() <= 8
+
+
+def test_backgrounds_read_counts_of_colours_that_are_made_once(spark, images):
+    px, times = counted(spark, images)
+    assert engine.extract_layers(px, WIDTH, HEIGHT, engine.SMALL).count()
+    assert times() <= 2
+
+
+def test_a_colour_is_a_candidate_once_and_meets_those_near_it(spark):
+    """A corner's colour that is a frequent one's too, and a frequent one of the edges only."""
+    counts = spark.createDataFrame([(1, 8, 8, 8, 5, 4, 4), (1, 20, 8, 8, 4, 0, 0), (1, 200, 200, 200, 1, 2, 0)], "image_id long, r int, g int, b int, n long, border long, corner long")
+    found = [(r["r"], r["g"], r["b"], r["ord"], round(r["coverage"], 6), round(r["border_coverage"], 6)) for r in bg.candidates_of(counts).orderBy("ord").collect()]
+    assert found == [(8, 8, 8, 0, 0.9, 0.666667), (24, 8, 8, 2, 0.9, 0.666667), (200, 200, 200, 3, 0.1, 0.333333)]
