@@ -76,10 +76,15 @@ o3 AS (SELECT key, run, {MEDIANS} FROM i3 JOIN f3 USING (key, run) WHERE CASE WH
 
 @query(sql(SPLIT, "SELECT key AS image_id, 0 AS line_no, CAST(run AS BIGINT) AS run, part AS text, a AS start, z AS \"end\", coalesce(r, 0) AS r, coalesce(g, 0) AS g, coalesce(b, 0) AS b FROM r3 LEFT JOIN o3 USING (key, run)"))
 def lyr_7_split_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One long word over each image, on three images side by side as one, so that it has columns enough to be split."""
-    px = images(spark, sf_dir).withColumn("x", F.col("x") + F.col("image_id") % 3 * SIDE).withColumn("image_id", F.floor(F.col("image_id") / 3))
-    word = px.select("image_id").distinct().select("image_id", F.lit(0).alias("line_no"), F.lit(0).alias("word_no"), F.concat(F.lit("Header"), F.col("image_id").cast("string")).alias("text"), F.lit(0).alias("x"), F.lit(0).alias("y"), F.lit(3 * SIDE).alias("width"), F.lit(SIDE).alias("height"))
-    return tl.split_words(word, px, bg.corner_background(px, 3 * SIDE, SIDE), 35, 3 * SIDE, SIDE)
+    """One long word over each image, on three images side by side as one, so that it has columns enough to be split.
+
+    Ids below zero put their image left of the others, by two at most; ids are divided as whole numbers, since those beyond 2 ** 53 are no doubles.
+    """
+    px = images(spark, sf_dir).withColumn("x", F.col("x") + F.col("image_id") % 3 * SIDE).withColumn("image_id", F.expr("image_id div 3"))
+    background, wide = bg.corner_background(px, 3 * SIDE, SIDE), 5 * SIDE
+    px = px.withColumn("x", F.col("x") + 2 * SIDE)
+    word = px.select("image_id").distinct().select("image_id", F.lit(0).alias("line_no"), F.lit(0).alias("word_no"), F.concat(F.lit("Header"), F.col("image_id").cast("string")).alias("text"), F.lit(0).alias("x"), F.lit(0).alias("y"), F.lit(wide).alias("width"), F.lit(SIDE).alias("height"))
+    return tl.split_words(word, px, background, 35, wide, SIDE)
 
 
 def fill_sql(word: int, source: str, to: str) -> str:
