@@ -47,7 +47,7 @@ class Cases:
         self.candidates, self.n = candidates, len(candidates)
 
     def image(self) -> Column:
-        return F.floor(F.col("image_id") / self.n).cast("long") if self.n > 1 else F.col("image_id")
+        return F.expr(f"(image_id - pmod(image_id, {self.n})) div {self.n}") if self.n > 1 else F.col("image_id")  # not by /, which makes doubles of ids
 
     def place(self) -> Column:
         return F.pmod("image_id", F.lit(self.n)).cast("int")
